@@ -1,7 +1,7 @@
 """Queries and SQL of the text-corpus operators."""
 
-from . import exact_dedup
+from . import decontamination, exact_dedup, sentencepiece_codec
 
-_MODULES = [exact_dedup]
+_MODULES = [exact_dedup, sentencepiece_codec, decontamination]
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL = {k: v for m in _MODULES for k, v in m.ORACLE_SQL.items()}
