@@ -8,7 +8,8 @@ digits are compared as they are; no digest decides equality. (The SHA-256 in the
 only describes the text.)
 
 A hot group costs no task more than its share: counts are pre-aggregated where rows
-are read, and the way back to the rows is an equi-join, which Spark splits when skewed.
+are read, and the way back to the rows is an equi-join of two tables, which Spark splits when skewed
+(for that, the counts are a stored table: no aggregate may stand below the join).
 """
 
 from __future__ import annotations
@@ -52,9 +53,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         key = ["n_bytes", "digits"]
         cut = alive.withColumn("digits", F.substring("body", 1, width))
         groups = cut.groupBy(*key).agg(F.count(F.lit(1)).alias("group_size"), F.max("doc_id").alias("keep_id"))
-        split = cut.join(groups, key)
+        groups = kept.put(groups.filter("group_size > 1").withColumn("many", F.lit(True)))
+        split = cut.join(groups, key, "left").withColumns(
+            {"keep_id": F.when(F.col("many"), F.col("keep_id")).otherwise(F.col("doc_id")), "group_size": F.coalesce("group_size", F.lit(1).cast("long"))}
+        )
         open_ = (F.col("group_size") > 1) & (F.col("n_bytes") > width)
         split = kept.put(split.select(*out, open_.alias("open"), F.when(open_, F.col("body")).alias("body")))
+        kept.drop(groups)
         done.append(split.filter("not open").select(*out))
         alive = split.filter("open").select("doc_id", "n_bytes", "text_sha256", "body")
         if alive.isEmpty():
