@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Stored, table
+from .common import Stored, grown, table
 
 #: Messages in one row of the result; a longer conversation has several parts.
 PART_MESSAGES = 1000
@@ -85,20 +85,20 @@ def link_quotations(messages: DataFrame, conv_col: str = "conv_id", turn_col: st
     asked = parsed.filter("quoted is not null and turn is not null").select("conv", "turn", F.explode("quoted").alias("u")).select("conv", "turn", hashed("u"), F.length("u").alias("weight"))
     asked = kept.put(asked.distinct())
     # Only conversations with quotations are indexed, and of equal texts the first.
-    index = parsed.filter("turn is not null").join(asked.select("conv").distinct(), "conv", "left_semi").select("conv", "turn", F.explode("own").alias("u")).select("conv", hashed("u"), "turn")
+    index = parsed.filter("turn is not null").join(grown(asked.select("conv").distinct()), "conv", "left_semi").select("conv", "turn", F.explode("own").alias("u")).select("conv", hashed("u"), "turn")
     index = kept.put(index.groupBy("conv", "unit").agg(F.min("turn").alias("source")))
-    votes = asked.join(index, ["conv", "unit"]).filter("source < turn").groupBy("conv", "turn", "source").agg(F.sum("weight").alias("weight"))
+    votes = asked.join(grown(index), ["conv", "unit"]).filter("source < turn").groupBy("conv", "turn", "source").agg(F.sum("weight").alias("weight"))
     links = votes.groupBy("conv", "turn").agg(F.max_by("source", F.struct("weight", "source")).alias("parent"))
     links = kept.put(links.select("conv", "turn", "parent", F.col("parent").alias("up"), F.array("turn").alias("path")))
 
     # Pointer doubling: a path grows by the path of the message it has reached.
     while not (open_ := links.filter("up is not null")).isEmpty():
         above = links.select("conv", F.col("turn").alias("up"), F.col("up").alias("next"), F.col("path").alias("above"))
-        grown = open_.join(above, ["conv", "up"], "left").select("conv", "turn", "parent", F.col("next").alias("up_"), F.concat(F.coalesce("above", F.array("up")), "path").alias("path")).withColumnRenamed("up_", "up")
+        grown = open_.join(grown(above), ["conv", "up"], "left").select("conv", "turn", "parent", F.col("next").alias("up_"), F.concat(F.coalesce("above", F.array("up")), "path").alias("path")).withColumnRenamed("up_", "up")
         old, links = links, kept.put(links.filter("up is null").unionByName(grown))
         kept.drop(old)
     alone = F.array(F.coalesce("turn", F.lit((1 << 63) - 1)))
-    return parsed.join(links.select("conv", "turn", "parent", "path"), ["conv", "turn"], "left").select("conv_id", "conv", "turn", "role", "body", "parent", F.coalesce("path", alone).alias("path"))
+    return parsed.join(grown(links.select("conv", "turn", "parent", "path")), ["conv", "turn"], "left").select("conv_id", "conv", "turn", "role", "body", "parent", F.coalesce("path", alone).alias("path"))
 
 
 def format_chats(messages: DataFrame, part_messages: int = PART_MESSAGES, template: str = "<|{role}|>\n{body}\n<|end|>\n", **columns) -> DataFrame:
@@ -115,7 +115,7 @@ def format_chats(messages: DataFrame, part_messages: int = PART_MESSAGES, templa
     stretch = ordered.groupBy("conv", "pid").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("conv").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
     stretch = kept.put(stretch.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0))).drop("n"))  # a row per conversation and partition
-    placed = ordered.join(stretch, ["conv", "pid"]).withColumn("position", F.col("at") - F.col("first") + F.col("before"))
+    placed = ordered.join(grown(stretch), ["conv", "pid"]).withColumn("position", F.col("at") - F.col("first") + F.col("before"))
     segment = F.concat(F.lit(before), "role", F.lit(between), "body", F.lit(after))
     item = F.struct("position", F.coalesce(F.col("turn").cast("string"), F.lit("-")).alias("turn"), F.coalesce(F.col("parent").cast("string"), F.lit("-")).alias("parent"), segment.alias("segment"))
     rows = placed.select("conv", "conv_id", F.floor(F.col("position") / part_messages).cast("long").alias("part"), item.alias("m"))

@@ -61,6 +61,12 @@ class Stored:
             path.getFileSystem(conf).delete(path, True)
 
 
+def grown(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the data: sort-merge at every size, which Spark
+    spills and splits where it is skewed, rather than a broadcast while it is small."""
+    return df.hint("merge")
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only. lower() agrees on pure ASCII and is many times faster."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

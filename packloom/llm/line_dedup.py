@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Stored, chunks_of, packed, table, text_bytes, word_hashes
+from .common import Stored, chunks_of, grown, packed, table, text_bytes, word_hashes
 
 LEAST_CHARS = 20
 
@@ -135,16 +135,16 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     held = lines.select("id", "body", F.explode(long).alias("line"))
     first = held.groupBy("line").agg(F.min(F.struct("id", "body")).alias("first"), F.max(F.struct("id", "body")).alias("last")).filter("first != last")
     first = kept.put(first.select("line", F.col("first.id").alias("first_id"), F.col("first.body").alias("first_body")))
-    pairs = held.join(first, "line").filter("id != first_id or body != first_body")
+    pairs = held.join(grown(first), "line").filter("id != first_id or body != first_body")
     pairs = kept.put(pairs.select("id", "body", "first_id", "first_body").distinct())
     one = kept.put(lines.dropDuplicates(["id", "body"]))
     kept.drop(lines, first)
-    both = pairs.join(one, ["id", "body"]).withColumnRenamed("lines", "later")
-    both = both.join(one.select(F.col("id").alias("first_id"), F.col("body").alias("first_body"), F.col("lines").alias("earlier")), ["first_id", "first_body"])
+    both = pairs.join(grown(one), ["id", "body"]).withColumnRenamed("lines", "later")
+    both = both.join(grown(one.select(F.col("id").alias("first_id"), F.col("body").alias("first_body"), F.col("lines").alias("earlier"))), ["first_id", "first_body"])
     gone = both.select("id", "body", "later", "earlier").mapInArrow(_align, "id long, body long, gone array<int>").filter(F.size("gone") > 0)
     gone = kept.put(gone.groupBy("id", "body").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone")))  # at most a document's lines from each of its lines
     whole = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.struct(*[c for c in docs.columns if c != text_col]).alias("row"), F.col(id_col).cast("long").alias("id"), body.alias("body"))
-    joined = whole.join(gone, ["id", "body"], "left").select("doc_id", "text", "gone", "row")
+    joined = whole.join(grown(gone), ["id", "body"], "left").select("doc_id", "text", "gone", "row")
     kind = {f.name: f.dataType for f in joined.schema.fields}
     schema = T.StructType([T.StructField("doc_id", kind["doc_id"]), T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("row", kind["row"])])
     return joined.mapInArrow(_delete, schema)

@@ -1,7 +1,7 @@
 """Queries and SQL of the text-corpus operators."""
 
-from . import chat, decontamination, exact_dedup, html_extraction, line_dedup, secrets, sentencepiece_codec, toxicity
+from . import chat, decontamination, exact_dedup, html_extraction, line_dedup, ngram_join, secrets, sentencepiece_codec, toxicity
 
-_MODULES = [exact_dedup, secrets, line_dedup, sentencepiece_codec, decontamination, chat, toxicity, html_extraction]
+_MODULES = [exact_dedup, secrets, ngram_join, line_dedup, sentencepiece_codec, decontamination, chat, toxicity, html_extraction]
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL = {k: v for m in _MODULES for k, v in m.ORACLE_SQL.items()}

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stored, table
+from .common import Stored, grown, table
 
 # The base patterns and the least lengths of what they must match.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -82,9 +82,9 @@ def scan_secrets(docs: DataFrame, repo: Column, owner: Column, id_col: str = "do
     held = kept.put(held.groupBy("secret").agg(F.count_distinct("repo").alias("n_repos"), F.count_distinct("owner").alias("n_owners")))
     # Spans depend on the text alone, so each distinct text is looked up once.
     texts = some.groupBy("body").agg(F.first("found").alias("found")).select("body", F.explode("found").alias("m")).select("body", "m.*")
-    looked = kept.put(texts.join(held, "secret").select("body", F.struct("start", "kind", "end", "n_repos", "n_owners", (F.col("n_owners") <= max_owners).alias("live")).alias("m")))
+    looked = kept.put(texts.join(grown(held), "secret").select("body", F.struct("start", "kind", "end", "n_repos", "n_owners", (F.col("n_owners") <= max_owners).alias("live")).alias("m")))
     known = kept.put(looked.groupBy("body").agg(F.array_sort(F.collect_list("m")).alias("found")))
-    out = some.select("doc_id", "body").join(known, "body").select("doc_id", "found")
+    out = some.select("doc_id", "body").join(grown(known), "body").select("doc_id", "found")
     none = scanned.filter(F.size("found") == 0).select("doc_id", F.array().cast(known.schema["found"].dataType).alias("found"))
     return out.unionByName(none).select(
         "doc_id", F.filter("found", lambda m: m["kind"] < 3).alias("base"), F.filter("found", lambda m: (m["kind"] < 3) | m["live"]).alias("spans")
