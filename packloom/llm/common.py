@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -44,16 +45,21 @@ class Stored:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        self.paths: dict[int, str] = {}
 
-    def put(self, df: DataFrame, partitions: int | None = None) -> DataFrame:
-        path = f"{self.root}/{len(self.paths)}-{uuid.uuid4().hex[:8]}"
-        (df if partitions is None else df.coalesce(partitions)).write.parquet(path)
+    def put(self, df: DataFrame) -> DataFrame:
+        path = f"{self.root}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
         out._stored_path = path
+        self.free()
         return out
 
+    def free(self) -> None:
+        """Lets Spark's cleaner find the shuffle files of finished jobs now rather than at
+        some later collection; a chain of large shuffles would fill the disks meanwhile."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, *tables: DataFrame) -> None:
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         for t in tables:

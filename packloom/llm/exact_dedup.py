@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stored, table
+from .common import Stored, grown, table
 
 FIRST_DIGIT, GROWTH = 64, 16
 
@@ -54,7 +54,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         cut = alive.withColumn("digits", F.substring("body", 1, width))
         groups = cut.groupBy(*key).agg(F.count(F.lit(1)).alias("group_size"), F.max("doc_id").alias("keep_id"))
         groups = kept.put(groups.filter("group_size > 1").withColumn("many", F.lit(True)))
-        split = cut.join(groups, key, "left").withColumns(
+        split = cut.join(grown(groups), key, "left").withColumns(
             {"keep_id": F.when(F.col("many"), F.col("keep_id")).otherwise(F.col("doc_id")), "group_size": F.coalesce("group_size", F.lit(1).cast("long"))}
         )
         open_ = (F.col("group_size") > 1) & (F.col("n_bytes") > width)
