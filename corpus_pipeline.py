@@ -1,11 +1,79 @@
-"""A corpus pipeline of five stages."""
+"""A corpus pipeline: toxicity, line dedup, near-duplicate join, decontamination, tokens.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
+columns of `docs`. Texts that a stage shortens get a new n_chars.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from packloom.llm.common import Stored, grown, table
+from packloom.llm.decontamination import decontaminate
+from packloom.llm.line_dedup import line_dedup
+from packloom.llm.ngram_join import ngram_components
+from packloom.llm.sentencepiece_codec import model_file, sentencepiece_codec
+from packloom.llm.toxicity import TARGETS, fit_chain, score_chain
+
+MOST_TOXIC = 0.5
+
+
+def _as(docs: DataFrame, done: DataFrame) -> DataFrame:
+    """The columns of `docs`, with the text of `done` and the others from its `row`."""
+    n_chars = F.when(F.col("text").isNotNull(), F.length("text").cast("long"))
+    return done.select(*[F.col("text") if c == "text" else n_chars.alias(c) if c == "n_chars" else F.col(f"row.{c}") for c in docs.columns])
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the chain calls toxic go."""
+    scored = score_chain(docs, fit_chain(docs, table(spark, sf_dir, "labels"), TARGETS))
+    return _as(docs, scored.filter(F.col("p")[1] < MOST_TOXIC))
+
+
+def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines aligned with an earlier document go, and documents of which nothing is left."""
+    done = line_dedup(docs)
+    return _as(docs, done.filter((F.col("n_removed") == 0) | (F.trim("text") != "")))
+
+
+def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the least id stays."""
+    found = ngram_components(docs)
+    gone = Stored(spark, "pipeline").put(found.filter("doc_id != component_id").select("doc_id").distinct())
+    return docs.join(grown(gone), "doc_id", "left_anti").select(*docs.columns)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of the benchmark are cut out; documents that are mostly such passages go."""
+    return _as(docs, decontaminate(docs, table(spark, sf_dir, "benchmark")))
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids, and the text they decode to."""
+    done = sentencepiece_codec(docs, model_file())
+    kept = [F.col(f"row.{c}") for c in docs.columns if c not in ("text", "n_chars")]
+    return done.select(*kept, F.col("decoded").alias("text"), "ids", F.size("ids").cast("long").alias("n_tokens"))
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("line dedup", line_deduplication),
+    ("n-gram Jaccard join", ngram_join),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("SentencePiece encoding and decoding", sentencepiece),
+]
+
+#: SQL expresses neither the classifier nor patience diff nor the merges of the tokenizer.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`; each one's result is stored before the next reads it."""
+    kept = Stored(spark, "pipeline")
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = kept.put(docs)
     return docs
