@@ -1,11 +1,4 @@
 """Operators for preparing large text corpora, each expressed as Spark jobs.
 
-Nothing outside this subpackage imports it. Functions that run on executors are
-shipped by value, so executors need numpy, pyarrow and pandas but not this package.
+Nothing outside this subpackage imports it.
 """
-
-import sys
-
-from pyspark import cloudpickle
-
-cloudpickle.register_pickle_by_value(sys.modules[__name__])

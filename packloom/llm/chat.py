@@ -94,8 +94,8 @@ def link_quotations(messages: DataFrame, conv_col: str = "conv_id", turn_col: st
     # Pointer doubling: a path grows by the path of the message it has reached.
     while not (open_ := links.filter("up is not null")).isEmpty():
         above = links.select("conv", F.col("turn").alias("up"), F.col("up").alias("next"), F.col("path").alias("above"))
-        grown = open_.join(grown(above), ["conv", "up"], "left").select("conv", "turn", "parent", F.col("next").alias("up_"), F.concat(F.coalesce("above", F.array("up")), "path").alias("path")).withColumnRenamed("up_", "up")
-        old, links = links, kept.put(links.filter("up is null").unionByName(grown))
+        longer = open_.join(grown(above), ["conv", "up"], "left").select("conv", "turn", "parent", F.col("next").alias("up_"), F.concat(F.coalesce("above", F.array("up")), "path").alias("path")).withColumnRenamed("up_", "up")
+        old, links = links, kept.put(links.filter("up is null").unionByName(longer))
         kept.drop(old)
     alone = F.array(F.coalesce("turn", F.lit((1 << 63) - 1)))
     return parsed.join(grown(links.select("conv", "turn", "parent", "path")), ["conv", "turn"], "left").select("conv_id", "conv", "turn", "role", "body", "parent", F.coalesce("path", alone).alias("path"))
