@@ -144,6 +144,8 @@ def audit(packets: DataFrame, profile: str | None = None) -> DataFrame:
     if profile is not None and profile not in PROFILES:
         raise ValueError(f"unknown profile {profile!r}; valid: {', '.join(PROFILES)}")
     rules = [r for name, rs in PROFILES.items() if profile in (None, name) for r in rs]
+    # Each rule reads the packets more than once; they are decoded once. Spark may drop the cache.
+    packets = packets.select("capture", "packet_index", "ts_ns", "cap_len", "protocol", "src_ip", "dst_ip", "dst_port", "issues", "stream_key", "tcp", "dns").persist()
     out = rules[0](packets)
     for rule in rules[1:]:
         out = out.unionByName(rule(packets))

@@ -41,7 +41,7 @@ LAYER_NAMES = {"eth": "Ethernet", "arp": "ARP", "ipv4": "IPv4", "ipv6": "IPv6",
 _END = "struct<family:int,addr:binary,port:int>"
 PACKET = {
     "decode_error": "string", "protocol": "string", "source": "string", "destination": "string", "src_ip": "string", "dst_ip": "string", "src_port": "int", "dst_port": "int",
-    "layer_names": "array<string>", "spans": "array<struct<offset:int,len:int>>", "issues": "array<struct<kind:string,offset:int>>", "stream_key": f"struct<lo:{_END},hi:{_END},proto:int>", **LAYERS,
+    "payload_at": "int", "payload_len": "int", "layer_names": "array<string>", "spans": "array<struct<offset:int,len:int>>", "issues": "array<struct<kind:string,offset:int>>", "stream_key": f"struct<lo:{_END},hi:{_END},proto:int>", **LAYERS,
 }
 _DECIMAL = np.array([str(i) for i in range(256)], object)
 
@@ -246,6 +246,7 @@ def _decoded(b: pa.RecordBatch, kinds: dict[str, pa.DataType]) -> list[pa.Array]
     out = {
         "decode_error": pa.array([None if e else "truncated Ethernet header" for e in eth.tolist()], pa.string()), "protocol": text(protocol), "source": text(source), "destination": text(destination),
         "src_ip": text(src_ip), "dst_ip": text(dst_ip), "src_port": number(src), "dst_port": number(dst),
+        "payload_at": number(app), "payload_len": number(n),
         "layer_names": _lists(list(present.values()), pa.string(), [[LAYER_NAMES[k] for k in present]]),
         "spans": _lists([m for m, _, _ in spans], kinds["spans"].value_type, [[x for _, x, _ in spans], [x for _, _, x in spans]]),
         "issues": _lists([m for m, _, _ in issues], kinds["issues"].value_type, [[k for _, k, _ in issues], [o for _, _, o in issues]]),

@@ -23,9 +23,10 @@ def dense_index(df: DataFrame, by: list[str], order: str, name: str, stretch: in
     return cut.join(counts, [*by, "_stretch"]).withColumn(name, F.row_number().over(inside) - 1 + F.col("_before")).drop("_stretch", "_before")
 
 
-def with_packet_index(packets: DataFrame) -> DataFrame:
-    """Decoded packets alone, numbered from 0 in each capture; frame_no counts all frames."""
-    return dense_index(packets.filter("decode_error is null"), ["capture"], "frame_no", "packet_index")
+def with_packet_index(frames: DataFrame) -> DataFrame:
+    """The frames that decode (all with an Ethernet header), numbered from 0 in each capture;
+    frame_no counts all frames. Numbering comes before dissection, so that runs once."""
+    return dense_index(frames.filter("cap_len >= 14"), ["capture"], "frame_no", "packet_index")
 
 
 def streams(packets: DataFrame) -> DataFrame:

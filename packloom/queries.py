@@ -56,7 +56,7 @@ tracked AS (SELECT keyed.*, s.stream_id FROM keyed LEFT JOIN s USING (skey))
 
 def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = frames_from_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
-    return streams.with_packet_index(dissect(frames))
+    return dissect(streams.with_packet_index(frames))
 
 
 def _query(name: str, sql: str | None):
