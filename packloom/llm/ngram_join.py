@@ -145,9 +145,8 @@ def _possible(x: str, y: str) -> str:
     return f"9 * {common} >= 4 * ({x}.n + {y}.n) and 5 * least({x}.n, {y}.n) >= 4 * greatest({x}.n, {y}.n)"
 
 
-def _link_sets(sets: DataFrame, entries: DataFrame, kept: Stored) -> DataFrame:
-    """(a, b) links between classes that make up all components."""
-    spark = sets.sparkSession
+def _component_labels(sets: DataFrame, entries: DataFrame, kept: Stored) -> DataFrame:
+    """(node, label) of the classes that link with others, by verified links alone."""
 
     def verified(pairs: DataFrame) -> DataFrame:
         one = sets.select(F.col("cid").alias("a"), F.col("tokens").alias("x"))
@@ -158,33 +157,33 @@ def _link_sets(sets: DataFrame, entries: DataFrame, kept: Stored) -> DataFrame:
     best = kept.put(entries.filter("lead").groupBy("key").agg(F.min_by(F.struct("cid", "n", "pos"), F.struct("pos", "cid")).alias("s")).select("key", "s.*"))
     pairs = entries.alias("x").join(grown(best).alias("y"), F.expr(f"x.key = y.key and x.cid != y.cid and {_possible('x', 'y')}"))
     tested = kept.put(pairs.select(*ends).distinct())
-    links = kept.put(verified(tested))
-    leads = 4
+    label = components(kept.put(verified(tested)), kept)
+    leads, changed = 8, True
     while True:
-        label = components(links, kept)
-        mine = entries.join(grown(label.withColumnRenamed("node", "cid")), "cid", "left").select("key", "cid", "n", "pos", "lead", F.coalesce("label", "cid").alias("comp"))
-        mine = kept.put(mine)
-        per = kept.put(mine.groupBy("key", "comp").agg(F.min("pos").alias("pos"), F.min("n").alias("least"), F.max("n").alias("most")))
-        top = kept.put(per.groupBy("key").agg(F.min(F.struct("pos", "comp")).alias("one"), F.min("least").alias("least"), F.max("most").alias("most"), F.count(F.lit(1)).alias("comps")).filter("comps > 1"))
-        other = kept.put(per.join(grown(top.select("key", F.col("one.comp").alias("first"))), "key").filter("comp != first").groupBy("key").agg(F.min("pos").alias("second")))
-        facing = F.expr("if(comp = one.comp, second, one.pos)")
-        alive = mine.join(grown(kept.put(top.join(grown(other), "key"))), "key").withColumn("facing", facing)
-        # Sizes that a partner can have, from both positions; none is left for most.
-        alive = alive.filter("greatest(least, (4 * n + 9 * facing) / 5) <= least(most, 5 * n / 4 - 9 * pos / 4)").select("key", "cid", "n", "pos", "lead", "comp")
-        alive = alive.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("lead"), "pos", "cid")))
-        alive = kept.put(alive)
-        size = alive.agg(F.max("rank")).first()[0] or 0
-        if size < 2:
-            return links
+        if changed:
+            mine = entries.join(grown(label.withColumnRenamed("node", "cid")), "cid", "left").select("key", "cid", "n", "pos", "lead", F.coalesce("label", "cid").alias("comp"))
+            per = kept.put(mine.groupBy("key", "comp").agg(F.min("pos").alias("pos"), F.min("n").alias("least"), F.max("n").alias("most")))
+            top = kept.put(per.groupBy("key").agg(F.min(F.struct("pos", "comp")).alias("one"), F.min("least").alias("least"), F.max("most").alias("most"), F.count(F.lit(1)).alias("comps")).filter("comps > 1"))
+            other = per.join(grown(top.select("key", F.col("one.comp").alias("first"))), "key").filter("comp != first").groupBy("key").agg(F.min("pos").alias("second"))
+            bounds = kept.put(top.join(grown(other), "key"))
+            alive = mine.join(grown(bounds), "key").withColumn("facing", F.expr("if(comp = one.comp, second, one.pos)"))
+            # Sizes that a partner can have, from both positions; none is left for most.
+            alive = alive.filter("greatest(least, (4 * n + 9 * facing) / 5) <= least(most, 5 * n / 4 - 9 * pos / 4)").select("key", "cid", "n", "pos", "lead", "comp")
+            alive = kept.put(alive.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("lead"), "pos", "cid"))))
+            size = alive.agg(F.max("rank")).first()[0] or 0
+            kept.drop(per, top, bounds)
+            if size < 2:
+                return label
         pairs = alive.filter(f"lead and rank <= {leads}").alias("y").join(grown(alive).alias("x"), F.expr(f"x.key = y.key and x.comp != y.comp and {_possible('x', 'y')}"))
         fresh = kept.put(pairs.select(*ends).distinct().join(grown(tested), ["a", "b"], "left_anti"))
         found = kept.put(verified(fresh))
-        if fresh.isEmpty() and leads >= size:
-            return links
-        if found.isEmpty() is False:
-            links = kept.put(links.unionByName(found))
+        changed = not found.isEmpty()
+        if changed:
+            label = components(found, kept, label)
+        elif leads >= size:
+            return label
         tested = kept.put(tested.unionByName(fresh))
-        leads *= 8
+        leads *= 16
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, rare: int = RARE, paired: int = PAIRED_TOKENS) -> DataFrame:
@@ -218,7 +217,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     entries = sets.select("cid", "n").join(grown(listed), "cid").select("cid", "n", "shared").mapInArrow(_entries(rare, paired), "key long, cid long, n long, pos long, lead boolean")
     entries = kept.put(entries)
     kept.drop(df)
-    label = components(_link_sets(sets, entries, kept), kept)
+    label = _component_labels(sets, entries, kept)
 
     named = classes.join(grown(label.withColumnRenamed("node", "cid")), "cid", "left").select("cid", "rep", F.coalesce("label", "cid").alias("label"))
     least = kept.put(named.groupBy("label").agg(F.min("rep").alias("component_id")))
