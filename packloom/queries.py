@@ -87,8 +87,8 @@ _query("decode_eth_ipv4", "SELECT packet_index, 2048 AS ether_type, src_ip AS so
 _query("decode_ipv6_base", "SELECT packet_index, src_ip AS source, dst_ip AS destination, proto AS next_header, 0 AS traffic_class, 0 AS flow_label, ttl AS hop_limit FROM q WHERE kind = 'v6'")(
     lambda p: p.filter("ipv6 is not null").select("packet_index", "ipv6.*")
 )
-_query("decode_tcp", "SELECT packet_index, src_port, dst_port, seq, 0 AS ack, 5 AS data_offset, flags AS flag_bits, flags & 2 = 2 AS syn, flags & 4 = 4 AS rst, 1024 AS window FROM q WHERE ip AND proto = 6")(
-    lambda p: p.filter("tcp is not null").select("packet_index", "tcp.src_port", "tcp.dst_port", "tcp.seq", "tcp.ack", "tcp.data_offset", "tcp.flag_bits", "tcp.flags.syn", "tcp.flags.rst", "tcp.window")
+_query("decode_tcp", "SELECT packet_index, src_port, dst_port, seq, 0 AS ack, 5 AS data_offset, flags AS flag_bits, flags & 2 = 2 AS syn, flags & 4 = 4 AS rst, 1024 AS window_size FROM q WHERE ip AND proto = 6")(
+    lambda p: p.filter("tcp is not null").select("packet_index", "tcp.src_port", "tcp.dst_port", "tcp.seq", "tcp.ack", "tcp.data_offset", "tcp.flag_bits", "tcp.flags.syn", "tcp.flags.rst", F.col("tcp.window").alias("window_size"))
 )
 _query("decode_udp", "SELECT packet_index, src_port, dst_port, n + 8 AS length FROM q WHERE ip AND proto = 17")(lambda p: p.filter("udp is not null").select("packet_index", "udp.*"))
 _query("decode_arp", "SELECT packet_index, 1 AS operation, c4 AS sender, s4 AS target FROM q WHERE kind = 'arp'")(lambda p: p.filter("arp is not null").select("packet_index", "arp.*"))

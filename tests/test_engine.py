@@ -24,7 +24,7 @@ def test_queries_equal_their_sql(spark, name):
     con.sql(f"create view events as select * from '{SF}/events.parquet'")
     got = queries.QUERIES[name](spark, SF)
     columns = sorted(got.columns)
-    want = con.sql(f"select {', '.join(columns)} from ({queries.ORACLE_SQL[name]})").fetchall()
+    want = con.sql(f"select {', '.join(chr(34) + c + chr(34) for c in columns)} from ({queries.ORACLE_SQL[name]})").fetchall()
     assert sorted(map(str, (tuple(r) for r in got.select(*columns).collect()))) == sorted(map(str, want))
 
 
