@@ -31,7 +31,7 @@ def name_of(kind: str, number: Column) -> Column:
 
 def utc_text(ts_ns: Column) -> Column:
     """YYYY-MM-DDThh:mm:ss.mmmZ, milliseconds cut (session time zone UTC)."""
-    return F.date_format(F.timestamp_millis(F.floor(ts_ns / F.lit(1_000_000)).cast("long")), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    return F.date_format(F.timestamp_millis(F.call_function("div", ts_ns, F.lit(1_000_000))), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
 
 def duration_text(seconds: Column) -> Column:

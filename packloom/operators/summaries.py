@@ -52,7 +52,7 @@ def capture_summary(packets: DataFrame) -> DataFrame:
     """As capture_stats, but with the timestamps of the first and last packet that have one."""
     first = F.expr("min_by(ts_ns, packet_index) filter (where ts_ns is not null)")
     last = F.expr("max_by(ts_ns, packet_index) filter (where ts_ns is not null)")
-    return packets.agg(F.count(F.lit(1)).alias("packet_count"), F.count_distinct("stream_key").alias("stream_count"), first.alias("first_ns"), last.alias("last_ns"), F.greatest(F.lit(0), F.floor((last - first) / 1_000_000)).cast("long").alias("duration_ms"))
+    return packets.agg(F.count(F.lit(1)).alias("packet_count"), F.count_distinct("stream_key").alias("stream_count"), first.alias("first_ns"), last.alias("last_ns"), F.greatest(F.lit(0), F.call_function("div", last - first, F.lit(1_000_000))).cast("long").alias("duration_ms"))
 
 
 def decode_issues(packets: DataFrame, kind: str | None = None) -> DataFrame:
