@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Bytes of text that one round of array work handles; bounds a worker's memory.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 
 _MULT, _STEP = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _MASK = (1 << 64) - 1
@@ -82,14 +82,17 @@ def ascii_lower(text: Column) -> Column:
 
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and row offsets (int64) of a string array; null counts as empty."""
+    """Bytes and row offsets (int64) of a string array, without a copy of the bytes unless there
+    are nulls, which count as empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    if texts.null_count:
+        texts = pc.fill_null(texts, "")
     if len(texts) == 0:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     _, offsets, data = texts.buffers()
-    at = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    wide = pa.types.is_large_string(texts.type)
+    at = np.frombuffer(offsets, np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
     raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     return raw[at[0] : at[-1]], at - at[0]
 
@@ -102,6 +105,7 @@ def chunks_of(offsets: np.ndarray, size: int = CHUNK_BYTES):
         past = min(n, max(past, first + 1))
         yield first, past
         first = past
+    pa.default_memory_pool().release_unused()
 
 
 def byte_class(*ranges: tuple[int, int]) -> np.ndarray:
@@ -154,7 +158,7 @@ def powers(base: int, n: int) -> np.ndarray:
         have = np.full(max(n + 1, 1 << 16), base, np.uint64)
         have[0] = 1
         have = np.cumprod(have, dtype=np.uint64)
-        if n <= 4 * CHUNK_BYTES:
+        if n <= 8 * CHUNK_BYTES:
             _powers[base] = have
     return have
 

@@ -19,7 +19,8 @@ from pyspark.sql import types as T
 
 from .common import chunks_of, packed, ragged, table, text_bytes, word_hashes
 
-ENCODE_BYTES = 6 << 20
+#: Bytes of text encoded at once; a worker's arrays take some sixty times as much.
+ENCODE_BYTES = 1 << 20
 NONE = np.int64(1) << np.int64(40)
 META = "▁"
 

@@ -22,7 +22,7 @@ from .common import ALNUM, Stored, chunks_of, fold, mix, packed, table, text_byt
 
 #: Labelled rows that the chain is fitted on at most.
 SAMPLE_ROWS = 20_000
-FEATURES, LEAST_DOCS, FOLDS, L2 = 2048, 4, 4, 1.0
+FEATURES, LEAST_DOCS, FOLDS, L2 = 2048, 4, 4, 0.1
 #: Bytes of a word's beginnings that are features beside the whole word.
 BEGINNINGS = (4, 5, 6)
 
