@@ -1,11 +1,16 @@
 """Line dedup by pairwise alignment.
 
-Lines are hashed; every line of at least LEAST_CHARS bytes that two documents share pairs
-each later document with the first one that has it, so a line of m documents makes m - 1
-pairs, not all of them, and none is capped. Lines that are rare have few such pairs and
-common ones add just one partner to each document. Each pair is aligned by patience diff
-over the line hashes, and aligned common blocks are deleted from the later document (the
-one with the larger id). Only hashes travel with the pairs; texts are touched once.
+Lines are hashed. Documents are paired by keys: lines of at least LEAST_CHARS bytes, and runs
+of neighbouring shorter lines that reach this size together. A key of at most RARE holders
+pairs each of them with all earlier ones. A key of more, where single in both documents, pairs
+each later document with its first holder, and as long as the document keeps it, in rounds
+with its next 2, 4, ... earlier holders until none is left; so a common line that is aligned
+at once makes one pair for each document, not all, and no holder is left out. What is still
+there then pairs, in rounds too, with the holders that share another single line beside it,
+without which patience diff aligns nothing. Each pair is aligned by
+patience diff over the line hashes, and aligned common blocks of at least LEAST_CHARS bytes
+are deleted from the later document (the one with the larger id). Only hashes travel with
+the pairs; texts are touched once.
 """
 
 from __future__ import annotations
@@ -18,11 +23,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from .common import Stored, chunks_of, grown, packed, table, text_bytes, word_hashes
+from .common import Stored, chunks_of, grown, packed, run_hashes, table, text_bytes, word_hashes
 
 LEAST_CHARS = 20
 
+#: A key of so few holders pairs all of them at once.
+RARE = 4
+
+#: The low bits of a line's hash are its size, up to this.
+_SIZE = 31
+
 
 def line_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all lines, and for each text the number of its first line."""
@@ -33,18 +45,41 @@ def line_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.append(0, np.cumsum(per_text))
 
 
+def _keys(h: np.ndarray, size: np.ndarray, at: np.ndarray) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """For each text its keys, how many lines each spans, and the lines where it starts."""
+    n, row = len(h), np.repeat(np.arange(len(at) - 1), np.diff(at))
+    long = size >= LEAST_CHARS
+    # A run ends with the line that makes it large enough, before the next long line and the text's end.
+    total = np.append(0, np.cumsum(size))
+    past = np.searchsorted(total, total[:-1] + LEAST_CHARS)
+    stops = np.append(np.flatnonzero(long), n)
+    limit = np.minimum(stops[np.searchsorted(stops, np.arange(n))], at[1:][row])
+    run = np.flatnonzero(~long & (size > 0) & (past <= limit))[:0]
+    span = np.ones(n, np.int64)
+    span[run] = past[run] - run
+    key = h.copy()
+    key[run] = run_hashes(h, run, past[run])
+    found = np.sort(np.append(np.flatnonzero(long), run))
+    order = found[np.lexsort((found, key[found], row[found]))]
+    new = np.flatnonzero(np.append(True, (np.diff(row[order]) != 0) | (np.diff(key[order].view(np.int64)) != 0))) if len(order) else order
+    one = order[new]
+    per = np.searchsorted(row[one], np.arange(len(at)))
+    starts = pa.ListArray.from_arrays(pa.array(np.append(new, len(order)), pa.int32()), pa.array(order - at[row[order]], pa.int32()))
+    return packed(key[one].view(np.int64), per, pa.int64()), packed(span[one], per, pa.int32()), pa.ListArray.from_arrays(pa.array(per, pa.int32()), starts)
+
+
 def _hash_lines(batches):
-    """Line hashes; odd ones are long enough to pair documents, 0 is a blank line."""
+    """Line hashes, whose low bits are the line's size, 0 for a blank line; and keys."""
     for b in batches:
         data, offsets = text_bytes(b.column(2))
         for first, past in chunks_of(offsets):
             part = data[offsets[first] : offsets[past]]
             starts, ends, at = line_spans(part, offsets[first : past + 1] - offsets[first])
-            h = word_hashes(part, starts, ends) & ~np.uint64(1)
             size = ends - starts
-            h = np.where(size == 0, np.uint64(0), h | (size >= LEAST_CHARS).astype(np.uint64))
+            h = word_hashes(part, starts, ends) & ~np.uint64(_SIZE) | np.minimum(size, _SIZE).astype(np.uint64)
+            h = np.where(size == 0, np.uint64(0), h)
             n = past - first
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(first, n), b.column(1).slice(first, n), packed(h.view(np.int64), at, pa.int64())], ["id", "body", "lines"])
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(first, n), b.column(1).slice(first, n), packed(h.view(np.int64), at, pa.int64()), *_keys(h, size, at)], ["id", "body", "lines", "key", "span", "starts"])
 
 
 def patience_blocks(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
@@ -100,12 +135,19 @@ def _align(batches):
         for later, earlier in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
             gone: list[int] = []
             for s, _, n in patience_blocks(later, earlier):
-                if any(x & 1 for x in later[s : s + n]):  # short lines alone are no block
+                if any(x & _SIZE >= LEAST_CHARS for x in later[s : s + n]):
                     gone += range(s, s + n)
             out.append(gone)
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.int32()))], ["id", "body", "gone"])
 
 
+def _beside(batches):
+    """A key of a document with the document's single lines other than the key."""
+    for b in batches:
+        out = [[x for x, n in Counter(lines).items() if x and n == 1 and x != key] for key, lines in zip(b.column("key").to_pylist(), b.column("lines").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("body"), b.column("key"), pa.array(out, pa.list_(pa.int64()))], ["id", "body", "key", "beside"])
+
+
 def _delete(batches):
     for b in batches:
         texts, counts = [], []
@@ -130,19 +172,74 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     kept = Stored(docs.sparkSession, "line-dedup")
     body = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     read = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), body.alias("body"), F.col(text_col).alias("text"))
-    lines = kept.put(read.mapInArrow(_hash_lines, "id long, body long, lines array<long>"))
-    long = F.array_distinct(F.filter("lines", lambda x: x.bitwiseAND(F.lit(1).cast("long")) == 1))
-    held = lines.select("id", "body", F.explode(long).alias("line"))
-    first = held.groupBy("line").agg(F.min(F.struct("id", "body")).alias("first"), F.max(F.struct("id", "body")).alias("last")).filter("first != last")
-    first = kept.put(first.select("line", F.col("first.id").alias("first_id"), F.col("first.body").alias("first_body")))
-    pairs = held.join(grown(first), "line").filter("id != first_id or body != first_body")
-    pairs = kept.put(pairs.select("id", "body", "first_id", "first_body").distinct())
-    one = kept.put(lines.dropDuplicates(["id", "body"]))
-    kept.drop(lines, first)
-    both = pairs.join(grown(one), ["id", "body"]).withColumnRenamed("lines", "later")
-    both = both.join(grown(one.select(F.col("id").alias("first_id"), F.col("body").alias("first_body"), F.col("lines").alias("earlier"))), ["first_id", "first_body"])
-    gone = both.select("id", "body", "later", "earlier").mapInArrow(_align, "id long, body long, gone array<int>").filter(F.size("gone") > 0)
-    gone = kept.put(gone.groupBy("id", "body").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone")))  # at most a document's lines from each of its lines
+    lines = read.mapInArrow(_hash_lines, "id long, body long, lines array<long>, key array<long>, span array<int>, starts array<array<int>>")
+    lines = kept.put(lines.dropDuplicates(["id", "body"]))
+    one = lines.select("id", "body", "lines")
+    held = lines.select("id", "body", F.inline(F.arrays_zip("key", "span", "starts")))
+    shared = held.groupBy("key").agg(F.count(F.lit(1)).alias("holders")).filter("holders > 1")
+    shared = kept.put(held.join(grown(shared), "key"))
+
+    rare = shared.filter(F.col("holders") <= RARE).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("id", "body"))).alias("all"))
+    rare = rare.select("all", F.posexplode("all").alias("at", "later")).filter("at > 0").select("later", F.explode(F.slice("all", 1, F.col("at"))).alias("earlier"))
+    rare = rare.select("later.*", F.col("earlier.id").alias("first_id"), F.col("earlier.body").alias("first_body"))
+
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def numbered(rows: DataFrame) -> DataFrame:
+        """Numbers the holders of each key by a range sort, as one key can have most documents."""
+        rows = rows.repartitionByRange(parts, "key", "id", "body").sortWithinPartitions("key", "id", "body")
+        rows = kept.put(rows.select("*", F.spark_partition_id().alias("pid"), F.monotonically_increasing_id().alias("at")))
+        stretch = rows.groupBy("key", "pid").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+        w = Window.partitionBy("key").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
+        stretch = stretch.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0))).drop("n")  # a row per key and partition
+        out = kept.put(rows.join(grown(stretch), ["key", "pid"]).withColumn("rank", F.col("at") - F.col("first") + F.col("before")).drop("pid", "at", "first", "before"))
+        kept.drop(rows)
+        return out
+
+    def with_holders(rows: DataFrame, ranked: DataFrame, low: int, high: int) -> DataFrame:
+        """Pairs of rows with the holders of their keys from number low up to high."""
+        tries = rows.select("id", "body", "key", F.explode(F.sequence(F.lit(low).cast("long"), F.least(F.lit(high), F.col("rank")) - 1)).alias("rank"))
+        firsts = ranked.filter(f"rank >= {low} and rank < {high}").select("key", "rank", F.col("id").alias("first_id"), F.col("body").alias("first_body"))
+        return tries.join(grown(firsts), ["key", "rank"]).select("id", "body", "first_id", "first_body")
+
+    def aligned(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(grown(one), ["id", "body"]).withColumnRenamed("lines", "later")
+        both = both.join(grown(one.select(F.col("id").alias("first_id"), F.col("body").alias("first_body"), F.col("lines").alias("earlier"))), ["first_id", "first_body"])
+        return both.select("id", "body", "later", "earlier").mapInArrow(_align, "id long, body long, gone array<int>").filter(F.size("gone") > 0)
+
+    def together(rows: DataFrame) -> DataFrame:
+        return kept.put(rows.groupBy("id", "body").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone")))  # at most a document's lines from each of its keys
+
+    def still(rows: DataFrame, gone: DataFrame) -> DataFrame:
+        """Rows whose document still has an occurrence of the key."""
+        places = F.flatten(F.transform("starts", lambda a: F.sequence(a, a + F.col("span") - 1)))
+        return rows.join(grown(gone), ["id", "body"], "left").filter(F.col("gone").isNull() | (F.size(F.array_except(places, "gone")) > 0)).drop("gone")
+
+    def rounds(left: DataFrame, ranked: DataFrame, low: int, high: int, tried: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+        while True:
+            left = kept.put(still(left.filter(F.col("rank") > low), gone))
+            if left.isEmpty():
+                return tried, gone
+            pairs = kept.put(with_holders(left, ranked, low, high).distinct().join(grown(tried), ["id", "body", "first_id", "first_body"], "left_anti"))
+            old, gone = gone, together(gone.unionByName(aligned(pairs)))
+            kept.drop(old)
+            tried = tried.unionByName(pairs)
+            low, high = high, 2 * high + 1
+
+    often = shared.filter(F.col("holders") > RARE).drop("holders")
+    ranked = numbered(often.filter(F.size("starts") == 1))
+    tried = kept.put(rare.unionByName(with_holders(ranked.filter("rank > 0"), ranked, 0, 1)).distinct())
+    tried, gone = rounds(ranked, ranked, 1, 3, tried, together(aligned(tried)))
+
+    # A key that is not single in both documents is aligned only beside another line that is: such lines and the key make new keys.
+    left = kept.put(still(often, gone))
+    ends = kept.put(often.join(grown(left.select("key").distinct()), "key", "left_semi").join(grown(one), ["id", "body"]).mapInArrow(_beside, "id long, body long, key long, beside array<long>").withColumn("beside", F.explode("beside")))
+    asked = left.select("id", "body", F.col("key"), "span", "starts").join(grown(ends), ["id", "body", "key"])
+    asked = kept.put(asked.withColumn("key", F.xxhash64("key", "beside")).drop("beside"))
+    ends = ends.select("id", "body", F.xxhash64("key", "beside").alias("key")).join(grown(asked.select("key").distinct()), "key", "left_semi")
+    ranked = numbered(ends)
+    asked = kept.put(asked.join(grown(ranked), ["id", "body", "key"]))
+    gone = rounds(asked, ranked, 0, 1, tried, gone)[1]
     whole = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.struct(*[c for c in docs.columns if c != text_col]).alias("row"), F.col(id_col).cast("long").alias("id"), body.alias("body"))
     joined = whole.join(grown(gone), ["id", "body"], "left").select("doc_id", "text", "gone", "row")
     kind = {f.name: f.dataType for f in joined.schema.fields}

@@ -190,6 +190,37 @@ def test_line_dedup_odd_rows(spark, odd):
     assert line_dedup.line_dedup(odd.limit(0)).count() == 0
 
 
+def whole_line_dedup(docs):
+    """Each document against all earlier ones: its texts without the deleted lines."""
+    number, seen, out = {}, [], {}
+    for i, t in sorted(docs):
+        lines, gone = t.split("\n"), set()
+        codes = [number.setdefault(x, len(number) + 1) if x else 0 for x in lines]
+        for earlier in seen:
+            for s, _, n in line_dedup.patience_blocks(codes, earlier):
+                if sum(len(x.encode()) for x in lines[s : s + n]) >= line_dedup.LEAST_CHARS:
+                    gone |= set(range(s, s + n))
+        seen.append(codes)
+        out[i] = [x for k, x in enumerate(lines) if k not in gone]
+    return out
+
+
+def kept_lines(spark, docs):
+    return {r.doc_id: r.text.split("\n") for r in line_dedup.line_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+
+
+def test_line_dedup_tries_every_earlier_holder(spark):
+    common = "a line of the licence that most documents have"
+    docs = [(0, f"{common}\nthe first one's own long line\n{common}"), *[(i, f"the own long line of document {i}\n{common}") for i in range(1, 12)]]
+    got = kept_lines(spark, docs)
+    assert common in got[1] and not any(common in got[i] for i in range(2, 12))
+    rng = random.Random(5)
+    pool = [f"a line that is long enough, number {k}" for k in range(40)]
+    docs = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randint(1, 12)))) for i in range(60)]
+    want, got = whole_line_dedup(docs), kept_lines(spark, docs)
+    assert [(i, [x for x in got[i] if x]) for i in want] == list(want.items())
+
+
 # ---- SentencePiece
 
 
