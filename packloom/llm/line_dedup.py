@@ -54,7 +54,7 @@ def _keys(h: np.ndarray, size: np.ndarray, at: np.ndarray) -> tuple[pa.Array, pa
     past = np.searchsorted(total, total[:-1] + LEAST_CHARS)
     stops = np.append(np.flatnonzero(long), n)
     limit = np.minimum(stops[np.searchsorted(stops, np.arange(n))], at[1:][row])
-    run = np.flatnonzero(~long & (size > 0) & (past <= limit))[:0]
+    run = np.flatnonzero(~long & (size > 0) & (past <= limit))
     span = np.ones(n, np.int64)
     span[run] = past[run] - run
     key = h.copy()
@@ -135,7 +135,7 @@ def _align(batches):
         for later, earlier in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
             gone: list[int] = []
             for s, _, n in patience_blocks(later, earlier):
-                if any(x & _SIZE >= LEAST_CHARS for x in later[s : s + n]):
+                if sum(x & _SIZE for x in later[s : s + n]) >= LEAST_CHARS:
                     gone += range(s, s + n)
             out.append(gone)
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.int32()))], ["id", "body", "gone"])

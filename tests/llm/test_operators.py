@@ -221,6 +221,12 @@ def test_line_dedup_tries_every_earlier_holder(spark):
     assert [(i, [x for x in got[i] if x]) for i in want] == list(want.items())
 
 
+def test_line_dedup_of_short_lines(spark):
+    verse = ["so much", "depends", "upon", "a red wheel", "barrow"]
+    docs = [(1, "\n".join(["one", *verse, "end"])), (2, "\n".join(["an own long line that comes first", *verse])), (3, "own\nupon\nthis"), (4, "\n".join(["so much", "rain", "here", *verse[2:]]))]
+    assert kept_lines(spark, docs) == whole_line_dedup(docs) == {1: ["one", *verse, "end"], 2: ["an own long line that comes first"], 3: ["own", "upon", "this"], 4: ["so much", "rain", "here"]}
+
+
 # ---- SentencePiece
 
 
