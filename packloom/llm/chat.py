@@ -2,8 +2,8 @@
 
 Every line has a quote level, its leading ">" signs. A passage is a run of lines of one
 level. Passages and their lines are normalised and hashed, and joined to the first message
-of the conversation that wrote the same text itself; the message whose text a reply quotes
-most is its parent. Conversations are then put in reply order (each message followed by
+of the conversation that wrote the same text itself; of the lowest quote level that finds any
+(deeper ones quote its ancestors), the message whose text a reply quotes most is its parent. Conversations are then put in reply order (each message followed by
 the answers to it, in turn order), without the quotes. DataFrame functions only.
 
 No step gathers a conversation in one task: paths to the root come from pointer doubling,
@@ -51,12 +51,13 @@ def _normal(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
 
 
-def _units(passages: Column, level: int) -> Column:
-    """Normalised passages of a level and their lines, without empty ones."""
-    own = F.filter(passages, lambda p: p["level"] == level)
-    whole = F.transform(own, lambda p: _normal(F.array_join(p["lines"], " ")))
-    each = F.flatten(F.transform(own, lambda p: F.transform(p["lines"], _normal)))
-    return F.filter(F.array_distinct(F.concat(whole, each)), lambda u: u != "")
+def _units(passages: Column, quoted: bool) -> Column:
+    """(level, text) of the normalised passages, quoted or own, and of their lines, without empty ones."""
+    some = F.filter(passages, lambda p: (p["level"] > 0) == F.lit(quoted))
+    unit = lambda p, text: F.struct(p["level"].alias("level"), text.alias("text"))
+    whole = F.transform(some, lambda p: unit(p, _normal(F.array_join(p["lines"], " "))))
+    each = F.flatten(F.transform(some, lambda p: F.transform(p["lines"], lambda line: unit(p, _normal(line)))))
+    return F.filter(F.array_distinct(F.concat(whole, each)), lambda u: u["text"] != "")
 
 
 def _body(lines: Column) -> Column:
@@ -69,7 +70,7 @@ def link_quotations(messages: DataFrame, conv_col: str = "conv_id", turn_col: st
     """One row per row of `messages`: conv_id, turn, role, body (without quotes), parent
     (the turn it answers, or null), path (turns from the thread's first message to this one).
 
-    A parent is always an earlier turn of the same conversation. Of parents quoted equally
+    A parent is always an earlier turn of the same conversation. Of parents quoted at one level equally
     much the later one counts. A null text is an empty message; a null role is "unknown"; a
     message without a turn links to nothing and stands last; messages without a conversation
     are one conversation with a null id. Rows that repeat a turn stay and are one target."""
@@ -79,16 +80,16 @@ def link_quotations(messages: DataFrame, conv_col: str = "conv_id", turn_col: st
         F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col), F.lit("unknown")).alias("role"), _lines(F.col(text_col)).alias("lines"),
     ).withColumn("passages", _passages(F.col("lines")))
     quotes = F.exists("lines", lambda x: x["level"] > 0)
-    parsed = kept.put(read.select("conv_id", "conv", "turn", "role", _body(F.col("lines")).alias("body"), F.when(quotes, _units(F.col("passages"), 1)).alias("quoted"), _units(F.col("passages"), 0).alias("own")))
+    parsed = kept.put(read.select("conv_id", "conv", "turn", "role", _body(F.col("lines")).alias("body"), F.when(quotes, _units(F.col("passages"), True)).alias("quoted"), _units(F.col("passages"), False).alias("own")))
 
     hashed = lambda c: F.sha2(F.col(c).cast("binary"), 256).alias("unit")
-    asked = parsed.filter("quoted is not null and turn is not null").select("conv", "turn", F.explode("quoted").alias("u")).select("conv", "turn", hashed("u"), F.length("u").alias("weight"))
+    asked = parsed.filter("quoted is not null and turn is not null").select("conv", "turn", F.explode("quoted").alias("u")).select("conv", "turn", "u.level", hashed("u.text"), F.length("u.text").alias("weight"))
     asked = kept.put(asked.distinct())
     # Only conversations with quotations are indexed, and of equal texts the first.
-    index = parsed.filter("turn is not null").join(grown(asked.select("conv").distinct()), "conv", "left_semi").select("conv", "turn", F.explode("own").alias("u")).select("conv", hashed("u"), "turn")
+    index = parsed.filter("turn is not null").join(grown(asked.select("conv").distinct()), "conv", "left_semi").select("conv", "turn", F.explode("own").alias("u")).select("conv", hashed("u.text"), "turn")
     index = kept.put(index.groupBy("conv", "unit").agg(F.min("turn").alias("source")))
-    votes = asked.join(grown(index), ["conv", "unit"]).filter("source < turn").groupBy("conv", "turn", "source").agg(F.sum("weight").alias("weight"))
-    links = votes.groupBy("conv", "turn").agg(F.max_by("source", F.struct("weight", "source")).alias("parent"))
+    votes = asked.join(grown(index), ["conv", "unit"]).filter("source < turn").groupBy("conv", "turn", "level", "source").agg(F.sum("weight").alias("weight"))
+    links = votes.groupBy("conv", "turn").agg(F.max_by("source", F.struct(-F.col("level"), "weight", "source")).alias("parent"))
     links = kept.put(links.select("conv", "turn", "parent", F.col("parent").alias("up"), F.array("turn").alias("path")))
 
     # Pointer doubling: a path grows by the path of the message it has reached.

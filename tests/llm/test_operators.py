@@ -302,6 +302,12 @@ def test_chats_are_linked_and_ordered(spark):
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
+def test_chats_are_linked_by_nested_quotes(spark):
+    rows = [(0, "the first question"), (1, "another thread"), (2, "On Monday X wrote:\n> On Sunday Y wrote:\n> > the first question\nan answer"), (3, ">> another thread\nmore"), (4, "> an answer\n>> another thread\n>> the first question\nthanks"), (5, "> not in the table\n>>> the first question\nlast")]
+    df = spark.createDataFrame([(1, t, "user", x) for t, x in rows], "conv_id long, turn long, role string, text string")
+    assert {r.turn: r.parent for r in chat.link_quotations(df).collect()} == {0: None, 1: None, 2: 0, 3: 1, 4: 2, 5: 0}
+
+
 def test_chats_without_quotes_keep_their_order(spark):
     rows = read(SF, "conversations")
     got = chat.op7_chat_formatting(spark, SF).collect()
