@@ -1,76 +1,46 @@
-"""Shared helpers: shared-folder tables, text views, vectorised words and hashes."""
+"""Shared helpers: numbering, text views, vectorised words and hashes."""
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
+import ctypes
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..storage import Stored, grown, shared_dir  # noqa: F401
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Bytes of text that one round of array work handles; bounds a worker's memory.
 CHUNK_BYTES = 1 << 19
 
-_MULT, _STEP = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-_MASK = (1 << 64) - 1
-_MULT_INV, _STEP_INV = pow(_MULT, -1, 1 << 64), pow(_STEP, -1, 1 << 64)
+# Odd numbers with well spread bits.
+_MULT, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+#: Words up to this many bytes are hashed and compared eight bytes at a time, all words at once.
+LANE_BYTES = 256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or on a single machine
-    (where it is unset, as in tests) a new temporary folder."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-class Stored:
-    """Tables written to the shared folder, which cut the lineage and outlive executors.
-
-    A table is dropped with :meth:`drop` once a later stored table has replaced it."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-    def put(self, df: DataFrame) -> DataFrame:
-        path = f"{self.root}/{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._stored_path = path
-        self.free()
-        return out
-
-    def free(self) -> None:
-        """Lets Spark's cleaner find the shuffle files of finished jobs now rather than at
-        some later collection; a chain of large shuffles would fill the disks meanwhile."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-
-    def drop(self, *tables: DataFrame) -> None:
-        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        for t in tables:
-            path = jvm.org.apache.hadoop.fs.Path(t._stored_path)
-            path.getFileSystem(conf).delete(path, True)
-
-
-def grown(df: DataFrame) -> DataFrame:
-    """A side of a join that grows with the data: sort-merge at every size, which Spark
-    spills and splits where it is skewed, rather than a broadcast while it is small."""
-    return df.hint("merge")
+def numbered(rows: DataFrame, by: str, order: list, kept: Stored, name: str = "rank") -> DataFrame:
+    """Stores `rows` with 0, 1, 2 ... in `order` within each `by`, by a range sort: one value of
+    `by` can have most rows, so no window spans it; only counts by partition are summed up."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartitionByRange(parts, by, *order).sortWithinPartitions(by, *order)
+    rows = kept.put(rows.select("*", F.spark_partition_id().alias("_pid"), F.monotonically_increasing_id().alias("_at")))
+    stretch = rows.groupBy(by, "_pid").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    stretch = kept.put(stretch.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n"))  # a row for each value and partition
+    out = kept.put(rows.join(grown(stretch), [by, "_pid"]).withColumn(name, F.col("_at") - F.col("_first") + F.col("_before")).drop("_pid", "_at", "_first", "_before"))
+    kept.drop(rows, stretch)
+    return out
 
 
 def ascii_lower(text: Column) -> Column:
@@ -105,7 +75,19 @@ def chunks_of(offsets: np.ndarray, size: int = CHUNK_BYTES):
         past = min(n, max(past, first + 1))
         yield first, past
         first = past
+    give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: workers live through many stages, and would keep
+    the peak of each."""
     pa.default_memory_pool().release_unused()
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 18)  # M_MMAP_THRESHOLD: arrays from 256 KB on are mapped, and unmapped when freed
+        libc.malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def byte_class(*ranges: tuple[int, int]) -> np.ndarray:
@@ -141,45 +123,70 @@ def words_of(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple[n
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection on 64-bit numbers that spreads every bit (splitmix64's finaliser)."""
     x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-_BYTE = mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * np.uint64(_MULT))
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base ** 0 .. base ** n modulo 2 ** 64."""
-    have = _powers.get(base)
-    if have is None or len(have) <= n:
-        have = np.full(max(n + 1, 1 << 16), base, np.uint64)
-        have[0] = 1
-        have = np.cumprod(have, dtype=np.uint64)
-        if n <= 8 * CHUNK_BYTES:
-            _powers[base] = have
-    return have
-
-
-def _spans(values: np.ndarray, base: int, inverse: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Polynomial hashes of values[start:end], all from one running sum."""
-    n = len(values)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(values * powers(base, n)[:n], out=total[1:])
-    out = (total[ends] - total[starts]) * powers(inverse, n)[starts]
-    return mix(out + (ends - starts).astype(np.uint64) * np.uint64(_STEP))
-
-
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit fingerprints of the byte spans."""
-    return _spans(_BYTE[data], _MULT, _MULT_INV, starts, ends)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
+
+
+_FIRST_BYTES = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+
+
+def _lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each byte on, as a number."""
+    padded = np.append(data, np.zeros(8, np.uint8))
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit fingerprints of the byte spans: eight bytes at a time go through `mix`, which no
+    pattern of bytes undoes. Different seeds give independent fingerprints."""
+    size, lanes = ends - starts, _lanes(data)
+    h = mix(size.astype(np.uint64) * _STEP + np.uint64((seed + 1) * int(_MULT) & (1 << 64) - 1))
+    live, done = np.flatnonzero(size > 0), 0
+    while len(live):
+        if done == LANE_BYTES:
+            h[live] = [xxhash.xxh3_64_intdigest(data[s:e].tobytes(), seed) for s, e in zip(starts[live].tolist(), ends[live].tolist(), strict=True)]
+            break
+        rest = size[live] - done
+        lane = lanes[starts[live] + done] & _FIRST_BYTES[np.minimum(rest, 8)]
+        h[live] = mix((h[live] ^ lane) * _MULT)
+        live, done = live[rest > 8], done + 8
+    return h
+
+
+def same_bytes(a: np.ndarray, a_starts: np.ndarray, b: np.ndarray, b_starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the spans of `size` bytes from a_starts and from b_starts on are equal."""
+    out = np.ones(len(size), bool)
+    one, two = _lanes(a), _lanes(b)
+    live, done = np.flatnonzero(size > 0), 0
+    while len(live):
+        s, t = a_starts[live] + done, b_starts[live] + done
+        if done == LANE_BYTES:
+            out[live] = [a[x : x + n].tobytes() == b[y : y + n].tobytes() for x, y, n in zip(s.tolist(), t.tolist(), (size[live] - done).tolist(), strict=True)]
+            break
+        rest = size[live] - done
+        equal = (one[s] ^ two[t]) & _FIRST_BYTES[np.minimum(rest, 8)] == 0
+        out[live[~equal]] = False
+        live, done = live[equal & (rest > 8)], done + 8
+    return out
 
 
 def run_hashes(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit fingerprints of runs of word fingerprints."""
-    return _spans(words, _STEP, _STEP_INV, starts, ends)
+    """64-bit fingerprints of runs of word fingerprints: each run is a stretch of 1, 2, 4 ...
+    words for each bit of its length, and fingerprints of stretches come from their halves."""
+    length, at = ends - starts, starts.copy()
+    h = mix(length.astype(np.uint64) * _MULT + _STEP)
+    most, width, level = int(length.max()) if len(length) else 0, 1, words
+    while width <= most:
+        take = np.flatnonzero(length & width)
+        h[take] = mix(h[take] * _STEP ^ level[at[take]])
+        at[take] += width
+        if 2 * width <= most:
+            level = mix(level[:-width] * _MULT ^ level[width:])
+        width *= 2
+    return h
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, chunks_of, fold, table, text_bytes, word_hashes, words_of
+from .common import ALNUM, chunks_of, fold, same_bytes, table, text_bytes, word_hashes, words_of
 
 WINDOW = 10
 SHARD_BYTES = 4 << 20
@@ -119,16 +119,17 @@ class SuffixAutomaton:
 
 
 def _automaton(items: list[tuple[str, str]], window: int):
-    """The automaton, and the items' words as sorted fingerprints with their numbers."""
+    """The automaton, and the items' words: sorted fingerprints, numbers, bytes and where those start."""
     texts = [(name, WORD.findall(text.translate(FOLD))) for name, text in items]
     number: dict[str, int] = {}
     coded = [(name, [number.setdefault(w, len(number)) for w in words]) for name, words in texts]
     vocabulary = sorted(number, key=number.get)
     raw = [w.encode("utf-8", "surrogatepass") for w in vocabulary]
     at = np.cumsum([0, *map(len, raw)])
-    names = word_hashes(np.frombuffer(b"".join(raw), np.uint8), at[:-1], at[1:])
+    letters = np.frombuffer(b"".join(raw), np.uint8)
+    names = word_hashes(letters, at[:-1], at[1:])
     order = np.argsort(names)
-    return SuffixAutomaton(coded, window), names[order], order
+    return SuffixAutomaton(coded, window), names[order], order, letters, at
 
 
 def _shards(items: DataFrame, id_col: str, text_col: str, window: int, shard_bytes: int):
@@ -146,7 +147,7 @@ SPAN = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.Stru
 
 def _find(shared):
     def run(batches):
-        machine, known, number = shared.value
+        machine, known, number, letters, letters_at = shared.value
         for b in batches:
             data, offsets = text_bytes(b.column(1))
             n_words, spans, items = [], [], []
@@ -160,8 +161,14 @@ def _find(shared):
                 if len(starts) and len(known):
                     key = word_hashes(part, starts, ends)
                     near = np.minimum(np.searchsorted(known, key), len(known) - 1)
-                    hit = known[near] == key
-                    code = number[near]
+                    code, hit = number[near], known[near] == key
+                    found_at = np.flatnonzero(hit)
+                    size = (ends - starts)[found_at]
+                    same = size == letters_at[code[found_at] + 1] - letters_at[code[found_at]]
+                    found_at, size = found_at[same], size[same]
+                    same = same_bytes(part, starts[found_at], letters, letters_at[code[found_at]], size)
+                    hit[:] = False
+                    hit[found_at[same]] = True
                     edge = np.zeros(len(hit) + 1, bool)
                     edge[at] = True
                     padded = np.append(hit, False)

@@ -23,11 +23,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import SPACED, Stored, chunks_of, fold, grown, mix, packed, ragged, run_hashes, table, text_bytes, word_hashes, words_of
+from .common import SPACED, Stored, chunks_of, fold, grown, mix, numbered, packed, ragged, run_hashes, table, text_bytes, word_hashes, words_of
 from .components import components
 
 SHINGLE = 5
@@ -63,27 +63,26 @@ def _band(n):
 
 
 def _sets(size: int, whole: bool):
-    """doc_id, n, cid (fingerprint of the set) and tokens: all, or the extended prefix."""
+    """doc_id, body, n, set (a 128-bit digest of the set) and tokens: all, or the extended prefix."""
 
     def run(batches):
         for b in batches:
-            data, offsets = text_bytes(b.column(1))
+            data, offsets = text_bytes(b.column(2))
             for first, past in chunks_of(offsets):
                 keys, at = shingle_sets(data[offsets[first] : offsets[past]], offsets[first : past + 1] - offsets[first], size)
                 n = np.diff(at)
-                total = np.append(np.uint64(0), np.cumsum(mix(keys ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64))
-                cid = mix(total[at[1:]] - total[at[:-1]] + n.astype(np.uint64))
+                digest = [xxhash.xxh3_128_digest(keys[x:y].tobytes()) for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 take = n if whole else _band(n)
                 tokens = keys[ragged(at[:-1], take)].view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(first, past - first), pa.array(n, pa.int64()), pa.array(cid.view(np.int64), pa.int64()), packed(tokens, np.append(0, np.cumsum(take)), pa.int64())],
-                    ["doc_id", "n", "cid", "tokens"],
+                    [b.column(0).slice(first, past - first), b.column(1).slice(first, past - first), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), packed(tokens, np.append(0, np.cumsum(take)), pa.int64())],
+                    ["doc_id", "body", "n", "set", "tokens"],
                 )
 
     return run
 
 
-_SET_SCHEMA = "doc_id long, n long, cid long, tokens array<long>"
+_SET_SCHEMA = "doc_id long, body long, n long, set binary, tokens array<long>"
 
 
 def _entries(rare: int, paired: int):
@@ -169,12 +168,12 @@ def _component_labels(sets: DataFrame, entries: DataFrame, kept: Stored) -> Data
             alive = mine.join(grown(bounds), "key").withColumn("facing", F.expr("if(comp = one.comp, second, one.pos)"))
             # Sizes that a partner can have, from both positions; none is left for most.
             alive = alive.filter("greatest(least, (4 * n + 9 * facing) / 5) <= least(most, 5 * n / 4 - 9 * pos / 4)").select("key", "cid", "n", "pos", "lead", "comp")
-            alive = kept.put(alive.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("lead"), "pos", "cid"))))
-            size = alive.agg(F.max("rank")).first()[0] or 0
+            alive = numbered(alive, "key", [F.desc("lead"), "pos", "cid"], kept)
+            size = (alive.agg(F.max("rank")).first()[0] or 0) + 1
             kept.drop(per, top, bounds)
             if size < 2:
                 return label
-        pairs = alive.filter(f"lead and rank <= {leads}").alias("y").join(grown(alive).alias("x"), F.expr(f"x.key = y.key and x.comp != y.comp and {_possible('x', 'y')}"))
+        pairs = alive.filter(f"lead and rank < {leads}").alias("y").join(grown(alive).alias("x"), F.expr(f"x.key = y.key and x.comp != y.comp and {_possible('x', 'y')}"))
         fresh = kept.put(pairs.select(*ends).distinct().join(grown(tested), ["a", "b"], "left_anti"))
         found = kept.put(verified(fresh))
         changed = not found.isEmpty()
@@ -193,24 +192,30 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ASCII white space; a shorter text is one shingle) have a Jaccard similarity of 0.8 or
     more. component_id is the least id that links reach. Null, empty and blank texts have
     no shingles and are alone. Repeated rows and ids stay; rows of one id with different
-    texts are different documents. A row with a null id takes the least id of its
-    component, null if there is none."""
+    texts are different documents. A row with a null id links like any other and takes the
+    least id of its component, null if there is none. Documents with more than `paired`
+    frequent tokens (of more than `rare` documents) in the prefix are indexed by single tokens
+    instead of pairs; neither number changes the result."""
     kept = Stored(docs.sparkSession, "ngram-join")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("body"), F.col(text_col).alias("text"))
     short = kept.put(rows.mapInArrow(_sets(shingle, False), _SET_SCHEMA))
-    classes = kept.put(short.filter("n > 0").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n")))
+    # A class is one set of shingles; it is numbered, and a row of it stands for it.
+    classes = short.filter("n > 0").groupBy("set").agg(F.min("doc_id").alias("rep"), F.min(F.struct("doc_id", "body")).alias("row"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"))
+    classes = kept.put(classes.select("set", "rep", "row.*", "copies", "n", F.monotonically_increasing_id().alias("cid")))
 
     # Extended prefixes in the order of hashes: too few shared tokens rule a class out.
-    tokens = short.filter("n > 0").select("cid", F.explode("tokens").alias("token"))
-    shared = kept.put(tokens.groupBy("token").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).filter("lo < hi").select("token"))
-    hits = tokens.join(grown(shared), "token").groupBy("cid").agg(F.count(F.lit(1)).alias("hits"))
-    left = classes.join(grown(hits), "cid").filter("rep is not null and hits >= copies * (4 * n div 5 div 20 + 1)").select("cid", F.col("rep").alias("doc_id"))
+    tokens = short.filter("n > 0").select("set", F.explode("tokens").alias("token"))
+    shared = kept.put(tokens.groupBy("token").agg(F.min("set").alias("lo"), F.max("set").alias("hi")).filter("lo < hi").select("token"))
+    hits = tokens.join(grown(shared), "token").groupBy("set").agg(F.count(F.lit(1)).alias("hits"))
+    left = classes.join(grown(hits), "set").filter("hits >= copies * (4 * n div 5 div 20 + 1)").select("cid", "set", "doc_id", "body")
     left = kept.put(left)
-    members = kept.put(short.select("doc_id", "n", "cid"))
+    members = kept.put(short.select("doc_id", "n", "set"))
     kept.drop(short, shared)
 
-    sets = rows.join(grown(left), "doc_id").select("doc_id", "text", "cid")
-    sets = kept.put(sets.select("doc_id", "text").mapInArrow(_sets(shingle, True), _SET_SCHEMA).join(grown(left.select("cid")), "cid", "left_semi").dropDuplicates(["cid"]).select("cid", "n", "tokens"))
+    # Only rows that stand for a class are read again; a null id is found as well.
+    sets = rows.join(grown(left.select(F.col("doc_id").alias("_id"), F.col("body").alias("_body"))), (F.col("body") == F.col("_body")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("doc_id", "body", "text")
+    sets = sets.mapInArrow(_sets(shingle, True), _SET_SCHEMA).join(grown(left.select("cid", "set")), "set")
+    sets = kept.put(sets.dropDuplicates(["set"]).select("cid", "n", "tokens"))
     tokens = sets.select("cid", F.explode("tokens").alias("token"))
     df = kept.put(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"))
     listed = tokens.join(grown(df), "token").groupBy("cid").agg(F.collect_list(F.struct("df", "token")).alias("shared"))  # at most the set's size
@@ -219,10 +224,11 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     kept.drop(df)
     label = _component_labels(sets, entries, kept)
 
-    named = classes.join(grown(label.withColumnRenamed("node", "cid")), "cid", "left").select("cid", "rep", F.coalesce("label", "cid").alias("label"))
+    named = classes.join(grown(label.withColumnRenamed("node", "cid")), "cid", "left").select("set", "rep", F.coalesce("label", "cid").alias("label"))
     least = kept.put(named.groupBy("label").agg(F.min("rep").alias("component_id")))
-    named = kept.put(named.join(grown(least), "label").select("cid", "component_id"))
-    out = members.filter("n > 0").join(grown(named), "cid").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    named = kept.put(named.join(grown(least), "label").select("set", "component_id"))
+    kept.drop(sets, entries, left, least, classes)
+    out = members.filter("n > 0").join(grown(named), "set").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = members.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return out.unionByName(alone)
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks_of, packed, ragged, table, text_bytes, word_hashes
+from .common import chunks_of, packed, ragged, table, text_bytes
 
 #: Bytes of text encoded at once; a worker's arrays take some sixty times as much.
 ENCODE_BYTES = 1 << 20
@@ -157,8 +157,12 @@ def encode(v: dict, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
     starts = np.flatnonzero(space & (~np.append(False, space[:-1]) | edge[:-1]))
     ends = np.append(starts[1:], len(prefixed)) if len(starts) else starts
     row_of = np.searchsorted(at, starts, "right") - 1
-    names, where, which = np.unique(word_hashes(prefixed, starts, ends), return_index=True, return_inverse=True)
-    if len(names):
+    if len(starts):
+        # Words lie side by side, so they are an Arrow array as they are; equal ones are found by their bytes.
+        each = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(prefixed)).astype(np.int32)), pa.py_buffer(prefixed)])
+        which = each.dictionary_encode().indices.to_numpy()
+        where = np.zeros(which.max() + 1, np.int64)
+        where[which[::-1]] = np.arange(len(which))[::-1]
         ids, counts = encode_words(v, prefixed, starts[where], ends[where])
         begin = np.cumsum(counts) - counts
         out = ids[ragged(begin[which], counts[which])]
