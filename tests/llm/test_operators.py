@@ -136,6 +136,11 @@ def test_ngram_components_against_brute_force(spark, rare, paired):
 def test_ngram_odd_rows(spark, odd):
     rows = ngram_join.ngram_components(odd).collect()
     assert len(rows) == len(ODD) and {r.doc_id: r.component_id for r in rows if r.doc_id in (1, 2, 3, 4)} == {1: 1, 2: 1, 3: 3, 4: 4}
+    base = [f"w{k}" for k in range(60)]
+    near = lambda n: " ".join(base[n : n + 50])
+    rows = [(1, near(0)), (None, near(5)), (9, near(10)), (None, near(5)), (None, "alone with a null id"), (None, None)]
+    got = [(r.doc_id, r.component_id) for r in ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got, key=str) == sorted([(1, 1), (9, 1), (None, 1), (None, 1), (None, None), (None, None)], key=str)
     assert ngram_join.ngram_components(odd.limit(0)).count() == 0
 
 
@@ -155,32 +160,65 @@ def test_patience_blocks():
             at = (s + n, t + n)
 
 
-def brute_line_dedup(docs):
-    """Each document against the first holder of each of its long lines."""
-    first = {}
-    for i, t in sorted(docs):
-        for line in (t or "").split("\n"):
-            if len(line.encode()) >= line_dedup.LEAST_CHARS:
-                first.setdefault(line, i)
-    texts, number, out = dict(docs), {}, {}
-    code = lambda line: 0 if not line else 2 * number.setdefault(line, len(number) + 1) + (len(line.encode()) >= line_dedup.LEAST_CHARS)
+def line_keys(lines, least=20):
+    """(start, past) of long lines, and of runs of shorter ones that reach the size together."""
+    size = [len(x.encode()) for x in lines]
+    for i, n in enumerate(size):
+        past, total = i, 0
+        while n and past < len(lines) and total < least and (past == i or size[past] < least):
+            total, past = total + size[past], past + 1
+        if total >= least:
+            yield i, past
+
+
+def brute_line_dedup(docs, least=20, rare=line_dedup.RARE):
+    """Each document against the earlier holders of its keys: all of a rare key, else the first."""
+    lines = {i: (t or "").split("\n") for i, t in docs}
+    holders = defaultdict(set)
+    for i, x in lines.items():
+        for s, e in line_keys(x, least):
+            holders[tuple(x[s:e])].add(i)
+    number, out = {"": 0}, {}
+    code = {i: [number.setdefault(y, len(number)) for y in x] for i, x in lines.items()}
     for i, t in docs:
-        lines = (t or "").split("\n")
+        with_ = set()
+        for s, e in line_keys(lines[i], least):
+            of = holders[tuple(lines[i][s:e])]
+            with_ |= {x for x in of if x < i} if len(of) <= rare else {min(of)} - {i}
         gone = set()
-        for e in {first[x] for x in lines if x in first and first[x] != i}:
-            for s, _, n in line_dedup.patience_blocks([code(x) for x in lines], [code(x) for x in texts[e].split("\n")]):
-                if any(len(x.encode()) >= line_dedup.LEAST_CHARS for x in lines[s : s + n]):
-                    gone |= set(range(s, s + n))
-        out[i] = ("\n".join(x for k, x in enumerate(lines) if k not in gone) if gone else t, len(lines), len(gone))
+        for e in with_:
+            gone |= line_dedup.common_lines(code[i], code[e], [len(x.encode()) for x in lines[i]], least)
+        out[i] = ("\n".join(x for k, x in enumerate(lines[i]) if k not in gone) if gone else t, len(lines[i]), len(gone))
     return out
 
 
-def test_line_dedup_against_brute_force(spark):
+def check_line_rules(docs, got, least=20):
+    """No key of an earlier document stays; what goes lies in a block that an earlier one has."""
+    lines, seen = {i: (t or "").split("\n") for i, t in docs}, []
+    for i in sorted(lines):
+        x, left = lines[i], (got[i] or "").split("\n")
+        earlier = {tuple(y[s:e]) for y in seen for s, e in line_keys(y, least)}
+        assert not any(tuple(left[s:e]) in earlier for s, e in line_keys(left, least) if e == s + 1)
+        blocks = {tuple(y[s:e]) for y in seen for s in range(len(y)) for e in range(s + 1, len(y) + 1)}
+        allowed = set()
+        for s in range(len(x)):
+            for e in range(s + 1, len(x) + 1):
+                if tuple(x[s:e]) in blocks and sum(len(z.encode()) for z in x[s:e]) >= least:
+                    allowed.update(range(s, e))
+        must = {k for s, e in line_keys(x, least) if tuple(x[s:e]) in earlier for k in range(s, e)}
+        rest = iter(left)
+        assert all(z in rest for z in [y for k, y in enumerate(x) if k not in allowed]) and len(left) <= max(1, len(x) - len(must))
+        seen.append(x)
+
+
+@pytest.mark.parametrize("rare", [4, 0])
+def test_line_dedup_against_brute_force(spark, rare):
     rng = random.Random(3)
-    pool = [f"a line that is long enough, number {k}" for k in range(40)] + ["short", "", "}"]
+    pool = [f"a line that is long enough, number {k}" for k in range(40)] + ["short", "", "}", "so much depends"]
     docs = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randint(1, 12)))) for i in range(60)] + [(60, None), (61, "")]
-    got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in line_dedup.line_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    assert got == brute_line_dedup(docs)
+    got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in line_dedup.line_dedup(spark.createDataFrame(docs, "doc_id long, text string"), rare=rare).collect()}
+    assert got == brute_line_dedup(docs, rare=rare)
+    check_line_rules(docs, {i: t for i, (t, _, _) in got.items()})
 
 
 def test_line_dedup_odd_rows(spark, odd):
@@ -190,41 +228,45 @@ def test_line_dedup_odd_rows(spark, odd):
     assert line_dedup.line_dedup(odd.limit(0)).count() == 0
 
 
-def whole_line_dedup(docs):
-    """Each document against all earlier ones: its texts without the deleted lines."""
-    number, seen, out = {}, [], {}
-    for i, t in sorted(docs):
-        lines, gone = t.split("\n"), set()
-        codes = [number.setdefault(x, len(number) + 1) if x else 0 for x in lines]
-        for earlier in seen:
-            for s, _, n in line_dedup.patience_blocks(codes, earlier):
-                if sum(len(x.encode()) for x in lines[s : s + n]) >= line_dedup.LEAST_CHARS:
-                    gone |= set(range(s, s + n))
-        seen.append(codes)
-        out[i] = [x for k, x in enumerate(lines) if k not in gone]
-    return out
-
-
 def kept_lines(spark, docs):
     return {r.doc_id: r.text.split("\n") for r in line_dedup.line_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
 
 
-def test_line_dedup_tries_every_earlier_holder(spark):
+def test_line_dedup_of_common_moved_and_repeated_lines(spark):
     common = "a line of the licence that most documents have"
     docs = [(0, f"{common}\nthe first one's own long line\n{common}"), *[(i, f"the own long line of document {i}\n{common}") for i in range(1, 12)]]
     got = kept_lines(spark, docs)
-    assert common in got[1] and not any(common in got[i] for i in range(2, 12))
-    rng = random.Random(5)
-    pool = [f"a line that is long enough, number {k}" for k in range(40)]
-    docs = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randint(1, 12)))) for i in range(60)]
-    want, got = whole_line_dedup(docs), kept_lines(spark, docs)
-    assert [(i, [x for x in got[i] if x]) for i in want] == list(want.items())
+    assert got[0] == docs[0][1].split("\n") and not any(common in got[i] for i in range(1, 12))
+    one, two = "the first of two lines of a block", "the second of two lines of a block"
+    assert kept_lines(spark, [(1, f"{one}\n{two}\nown"), (2, f"{two}\nown words\n{one}\n{one}")])[2] == ["own words"]
 
 
 def test_line_dedup_of_short_lines(spark):
     verse = ["so much", "depends", "upon", "a red wheel", "barrow"]
     docs = [(1, "\n".join(["one", *verse, "end"])), (2, "\n".join(["an own long line that comes first", *verse])), (3, "own\nupon\nthis"), (4, "\n".join(["so much", "rain", "here", *verse[2:]]))]
-    assert kept_lines(spark, docs) == whole_line_dedup(docs) == {1: ["one", *verse, "end"], 2: ["an own long line that comes first"], 3: ["own", "upon", "this"], 4: ["so much", "rain", "here"]}
+    assert kept_lines(spark, docs) == {1: ["one", *verse, "end"], 2: ["an own long line that comes first"], 3: ["own", "upon", "this"], 4: ["so much", "rain", "here"]}
+
+
+# ---- words that a polynomial modulo 2 ** 64 takes for equal
+
+
+def thue_morse(n, a, b):
+    return [(a, b)[bin(i).count("1") % 2] for i in range(n)]
+
+
+def test_words_of_thue_morse_letters_differ(spark):
+    one, two = "".join(thue_morse(1024, "a", "b")), "".join(thue_morse(1024, "b", "a"))
+    model = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=sentencepiece_codec.model_file())
+    texts = [(1, f"{one} {two}"), (2, one), (3, two), (4, " ".join(thue_morse(2048, "x", "y"))), (5, " ".join(thue_morse(2048, "y", "x")))]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    for r in sentencepiece_codec.sentencepiece_codec(df, sentencepiece_codec.model_file()).collect():
+        assert r.ids == model.encode(dict(texts)[r.doc_id], add_eos=True) and r.decoded == model.decode(r.ids)
+    assert all(r.n_removed == 0 for r in line_dedup.line_dedup(df).filter("doc_id in (2, 3)").collect())
+    assert {r.doc_id: r.component_id for r in ngram_join.ngram_components(df).collect()} == {i: c for i, (_, c) in brute_components(texts).items()}
+    items = spark.createDataFrame([(1, one)], "item_id long, text string")
+    assert {r.doc_id for r in decontamination.find_contamination(df, items).filter("size(spans) > 0").collect()} == {1, 2}
+    got = {r.doc_id: (r.n_words, r.n_removed, r.text) for r in substring_dedup.substring_dedup(df).collect()}
+    assert got == brute_substrings(texts)
 
 
 # ---- SentencePiece
