@@ -9,20 +9,34 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.scalars import duration_text, issue_text, utc_text
+from .functions.scalars import NAMES, duration_text, issue_text, utc_text
 from .operators import audit, streams, summaries
 from .operators.dissect import LAYER_NAMES, dissect
-from .plans.display_filter import display_filter, unknown_fields
+from .operators.summaries import check_limit
+from .plans.display_filter import display_filter, filter_columns, unknown_fields
 from .sources.pcap import read_capture
 from .sources.tables import read_certificates
 
+#: Frames that `audit` and `diff` take at most, unless told otherwise.
+MOST_FRAMES = 100_000
 # Colours of protocols in a terminal.
 COLOURS = {"TCP": 32, "UDP": 34, "ARP": 33, "ICMP": 36, "DNS": 35, "TLS": 95, "HTTP": 92, "Ethernet": 90, "IPv4": 94, "IPv6": 96}
 
 
-def _packets(spark: SparkSession, path: str) -> DataFrame:
-    """Damaged ends of files are left out; packet numbers count all frames."""
-    return dissect(streams.with_packet_index(read_capture(spark, path, mode="PERMISSIVE")))
+#: Columns of packets that most commands read.
+SHOWN = {"capture", "frame_no", "packet_index", "ts_ns", "protocol", "source", "destination", "cap_len"}
+
+
+def _packets(spark: SparkSession, path: str, columns: set[str], most: int | None = None) -> DataFrame:
+    """Damaged ends of files are left out; packet numbers count all frames. More than `most` frames
+    are an error."""
+    frames = check_limit(read_capture(spark, path, mode="PERMISSIVE"), most)
+    return dissect(streams.with_packet_index(frames), columns)
+
+
+def _tracked(packets: DataFrame) -> DataFrame:
+    """The packets, decoded once, with stream_id."""
+    return streams.with_stream_id(streams.narrow(packets, packets.columns))
 
 
 def _filtered(packets: DataFrame, text: str | None) -> DataFrame:
@@ -30,8 +44,7 @@ def _filtered(packets: DataFrame, text: str | None) -> DataFrame:
         return packets
     for name in unknown_fields(text):
         print(f"warning: unknown field {name}", file=sys.stderr)
-    tracked = streams.with_stream_id(packets) if ".stream" in text else packets
-    return tracked.filter(display_filter(text))
+    return packets.filter(display_filter(text))
 
 
 def hex_dump(data: bytes, spans: list[tuple[int, int, str]] = (), colour: bool = False) -> str:
@@ -50,68 +63,139 @@ def hex_dump(data: bytes, spans: list[tuple[int, int, str]] = (), colour: bool =
 
 
 def layer_tree(row: dict) -> str:
-    """The layers of one packet with their fields, indented."""
+    """The layers of one packet with their fields, indented; numbers that have names are shown with them."""
     out = []
-
-    def walk(value, depth: int) -> None:
-        for k, v in value.items():
-            if isinstance(v, dict):
-                out.append(f"{'  ' * depth}{k}:")
-                walk(v, depth + 1)
-            elif v is not None and v != []:
-                out.append(f"{'  ' * depth}{k}: {v}")
-
-    for name, title in LAYER_NAMES.items():
-        if row.get(name) is not None:
-            out.append(title)
-            walk(row[name], 1)
+    for layer, fields in layer_views(row):
+        out.append(layer)
+        for k, v in fields.items():
+            if v is None or v == [] or (k == "rcode" and not (fields.get("is_response") and v)):
+                continue  # a response code says something only where a response failed
+            out.append(f"  {k}: {', '.join(map(str, v)) if isinstance(v, list) else v}")
     return "\n".join(out)
 
 
-def _show(rows: DataFrame, as_json: bool, line) -> None:
+def layer_views(row: dict):
+    """(name, fields) of each layer of a packet. Structs are flattened, and numbers that have names get them."""
+
+    def flat(value: dict, under: str = "") -> dict:
+        out = {}
+        for k, v in value.items():
+            key = f"{under}{k}"
+            if isinstance(v, dict):
+                out |= flat(v, f"{key}.")
+            else:
+                out[key] = v.hex() if isinstance(v, (bytes, bytearray)) else v
+        return out
+
+    named = {("eth", "ether_type"): "ether_type", ("ipv4", "protocol"): "ip_protocol", ("ipv6", "next_header"): "ip_protocol", ("arp", "operation"): "arp_operation", ("icmp", "type"): "icmp_type", ("dns", "query_type"): "dns_qtype", ("dns", "rcode"): "dns_rcode", ("tls_server_hello", "cipher_suite"): "cipher_suite", ("tls_server_hello", "selected_version"): "tls_version", ("tls_server_hello", "server_version"): "tls_version", ("tls_client_hello", "client_version"): "tls_version", ("tls_server_hello", "key_share_group"): "named_group"}
+    lists = {"cipher_suites": "cipher_suite", "supported_versions": "tls_version", "signature_algorithms": "signature_algorithm", "key_share_groups": "named_group"}
+    for layer, title in LAYER_NAMES.items():
+        if row.get(layer) is None:
+            continue
+        fields = {}
+        for k, v in flat(row[layer]).items():
+            if k in lists:
+                fields[k] = [f"{NAMES[lists[k]].get(x, 'Unknown')} ({x:#06x})" for x in v]
+            elif k.startswith("compression_method"):
+                fields[k] = ["null" if x == 0 else "other" for x in v] if isinstance(v, list) else None if v is None else "null" if v == 0 else "other"
+            elif k == "answers":
+                fields[k] = [f"{a['name']} {NAMES['dns_qtype'].get(a['record_type'], 'Unknown')} {a['data']['addr'] or str(len(a['data']['raw'])) + ' bytes'} ttl {a['ttl']}" for a in v]
+            elif (layer, k) in named and v is not None:
+                fields[k] = v if k == "rcode" and not v else f"{NAMES[named[layer, k]].get(v, 'Unknown')} ({v})"
+            else:
+                fields[k] = v
+        yield title, fields
+
+
+def layers_json(row: dict) -> list[dict]:
+    """The layers of one packet as objects with a `type`."""
+    return [{"type": title, **fields} for title, fields in layer_views(row)]
+
+
+def _show(rows: DataFrame, as_json: bool, line, drop: tuple[str, ...] = ()) -> None:
+    """A line of text or a JSON object for each row; of the columns in `drop` nulls are left out of objects."""
     for row in rows.toLocalIterator():
         d = row.asDict(recursive=True)
-        print(json.dumps(d, default=str) if as_json else line(d))
+        print(json.dumps({k: v for k, v in d.items() if v is not None or k not in drop}, default=str) if as_json else line(d))
+
+
+def _stats(packets: DataFrame, as_json: bool) -> None:
+    """All figures come from a few small aggregates."""
+    packets = streams.narrow(packets, packets.columns)
+    stats = summaries.capture_stats(packets).withColumns({"first": utc_text(F.col("first_ns")), "last": utc_text(F.col("last_ns")), "duration": duration_text(F.col("duration_s"))})
+    protocols = summaries.protocol_percent(packets).orderBy(F.desc("packets"), "protocol")
+    if not as_json:
+        _show(stats, False, lambda d: "\n".join(f"{k}: {v}" for k, v in d.items()))
+        _show(protocols, False, lambda d: f"{d['protocol']:<10} {d['packets']:>8} {d['percent']:6.1f}%")
+        _show(summaries.top_endpoints(packets), False, lambda d: f"{d['endpoint']:<30} {d['packets']:>8}")
+        return
+    d = stats.first()
+    print(json.dumps({
+        "packet_count": d.packet_count, "stream_count": d.stream_count, "duration_seconds": d.duration_s, "first_timestamp": d["first"], "last_timestamp": d["last"],
+        "protocols": [{"name": r.protocol, "count": r.packets, "percent": float(r.percent)} for r in protocols.collect()], "top_endpoints": [{"endpoint": r.endpoint, "count": r.packets} for r in summaries.top_endpoints(packets).collect()],
+    }))
+
+
+def _diff(a: DataFrame, b: DataFrame, paths: tuple[str, str], as_json: bool) -> None:
+    a, b = (streams.narrow(p, p.columns) for p in (a, b))
+    order = ["kind", "side", F.desc("packets"), F.when(F.col("kind") == "port", F.lpad("key", 5, "0")).otherwise(F.col("key"))]
+    found, deltas = summaries.compare(a, b).orderBy(*order), summaries.compare_deltas(a, b)
+    if not as_json:
+        _show(deltas, False, lambda d: "\n".join(f"{k}: {v}" for k, v in d.items()))
+        _show(found, False, lambda d: f"{d['side']} {d['kind']} {d['key']} ({d['packets']})")
+        return
+    d, rows = deltas.first(), found.collect()  # hosts, protocols and ports of one side: the report itself
+    out = {f"file_{s}": {"path": p, "packet_count": d[f"packets_{s}"], "stream_count": d[f"streams_{s}"]} for s, p in zip("ab", paths, strict=True)}
+    for kind, plural, name in (("host", "hosts", "host"), ("protocol", "protocols", "name"), ("port", "ports", "port")):
+        for what, side in (("new", "only_b"), ("missing", "only_a")):
+            out[f"{what}_{plural}"] = [{name: int(r.key) if kind == "port" else r.key, "count": r.packets} for r in rows if (r.kind, r.side) == (kind, side)]
+    print(json.dumps(out))
 
 
 def run(args: argparse.Namespace, spark: SparkSession) -> None:
     if args.command == "certificates":
-        _show(read_certificates(spark, args.capture), args.json, lambda d: f"{d['packet_index']}  {d['common_name']}  {', '.join(d['alternative_names'])}")
+        _show(read_certificates(spark, args.capture), args.json, lambda d: f"{d['packet_index']}  {d['common_name']}  {', '.join(d['alternative_names'])}", ("common_name", "organization"))
         return
-    packets = _packets(spark, args.capture)
-    number = (F.col("frame_no") + 1).alias("number")
-    shown = [number, F.coalesce(utc_text(F.col("ts_ns")), F.lit("-")).alias("time"), "protocol", "source", "destination", "cap_len"]
+    time = utc_text(F.col("ts_ns"))
+    shown = [(F.col("frame_no") + 1).alias("number"), F.coalesce(time, F.lit("-")).alias("time"), "protocol", "source", "destination", "cap_len"]
+    objects = [(F.col("frame_no") + 1).alias("index"), time.alias("timestamp"), "protocol", "source", "destination", F.col("cap_len").alias("length"), "stream_id"]
     line = lambda d: f"{d['number']:>4}  {d['time']:<24}  {d['protocol']:<5}  {d['source']:<22} -> {d['destination']:<22} {d['cap_len']:>4}"
     if args.command in ("summary", "search"):
-        found = _filtered(packets, args.filter)
+        reads = SHOWN | (filter_columns(args.filter) - {"stream_id"} if args.filter else set()) | (set(summaries.SEARCHED) if args.command == "search" else set())
+        found = _packets(spark, args.capture, reads | set(streams.STREAM_COLUMNS))
+        if args.json or ".stream" in (args.filter or ""):
+            found = _tracked(found)
+        found = _filtered(found, args.filter)
         if args.command == "search":
             found = summaries.search(found, args.protocol, args.source, args.destination, args.port, True if args.has_issues else None, args.text)
-        _show(found.orderBy("frame_no").select(*shown), args.json, line)
+        _show(found.orderBy("capture", "frame_no").select(*(objects if args.json else shown)), args.json, line)
     elif args.command == "detail":
-        row = packets.filter(F.col("frame_no") == args.packet - 1).first()
-        frame = read_capture(spark, args.capture, mode="PERMISSIVE").filter(F.col("frame_no") == args.packet - 1).first()
-        if row is None:
+        frame = read_capture(spark, args.capture, mode="PERMISSIVE").filter(F.col("frame_no") == args.packet - 1)
+        row = dissect(frame).first()
+        if row is None or row.decode_error is not None:
             raise SystemExit(f"no packet {args.packet}")
+        if args.json:
+            print(json.dumps(layers_json(row.asDict(recursive=True)), default=str))
+            return
         spans = [(s.offset, s.len, n) for s, n in zip(row.spans, row.layer_names, strict=True)]
         print(layer_tree(row.asDict(recursive=True)))
-        print(hex_dump(bytes(frame.data), spans, sys.stdout.isatty()))
+        print(hex_dump(bytes(frame.first().data), spans, sys.stdout.isatty()))
     elif args.command == "stats":
-        stats = summaries.capture_stats(packets).withColumns({"first": utc_text(F.col("first_ns")), "last": utc_text(F.col("last_ns")), "duration": duration_text(F.col("duration_s"))})
-        _show(stats, args.json, lambda d: "\n".join(f"{k}: {v}" for k, v in d.items()))
-        _show(summaries.protocol_percent(packets).orderBy(F.desc("packets"), "protocol"), args.json, lambda d: f"{d['protocol']:<10} {d['packets']:>8} {d['percent']:6.1f}%")
-        _show(summaries.top_endpoints(packets), args.json, lambda d: f"{d['endpoint']:<30} {d['packets']:>8}")
+        _stats(_packets(spark, args.capture, {"capture", "ts_ns", "stream_key", "protocol", "source", "destination"}), args.json)
     elif args.command == "issues":
-        rows = summaries.decode_issues(packets.withColumn("packet_index", F.col("frame_no") + 1)).orderBy("packet_index", "place").withColumn("text", issue_text(F.col("kind")))
-        _show(rows, args.json, lambda d: f"packet {d['packet_index']}: {d['text']} at offset {d['offset']}")
+        packets = _packets(spark, args.capture, {"capture", "frame_no", "issues"})
+        rows = summaries.decode_issues(packets.withColumn("packet_index", F.col("frame_no") + 1)).orderBy("capture", "packet_index", "place").withColumn("text", issue_text(F.col("kind")))
+        _show(rows.select("packet_index", "kind", "offset") if args.json else rows, args.json, lambda d: f"packet {d['packet_index']}: {d['text']} at offset {d['offset']}")
     elif args.command == "audit":
-        _show(audit.audit(packets, args.profile).orderBy("step", "sort_key").drop("step", "sort_key"), args.json, lambda d: f"[{d['severity']}] {d['title']}\n    {d['summary']}")
+        found = audit.audit(_packets(spark, args.capture, set(audit.COLUMNS), args.max_packets), args.profile).orderBy("capture", "step", "sort_key")
+        objects = found.select("id", "severity", "category", "title", F.size("packet_indexes").alias("evidence_count"), "escalated", "notes")
+        _show(objects if args.json else found, args.json, lambda d: f"[{d['severity']}] {d['title']}\n    {d['summary']}", ("notes",))
     elif args.command == "follow":
-        _show(streams.stream_packets(packets, args.stream).select(*shown), args.json, line)
+        packets = _packets(spark, args.capture, SHOWN | set(streams.STREAM_COLUMNS))
+        rows = streams.stream_packets(streams.narrow(packets, packets.columns), args.stream)
+        _show(rows.select(*(objects if args.json else shown)), args.json, line)
     elif args.command == "diff":
-        other = _packets(spark, args.other)
-        _show(summaries.compare_deltas(packets, other), args.json, lambda d: "\n".join(f"{k}: {v}" for k, v in d.items()))
-        order = ["kind", "side", F.desc("packets"), F.when(F.col("kind") == "port", F.lpad("key", 5, "0")).otherwise(F.col("key"))]
-        _show(summaries.compare(packets, other).orderBy(*order), args.json, lambda d: f"{d['side']} {d['kind']} {d['key']} ({d['packets']})")
+        _diff(*(_packets(spark, p, set(summaries.COMPARED), args.max_packets) for p in (args.capture, args.other)), (args.capture, args.other), args.json)
 
 
 def parser() -> argparse.ArgumentParser:
@@ -136,6 +220,8 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument("--profile", choices=list(audit.PROFILES))
         if name == "diff":
             p.add_argument("other")
+        if name in ("audit", "diff"):
+            p.add_argument("--max-packets", type=int, default=MOST_FRAMES, help="more frames are an error")
     return top
 
 

@@ -1,7 +1,8 @@
 """Audit heuristics: each finds packets by a rule and reports them as findings.
 
-A finding has an id, severity, category, title, summary, a description of its evidence and
-the indexes of its first packets (100 at most, which is part of the report). Evidence comes
+A finding belongs to one capture and has an id, severity, category, title, summary, a description of
+its evidence and the indexes of its first packets (100 at most, which is part of the report);
+several captures are audited each on its own. Evidence comes
 from a rank within each group, which Spark limits before it shuffles, so that a group with
 a third of all packets costs no task more than its limit.
 """
@@ -14,12 +15,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .streams import describe_streams, streams, with_stream_id
+from ..storage import Stored
+from .streams import describe_streams, key_protocol, narrow, streams, with_stream_id
 
 EVIDENCE = 100
-# Thresholds and port lists of the rules.
+# Thresholds and port lists of the rules, and the texts of findings below.
 RATIO, FAN_OUT, NAMES_MOST, LABEL_MOST, TXT_MOST, NXDOMAIN_LEAST, RST_LEAST, HALF_OPEN_LEAST = 0.5, 5, 50, 50, 10, 20, 3, 10
 SUSPICIOUS_PORTS = [23, 445, 2323, 3389, 5900]
+#: Columns of packets that the rules read.
+COLUMNS = ["capture", "packet_index", "ts_ns", "cap_len", "protocol", "src_ip", "dst_ip", "dst_port", "issues", "stream_key", "tcp", "dns"]
 CLEARTEXT = {21: "FTP", 23: "Telnet", 80: "HTTP", 110: "POP3", 143: "IMAP"}
 
 
@@ -29,9 +33,10 @@ def _first(rows: DataFrame, keys: list[str], n: int = EVIDENCE, order: list | No
     return ranked.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_rank", "packet_index"))), lambda x: x["packet_index"]).alias("packet_indexes"))
 
 
-def _finding(rows: DataFrame, step: int, key: Column, id_: Column, severity: str, category: str, title: Column, summary: Column, description: Column) -> DataFrame:
+def _finding(rows: DataFrame, step: int, key: Column, id_: Column, severity: str | Column, category: str, title: Column, summary: Column, description: Column) -> DataFrame:
+    severity = F.lit(severity) if isinstance(severity, str) else severity
     return rows.select(
-        F.lit(step).alias("step"), key.cast("string").alias("sort_key"), id_.alias("id"), F.lit(severity).alias("severity"), F.lit(category).alias("category"), title.alias("title"), summary.alias("summary"),
+        "capture", F.lit(step).alias("step"), key.cast("string").alias("sort_key"), id_.alias("id"), severity.alias("severity"), F.lit(category).alias("category"), title.alias("title"), summary.alias("summary"),
         "packet_indexes", description.alias("description"), F.lit(False).alias("escalated"), F.lit(None).cast("string").alias("notes"),
     )
 
@@ -41,9 +46,8 @@ def _text(*parts) -> Column:
 
 
 def _ratio(packets: DataFrame, affected: Column, step: int, id_: str, severity: str, category: str, title: str, summary: str) -> DataFrame:
-    counts = packets.agg(F.count(F.lit(1)).alias("n"), F.count_if(affected).alias("hit")).filter(f"n > 0 and hit / n >= {RATIO}")
-    evidence = _first(packets.filter(affected).select(F.lit(0).alias("g"), "packet_index"), ["g"])
-    rows = counts.crossJoin(F.broadcast(evidence))  # a row each
+    counts = packets.groupBy("capture").agg(F.count(F.lit(1)).alias("n"), F.count_if(affected).alias("hit")).filter(f"hit / n >= {RATIO}")
+    rows = counts.join(_first(packets.filter(affected).select("capture", "packet_index"), ["capture"]), "capture")
     percent = F.bround(F.col("hit") / F.col("n") * 100, 0).cast("long")
     return _finding(rows, step, F.lit(""), F.lit(id_), severity, category, F.lit(title), F.lit(summary), _text(f"{category} affected ", percent, "% of packets in the capture."))
 
@@ -58,24 +62,25 @@ def unknown_ratio(packets: DataFrame) -> DataFrame:
 
 def scan_activity(packets: DataFrame) -> DataFrame:
     """Sources that reach many destinations; evidence has each destination's first packet first."""
-    pairs = packets.filter("src_ip is not null").groupBy("src_ip", "dst_ip").agg(F.min("packet_index").alias("first"))
-    wide = pairs.groupBy("src_ip").agg(F.count(F.lit(1)).alias("targets")).filter(f"targets >= {FAN_OUT}")
-    sent = packets.filter("src_ip is not null").select("src_ip", "dst_ip", "packet_index")
-    each = sent.join(wide.select("src_ip"), "src_ip", "left_semi").withColumn("_n", F.row_number().over(Window.partitionBy("src_ip", "dst_ip").orderBy("packet_index"))).filter(f"_n <= {EVIDENCE}")
-    evidence = _first(each, ["src_ip"], order=[F.col("_n") > 1, "dst_ip", "packet_index"])
+    sent = packets.filter("src_ip is not null").select("capture", "src_ip", "dst_ip", "packet_index")
+    pairs = sent.groupBy("capture", "src_ip", "dst_ip").agg(F.count(F.lit(1)).alias("n"))
+    wide = pairs.groupBy("capture", "src_ip").agg(F.count(F.lit(1)).alias("targets")).filter(f"targets >= {FAN_OUT}")
+    each = sent.join(wide.select("capture", "src_ip"), ["capture", "src_ip"], "left_semi")
+    each = each.withColumn("_n", F.row_number().over(Window.partitionBy("capture", "src_ip", "dst_ip").orderBy("packet_index"))).filter(f"_n <= {EVIDENCE}")
+    evidence = _first(each, ["capture", "src_ip"], order=[F.col("_n") > 1, "dst_ip", "packet_index"])
     s, n = F.col("src_ip"), F.col("targets")
-    return _finding(wide.join(evidence, "src_ip"), 3, s, _text("scan-activity-", s), "high", "scan_activity", _text("Endpoint fan-out from ", s, " looks scan-like"), _text(s, " contacted ", n, " distinct destinations in a single capture."), _text("Observed fan-out to ", n, " unique destination hosts."))
+    return _finding(wide.join(evidence, ["capture", "src_ip"]), 3, s, _text("scan-activity-", s), "high", "scan_activity", _text("Endpoint fan-out from ", s, " looks scan-like"), _text(s, " contacted ", n, " distinct destinations in a single capture."), _text("Observed fan-out to ", n, " unique destination hosts."))
 
 
 def suspicious_ports(packets: DataFrame) -> DataFrame:
     p = F.col("dst_port")
-    rows = _first(packets.filter(p.isin(SUSPICIOUS_PORTS)).select("dst_port", "packet_index"), ["dst_port"])
+    rows = _first(packets.filter(p.isin(SUSPICIOUS_PORTS)).select("capture", "dst_port", "packet_index"), ["capture", "dst_port"])
     return _finding(rows, 4, F.lpad(p.cast("string"), 5, "0"), _text("suspicious-port-", p), "medium", "suspicious_ports", _text("Traffic observed on suspicious destination port ", p), _text("The capture includes packets targeting destination port ", p, ", which commonly appears in audit findings."), _text("Packets targeted destination port ", p, "."))
 
 
 def cleartext(packets: DataFrame) -> DataFrame:
     p = F.col("dst_port")
-    rows = _first(packets.filter(p.isin(list(CLEARTEXT))).select("dst_port", "packet_index"), ["dst_port"])
+    rows = _first(packets.filter(p.isin(list(CLEARTEXT))).select("capture", "dst_port", "packet_index"), ["capture", "dst_port"])
     name = F.element_at(F.create_map(*[F.lit(x) for kv in CLEARTEXT.items() for x in kv]), p)
     rows = rows.withColumn("name", name)
     n = F.col("name")
@@ -84,30 +89,36 @@ def cleartext(packets: DataFrame) -> DataFrame:
 
 
 def connection_anomalies(packets: DataFrame) -> DataFrame:
-    table = streams(packets)
+    """Odd TCP conversations. Packets are read more than once: give narrow() ones."""
+    table = Stored(packets.sparkSession, "streams").put(streams(packets))
     flags = F.col("tcp_flags_seen")
     rules = [
         ("handshake", (flags.bitwiseAND(2) != 0) & ~F.col("syn_ack_seen")),
         ("rst", F.col("rst_count") >= RST_LEAST),
         ("open", (flags.bitwiseAND(2) != 0) & (flags.bitwiseAND(16) != 0) & (flags.bitwiseAND(5) == 0) & (F.col("packet_count") >= HALF_OPEN_LEAST)),
     ]
-    tcp = describe_streams(table.filter("stream_key.proto = 6"))
+    tcp = describe_streams(table.filter(key_protocol() == 6))
     plain = lambda c: F.regexp_replace(c, r"^\[(.*)\]:", "$1:")
     odd = tcp.filter(rules[0][1] | rules[1][1] | rules[2][1])
-    sent = with_stream_id(packets, table).filter("stream_id is not null").select("stream_id", "packet_index")
-    rows = odd.join(_first(sent.join(odd.select("stream_id"), "stream_id", "left_semi"), ["stream_id"]), "stream_id")
+    sent = with_stream_id(packets.select("capture", "packet_index", "stream_key"), table).filter("stream_id is not null").select("capture", "stream_id", "packet_index")
+    evidence = _first(sent.join(odd.select("capture", "stream_id"), ["capture", "stream_id"], "left_semi"), ["capture", "stream_id"])
+    rows = odd.join(evidence, ["capture", "stream_id"])
     i = F.col("stream_id")
-    out = []
+    ends = [plain("endpoint_a"), " ↔ ", plain("endpoint_b")]
+    rst, packets_ = F.col("rst_count"), F.col("packet_count")
+    words = {
+        "handshake": ("incomplete-handshake-", "medium", _text("Incomplete TCP handshake on stream ", i, " (", *ends, ")"), _text("Stream ", i, " contains a SYN but no SYN+ACK was observed, indicating an incomplete TCP handshake."), _text("Packets from stream ", i, " with incomplete handshake.")),
+        "rst": ("rst-storm-", "medium", _text("RST storm on stream ", i, " (", rst, " RST packets)"), _text("Stream ", i, " contains ", rst, " RST packets, which may indicate a connection teardown storm or port scanning."), _text("Packets from stream ", i, " exhibiting RST storm behavior.")),
+        "open": ("half-open-", "low", _text("Half-open connection on stream ", i, " (", packets_, " packets, no FIN/RST)"), _text("Stream ", i, " exchanged ", packets_, " packets after the handshake but was never closed with FIN or RST."), _text("Packets from stream ", i, " with no connection teardown.")),
+    }
+    # A conversation can break several rules: one pass over the odd ones, a finding for each rule.
+    found = []
     for k, (name, test) in enumerate(rules):
+        id_, severity, title, summary, description = words[name]
         key = F.concat(F.lpad(i.cast("string"), 12, "0"), F.lit(f"-{k}"))
-        if name == "handshake":
-            words = ("incomplete-handshake-", "medium", _text("Incomplete TCP handshake on stream ", i, " (", plain("endpoint_a"), " ↔ ", plain("endpoint_b"), ")"), _text("Stream ", i, " contains a SYN but no SYN+ACK was observed, indicating an incomplete TCP handshake."), _text("Packets from stream ", i, " with incomplete handshake."))
-        elif name == "rst":
-            words = ("rst-storm-", "medium", _text("RST storm on stream ", i, " (", F.col("rst_count"), " RST packets)"), _text("Stream ", i, " contains ", F.col("rst_count"), " RST packets, which may indicate a connection teardown storm or port scanning."), _text("Packets from stream ", i, " exhibiting RST storm behavior."))
-        else:
-            words = ("half-open-", "low", _text("Half-open connection on stream ", i, " (", F.col("packet_count"), " packets, no FIN/RST)"), _text("Stream ", i, " exchanged ", F.col("packet_count"), " packets after the handshake but was never closed with FIN or RST."), _text("Packets from stream ", i, " with no connection teardown."))
-        out.append(_finding(rows.filter(test), 6, key, _text(words[0], i), words[1], "connection_anomaly", *words[2:]))
-    return out[0].unionByName(out[1]).unionByName(out[2])
+        found.append(F.when(test, F.struct(key.alias("key"), _text(id_, i).alias("id"), F.lit(severity).alias("severity"), title.alias("title"), summary.alias("summary"), description.alias("description"))))
+    rows = rows.select("capture", "packet_indexes", F.explode(F.array_compact(F.array(*found))).alias("f")).select("capture", "packet_indexes", "f.*")
+    return _finding(rows, 6, F.col("key"), F.col("id"), F.col("severity"), "connection_anomaly", F.col("title"), F.col("summary"), F.col("description"))
 
 
 def dns_tunneling(packets: DataFrame) -> DataFrame:
@@ -115,18 +126,18 @@ def dns_tunneling(packets: DataFrame) -> DataFrame:
     TXT queries."""
     dns = packets.filter("dns is not null and src_ip is not null")
     long = F.exists(F.split("dns.query_name", r"\."), lambda x: F.octet_length(x) > LABEL_MOST)
-    counts = dns.groupBy("src_ip").agg(F.count_distinct("dns.query_name").alias("names"), F.count_if(long).alias("long"), F.count_if(F.col("dns.query_type") == 16).alias("txt"))
+    counts = dns.groupBy("capture", "src_ip").agg(F.count_distinct("dns.query_name").alias("names"), F.count_if(long).alias("long"), F.count_if(F.col("dns.query_type") == 16).alias("txt"))
     counts = counts.filter(f"names > {NAMES_MOST} or long > 0 or txt > {TXT_MOST}")
-    evidence = _first(dns.select("src_ip", "packet_index").join(counts.select("src_ip"), "src_ip", "left_semi"), ["src_ip"])
+    evidence = _first(dns.select("capture", "src_ip", "packet_index").join(counts.select("capture", "src_ip"), ["capture", "src_ip"], "left_semi"), ["capture", "src_ip"])
     s = F.col("src_ip")
     parts = F.concat_ws("; ", F.when(F.col("names") > NAMES_MOST, _text(F.col("names"), f" unique query names (threshold: {NAMES_MOST})")), F.when(F.col("long") > 0, _text(F.col("long"), f" queries with labels longer than {LABEL_MOST} characters")), F.when(F.col("txt") > TXT_MOST, _text(F.col("txt"), f" TXT queries (threshold: {TXT_MOST})")))
-    return _finding(counts.join(evidence, "src_ip"), 7, s, _text("dns-tunneling-", s), "high", "dns_tunneling", _text("Possible DNS tunneling activity from ", s), _text("DNS traffic from ", s, " exhibits indicators of tunneling: ", parts, "."), _text("DNS queries from ", s, " with tunneling indicators."))
+    return _finding(counts.join(evidence, ["capture", "src_ip"]), 7, s, _text("dns-tunneling-", s), "high", "dns_tunneling", _text("Possible DNS tunneling activity from ", s), _text("DNS traffic from ", s, " exhibits indicators of tunneling: ", parts, "."), _text("DNS queries from ", s, " with tunneling indicators."))
 
 
 def nxdomain_storm(packets: DataFrame) -> DataFrame:
     """Many NXDOMAIN responses. The reported count goes no higher than the evidence's limit."""
-    hit = packets.filter("dns.is_response and dns.rcode = 3").select(F.lit(0).alias("g"), "packet_index")
-    rows = _first(hit, ["g"]).withColumn("n", F.size("packet_indexes")).filter(f"n >= {NXDOMAIN_LEAST}")
+    hit = packets.filter("dns.is_response and dns.rcode = 3").select("capture", "packet_index")
+    rows = _first(hit, ["capture"]).withColumn("n", F.size("packet_indexes")).filter(f"n >= {NXDOMAIN_LEAST}")
     n = F.col("n")
     summary = _text("The capture contains ", n, " DNS responses with RCODE NXDOMAIN, which may indicate domain generation algorithm (DGA) activity, malware beaconing to non-existent domains, or DNS enumeration.")
     return _finding(rows, 8, F.lit(""), F.lit("nxdomain-storm"), "high", "dns_anomaly", _text("High NXDOMAIN rate: ", n, " responses with RCODE 3 (possible DGA/malware)"), summary, _text(n, " NXDOMAIN responses observed."))
@@ -144,8 +155,7 @@ def audit(packets: DataFrame, profile: str | None = None) -> DataFrame:
     if profile is not None and profile not in PROFILES:
         raise ValueError(f"unknown profile {profile!r}; valid: {', '.join(PROFILES)}")
     rules = [r for name, rs in PROFILES.items() if profile in (None, name) for r in rs]
-    # Each rule reads the packets more than once; they are decoded once. Spark may drop the cache.
-    packets = packets.select("capture", "packet_index", "ts_ns", "cap_len", "protocol", "src_ip", "dst_ip", "dst_port", "issues", "stream_key", "tcp", "dns").persist()
+    packets = narrow(packets, COLUMNS)
     out = rules[0](packets)
     for rule in rules[1:]:
         out = out.unionByName(rule(packets))

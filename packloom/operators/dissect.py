@@ -2,16 +2,20 @@
 
 A batch of frames is decoded at once: every header field is one gather over the batch's bytes,
 and a layer's rules are masks over its rows. Only what has a variable shape (DNS names, TLS
-extensions, HTTP heads, texts of addresses) is done row by row, for the rows that have it.
-The step is one Arrow map without a shuffle, so it scales with the frames' partitions.
+extensions, HTTP heads, texts of IPv6 addresses) is done row by row, for the rows that have it,
+and only the columns that are asked for are made. The step is one Arrow map without a shuffle,
+so it scales with the frames' partitions.
 """
 
 from __future__ import annotations
 
 import ipaddress
+from collections.abc import Iterable
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,16 +42,18 @@ LAYERS = {
 }
 # What layers are called.
 LAYER_NAMES = {"eth": "Ethernet", "arp": "ARP", "ipv4": "IPv4", "ipv6": "IPv6", "tcp": "TCP", "udp": "UDP", "icmp": "ICMP", "dns": "DNS", "tls_client_hello": "TLS", "tls_server_hello": "TLS", "http": "HTTP"}
-_END = "struct<family:int,addr:binary,port:int>"
+#: A stream's key: family, the lesser end's address (v4 in the first 4 of 16 bytes) and port, the other's, protocol.
+_KEY = np.dtype([("family", "u1"), ("a1", ">u8"), ("a2", ">u8"), ("p", ">u2"), ("b1", ">u8"), ("b2", ">u8"), ("q", ">u2"), ("proto", "u1")])
 PACKET = {
     "decode_error": "string", "protocol": "string", "source": "string", "destination": "string", "src_ip": "string", "dst_ip": "string", "src_port": "int", "dst_port": "int",
-    "payload_at": "int", "payload_len": "int", "layer_names": "array<string>", "spans": "array<struct<offset:int,len:int>>", "issues": "array<struct<kind:string,offset:int>>", "stream_key": f"struct<lo:{_END},hi:{_END},proto:int>", **LAYERS,
+    "payload_at": "int", "payload_len": "int", "layer_names": "array<string>", "spans": "array<struct<offset:int,len:int>>", "issues": "array<struct<kind:string,offset:int>>", "stream_key": "binary", **LAYERS,
 }
-_DECIMAL = np.array([str(i) for i in range(256)], object)
+_DECIMAL, _HEX = pa.array([str(i) for i in range(256)]), pa.array([f"{i:02x}" for i in range(256)])
+_FIRST_BYTES = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
 
 class _Frames:
-    """A batch's bytes with gathers that never leave them; what lies outside reads as 0."""
+    """A batch's bytes with gathers that never leave a frame; what lies outside reads as 0."""
 
     def __init__(self, column: pa.Array):
         column = column.fill_null(b"").cast(pa.large_binary())
@@ -55,21 +61,25 @@ class _Frames:
         at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
         raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None and len(column) else np.zeros(0, np.uint8)
         self.base, self.size, self.past = at[:-1] - at[0], np.diff(at), at[1:] - at[0]
-        self.raw, self.bytes = np.append(raw, np.uint8(0)), raw.tobytes()
+        self.raw = np.append(raw, np.zeros(8, np.uint8))
+        self.lanes = np.ndarray((len(raw) + 1,), "<u8", self.raw, strides=(1,))
+
+    def eight(self, at) -> np.ndarray:
+        """The eight bytes at `at`, the first one lowest."""
+        where = self.base + at
+        return self.lanes[np.minimum(where, len(self.lanes) - 1)] & _FIRST_BYTES[np.clip(self.past - where, 0, 8)]
 
     def u(self, at, width: int = 1) -> np.ndarray:
-        out = np.zeros(len(self.base), np.int64)
-        for k in range(width):
-            where = self.base + at + k
-            inside = (where >= self.base) & (where < self.past)
-            out = out << 8 | np.where(inside, self.raw[np.where(inside, where, len(self.raw) - 1)], 0)
-        return out
+        return (self.eight(at).byteswap() >> np.uint64(64 - 8 * width)).astype(np.int64)
 
     def cut(self, mask: np.ndarray, start, length) -> list[bytes | None]:
         """Bytes of the masked rows, None for the others."""
+        out: list[bytes | None] = [None] * len(mask)
         s = np.broadcast_to(self.base + start, mask.shape)
         e = np.minimum(s + length, self.past)
-        return [self.bytes[a:b] if m else None for m, a, b in zip(mask.tolist(), s.tolist(), e.tolist(), strict=True)]
+        for i in np.flatnonzero(mask).tolist():
+            out[i] = self.raw[s[i] : e[i]].tobytes()
+        return out
 
     def sums(self, start, length, mask: np.ndarray) -> np.ndarray:
         """Sums of the 16-bit words of the masked rows' stretches; an odd last byte is a high one."""
@@ -104,20 +114,22 @@ def _struct(mask: np.ndarray, kind: pa.DataType, values: list) -> pa.Array:
 
 
 def _lists(masks: list[np.ndarray], item: pa.DataType, columns: list[list]) -> pa.Array:
-    """Per row the items of the masks that hold, in order. columns: one list of per-mask values
-    for each field of the item, or for the item itself."""
+    """Per row the items of the masks that hold, in order. columns: one list of per-mask values (a
+    text, or numbers by row) for each field of the item, or for the item itself."""
     held = np.stack(masks, axis=1)
     offsets = np.append(0, np.cumsum(held.sum(axis=1))).astype(np.int32)
-    flat = held.ravel()
+    row, which = np.nonzero(held)
     arrays = []
     for values, f in zip(columns, [item] if not pa.types.is_struct(item) else [f.type for f in item], strict=True):
-        full = np.stack([np.broadcast_to(np.asarray(v, object if isinstance(v, str) else None), (len(held),)) for v in values], axis=1).ravel()[flat]
-        arrays.append(pa.array(full.tolist(), f))
+        if isinstance(values[0], str):
+            arrays.append(pa.array(values, f).take(pa.array(which)))
+        else:
+            arrays.append(pa.array(np.stack([np.broadcast_to(v, len(held)) for v in values])[which, row], f))
     items = pa.StructArray.from_arrays(arrays, fields=list(item)) if pa.types.is_struct(item) else arrays[0]
     return pa.ListArray.from_arrays(pa.array(offsets), items)
 
 
-def _decoded(b: pa.RecordBatch, kinds: dict[str, pa.DataType]) -> list[pa.Array]:
+def _decoded(b: pa.RecordBatch, kinds: dict[str, pa.DataType], wanted: list[str]) -> list[pa.Array]:
     f = _Frames(b.column("data"))
     u, rows = f.u, len(f.base)
     eth, size = f.size >= ETH, f.size - ETH
@@ -169,119 +181,148 @@ def _decoded(b: pa.RecordBatch, kinds: dict[str, pa.DataType]) -> list[pa.Array]
     hello = is_tcp & (n >= 9) & (u(app, 2) == 0x1603) & (u(app + 2) <= 3) & np.isin(u(app + 5), (1, 2))
     client, server = hello & (u(app + 5) == 1), hello & (u(app + 5) == 2)
     maybe_http = is_tcp & ~hello & (n >= 4)
-    heads = f.cut(maybe_http, app, np.minimum(n, 8))
-    http = np.array([h is not None and h.startswith(wire.HTTP_STARTS) for h in heads], bool) if rows else np.zeros(0, bool)
+    head8 = f.eight(app)
+    http = np.zeros(rows, bool)
+    for start in wire.HTTP_STARTS:
+        http |= maybe_http & (n >= len(start)) & (head8 & _FIRST_BYTES[len(start)] == np.uint64(int.from_bytes(start, "little")))
     decode = lambda mask, how: [None if x is None else how(x) for x in f.cut(mask, app, n)]
     dns_full = dns & (n >= 12)
-    messages = decode(dns_full, wire.dns)
-    dns_short = np.array([bool(m and m["short"]) for m in messages], bool) | (dns & ~dns_full)
+    messages = cache(lambda: decode(dns_full, wire.dns))
     tls_short = hello & ((n < u(app + 6, 3) + 9) | (n < 44))
-    layers_app = {"dns": pa.array(messages, kinds["dns"]), "tls_client_hello": pa.array(decode(client, wire.client_hello), kinds["tls_client_hello"]), "tls_server_hello": pa.array(decode(server, wire.server_hello), kinds["tls_server_hello"]), "http": pa.array(decode(http, wire.http_head), kinds["http"])}
 
     # Checksums: also of transports whose header is malformed, but only of whole segments.
-    bad4 = is4 & (u(ETH + 10, 2) != 0)
-    bad4 &= _folds_wrong(f.sums(ETH, np.where(bad4, ihl, 0), bad4))
-    summed = has & ~split & (((proto == 6) & (length >= 18)) | ((proto == 17) & (length >= 8)))
-    field = np.where(proto == 6, u(at + 16, 2), u(at + 6, 2))
-    check = summed & (field != 0)
-    pseudo = np.where(is4, sum(u(ETH + i, 2) for i in range(12, 20, 2)), sum(u(ETH + i, 2) for i in range(8, 40, 2))) + proto + (length >> 16) + (length & 0xFFFF)
-    bad = (check & _folds_wrong(f.sums(at, np.where(check, length, 0), check) + pseudo)) | (summed & (field == 0) & is6 & (proto == 17))
-
-    # Columns.
-    none = [None] * rows
-    dotted = lambda start: _DECIMAL[u(start)] + "." + _DECIMAL[u(start + 1)] + "." + _DECIMAL[u(start + 2)] + "." + _DECIMAL[u(start + 3)]
-    six = lambda start: np.array([None if x is None else str(ipaddress.IPv6Address(x)) for x in f.cut(is6, start, 16)] or none, object)
-    mac = lambda start: [None if x is None else x.hex(":") for x in f.cut(eth, start, 6)]
-    a4, b4, a6, b6, spa, tpa = dotted(ETH + 12), dotted(ETH + 16), six(ETH + 8), six(ETH + 24), dotted(ETH + 14), dotted(ETH + 24)
+    @cache
+    def checksums() -> tuple[np.ndarray, np.ndarray]:
+        bad4 = is4 & (u(ETH + 10, 2) != 0)
+        bad4 &= _folds_wrong(f.sums(ETH, np.where(bad4, ihl, 0), bad4))
+        summed = has & ~split & (((proto == 6) & (length >= 18)) | ((proto == 17) & (length >= 8)))
+        field = np.where(proto == 6, u(at + 16, 2), u(at + 6, 2))
+        check = summed & (field != 0)
+        pseudo = np.where(is4, sum(u(ETH + i, 2) for i in range(12, 20, 2)), sum(u(ETH + i, 2) for i in range(8, 40, 2))) + proto + (length >> 16) + (length & 0xFFFF)
+        return bad4, (check & _folds_wrong(f.sums(at, np.where(check, length, 0), check) + pseudo)) | (summed & (field == 0) & is6 & (proto == 17))
+
+    # Columns, each made when it is asked for.
     arped = arp == OK
-    bits = u(at + 13)
-    flags = _struct(is_tcp, kinds["tcp"].field("flags").type, [(bits >> i) & 1 for i in range(8)])
-    high, low = u(at + 4, 2), u(at + 6, 2)
-    type_ = u(at)
-    echo = np.isin(type_, (0, 8))
+    chosen = lambda mask, then, other: pc.if_else(pa.array(mask), then, other)
+    nothing = pa.scalar(None, pa.string())
+    octets = lambda table, start, k, by: pc.binary_join_element_wise(*[table.take(pa.array(u(start + i))) for i in range(k)], by)
+    dotted = cache(lambda start: octets(_DECIMAL, start, 4, "."))
+    six = cache(lambda start: pa.array([None if x is None else str(ipaddress.IPv6Address(x)) for x in f.cut(is6, start, 16)], pa.string()))
+    mac = lambda start: chosen(eth, octets(_HEX, start, 6, ":"), nothing)
+    host = cache(lambda x4, x6: chosen(is4, dotted(ETH + x4), six(ETH + x6)))
+    number = lambda v: pa.array(v, pa.int64(), mask=~ports).cast(pa.int32())
     optional = lambda mask, v: pa.array(v, mask=~mask)
-    detail = _struct(is_icmp & (length >= 8), kinds["icmp"].field("detail").type, [
-        np.select([type_ == 0, type_ == 3, type_ == 8], ["EchoReply", "DestinationUnreachable", "EchoRequest"], "Other").astype(object),
-        optional(echo, high).cast(pa.int32()), optional(echo, low).cast(pa.int32()), optional(type_ == 3, low).cast(pa.int32()), optional(~echo & (type_ != 3), u(at + 4, 4))])
-    layers = {
-        "eth": _struct(eth, kinds["eth"], [mac(0), mac(6), kind]),
-        "arp": _struct(arped, kinds["arp"], [u(ETH + 6, 2), spa, tpa]),
-        "ipv4": _struct(is4, kinds["ipv4"], [a4, b4, u(ETH + 9), u(ETH + 8), u(ETH + 4, 2), u(ETH + 1) >> 2, u(ETH + 1) & 3, frag >> 14 & 1, frag & 0x1FFF, frag >> 13 & 1, u(ETH + 10, 2)]),
-        "ipv6": _struct(is6, kinds["ipv6"], [a6, b6, u(ETH + 6), u(ETH, 2) >> 4 & 255, u(ETH, 4) & 0xFFFFF, u(ETH + 7)]),
-        "tcp": _struct(is_tcp, kinds["tcp"], [src, dst, u(at + 4, 4), u(at + 8, 4), head // 4, flags, bits, u(at + 14, 2)]),
-        "udp": _struct(is_udp, kinds["udp"], [src, dst, u(at + 4, 2)]),
-        "icmp": _struct(is_icmp, kinds["icmp"], [type_, u(at + 1), detail]),
-        **layers_app,
-    }
+
+    def shown(x4: int, x6: int, xa: int, port: np.ndarray) -> pa.Array:
+        alone = chosen(is6, pc.binary_join_element_wise("[", six(ETH + x6), "]", ""), chosen(is4, dotted(ETH + x4), chosen(arped, dotted(ETH + xa), "")))
+        return chosen(ports, pc.binary_join_element_wise(alone, pa.array(port).cast(pa.string()), ":"), alone)
+
+    def stream_key() -> pa.Array:
+        ends = []
+        for x4, x6, port in ((12, 8, src), (16, 24, dst)):
+            four = f.eight(ETH + x4) & _FIRST_BYTES[4]
+            ends.append((np.where(is4, four, f.eight(ETH + x6)).byteswap(), np.where(is4, np.uint64(0), f.eight(ETH + x6 + 8)).byteswap(), port))
+        (a1, a2, p), (b1, b2, q) = ends
+        swap = (a1 > b1) | ((a1 == b1) & ((a2 > b2) | ((a2 == b2) & (p > q))))
+        out = np.zeros(rows, _KEY)
+        out["family"], out["proto"] = np.where(is4, 4, 6), np.where(is4, u(ETH + 9), u(ETH + 6))
+        for low, high, x, y in (("a1", "b1", a1, b1), ("a2", "b2", a2, b2), ("p", "q", p, q)):
+            out[low], out[high] = np.where(swap, y, x), np.where(swap, x, y)
+        whole = pa.Array.from_buffers(pa.binary(_KEY.itemsize), rows, [None, pa.py_buffer(out.tobytes())]).cast(pa.binary())
+        return chosen(ports, whole, pa.scalar(None, pa.binary()))
+
+    def tcp_layer() -> pa.Array:
+        bits = u(at + 13)
+        flags = _struct(is_tcp, kinds["tcp"].field("flags").type, [(bits >> i) & 1 for i in range(8)])
+        return _struct(is_tcp, kinds["tcp"], [src, dst, u(at + 4, 4), u(at + 8, 4), head // 4, flags, bits, u(at + 14, 2)])
+
+    def icmp_layer() -> pa.Array:
+        type_, high, low = u(at), u(at + 4, 2), u(at + 6, 2)
+        echo = np.isin(type_, (0, 8))
+        detail = _struct(is_icmp & (length >= 8), kinds["icmp"].field("detail").type, [
+            np.select([type_ == 0, type_ == 3, type_ == 8], ["EchoReply", "DestinationUnreachable", "EchoRequest"], "Other").astype(object),
+            optional(echo, high).cast(pa.int32()), optional(echo, low).cast(pa.int32()), optional(type_ == 3, low).cast(pa.int32()), optional(~echo & (type_ != 3), u(at + 4, 4))])
+        return _struct(is_icmp, kinds["icmp"], [type_, u(at + 1), detail])
+
     present = {"eth": eth, "arp": arped, "ipv4": is4, "ipv6": is6, "tcp": is_tcp, "udp": is_udp, "icmp": is_icmp, "dns": dns_full, "tls_client_hello": client, "tls_server_hello": server, "http": http}
-    protocol = np.where(eth, "Unknown", None).astype(object)
-    for name, mask in list(present.items())[1:]:
-        protocol[mask] = LAYER_NAMES[name]
-
-    whole, past, app_end = size + ETH, at + length, app + n
-    issues = []
-    for s, layer, until in ((arp, ETH, whole), (v4, ETH, whole), (v6, ETH, whole)):
-        issues += [(s == CUT, "truncated", until), (s == MALFORMED, "malformed", layer)]
-    issues += [(ip & (size < declared), "truncated", whole), (bad4, "checksum_mismatch", ETH)]
-    for s in (tcp, udp, icmp):
-        issues += [(s == CUT, "truncated", past), (s == MALFORMED, "malformed", at)]
-    issues += [(bad, "checksum_mismatch", at), (tls_short | dns_short, "truncated", app_end)]
-    spans = [(eth, 0, ETH), (arped, ETH, 28), (ip, ETH, at - ETH), (ports, at, head), (is_icmp, at, np.where(length >= 8, 8, 4)), (dns_full | hello | http, app, n)]
-
-    source, destination, src_ip, dst_ip = (np.full(rows, "", object), np.full(rows, "", object), np.full(rows, None, object), np.full(rows, None, object))
-    suffix = lambda p: np.where(ports, np.array([f":{x}" for x in p.tolist()] or none, object), "").astype(object)
-    for shown, host, x4, x6, xa, p in ((source, src_ip, a4, a6, spa, src), (destination, dst_ip, b4, b6, tpa, dst)):
-        tail = suffix(p)
-        shown[arped] = xa[arped]
-        shown[is4] = x4[is4] + tail[is4]
-        shown[is6] = "[" + x6[is6] + "]" + tail[is6]
-        host[is4], host[is6] = x4[is4], x6[is6]
-    ends = [f.cut(ports, np.where(is4, ETH + x, ETH + y), np.where(is4, 4, 16)) for x, y in ((12, 8), (16, 24))]
-    keys = []
-    for m, four, x, y, p, q, k in zip(ports.tolist(), is4.tolist(), *ends, src.tolist(), dst.tolist(), np.where(is4, u(ETH + 9), u(ETH + 6)).tolist(), strict=True):
-        pair = sorted(((x, p), (y, q))) if m else ()
-        keys.append({"lo": {"family": 4 if four else 6, "addr": pair[0][0], "port": pair[0][1]}, "hi": {"family": 4 if four else 6, "addr": pair[1][0], "port": pair[1][1]}, "proto": k} if m else None)
-    number = lambda v: pa.array(v, pa.int64(), mask=~ports).cast(pa.int32())
-    text = lambda v: pa.array(v.tolist(), pa.string())
-    out = {
-        "decode_error": pa.array([None if e else "truncated Ethernet header" for e in eth.tolist()], pa.string()), "protocol": text(protocol), "source": text(source), "destination": text(destination),
-        "src_ip": text(src_ip), "dst_ip": text(dst_ip), "src_port": number(src), "dst_port": number(dst),
-        "payload_at": number(app), "payload_len": number(n),
-        "layer_names": _lists(list(present.values()), pa.string(), [[LAYER_NAMES[k] for k in present]]),
-        "spans": _lists([m for m, _, _ in spans], kinds["spans"].value_type, [[x for _, x, _ in spans], [x for _, _, x in spans]]),
-        "issues": _lists([m for m, _, _ in issues], kinds["issues"].value_type, [[k for _, k, _ in issues], [o for _, _, o in issues]]),
-        "stream_key": pa.array(keys, kinds["stream_key"]), **layers,
+
+    def protocol() -> pa.Array:
+        which = np.full(rows, -1)
+        for k, mask in enumerate(present.values()):
+            which[mask] = k
+        names = ["Unknown", *list(LAYER_NAMES.values())[1:]]
+        return pa.array(names).take(pa.array(which, mask=which < 0))
+
+    def issues() -> pa.Array:
+        whole, past, app_end = size + ETH, at + length, app + n
+        bad4, bad = checksums()
+        dns_short = np.array([bool(m and m["short"]) for m in messages()], bool) | (dns & ~dns_full)
+        found = []
+        for s, layer, until in ((arp, ETH, whole), (v4, ETH, whole), (v6, ETH, whole)):
+            found += [(s == CUT, "truncated", until), (s == MALFORMED, "malformed", layer)]
+        found += [(ip & (size < declared), "truncated", whole), (bad4, "checksum_mismatch", ETH)]
+        for s in (tcp, udp, icmp):
+            found += [(s == CUT, "truncated", past), (s == MALFORMED, "malformed", at)]
+        found += [(bad, "checksum_mismatch", at), (tls_short | dns_short, "truncated", app_end)]
+        return _lists([m for m, _, _ in found], kinds["issues"].value_type, [[k for _, k, _ in found], [np.asarray(o) for _, _, o in found]])
+
+    def spans() -> pa.Array:
+        found = [(eth, 0, ETH), (arped, ETH, 28), (ip, ETH, at - ETH), (ports, at, head), (is_icmp, at, np.where(length >= 8, 8, 4)), (dns_full | hello | http, app, n)]
+        return _lists([m for m, _, _ in found], kinds["spans"].value_type, [[np.asarray(x) for _, x, _ in found], [np.asarray(x) for _, _, x in found]])
+
+    make = {
+        "decode_error": lambda: pa.array(["truncated Ethernet header"]).take(pa.array(np.zeros(rows, np.int64), mask=eth)), "protocol": protocol,
+        "source": lambda: shown(12, 8, 14, src), "destination": lambda: shown(16, 24, 24, dst), "src_ip": lambda: host(12, 8), "dst_ip": lambda: host(16, 24), "src_port": lambda: number(src), "dst_port": lambda: number(dst),
+        "payload_at": lambda: number(app), "payload_len": lambda: number(n), "layer_names": lambda: _lists(list(present.values()), pa.string(), [[LAYER_NAMES[k] for k in present]]),
+        "spans": spans, "issues": issues, "stream_key": stream_key,
+        "eth": lambda: _struct(eth, kinds["eth"], [mac(0), mac(6), kind]), "arp": lambda: _struct(arped, kinds["arp"], [u(ETH + 6, 2), dotted(ETH + 14), dotted(ETH + 24)]),
+        "ipv4": lambda: _struct(is4, kinds["ipv4"], [dotted(ETH + 12), dotted(ETH + 16), u(ETH + 9), u(ETH + 8), u(ETH + 4, 2), u(ETH + 1) >> 2, u(ETH + 1) & 3, frag >> 14 & 1, frag & 0x1FFF, frag >> 13 & 1, u(ETH + 10, 2)]),
+        "ipv6": lambda: _struct(is6, kinds["ipv6"], [six(ETH + 8), six(ETH + 24), u(ETH + 6), u(ETH, 2) >> 4 & 255, u(ETH, 4) & 0xFFFFF, u(ETH + 7)]),
+        "tcp": tcp_layer, "udp": lambda: _struct(is_udp, kinds["udp"], [src, dst, u(at + 4, 2)]), "icmp": icmp_layer,
+        "dns": lambda: pa.array(messages(), kinds["dns"]), "tls_client_hello": lambda: pa.array(decode(client, wire.client_hello), kinds["tls_client_hello"]),
+        "tls_server_hello": lambda: pa.array(decode(server, wire.server_hello), kinds["tls_server_hello"]), "http": lambda: pa.array(decode(http, wire.http_head), kinds["http"]),
     }
-    return [out[k] for k in PACKET]
+    return [make[k]() for k in wanted]
 
 
-def _run(given: list[str], kinds: dict[str, pa.DataType]):
+def _run(given: list[str], kinds: dict[str, pa.DataType], wanted: list[str]):
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in given), *(a.cast(k) for a, k in zip(_decoded(b, kinds), kinds.values(), strict=True))], [*given, *kinds])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in given), *(a.cast(kinds[k]) for k, a in zip(wanted, _decoded(b, kinds, wanted), strict=True))], [*given, *wanted])
 
     return run
 
 
-def dissect(frames: DataFrame) -> DataFrame:
+def dissect(frames: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
     """Packets of frames (which have a binary column `data`): the frames' other columns, then those
-    of PACKET. decode_error is set, with no layer, if even the Ethernet header is cut or
-    missing. Issues stand in the order in which a decoder meets them."""
+    of PACKET; or those of `columns` alone, of which the others are neither read nor decoded.
+
+    decode_error is set, with no layer, if even the Ethernet header is cut or missing. Issues
+    stand in the order in which a decoder meets them."""
     from pyspark.sql.pandas.types import to_arrow_type
 
-    given = [c for c in frames.columns if c != "data"]
+    asked = None if columns is None else set(columns)
+    if asked is not None and (unknown := asked - set(PACKET) - set(frames.columns)):
+        raise ValueError(f"no such columns: {', '.join(sorted(unknown))}")
+    given = [c for c in frames.columns if c != "data" and (asked is None or c in asked)]
+    wanted = [k for k in PACKET if asked is None or k in asked]
     types = {k: T._parse_datatype_string(v) for k, v in PACKET.items()}
-    schema = T.StructType([*(frames.schema[c] for c in given), *(T.StructField(k, v) for k, v in types.items())])
-    return frames.mapInArrow(_run(given, {k: to_arrow_type(v) for k, v in types.items()}), schema)
+    schema = T.StructType([*(frames.schema[c] for c in given), *(T.StructField(k, types[k]) for k in wanted)])
+    return frames.select(*given, "data").mapInArrow(_run(given, {k: to_arrow_type(v) for k, v in types.items()}, wanted), schema)
 
 
 def ipv6_text(address: Column) -> Column:
     """RFC 5952 text of 16 bytes: the longest run of zero groups, the first of equals, is ::"""
     groups = F.array(*[F.lower(F.conv(F.hex(F.substring(address, 2 * i + 1, 2)), 16, 16)) for i in range(8)])
-    full = F.array_join(groups, ":")
-    short = full
-    for k in range(2, 9):  # later ones win, so longer runs do
-        run = rf"^(.*?)(^|:)0(:0){{{k - 1}}}(:|$)(.*)$"
-        short = F.when(full.rlike(run), F.regexp_replace(full, run, "$1::$5")).otherwise(short)
+
+    def shortened(full: Column) -> Column:
+        short = full
+        for k in range(2, 9):  # later ones win, so longer runs do
+            run = rf"^(.*?)(^|:)0(:0){{{k - 1}}}(:|$)(.*)$"
+            short = F.when(full.rlike(run), F.regexp_replace(full, run, "$1::$5")).otherwise(short)
+        return short
+
+    # A variable of a lambda stands for the full text, which so is worked out once.
+    short = F.get(F.transform(F.array(F.array_join(groups, ":")), shortened), F.lit(0))
     mapped = F.concat(F.lit("::ffff:"), F.concat_ws(".", *[F.conv(F.hex(F.substring(address, 13 + i, 1)), 16, 10) for i in range(4)]))
     return F.when(F.hex(F.substring(address, 1, 12)) == "0" * 20 + "FFFF", mapped).otherwise(short)

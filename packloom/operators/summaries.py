@@ -43,7 +43,7 @@ def port_counts(packets: DataFrame) -> DataFrame:
 def capture_stats(packets: DataFrame) -> DataFrame:
     """Packets, streams and the time that they span, from the least to the largest timestamp."""
     return packets.agg(
-        F.count(F.lit(1)).alias("packet_count"), F.count_distinct("stream_key").alias("stream_count"), F.min("ts_ns").alias("first_ns"), F.max("ts_ns").alias("last_ns"),
+        F.count(F.lit(1)).alias("packet_count"), F.count_distinct("capture", "stream_key").alias("stream_count"), F.min("ts_ns").alias("first_ns"), F.max("ts_ns").alias("last_ns"),
         ((F.max("ts_ns") - F.min("ts_ns")) / 1e9).alias("duration_s"),
     )
 
@@ -52,12 +52,12 @@ def capture_summary(packets: DataFrame) -> DataFrame:
     """As capture_stats, but with the timestamps of the first and last packet that have one."""
     first = F.expr("min_by(ts_ns, packet_index) filter (where ts_ns is not null)")
     last = F.expr("max_by(ts_ns, packet_index) filter (where ts_ns is not null)")
-    return packets.agg(F.count(F.lit(1)).alias("packet_count"), F.count_distinct("stream_key").alias("stream_count"), first.alias("first_ns"), last.alias("last_ns"), F.greatest(F.lit(0), F.call_function("div", last - first, F.lit(1_000_000))).cast("long").alias("duration_ms"))
+    return packets.agg(F.count(F.lit(1)).alias("packet_count"), F.count_distinct("capture", "stream_key").alias("stream_count"), first.alias("first_ns"), last.alias("last_ns"), F.greatest(F.lit(0), F.call_function("div", last - first, F.lit(1_000_000))).cast("long").alias("duration_ms"))
 
 
 def decode_issues(packets: DataFrame, kind: str | None = None) -> DataFrame:
-    """One row per issue: packet_index, kind, offset, and its place in the packet."""
-    out = packets.select("packet_index", F.posexplode("issues").alias("place", "issue")).select("packet_index", F.col("place").cast("int").alias("place"), F.col("issue.kind").alias("kind"), F.col("issue.offset").alias("offset"))
+    """One row per issue: capture, packet_index, kind, offset, and its place in the packet."""
+    out = packets.select("capture", "packet_index", F.posexplode("issues").alias("place", "issue")).select("capture", "packet_index", F.col("place").cast("int").alias("place"), F.col("issue.kind").alias("kind"), F.col("issue.offset").alias("offset"))
     return out if kind is None else out.filter(equals_ascii(F.col("kind"), kind))
 
 
@@ -75,6 +75,10 @@ def describe_capture(packets: DataFrame) -> dict:
     }
 
 
+#: Columns of packets that search() reads, beside those of its filter.
+SEARCHED = ["protocol", "source", "destination", "src_port", "dst_port", "issues", "layer_names"]
+
+
 def page(df: DataFrame, order: list, offset: int = 0, limit: int = FIRST_ROWS) -> DataFrame:
     """Rows offset .. offset + limit of an order; no more than MOST_ROWS at a time."""
     return df.orderBy(*order).offset(offset).limit(min(limit, MOST_ROWS))
@@ -101,24 +105,29 @@ def search(
     return packets if matching is None else packets.filter(matching)
 
 
-def compare(a: DataFrame, b: DataFrame) -> DataFrame:
+#: What captures are compared by, and the columns of packets that compare() and compare_deltas() read.
+KINDS = ("host", "protocol", "port")
+COMPARED = ["capture", "protocol", "source", "destination", "stream_key"]
+
+
+def compare(a: DataFrame, b: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
     """Hosts, protocols and ports that one of two captures alone has: kind, side (only_a or
-    only_b), key, packets. One full outer join on counts finds both sides."""
+    only_b), key, packets. One aggregate over the keys of both."""
 
-    def counted(p: DataFrame) -> DataFrame:
-        hosts = host_counts(p).select(F.lit("host").alias("kind"), F.col("host").alias("key"), "packets")
-        protocols = protocol_counts(p).select(F.lit("protocol").alias("kind"), F.col("protocol").alias("key"), "packets")
-        ports = port_counts(p).select(F.lit("port").alias("kind"), F.col("port").cast("string").alias("key"), "packets")
-        return hosts.unionByName(protocols).unionByName(ports)
+    def keys(p: DataFrame, in_a: int) -> DataFrame:
+        ends = [F.col("source"), F.col("destination")]
+        of = {"protocol": [F.col("protocol")], "host": [F.when(e != "", host_of(e)) for e in ends], "port": [port_of(e).cast("string") for e in ends]}
+        each = F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("key")) for k in kinds for c in of[k]])
+        return p.select(F.explode(each).alias("k"), F.lit(in_a).alias("in_a")).select("k.*", "in_a").filter("key is not null")
 
-    both = counted(a).withColumnRenamed("packets", "in_a").join(counted(b).withColumnRenamed("packets", "in_b"), ["kind", "key"], "full")
-    alone = both.filter("in_a is null or in_b is null")
-    return alone.select("kind", F.when(F.col("in_b").isNull(), "only_a").otherwise("only_b").alias("side"), "key", F.coalesce("in_a", "in_b").alias("packets"))
+    counts = keys(a, 1).unionByName(keys(b, 0)).groupBy("kind", "key").agg(F.sum("in_a").alias("in_a"), F.count(F.lit(1)).alias("packets"))
+    alone = counts.filter("in_a = 0 or in_a = packets")
+    return alone.select("kind", F.when(F.col("in_a") > 0, "only_a").otherwise("only_b").alias("side"), "key", "packets")
 
 
 def compare_deltas(a: DataFrame, b: DataFrame) -> DataFrame:
     """Packets and streams of b less those of a."""
-    one = lambda p, s: p.agg(F.count(F.lit(1)).alias(f"packets_{s}"), F.count_distinct("stream_key").alias(f"streams_{s}"))
+    one = lambda p, s: p.agg(F.count(F.lit(1)).alias(f"packets_{s}"), F.count_distinct("capture", "stream_key").alias(f"streams_{s}"))
     return one(a, "a").crossJoin(F.broadcast(one(b, "b"))).select("packets_a", "packets_b", (F.col("packets_b") - F.col("packets_a")).alias("packet_delta"), "streams_a", "streams_b", (F.col("streams_b") - F.col("streams_a")).alias("stream_delta"))
 
 

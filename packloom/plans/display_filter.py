@@ -16,6 +16,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.scalars import fold_ascii
+from ..operators.dissect import LAYERS
 
 DEPTH = 128
 # Protocols and fields that filters know, with the fields' types.
@@ -32,6 +33,7 @@ FIELDS = {
     "tls.sni": ("str", "tls_client_hello.sni"), "tls.handshake.type": ("int", "case when tls_client_hello is not null then 1 when tls_server_hello is not null then 2 end"), "tls.record_version": ("int", "coalesce(tls_client_hello.record_version, tls_server_hello.record_version)"), "tls.client_version": ("int", "tls_client_hello.client_version"), "tls.selected_version": ("int", "tls_server_hello.selected_version"), "tls.cipher_suite": ("int", "tls_server_hello.cipher_suite"),
     "http.method": ("str", "http.method"), "http.uri": ("str", "http.uri"), "http.host": ("str", "http.host"), "http.content_type": ("str", "http.content_type"), "http.status_code": ("int", "http.status_code"),
 }
+_COLUMNS = {*LAYERS, "orig_len", "cap_len", "src_ip", "dst_ip", "stream_id"}
 COMPARISONS = {"==", "!=", ">", "<", ">=", "<="}
 WORDS = {*PROTOCOLS, "and", "or", "not", "contains", "matches", "port", "src", "dst", "host", "true", "false"}
 
@@ -278,6 +280,19 @@ def display_filter(text: str) -> Column:
     return _parsed(text)[0](False)
 
 
+def filter_columns(text: str) -> set[str]:
+    """The columns of packets that the filter reads."""
+    out: set[str] = set()
+    for t in tokens(text):
+        if t.value in PROTOCOLS and t.kind == "word":
+            out.update(PROTOCOLS[t.value])
+        elif t.kind == "word":
+            out.update({"port": ("src_port", "dst_port"), "src": ("src_ip",), "dst": ("dst_ip",), "host": ("src_ip", "dst_ip")}.get(t.value, ()))
+        elif t.kind == "name" and t.value in FIELDS:
+            out.update(m for m in re.findall(r"(?<![\w.])[a-z]\w*", FIELDS[t.value][1]) if m in _COLUMNS)
+    return out
+
+
 def unknown_fields(text: str) -> list[str]:
     """Names in the filter that are no fields, in order; they never match."""
     return _parsed(text)[1]

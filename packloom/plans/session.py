@@ -59,7 +59,8 @@ class Sessions:
         if len(self.open) >= self.most:
             raise SessionError(f"at most {self.most} captures can be open")
         frames = summaries.check_limit(frames, None if max_packets is None else min(max_packets, MOST_PACKETS))
-        packets = streams.with_stream_id(dissect(streams.with_packet_index(frames))).persist()
+        packets = dissect(streams.with_packet_index(frames))
+        packets = streams.with_stream_id(streams.narrow(packets, packets.columns)).persist()
         name = uuid.uuid4().hex
         self.open[name] = Capture(packets, frames, self.clock())
         return name
@@ -138,7 +139,7 @@ class Sessions:
     def get_stream_payload(self, session: str, stream_id: int) -> DataFrame:
         """Payload segments of a TCP conversation by direction and sequence number."""
         capture = self._get(session)
-        sent = capture.packets.filter((F.col("stream_id") == stream_id) & (F.col("payload_len") > 0))
+        sent = capture.packets.filter((F.col("stream_id") == stream_id) & (F.col("payload_len") > 0)).select("capture", "frame_no", "packet_index", "stream_key", "src_ip", "tcp", "payload_at", "payload_len")
         data = capture.frames.select("capture", "frame_no", "data")
         return reassemble(sent.join(data, ["capture", "frame_no"]).withColumn("payload", F.expr("substring(data, payload_at + 1, payload_len)")))
 

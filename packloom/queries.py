@@ -16,7 +16,8 @@ from .functions import scalars
 from .operators import audit, streams, summaries
 from .operators.dissect import dissect
 from .plans.display_filter import display_filter
-from .sources.derived import frames_from_events
+from .plans.display_filter import filter_columns
+from .sources.derived import frames_from_events, odd_frames_from_events
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -54,18 +55,38 @@ tracked AS (SELECT keyed.*, s.stream_id FROM keyed LEFT JOIN s USING (skey))
 """
 
 
-def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: The second capture (odd_frames_from_events).
+ODD = """
+WITH e AS (SELECT event_id AS i, epoch_us(CAST(ts AS TIMESTAMP)) AS us, user_id AS u, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k FROM events),
+t AS (SELECT i AS packet_index, i, us, u, k, i % 16 AS part, 17664 + 20 + 8 + 12 + length(concat('h', k)) + 14 + 4 + 28 + i % 65536 + 16384 + 16401 + 49152 + u % 65536 + 49152 + 513 AS total FROM e),
+c AS (SELECT *, 65535 - CASE WHEN total % 65535 = 0 THEN 65535 ELSE total % 65535 END AS right_sum FROM t),
+o AS (SELECT *, CASE WHEN part = 7 THEN CASE WHEN k % 3 = 0 THEN 4660 ELSE right_sum END ELSE 0 END AS header_sum,
+    CASE WHEN part >= 8 THEN 'truncated' WHEN part = 7 AND k % 3 = 0 AND right_sum <> 4660 THEN 'checksum_mismatch' END AS issue, CASE WHEN part >= 8 THEN 'Unknown' END AS unknown FROM c)
+"""
+
+
+def packets(spark: SparkSession, sf_dir: str, needs: str | None = None) -> DataFrame:
+    """Packets of the derived capture; needs: the columns that are decoded, all if it is None."""
     frames = frames_from_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
-    return dissect(streams.with_packet_index(frames))
+    return dissect(frames, needs.split() if needs is not None else None)
+
+
+def odd_packets(spark: SparkSession, sf_dir: str, needs: str) -> DataFrame:
+    return dissect(odd_frames_from_events(spark.read.parquet(f"{sf_dir}/events.parquet")), needs.split())
 
 
-def _query(name: str, sql: str | None):
-    """Registers a function of packets as a query; `sql` continues PACKETS."""
+def _query(name: str, sql: str | None, needs: str | None = None, source=packets, start: str = PACKETS, twice: bool = False):
+    """Registers a function of packets as a query; `sql` continues `start`. needs: the columns of
+    packets that it reads; twice: whether it reads them more than once."""
 
     def register(make: Callable[[DataFrame], DataFrame]):
-        QUERIES[name] = lambda spark, sf_dir: make(packets(spark, sf_dir))
+        def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+            p = source(spark, sf_dir, needs)
+            return make(streams.narrow(p, p.columns) if twice else p)
+
+        QUERIES[name] = query
         if sql is not None:
-            ORACLE_SQL[name] = PACKETS + sql
+            ORACLE_SQL[name] = start + sql
         return make
 
     return register
@@ -81,48 +102,44 @@ def _line(values: Column) -> Column:
 
 # ---- decoding
 
-_query("decode_eth_ipv4", "SELECT packet_index, 2048 AS ether_type, src_ip AS source, dst_ip AS destination, proto AS protocol, ttl, ident AS identification, true AS dont_fragment, false AS more_fragments, 0 AS fragment_offset, 0 AS header_checksum FROM q WHERE kind = 'v4'")(
+_query("decode_eth_ipv4", "SELECT packet_index, 2048 AS ether_type, src_ip AS source, dst_ip AS destination, proto AS protocol, ttl, ident AS identification, true AS dont_fragment, false AS more_fragments, 0 AS fragment_offset, 0 AS header_checksum FROM q WHERE kind = 'v4'", "packet_index eth ipv4")(
     lambda p: p.filter("ipv4 is not null").select("packet_index", "eth.ether_type", "ipv4.source", "ipv4.destination", "ipv4.protocol", "ipv4.ttl", "ipv4.identification", "ipv4.dont_fragment", "ipv4.more_fragments", "ipv4.fragment_offset", "ipv4.header_checksum")
 )
-_query("decode_ipv6_base", "SELECT packet_index, src_ip AS source, dst_ip AS destination, proto AS next_header, 0 AS traffic_class, 0 AS flow_label, ttl AS hop_limit FROM q WHERE kind = 'v6'")(
+_query("decode_ipv6_base", "SELECT packet_index, src_ip AS source, dst_ip AS destination, proto AS next_header, 0 AS traffic_class, 0 AS flow_label, ttl AS hop_limit FROM q WHERE kind = 'v6'", "packet_index ipv6")(
     lambda p: p.filter("ipv6 is not null").select("packet_index", "ipv6.*")
 )
-_query("decode_tcp", "SELECT packet_index, src_port, dst_port, seq, 0 AS ack, 5 AS data_offset, flags AS flag_bits, flags & 2 = 2 AS syn, flags & 4 = 4 AS rst, 1024 AS window_size FROM q WHERE ip AND proto = 6")(
+_query("decode_tcp", "SELECT packet_index, src_port, dst_port, seq, 0 AS ack, 5 AS data_offset, flags AS flag_bits, flags & 2 = 2 AS syn, flags & 4 = 4 AS rst, 1024 AS window_size FROM q WHERE ip AND proto = 6", "packet_index tcp")(
     lambda p: p.filter("tcp is not null").select("packet_index", "tcp.src_port", "tcp.dst_port", "tcp.seq", "tcp.ack", "tcp.data_offset", "tcp.flag_bits", "tcp.flags.syn", "tcp.flags.rst", F.col("tcp.window").alias("window_size"))
 )
-_query("decode_udp", "SELECT packet_index, src_port, dst_port, n + 8 AS length FROM q WHERE ip AND proto = 17")(lambda p: p.filter("udp is not null").select("packet_index", "udp.*"))
-_query("decode_arp", "SELECT packet_index, 1 AS operation, c4 AS sender, s4 AS target FROM q WHERE kind = 'arp'")(lambda p: p.filter("arp is not null").select("packet_index", "arp.*"))
+_query("decode_udp", "SELECT packet_index, src_port, dst_port, n + 8 AS length FROM q WHERE ip AND proto = 17", "packet_index udp")(lambda p: p.filter("udp is not null").select("packet_index", "udp.*"))
+_query("decode_arp", "SELECT packet_index, 1 AS operation, c4 AS sender, s4 AS target FROM q WHERE kind = 'arp'", "packet_index arp")(lambda p: p.filter("arp is not null").select("packet_index", "arp.*"))
 _query(
     "decode_http",
     """SELECT packet_index, up AS is_request, CASE WHEN up THEN 'GET' END AS method, CASE WHEN up THEN concat('/p/', k) END AS uri, 'HTTP/1.1' AS version, CASE WHEN NOT up THEN CASE WHEN k % 7 = 0 THEN 404 ELSE 200 END END AS status_code,
-    CASE WHEN NOT up THEN CASE WHEN k % 7 = 0 THEN 'Not Found' ELSE 'OK' END END AS reason, CASE WHEN up THEN concat('u', u, '.example.com') END AS host, CASE WHEN NOT up THEN 'text/html' END AS content_type, CASE WHEN NOT up THEN k END AS content_length FROM q WHERE ip AND t = 'view'""",
-)(lambda p: _cast(p.filter("http is not null").select("packet_index", "http.*"), content_length="long"))
+    CASE WHEN NOT up THEN CASE WHEN k % 7 = 0 THEN 'Not Found' ELSE 'OK' END END AS reason, CASE WHEN up THEN concat('u', u, '.example.com') END AS host, CASE WHEN NOT up THEN 'text/html' END AS content_type, CASE WHEN NOT up THEN k END AS content_length FROM q WHERE ip AND t = 'view'""", "packet_index http")(lambda p: _cast(p.filter("http is not null").select("packet_index", "http.*"), content_length="long"))
 _query(
     "dns_message",
     """SELECT packet_index, ident AS transaction_id, NOT up AS is_response, 0 AS opcode, rcode, 1 AS question_count, CASE WHEN NOT up AND rcode = 0 THEN 1 ELSE 0 END AS answer_count,
     concat(CASE WHEN u % 25 = 0 THEN concat(repeat('x', 60), '.') ELSE '' END, 'k', k, '.u', u, '.example.com') AS query_name, CASE WHEN k % 5 = 0 THEN 16 ELSE 1 END AS query_type,
-    CASE WHEN NOT up AND rcode = 0 THEN concat('203.0.113.', k % 256) ELSE '' END AS answers FROM q WHERE ip AND t = 'signup'""",
-)(lambda p: p.filter("dns is not null").select("packet_index", *[f"dns.{c}" for c in ("transaction_id", "is_response", "opcode", "rcode", "question_count", "answer_count", "query_name", "query_type")], F.array_join(F.transform("dns.answers", scalars.answer_text), ",").alias("answers")))
+    CASE WHEN NOT up AND rcode = 0 THEN concat('203.0.113.', k % 256) ELSE '' END AS answers FROM q WHERE ip AND t = 'signup'""", "packet_index dns")(lambda p: p.filter("dns is not null").select("packet_index", *[f"dns.{c}" for c in ("transaction_id", "is_response", "opcode", "rcode", "question_count", "answer_count", "query_name", "query_type")], F.array_join(F.transform("dns.answers", scalars.answer_text), ",").alias("answers")))
 _query(
     "tls_hello",
     """SELECT packet_index, up AS client, CASE WHEN up THEN concat('s', k, '.example.net') END AS sni, CASE WHEN up THEN '4865,49199' ELSE '4865' END AS ciphers, CASE WHEN up THEN '772,771' ELSE '772' END AS versions,
-    CASE WHEN up THEN 'TLS 1.0' ELSE 'TLS 1.2' END AS record, CASE WHEN NOT up THEN 'x25519' END AS key_share FROM q WHERE ip AND t = 'click'""",
-)(lambda p: p.filter("protocol = 'TLS'").select(
+    CASE WHEN up THEN 'TLS 1.0' ELSE 'TLS 1.2' END AS record, CASE WHEN NOT up THEN 'x25519' END AS key_share FROM q WHERE ip AND t = 'click'""", "packet_index protocol tls_client_hello tls_server_hello")(lambda p: p.filter("protocol = 'TLS'").select(
     "packet_index", F.col("tls_client_hello").isNotNull().alias("client"), F.col("tls_client_hello.sni").alias("sni"), F.coalesce(_line(F.col("tls_client_hello.cipher_suites")), F.col("tls_server_hello.cipher_suite").cast("string")).alias("ciphers"),
     F.coalesce(_line(F.col("tls_client_hello.supported_versions")), F.col("tls_server_hello.selected_version").cast("string")).alias("versions"),
     scalars.name_of("tls_version", F.coalesce("tls_client_hello.record_version", "tls_server_hello.record_version")).alias("record"), scalars.name_of("named_group", F.col("tls_server_hello.key_share_group")).alias("key_share"),
 ))
-_query("decode_issues", "SELECT packet_index, 0 AS place, issue AS kind, issue_at AS \"offset\" FROM q WHERE issue IS NOT NULL")(summaries.decode_issues)
-_query("checksum_validation", "SELECT packet_index, issue_at AS \"offset\" FROM q WHERE issue = 'checksum_mismatch'")(lambda p: summaries.decode_issues(p, "CHECKSUM_MISMATCH").select("packet_index", "offset"))
-_query("layer_names", "SELECT packet_index, CASE WHEN kind = 'arp' THEN 'Ethernet,ARP' WHEN NOT ip THEN 'Ethernet' ELSE concat('Ethernet,', CASE kind WHEN 'v4' THEN 'IPv4' ELSE 'IPv6' END, CASE proto WHEN 6 THEN ',TCP' ELSE ',UDP' END, CASE WHEN protocol <> 'TCP' THEN ',' || protocol ELSE '' END) END AS layers FROM q")(
+_query("decode_issues", "SELECT packet_index, 0 AS place, issue AS kind, issue_at AS \"offset\" FROM q WHERE issue IS NOT NULL", "capture packet_index issues")(lambda p: summaries.decode_issues(p).drop("capture"))
+_query("checksum_validation", "SELECT packet_index, issue_at AS \"offset\" FROM q WHERE issue = 'checksum_mismatch'", "capture packet_index issues")(lambda p: summaries.decode_issues(p, "CHECKSUM_MISMATCH").select("packet_index", "offset"))
+_query("layer_names", "SELECT packet_index, CASE WHEN kind = 'arp' THEN 'Ethernet,ARP' WHEN NOT ip THEN 'Ethernet' ELSE concat('Ethernet,', CASE kind WHEN 'v4' THEN 'IPv4' ELSE 'IPv6' END, CASE proto WHEN 6 THEN ',TCP' ELSE ',UDP' END, CASE WHEN protocol <> 'TCP' THEN ',' || protocol ELSE '' END) END AS layers FROM q", "packet_index layer_names")(
     lambda p: p.select("packet_index", F.array_join("layer_names", ",").alias("layers"))
 )
 _query(
     "layer_spans",
     """SELECT packet_index, concat('0:14', CASE WHEN kind = 'arp' THEN ',14:28' WHEN NOT ip THEN '' ELSE concat(',14:', h, ',', 14 + h, ':', w, CASE WHEN n > 0 THEN concat(',', 14 + h + w, ':', n) ELSE '' END) END) AS spans
-    FROM (SELECT *, CASE kind WHEN 'v6' THEN 40 ELSE 20 END AS h, CASE proto WHEN 6 THEN 20 ELSE 8 END AS w FROM q)""",
-)(lambda p: p.select("packet_index", F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["offset"].cast("string"), s["len"].cast("string"))), ",").alias("spans")))
-_query("app_dispatch", "SELECT protocol, count(*) AS packets, sum(n) AS payload_bytes FROM q WHERE ip AND protocol <> 'TCP' GROUP BY protocol")(
+    FROM (SELECT *, CASE kind WHEN 'v6' THEN 40 ELSE 20 END AS h, CASE proto WHEN 6 THEN 20 ELSE 8 END AS w FROM q)""", "packet_index spans")(lambda p: p.select("packet_index", F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["offset"].cast("string"), s["len"].cast("string"))), ",").alias("spans")))
+_query("app_dispatch", "SELECT protocol, count(*) AS packets, sum(n) AS payload_bytes FROM q WHERE ip AND protocol <> 'TCP' GROUP BY protocol", "protocol layer_names spans")(
     lambda p: p.filter("size(layer_names) = 4").groupBy("protocol").agg(F.count(F.lit(1)).alias("packets"), F.sum(F.element_at("spans", -1)["len"].cast("long")).alias("payload_bytes"))
 )
 
@@ -148,49 +165,51 @@ FILTERS = {
     "nested": ("not not (udp or (tcp and (port 23 or port 445)))", "ip AND (proto = 17 OR 23 IN (src_port, dst_port) OR 445 IN (src_port, dst_port))"),
 }
 for _name, (_text, _where) in FILTERS.items():
-    _query(f"filter_{_name}", f"SELECT packet_index, protocol, source, destination FROM q WHERE {_where}")(lambda p, text=_text: p.filter(display_filter(text)).select(*_SHOWN))
-_query("filter_stream", "SELECT packet_index, protocol, source, destination FROM tracked WHERE proto = 6 AND stream_id < 40")(lambda p: streams.with_stream_id(p).filter(display_filter("tcp.stream < 40")).select(*_SHOWN))
+    _query(f"filter_{_name}", f"SELECT packet_index, protocol, source, destination FROM q WHERE {_where}", " ".join({*_SHOWN, *filter_columns(_text)}))(lambda p, text=_text: p.filter(display_filter(text)).select(*_SHOWN))
+_query("filter_stream", "SELECT packet_index, protocol, source, destination FROM tracked WHERE proto = 6 AND stream_id < 40", " ".join({*streams.STREAM_COLUMNS, *_SHOWN}), twice=True)(
+    lambda p: streams.with_stream_id(p).filter(display_filter("tcp.stream < 40")).select(*_SHOWN)
+)
 
 # ---- summaries
 
-_query("summary_rows", "SELECT packet_index, ts_ns, protocol, source, destination, cap_len, orig_len, issue IS NOT NULL AS has_issues FROM q")(lambda p: p.select("packet_index", "ts_ns", "protocol", "source", "destination", "cap_len", "orig_len", (F.size("issues") > 0).alias("has_issues")))
-_query("protocol_counts", "SELECT protocol, count(*) AS packets FROM q GROUP BY protocol")(summaries.protocol_counts)
-_query("protocol_percent", "SELECT protocol, count(*) AS packets, round(count(*) * 100.0 / sum(count(*)) OVER (), 6)::DOUBLE AS percent FROM q GROUP BY protocol")(lambda p: summaries.protocol_percent(p).withColumn("percent", F.round(F.col("percent").cast("double"), 6)))
+_query("summary_rows", "SELECT packet_index, ts_ns, protocol, source, destination, cap_len, orig_len, issue IS NOT NULL AS has_issues FROM q", "packet_index ts_ns protocol source destination cap_len orig_len issues")(lambda p: p.select("packet_index", "ts_ns", "protocol", "source", "destination", "cap_len", "orig_len", (F.size("issues") > 0).alias("has_issues")))
+_query("protocol_counts", "SELECT protocol, count(*) AS packets FROM q GROUP BY protocol", "protocol")(summaries.protocol_counts)
+_query("protocol_percent", "SELECT protocol, count(*) AS packets, round(count(*) * 100.0 / sum(count(*)) OVER (), 6)::DOUBLE AS percent FROM q GROUP BY protocol", "protocol")(lambda p: summaries.protocol_percent(p).withColumn("percent", F.round(F.col("percent").cast("double"), 6)))
 _ENDS = "ends AS (SELECT e AS endpoint FROM (SELECT source AS e FROM q UNION ALL SELECT destination FROM q) WHERE e <> '')"
-_query("endpoint_counts", f", {_ENDS} SELECT endpoint, count(*) AS packets FROM ends GROUP BY endpoint")(summaries.endpoint_counts)
-_query("top_endpoints", f", {_ENDS} SELECT endpoint, count(*) AS packets FROM ends GROUP BY endpoint ORDER BY packets DESC, endpoint LIMIT 10")(summaries.top_endpoints)
-_query("host_counts", ", h AS (SELECT coalesce(src_ip, CASE WHEN kind = 'arp' THEN c4 END) AS host FROM q UNION ALL SELECT coalesce(dst_ip, CASE WHEN kind = 'arp' THEN s4 END) FROM q) SELECT host, count(*) AS packets FROM h WHERE host IS NOT NULL GROUP BY host")(summaries.host_counts)
-_query("port_counts", ", h AS (SELECT src_port AS port FROM q UNION ALL SELECT dst_port FROM q) SELECT port, count(*) AS packets FROM h WHERE port IS NOT NULL GROUP BY port")(summaries.port_counts)
-_query("capture_stats", "SELECT count(*) AS packet_count, count(DISTINCT skey) AS stream_count, min(ts_ns) AS first_ns, max(ts_ns) AS last_ns, (max(ts_ns) - min(ts_ns)) / 1e9 AS duration_s FROM keyed")(summaries.capture_stats)
-_query("capture_summary", "SELECT count(*) AS packet_count, count(DISTINCT skey) AS stream_count, arg_min(ts_ns, packet_index) AS first_ns, arg_max(ts_ns, packet_index) AS last_ns, greatest(0, (arg_max(ts_ns, packet_index) - arg_min(ts_ns, packet_index)) // 1000000) AS duration_ms FROM keyed")(summaries.capture_summary)
-_query("issue_counts", "SELECT count(issue) AS issues, count(issue) AS packets_with_issues FROM q")(summaries.issue_total)
+_query("endpoint_counts", f", {_ENDS} SELECT endpoint, count(*) AS packets FROM ends GROUP BY endpoint", "source destination")(summaries.endpoint_counts)
+_query("top_endpoints", f", {_ENDS} SELECT endpoint, count(*) AS packets FROM ends GROUP BY endpoint ORDER BY packets DESC, endpoint LIMIT 10", "source destination")(summaries.top_endpoints)
+_query("host_counts", ", h AS (SELECT coalesce(src_ip, CASE WHEN kind = 'arp' THEN c4 END) AS host FROM q UNION ALL SELECT coalesce(dst_ip, CASE WHEN kind = 'arp' THEN s4 END) FROM q) SELECT host, count(*) AS packets FROM h WHERE host IS NOT NULL GROUP BY host", "source destination")(summaries.host_counts)
+_query("port_counts", ", h AS (SELECT src_port AS port FROM q UNION ALL SELECT dst_port FROM q) SELECT port, count(*) AS packets FROM h WHERE port IS NOT NULL GROUP BY port", "source destination")(summaries.port_counts)
+_query("capture_stats", "SELECT count(*) AS packet_count, count(DISTINCT skey) AS stream_count, min(ts_ns) AS first_ns, max(ts_ns) AS last_ns, (max(ts_ns) - min(ts_ns)) / 1e9 AS duration_s FROM keyed", "capture ts_ns stream_key")(summaries.capture_stats)
+_query("capture_summary", "SELECT count(*) AS packet_count, count(DISTINCT skey) AS stream_count, arg_min(ts_ns, packet_index) AS first_ns, arg_max(ts_ns, packet_index) AS last_ns, greatest(0, (arg_max(ts_ns, packet_index) - arg_min(ts_ns, packet_index)) // 1000000) AS duration_ms FROM keyed", "capture packet_index ts_ns stream_key")(summaries.capture_summary)
+_query("issue_counts", "SELECT count(issue) AS issues, count(issue) AS packets_with_issues FROM q", "issues")(summaries.issue_total)
 
 # ---- conversations
 
-_query("stream_ids", "SELECT packet_index, stream_id FROM tracked")(lambda p: streams.with_stream_id(p).select("packet_index", "stream_id"))
-_query("stream_metadata", "SELECT stream_id, packet_count, byte_count, first_seen_ns, last_seen_ns, tcp_flags_seen, syn_ack_seen, rst_count FROM s")(lambda p: streams.streams(p).select("stream_id", "packet_count", "byte_count", "first_seen_ns", "last_seen_ns", "tcp_flags_seen", "syn_ack_seen", "rst_count"))
-_query("stream_packets", "SELECT packet_index, source, destination, cap_len FROM tracked WHERE stream_id = 7")(lambda p: streams.stream_packets(p, 7).select("packet_index", "source", "destination", "cap_len"))
-_query("list_streams_page", "SELECT stream_id, CASE proto WHEN 6 THEN 'TCP' ELSE 'UDP' END AS protocol, packet_count, byte_count, greatest(0, (last_seen_ns - first_seen_ns) // 1000000) AS duration_ms FROM s ORDER BY stream_id LIMIT 50 OFFSET 20")(
+_query("stream_ids", "SELECT packet_index, stream_id FROM tracked", "capture packet_index ts_ns cap_len stream_key tcp", twice=True)(lambda p: streams.with_stream_id(p).select("packet_index", "stream_id"))
+_query("stream_metadata", "SELECT stream_id, packet_count, byte_count, first_seen_ns, last_seen_ns, tcp_flags_seen, syn_ack_seen, rst_count FROM s", "capture packet_index ts_ns cap_len stream_key tcp")(lambda p: streams.streams(p).select("stream_id", "packet_count", "byte_count", "first_seen_ns", "last_seen_ns", "tcp_flags_seen", "syn_ack_seen", "rst_count"))
+_query("stream_packets", "SELECT packet_index, source, destination, cap_len FROM tracked WHERE stream_id = 7", "capture packet_index ts_ns cap_len stream_key tcp source destination", twice=True)(lambda p: streams.stream_packets(p, 7).select("packet_index", "source", "destination", "cap_len"))
+_query("list_streams_page", "SELECT stream_id, CASE proto WHEN 6 THEN 'TCP' ELSE 'UDP' END AS protocol, packet_count, byte_count, greatest(0, (last_seen_ns - first_seen_ns) // 1000000) AS duration_ms FROM s ORDER BY stream_id LIMIT 50 OFFSET 20", "capture packet_index ts_ns cap_len stream_key tcp")(
     lambda p: summaries.page(streams.describe_streams(streams.streams(p)), ["stream_id"], 20, 50).select("stream_id", "protocol", "packet_count", "byte_count", "duration_ms")
 )
-_query("stream_endpoints", "SELECT stream_id, least(min(source), min(destination)) AS one, greatest(max(source), max(destination)) AS other FROM tracked WHERE stream_id IS NOT NULL GROUP BY stream_id")(
+_query("stream_endpoints", "SELECT stream_id, least(min(source), min(destination)) AS one, greatest(max(source), max(destination)) AS other FROM tracked WHERE stream_id IS NOT NULL GROUP BY stream_id", "capture packet_index ts_ns cap_len stream_key tcp")(
     lambda p: streams.describe_streams(streams.streams(p)).select("stream_id", F.least("endpoint_a", "endpoint_b").alias("one"), F.greatest("endpoint_a", "endpoint_b").alias("other"))
 )
 
 # ---- lists and searches
 
-_query("list_packets_page", "SELECT packet_index, protocol, source, destination FROM q ORDER BY packet_index LIMIT 1000 OFFSET 500")(lambda p: summaries.page(p, ["packet_index"], 500, 5000).select(*_SHOWN))
-_query("get_packet", "SELECT packet_index, protocol, source, destination FROM q WHERE packet_index = 42")(lambda p: p.filter("packet_index = 42").select(*_SHOWN))
-_query("search_cli", "SELECT packet_index, protocol, source, destination FROM q WHERE protocol IN ('DNS', 'TLS') AND source LIKE '%10.0.%' AND 'ethernet' LIKE '%net%'")(lambda p: summaries.search(p.filter("protocol in ('DNS', 'TLS')"), source="10.0.", text="NET").select(*_SHOWN))
-_query("search_exact", "SELECT packet_index, protocol, source, destination FROM q WHERE protocol = 'HTTP' AND 80 IN (src_port, dst_port) AND issue IS NULL")(lambda p: summaries.search(p, protocol="http", port=80, has_issues=False, exact=True).select(*_SHOWN))
-_query("search_with_filter", "SELECT packet_index, protocol, source, destination FROM q WHERE issue IS NOT NULL AND ip AND proto = 6")(lambda p: summaries.search(p, has_issues=True, matching=display_filter("tcp")).select(*_SHOWN))
+_query("list_packets_page", "SELECT packet_index, protocol, source, destination FROM q ORDER BY packet_index LIMIT 1000 OFFSET 500", "packet_index protocol source destination")(lambda p: summaries.page(p, ["packet_index"], 500, 5000).select(*_SHOWN))
+_query("get_packet", "SELECT packet_index, protocol, source, destination FROM q WHERE packet_index = 42", "packet_index protocol source destination")(lambda p: p.filter("packet_index = 42").select(*_SHOWN))
+_query("search_cli", "SELECT packet_index, protocol, source, destination FROM q WHERE protocol IN ('DNS', 'TLS') AND source LIKE '%10.0.%' AND 'ethernet' LIKE '%net%'", "packet_index protocol source destination layer_names")(lambda p: summaries.search(p.filter("protocol in ('DNS', 'TLS')"), source="10.0.", text="NET").select(*_SHOWN))
+_query("search_exact", "SELECT packet_index, protocol, source, destination FROM q WHERE protocol = 'HTTP' AND 80 IN (src_port, dst_port) AND issue IS NULL", "packet_index protocol source destination src_port dst_port issues")(lambda p: summaries.search(p, protocol="http", port=80, has_issues=False, exact=True).select(*_SHOWN))
+_query("search_with_filter", "SELECT packet_index, protocol, source, destination FROM q WHERE issue IS NOT NULL AND ip AND proto = 6", "packet_index protocol source destination issues tcp")(lambda p: summaries.search(p, has_issues=True, matching=display_filter("tcp")).select(*_SHOWN))
 
 # ---- audit
 
 _FINDING = ["id", "severity", "category", "title"]
 _AUDIT = {
-    "audit_decode_ratio": (audit.decode_issue_ratio, "SELECT 'decode-issues' AS id, 'high' AS severity, 'decode_issues' AS category, 'Decode issues affect a large share of packets' AS title FROM (SELECT count(issue) AS a, count(*) AS b FROM {src}) WHERE b > 0 AND a / b >= 0.5"),
-    "audit_unknown_ratio": (audit.unknown_ratio, "SELECT 'unknown-traffic' AS id, 'medium' AS severity, 'unknown_traffic' AS category, 'Unknown traffic dominates the capture' AS title FROM (SELECT count(*) FILTER (protocol = 'Unknown') AS a, count(*) AS b FROM {src}) WHERE b > 0 AND a / b >= 0.5"),
+    "audit_decode_ratio": (audit.decode_issue_ratio, "SELECT 'decode-issues' AS id, 'high' AS severity, 'decode_issues' AS category, 'Decode issues affect a large share of packets' AS title FROM (SELECT count(issue) AS a, count(*) AS b FROM o) WHERE b > 0 AND a / b >= 0.5"),
+    "audit_unknown_ratio": (audit.unknown_ratio, "SELECT 'unknown-traffic' AS id, 'medium' AS severity, 'unknown_traffic' AS category, 'Unknown traffic dominates the capture' AS title FROM (SELECT count(unknown) AS a, count(*) AS b FROM o) WHERE b > 0 AND a / b >= 0.5"),
     "audit_scan": (audit.scan_activity, "SELECT concat('scan-activity-', src_ip) AS id, 'high' AS severity, 'scan_activity' AS category, concat('Endpoint fan-out from ', src_ip, ' looks scan-like') AS title FROM q WHERE ip GROUP BY src_ip HAVING count(DISTINCT dst_ip) >= 5"),
     "audit_suspicious_ports": (audit.suspicious_ports, "SELECT concat('suspicious-port-', dst_port) AS id, 'medium' AS severity, 'suspicious_ports' AS category, concat('Traffic observed on suspicious destination port ', dst_port) AS title FROM q WHERE dst_port IN (23, 445, 2323, 3389, 5900) GROUP BY dst_port"),
     "audit_cleartext": (audit.cleartext, "SELECT concat('cleartext-', lower(n)) AS id, 'high' AS severity, 'cleartext_credentials' AS category, concat(n, ' traffic on port ', dst_port, ' may expose credentials in cleartext') AS title FROM (SELECT DISTINCT dst_port, CASE dst_port WHEN 23 THEN 'Telnet' ELSE 'HTTP' END AS n FROM q WHERE dst_port IN (23, 80))"),
@@ -202,51 +221,123 @@ _CONN = """SELECT id, sev AS severity, 'connection_anomaly' AS category FROM (
     SELECT concat('incomplete-handshake-', stream_id) AS id, 'medium' AS sev FROM s WHERE proto = 6 AND tcp_flags_seen & 2 <> 0 AND NOT syn_ack_seen
     UNION ALL SELECT concat('rst-storm-', stream_id), 'medium' FROM s WHERE proto = 6 AND rst_count >= 3
     UNION ALL SELECT concat('half-open-', stream_id), 'low' FROM s WHERE proto = 6 AND tcp_flags_seen & 18 = 18 AND tcp_flags_seen & 5 = 0 AND packet_count >= 10)"""
+_READ = {
+    "audit_scan": "src_ip dst_ip", "audit_suspicious_ports": "dst_port", "audit_cleartext": "dst_port", "audit_dns_tunnel": "src_ip dns", "audit_nxdomain": "dns", "audit_decode_ratio": "issues", "audit_unknown_ratio": "protocol",
+}
 for _name, (_rule, _sql) in _AUDIT.items():
-    if _sql is not None and "{src}" not in _sql:
-        _query(_name, _sql)(lambda p, rule=_rule: rule(p).select(*_FINDING))
-# These two need a capture of odd packets to fire, so they look at the special frames alone.
-_ODD = "(SELECT * FROM q WHERE packet_index % 103 = 0 OR packet_index % 101 = 0 OR packet_index % 107 = 0)"
-for _name in ("audit_decode_ratio", "audit_unknown_ratio"):
-    _query(_name, _AUDIT[_name][1].format(src=_ODD))(lambda p, rule=_AUDIT[_name][0]: rule(p.filter("packet_index % 103 = 0 or packet_index % 101 = 0 or packet_index % 107 = 0")).select(*_FINDING))
-_query("audit_conn_anomaly", _CONN)(lambda p: audit.connection_anomalies(p).select("id", "severity", "category"))
+    if _sql is not None:
+        _odd = _name in ("audit_decode_ratio", "audit_unknown_ratio")  # these fire in the second capture alone
+        _query(_name, _sql, "capture packet_index " + _READ[_name], odd_packets if _odd else packets, ODD if _odd else PACKETS, twice=_name != "audit_nxdomain")(lambda p, rule=_rule: rule(p).select(*_FINDING))
+_query("audit_conn_anomaly", _CONN, "capture packet_index ts_ns cap_len stream_key tcp", twice=True)(lambda p: audit.connection_anomalies(p).select("id", "severity", "category"))
 _ALL = "SELECT id, severity, category FROM ({}) UNION ALL ".format(") UNION ALL SELECT id, severity, category FROM (".join(_AUDIT[n][1] for n in ("audit_scan", "audit_suspicious_ports", "audit_cleartext", "audit_dns_tunnel", "audit_nxdomain"))) + _CONN
-_query("audit_all_findings", _ALL)(lambda p: audit.audit(p).select("id", "severity", "category"))
-_query("audit_severity_tally", f"SELECT count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity NOT IN ('high', 'medium')) AS low FROM ({_ALL})")(lambda p: audit.severity_tally(audit.audit(p)))
+_query("audit_all_findings", _ALL, "capture packet_index ts_ns cap_len protocol src_ip dst_ip dst_port issues stream_key tcp dns")(lambda p: audit.audit(p).select("id", "severity", "category"))
+_query("audit_severity_tally", f"SELECT count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity NOT IN ('high', 'medium')) AS low FROM ({_ALL})", "capture packet_index ts_ns cap_len protocol src_ip dst_ip dst_port issues stream_key tcp dns")(lambda p: audit.severity_tally(audit.audit(p)))
 _query(
     "audit_evidence",
     """SELECT concat('suspicious-port-', dst_port) AS id, string_agg(packet_index, ',' ORDER BY packet_index) AS packets FROM (SELECT dst_port, packet_index, row_number() OVER (PARTITION BY dst_port ORDER BY packet_index) AS r FROM q WHERE dst_port IN (23, 445, 2323, 3389, 5900)) WHERE r <= 100 GROUP BY dst_port
-    UNION ALL SELECT concat('scan-activity-', src_ip), string_agg(packet_index, ',' ORDER BY r) FROM (SELECT src_ip, packet_index, row_number() OVER (PARTITION BY src_ip ORDER BY rn > 1, dst_ip, packet_index) AS r FROM (SELECT src_ip, dst_ip, packet_index, row_number() OVER (PARTITION BY src_ip, dst_ip ORDER BY packet_index) AS rn FROM q WHERE ip AND src_ip IN (SELECT src_ip FROM q WHERE ip GROUP BY src_ip HAVING count(DISTINCT dst_ip) >= 5)) WHERE rn <= 100) WHERE r <= 100 GROUP BY src_ip""",
-)(lambda p: audit.suspicious_ports(p).unionByName(audit.scan_activity(p)).select("id", _line(F.col("packet_indexes")).alias("packets")))
+    UNION ALL SELECT concat('scan-activity-', src_ip), string_agg(packet_index, ',' ORDER BY r) FROM (SELECT src_ip, packet_index, row_number() OVER (PARTITION BY src_ip ORDER BY rn > 1, dst_ip, packet_index) AS r FROM (SELECT src_ip, dst_ip, packet_index, row_number() OVER (PARTITION BY src_ip, dst_ip ORDER BY packet_index) AS rn FROM q WHERE ip AND src_ip IN (SELECT src_ip FROM q WHERE ip GROUP BY src_ip HAVING count(DISTINCT dst_ip) >= 5)) WHERE rn <= 100) WHERE r <= 100 GROUP BY src_ip""", "capture packet_index src_ip dst_ip dst_port", twice=True)(lambda p: audit.suspicious_ports(p).unionByName(audit.scan_activity(p)).select("id", _line(F.col("packet_indexes")).alias("packets")))
 
-# ---- comparison of two captures: all packets, and odd ones of some users without DNS
+# ---- comparison of two captures: TCP packets, and all others
 
 
-def _half(p: DataFrame) -> DataFrame:
-    user = F.coalesce(F.when(F.col("src_port") >= 49152, F.col("src_port")), F.col("dst_port")) - 49152
-    return p.filter("packet_index % 2 = 1 and protocol <> 'DNS'").filter(user % 3 != 0)
+def _parts(p: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return p.filter("array_contains(layer_names, 'TCP')"), p.filter("not array_contains(layer_names, 'TCP')")
 
 
-_HALF = "(SELECT * FROM keyed WHERE ip AND packet_index % 2 = 1 AND (u % 16384) % 3 <> 0 AND protocol <> 'DNS')"
-_ONLY = "SELECT {kind} 'only_a' AS side, key, count(*) AS packets FROM ({a}) WHERE key NOT IN (SELECT key FROM ({b})) GROUP BY key"
+_TCP = "(SELECT * FROM keyed WHERE ip AND proto = 6)"
+_REST = "(SELECT * FROM keyed WHERE NOT ip OR proto <> 6)"
+_ONLY = ", a AS ({a}), b AS ({b}) SELECT 'only_a' AS side, key, count(*) AS packets FROM a WHERE key NOT IN (SELECT key FROM b) GROUP BY key UNION ALL SELECT 'only_b', key, count(*) FROM b WHERE key NOT IN (SELECT key FROM a) GROUP BY key"
 _HOSTS = "SELECT coalesce(src_ip, CASE WHEN kind = 'arp' THEN c4 END) AS key FROM {t} WHERE ip OR kind = 'arp' UNION ALL SELECT coalesce(dst_ip, CASE WHEN kind = 'arp' THEN s4 END) FROM {t} WHERE ip OR kind = 'arp'"
 _PORTS = "SELECT CAST(src_port AS VARCHAR) AS key FROM {t} WHERE ip UNION ALL SELECT CAST(dst_port AS VARCHAR) FROM {t} WHERE ip"
 _PROTOCOLS = "SELECT protocol AS key FROM {t}"
 for _name, _keys, _kind in (("compare_hosts", _HOSTS, "host"), ("compare_ports", _PORTS, "port"), ("compare_protocols", _PROTOCOLS, "protocol")):
-    _query(_name, _ONLY.format(kind="", a=_keys.format(t="keyed"), b=_keys.format(t=_HALF)))(lambda p, kind=_kind: summaries.compare(p, _half(p)).filter(F.col("kind") == kind).select("side", "key", "packets"))
-_query("compare_deltas", f"SELECT packets_a, packets_b, packets_b - packets_a AS packet_delta, streams_a, streams_b, streams_b - streams_a AS stream_delta FROM (SELECT count(*) AS packets_a, count(DISTINCT skey) AS streams_a FROM keyed), (SELECT count(*) AS packets_b, count(DISTINCT skey) AS streams_b FROM {_HALF})")(lambda p: summaries.compare_deltas(p, _half(p)))
+    _query(_name, _ONLY.format(a=_keys.format(t=_TCP), b=_keys.format(t=_REST)), "capture layer_names " + ("protocol" if _kind == "protocol" else "source destination"), twice=True)(lambda p, kind=_kind: summaries.compare(*_parts(p), (kind,)).select("side", "key", "packets"))
+_query("compare_deltas", f"SELECT packets_a, packets_b, packets_b - packets_a AS packet_delta, streams_a, streams_b, streams_b - streams_a AS stream_delta FROM (SELECT count(*) AS packets_a, count(DISTINCT skey) AS streams_a FROM {_TCP}), (SELECT count(*) AS packets_b, count(DISTINCT skey) AS streams_b FROM {_REST})", "capture layer_names stream_key", twice=True)(lambda p: summaries.compare_deltas(*_parts(p)))
 
 # ---- scalar functions
 
-_query("fmt_timestamp", "SELECT packet_index, concat(strftime(make_timestamp(ts_ns // 1000), '%Y-%m-%dT%H:%M:%S.'), lpad(CAST((ts_ns // 1000000) % 1000 AS VARCHAR), 3, '0'), 'Z') AS utc FROM q")(lambda p: p.select("packet_index", scalars.utc_text(F.col("ts_ns")).alias("utc")))
-_query("fmt_mac", "SELECT packet_index, CASE WHEN up THEN '02:00:00:00:00:01' ELSE '02:00:00:00:00:02' END AS destination FROM q")(lambda p: p.select("packet_index", "eth.destination"))
-_query("extract_host_port", "SELECT packet_index, coalesce(src_ip, CASE WHEN kind = 'arp' THEN c4 ELSE '' END) AS host, src_port AS port FROM q")(lambda p: p.select("packet_index", scalars.host_of(F.col("source")).alias("host"), scalars.port_of(F.col("source")).alias("port")))
-_query("fmt_endpoint", "SELECT packet_index, coalesce(source, '') AS endpoint FROM q WHERE ip")(lambda p: p.filter("src_ip is not null").select("packet_index", scalars.with_port(F.col("src_ip"), F.col("src_port")).alias("endpoint")))
+_query("fmt_timestamp", "SELECT packet_index, concat(strftime(make_timestamp(ts_ns // 1000), '%Y-%m-%dT%H:%M:%S.'), lpad(CAST((ts_ns // 1000000) % 1000 AS VARCHAR), 3, '0'), 'Z') AS utc FROM q", "packet_index ts_ns")(lambda p: p.select("packet_index", scalars.utc_text(F.col("ts_ns")).alias("utc")))
+_query("fmt_mac", "SELECT packet_index, CASE WHEN up THEN '02:00:00:00:00:01' ELSE '02:00:00:00:00:02' END AS destination FROM q", "packet_index eth")(lambda p: p.select("packet_index", "eth.destination"))
+_query("extract_host_port", "SELECT packet_index, coalesce(src_ip, CASE WHEN kind = 'arp' THEN c4 ELSE '' END) AS host, src_port AS port FROM q", "packet_index source")(lambda p: p.select("packet_index", scalars.host_of(F.col("source")).alias("host"), scalars.port_of(F.col("source")).alias("port")))
+_query("fmt_endpoint", "SELECT packet_index, coalesce(source, '') AS endpoint FROM q WHERE ip", "packet_index src_ip src_port")(lambda p: p.filter("src_ip is not null").select("packet_index", scalars.with_port(F.col("src_ip"), F.col("src_port")).alias("endpoint")))
 _query(
     "name_lookups",
     """SELECT packet_index, CASE kind WHEN 'arp' THEN 'ARP' WHEN 'other' THEN 'Unknown' WHEN 'v6' THEN 'IPv6' ELSE 'IPv4' END AS ether, CASE WHEN kind = 'v4' THEN CASE proto WHEN 6 THEN 'TCP' ELSE 'UDP' END END AS ip, CASE WHEN ip AND t = 'signup' THEN CASE WHEN k % 5 = 0 THEN 'TXT' ELSE 'A' END END AS qtype,
-    CASE WHEN ip AND t = 'signup' THEN CASE rcode WHEN 3 THEN 'NXDOMAIN' ELSE 'No Error' END END AS rcode, CASE WHEN ip AND t = 'click' AND NOT up THEN 'TLS_AES_128_GCM_SHA256' END AS cipher FROM q""",
-)(lambda p: p.select("packet_index", *[scalars.name_of(kind, F.col(c)).alias(a) for a, kind, c in (("ether", "ether_type", "eth.ether_type"), ("ip", "ip_protocol", "ipv4.protocol"), ("qtype", "dns_qtype", "dns.query_type"), ("rcode", "dns_rcode", "dns.rcode"), ("cipher", "cipher_suite", "tls_server_hello.cipher_suite"))]))
-_query("summary_lines", "SELECT packet_index, printf('%4d  %-24s  %-5s  %-22s -> %-22s %4d', packet_index + 1, '-', protocol, source, destination, cap_len) AS line FROM q WHERE protocol = 'ARP'")(
-    lambda p: p.filter("protocol = 'ARP'").select("packet_index", (F.col("packet_index") + 1).alias("number"), F.lit("-").alias("time"), "protocol", "source", "destination", "cap_len").select("packet_index", scalars.summary_line().alias("line"))
+    CASE WHEN ip AND t = 'signup' THEN CASE rcode WHEN 3 THEN 'NXDOMAIN' ELSE 'No Error' END END AS rcode, CASE WHEN ip AND t = 'click' AND NOT up THEN 'TLS_AES_128_GCM_SHA256' END AS cipher FROM q""", "packet_index eth ipv4 dns tls_server_hello")(lambda p: p.select("packet_index", *[scalars.name_of(kind, F.col(c)).alias(a) for a, kind, c in (("ether", "ether_type", "eth.ether_type"), ("ip", "ip_protocol", "ipv4.protocol"), ("qtype", "dns_qtype", "dns.query_type"), ("rcode", "dns_rcode", "dns.rcode"), ("cipher", "cipher_suite", "tls_server_hello.cipher_suite"))]))
+_query(
+    "summary_lines",
+    """SELECT packet_index, printf('%4d  %-24s  %-5s  %-22s -> %-22s %4d', packet_index + 1, concat(strftime(make_timestamp(ts_ns // 1000), '%Y-%m-%dT%H:%M:%S.'), lpad(CAST((ts_ns // 1000000) % 1000 AS VARCHAR), 3, '0'), 'Z'), protocol, source, destination, cap_len) AS line FROM q""",
+    "packet_index ts_ns protocol source destination cap_len",
+)(lambda p: p.select("packet_index", (F.col("packet_index") + 1).alias("number"), scalars.utc_text(F.col("ts_ns")).alias("time"), "protocol", "source", "destination", "cap_len").select("packet_index", scalars.summary_line().alias("line")))
+
+# ---- the second capture
+
+
+def _odd(name: str, sql: str, needs: str):
+    return _query(name, sql, needs, odd_packets, ODD)
+
+
+_odd(
+    "decode_icmp",
+    """SELECT packet_index, CASE part WHEN 0 THEN 8 WHEN 1 THEN 3 ELSE 11 END AS type, CASE part WHEN 1 THEN 4 ELSE 0 END AS code, CASE part WHEN 0 THEN 'EchoRequest' WHEN 1 THEN 'DestinationUnreachable' END AS kind,
+    CASE part WHEN 0 THEN u % 65536 END AS identifier, CASE part WHEN 0 THEN i % 65536 END AS sequence, CASE part WHEN 1 THEN 576 + k END AS next_hop_mtu, CASE part WHEN 0 THEN 'Echo Request' WHEN 1 THEN 'Destination Unreachable' ELSE 'Time Exceeded' END AS name FROM o WHERE part <= 2""",
+    "packet_index icmp",
+)(lambda p: p.filter("icmp is not null").select("packet_index", "icmp.type", "icmp.code", "icmp.detail.kind", "icmp.detail.identifier", "icmp.detail.sequence", "icmp.detail.next_hop_mtu", scalars.name_of("icmp_type", F.col("icmp.type")).alias("name")))
+_odd("decode_fragments", "SELECT packet_index, CASE part WHEN 4 THEN 16 ELSE 0 END AS fragment_offset, part = 3 AS more_fragments, false AS dont_fragment, CASE part WHEN 3 THEN 'Ethernet,IPv4,UDP' ELSE 'Ethernet,IPv4' END AS layers FROM o WHERE part IN (3, 4)", "packet_index ipv4 layer_names")(
+    lambda p: p.filter("ipv4.more_fragments or ipv4.fragment_offset > 0").select("packet_index", "ipv4.fragment_offset", "ipv4.more_fragments", "ipv4.dont_fragment", F.array_join("layer_names", ",").alias("layers"))
 )
+_odd(
+    "decode_ipv6_extensions",
+    """SELECT packet_index, CASE part WHEN 5 THEN 0 ELSE 44 END AS next_header, CASE WHEN u % 65536 = 0 THEN '2001:db8::' ELSE concat('2001:db8::', lower(to_hex(u % 65536))) END AS src_ip, CASE part WHEN 5 THEN 'Ethernet,IPv6,TCP' ELSE 'Ethernet,IPv6' END AS layers,
+    CASE part WHEN 5 THEN '0:14,14:48,62:20' ELSE '0:14,14:48' END AS spans, CASE part WHEN 5 THEN i END AS seq FROM o WHERE part IN (5, 6)""",
+    "packet_index src_ip ipv6 tcp layer_names spans",
+)(lambda p: p.filter("ipv6 is not null").select(
+    "packet_index", "ipv6.next_header", "src_ip", F.array_join("layer_names", ",").alias("layers"), F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["offset"].cast("string"), s["len"].cast("string"))), ",").alias("spans"), "tcp.seq",
+))
+_odd("ipv4_checksum", "SELECT packet_index, header_sum AS header_checksum, issue IS NOT NULL AS wrong FROM o WHERE part <= 4 OR part = 7", "packet_index ipv4 issues")(
+    lambda p: p.filter("ipv4 is not null").select("packet_index", "ipv4.header_checksum", F.exists("issues", lambda x: (x["kind"] == "checksum_mismatch") & (x["offset"] == 14)).alias("wrong"))
+)
+_odd(
+    "dns_aaaa",
+    """SELECT packet_index, concat('h', k, '.example.com') AS query_name, 28 AS query_type, concat('h', k, '.example.com') AS answer_name, 28 AS record_type, 300 AS ttl,
+    CASE WHEN u = 0 THEN '2001:db8::' WHEN u < 65536 THEN concat('2001:db8::', lower(to_hex(u))) ELSE concat('2001:db8::', lower(to_hex(u // 65536)), ':', lower(to_hex(u % 65536))) END AS address FROM o WHERE part = 7""",
+    "packet_index dns",
+)(lambda p: p.select("packet_index", "dns.query_name", "dns.query_type", F.explode("dns.answers").alias("a")).select("packet_index", "query_name", "query_type", F.col("a.name").alias("answer_name"), "a.record_type", "a.ttl", F.col("a.data.addr").alias("address")))
+_odd("odd_issues", "SELECT packet_index, 0 AS place, issue AS kind, CASE issue WHEN 'truncated' THEN 30 ELSE 14 END AS \"offset\" FROM o WHERE issue IS NOT NULL", "capture packet_index issues")(lambda p: summaries.decode_issues(p).drop("capture"))
+_odd("odd_protocols", "SELECT CASE WHEN part <= 2 THEN 'ICMP' WHEN part = 3 THEN 'UDP' WHEN part = 4 THEN 'IPv4' WHEN part = 5 THEN 'TCP' WHEN part = 6 THEN 'IPv6' WHEN part = 7 THEN 'DNS' ELSE 'Unknown' END AS protocol, count(*) AS packets FROM o GROUP BY 1", "protocol")(summaries.protocol_counts)
+_odd("filter_icmp", "SELECT packet_index, CASE part WHEN 5 THEN 'TCP' ELSE 'ICMP' END AS protocol FROM o WHERE part IN (1, 5)", "packet_index protocol icmp ipv6 tcp")(lambda p: p.filter(display_filter("icmp.type == 3 and icmp.code == 4 or ipv6.nxt == 0 and tcp")).select("packet_index", "protocol"))
+
+# ---- whole texts of findings
+
+_SAID = ["id", "title", "summary", "description"]
+_query(
+    "finding_texts",
+    """SELECT concat('scan-activity-', src_ip) AS id, concat('Endpoint fan-out from ', src_ip, ' looks scan-like') AS title, concat(src_ip, ' contacted ', n, ' distinct destinations in a single capture.') AS summary, concat('Observed fan-out to ', n, ' unique destination hosts.') AS description
+        FROM (SELECT src_ip, count(DISTINCT dst_ip) AS n FROM q WHERE ip GROUP BY src_ip) WHERE n >= 5
+    UNION ALL SELECT concat('suspicious-port-', dst_port), concat('Traffic observed on suspicious destination port ', dst_port), concat('The capture includes packets targeting destination port ', dst_port, ', which commonly appears in audit findings.'), concat('Packets targeted destination port ', dst_port, '.')
+        FROM (SELECT DISTINCT dst_port FROM q WHERE dst_port IN (23, 445, 2323, 3389, 5900))
+    UNION ALL SELECT concat('cleartext-', lower(n)), concat(n, ' traffic on port ', dst_port, ' may expose credentials in cleartext'),
+        concat(n, ' transmits data without encryption. Credentials, session tokens, and other sensitive information sent over port ', dst_port, ' can be intercepted by anyone with network access.'), concat('Packets targeted ', n, ' destination port ', dst_port, '.')
+        FROM (SELECT DISTINCT dst_port, CASE dst_port WHEN 23 THEN 'Telnet' ELSE 'HTTP' END AS n FROM q WHERE dst_port IN (23, 80))
+    UNION ALL SELECT concat('dns-tunneling-', src_ip), concat('Possible DNS tunneling activity from ', src_ip),
+        concat('DNS traffic from ', src_ip, ' exhibits indicators of tunneling: ', concat_ws('; ', CASE WHEN a > 50 THEN concat(a, ' unique query names (threshold: 50)') END, CASE WHEN b > 0 THEN concat(b, ' queries with labels longer than 50 characters') END, CASE WHEN c > 10 THEN concat(c, ' TXT queries (threshold: 10)') END), '.'), concat('DNS queries from ', src_ip, ' with tunneling indicators.')
+        FROM (SELECT src_ip, count(DISTINCT concat(k, '.', u)) AS a, count(*) FILTER (u % 25 = 0) AS b, count(*) FILTER (k % 5 = 0) AS c FROM q WHERE ip AND t = 'signup' GROUP BY src_ip) WHERE a > 50 OR b > 0 OR c > 10
+    UNION ALL SELECT 'nxdomain-storm', concat('High NXDOMAIN rate: ', c, ' responses with RCODE 3 (possible DGA/malware)'), concat('The capture contains ', c, ' DNS responses with RCODE NXDOMAIN, which may indicate domain generation algorithm (DGA) activity, malware beaconing to non-existent domains, or DNS enumeration.'), concat(c, ' NXDOMAIN responses observed.')
+        FROM (SELECT least(count(*), 100) AS c FROM q WHERE ip AND t = 'signup' AND NOT up AND rcode = 3) WHERE c >= 20""",
+    "capture packet_index src_ip dst_ip dst_port dns",
+    twice=True,
+)(lambda p: audit.scan_activity(p).unionByName(audit.suspicious_ports(p)).unionByName(audit.cleartext(p)).unionByName(audit.dns_tunneling(p)).unionByName(audit.nxdomain_storm(p)).select(*_SAID))
+_query(
+    "connection_finding_texts",
+    """SELECT concat('incomplete-handshake-', stream_id) AS id, concat('Stream ', stream_id, ' contains a SYN but no SYN+ACK was observed, indicating an incomplete TCP handshake.') AS summary, concat('Packets from stream ', stream_id, ' with incomplete handshake.') AS description, NULL AS rst_title FROM s WHERE proto = 6 AND tcp_flags_seen & 2 <> 0 AND NOT syn_ack_seen
+    UNION ALL SELECT concat('rst-storm-', stream_id), concat('Stream ', stream_id, ' contains ', rst_count, ' RST packets, which may indicate a connection teardown storm or port scanning.'), concat('Packets from stream ', stream_id, ' exhibiting RST storm behavior.'), concat('RST storm on stream ', stream_id, ' (', rst_count, ' RST packets)') FROM s WHERE proto = 6 AND rst_count >= 3
+    UNION ALL SELECT concat('half-open-', stream_id), concat('Stream ', stream_id, ' exchanged ', packet_count, ' packets after the handshake but was never closed with FIN or RST.'), concat('Packets from stream ', stream_id, ' with no connection teardown.'), NULL FROM s WHERE proto = 6 AND tcp_flags_seen & 18 = 18 AND tcp_flags_seen & 5 = 0 AND packet_count >= 10""",
+    "capture packet_index ts_ns cap_len stream_key tcp",
+    twice=True,
+)(lambda p: audit.connection_anomalies(p).select("id", "summary", "description", F.when(F.col("id").startswith("rst"), F.col("title")).alias("rst_title")))
+_odd(
+    "ratio_finding_texts",
+    """SELECT 'decode-issues' AS id, 'Decode issues affect a large share of packets' AS title, 'Packets contain malformed or truncated decode results that may indicate capture corruption or evasive traffic.' AS summary, concat('decode_issues affected ', CAST(round_even(a / b * 100, 0) AS BIGINT), '% of packets in the capture.') AS description FROM (SELECT count(issue) AS a, count(*) AS b FROM o) WHERE a / b >= 0.5
+    UNION ALL SELECT 'unknown-traffic', 'Unknown traffic dominates the capture', 'A large portion of packets could not be classified beyond the link layer, which reduces audit confidence.', concat('unknown_traffic affected ', CAST(round_even(a / b * 100, 0) AS BIGINT), '% of packets in the capture.') FROM (SELECT count(unknown) AS a, count(*) AS b FROM o) WHERE a / b >= 0.5""",
+    "capture packet_index ts_ns cap_len protocol src_ip dst_ip dst_port issues stream_key tcp dns",
+)(lambda p: audit.audit(p, "quality").select(*_SAID))

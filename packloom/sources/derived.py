@@ -20,11 +20,6 @@ def _text(value: Column) -> Column:
     return F.lower(F.hex(F.encode(value, "UTF-8")))
 
 
-def _sized(body: Column, width: int) -> Column:
-    """`body` (hex) after its length in bytes."""
-    return F.concat(_hex(F.length(body) / 2, width), body)
-
-
 def event_fields(events: DataFrame) -> DataFrame:
     """The recipe's fields of each event."""
     out = events.select(
@@ -51,17 +46,18 @@ def _payload() -> Column:
     response = F.concat(F.expr("if(k % 7 = 0, 'HTTP/1.1 404 Not Found', 'HTTP/1.1 200 OK')"), F.lit("\r\nContent-Type: text/html\r\nContent-Length: "), k, F.lit("\r\n\r\n"))
     http = _text(F.when(F.col("up"), request).otherwise(response))
 
-    name = F.concat(F.lit("00"), _sized(_text(F.concat(F.lit("s"), k, F.lit(".example.net"))), 4))
-    extensions = F.concat(F.lit("0000"), _sized(_sized(name, 4), 4), F.lit("002b00050403040303"))
-    hello = F.concat(F.lit("0303" + "00" * 32 + "00" + "0004" + "1301c02f" + "0100"), _sized(extensions, 4))
-    client = F.concat(F.lit("160301"), _sized(F.concat(F.lit("01"), _sized(hello, 6)), 4))
-    answer = F.concat(F.lit("0303" + "00" * 32 + "00" + "1301" + "00"), _sized(F.lit("002b00020304" + "00330004001d0000"), 4))
-    server = F.concat(F.lit("160303"), _sized(F.concat(F.lit("02"), _sized(answer, 6)), 4))
+    # Lengths come from that of k, so that no part of a message stands in it twice.
+    size = F.length(k)
+    name = F.concat(_hex(size + 18, 4), _hex(size + 16, 4), F.lit("00"), _hex(size + 13, 4), _text(F.concat(F.lit("s"), k, F.lit(".example.net"))))
+    hello = F.concat(F.lit("0303" + "00" * 32 + "00" + "0004" + "1301c02f" + "0100"), _hex(size + 31, 4), F.lit("0000"), name, F.lit("002b00050403040303"))
+    client = F.concat(F.lit("160301"), _hex(size + 80, 4), F.lit("01"), _hex(size + 76, 6), hello)
+    answer = F.lit("0303" + "00" * 32 + "00" + "1301" + "00" + "000e" + "002b00020304" + "00330004001d0000")
+    server = F.concat(F.lit("160303" + "003a" + "02" + "000036"), answer)
     tls = F.when(F.col("up"), client).otherwise(server)
 
-    label = lambda c: _sized(_text(c), 2)
-    long = F.when(F.expr("user_id % 25 = 0"), label(F.lit("x" * 60))).otherwise(F.lit(""))
-    qname = F.concat(long, label(F.concat(F.lit("k"), k)), label(F.concat(F.lit("u"), user)), F.lit("076578616d706c6503636f6d00"))
+    label = lambda n, c: F.concat(_hex(n, 2), _text(c))
+    long = F.when(F.expr("user_id % 25 = 0"), F.lit("3c" + "78" * 60)).otherwise(F.lit(""))
+    qname = F.concat(long, label(size + 1, F.concat(F.lit("k"), k)), label(F.length(user) + 1, F.concat(F.lit("u"), user)), F.lit("076578616d706c6503636f6d00"))
     flags = F.when(F.col("up"), F.lit("0100")).otherwise(F.concat(F.lit("818"), _hex("rcode", 1)))
     answered = F.expr("not up and rcode = 0")
     dns = F.concat(
@@ -73,12 +69,9 @@ def _payload() -> Column:
     return F.when(kind == "view", http).when(kind == "click", tls).when(kind == "signup", dns).otherwise(F.lit(""))
 
 
-def _as_read(batches):
-    yield from batches
-
-
 def frames_from_events(events: DataFrame, capture: str = "events") -> DataFrame:
-    """Rows of (capture, frame_no, ts_ns, cap_len, orig_len, data), one for each event."""
+    """Rows of (capture, frame_no, packet_index, ts_ns, cap_len, orig_len, data), one for each event. Each
+    frame has an Ethernet header, so packets are numbered as frames are."""
     f = event_fields(events).withColumn("payload", _payload())
     client4, server4 = F.concat(F.lit("0a00"), _hex("user_id div 16 % 256", 2), _hex("user_id % 16 + 1", 2)), F.concat(F.lit("c63364"), _hex("server", 2))
     client6, server6 = F.concat(F.lit("20010db8" + "0" * 16 + "000c"), _hex("user_id % 65536", 4)), F.concat(F.lit("20010db8" + "0" * 16 + "0005"), _hex("server", 4))
@@ -96,11 +89,45 @@ def frames_from_events(events: DataFrame, capture: str = "events") -> DataFrame:
     kind = F.col("kind")
     body = F.when(kind == "arp", arp).when(kind == "other", other).when(kind == "v6", v6).otherwise(v4)
     whole = F.unhex(F.concat(way(F.lit("020000000001"), F.lit("020000000002")), body))
-    f = f.withColumn("whole", whole).withColumn("data", F.when(kind == "cut", F.substring("whole", 1, 30)).otherwise(F.col("whole")))
-    frames = f.select(
-        F.lit(capture).alias("capture"), F.col("event_id").alias("frame_no"), (F.col("us") * 1000).alias("ts_ns"),
+    return _frames(f.withColumn("whole", whole), capture, F.when(kind == "cut", F.substring("whole", 1, 30)).otherwise(F.col("whole")))
+
+
+def _frames(f: DataFrame, capture: str, data: Column) -> DataFrame:
+    return f.withColumn("data", data).select(
+        F.lit(capture).alias("capture"), F.col("event_id").alias("frame_no"), F.col("event_id").alias("packet_index"), (F.col("us") * 1000).alias("ts_ns"),
         F.octet_length("data").cast("int").alias("cap_len"), F.octet_length("whole").cast("long").alias("orig_len"), "data",
     )
-    # Finished bytes, as from a file: filters on them mustn't be rewritten into the recipe, whose
-    # nested expressions would multiply in the plan.
-    return frames.mapInArrow(_as_read, frames.schema)
+
+
+def odd_frames_from_events(events: DataFrame, capture: str = "odd") -> DataFrame:
+    """A second capture of the same events, of what the first one has none: by event_id % 16 there are
+    ICMP messages (0: echo request, 1: destination unreachable, 2: brief), first and later IPv4
+    fragments (3, 4), IPv6 packets behind a hop-by-hop header (5) and of a later fragment (6), IPv4
+    headers with a right or wrong checksum before a DNS answer with a compressed name and an
+    AAAA record (7), and frames cut after 30 bytes (8 to 15)."""
+    f = event_fields(events).withColumn("part", F.expr("event_id % 16"))
+    part, zeros = F.col("part"), lambda n: F.lit("00" * n)
+    icmp = F.when(part == 0, F.concat(F.lit("08000000"), _hex("user_id % 65536", 4), _hex("event_id % 65536", 4), _hex("k", 4))).when(part == 1, F.concat(F.lit("030400000000"), _hex("576 + k", 4), zeros(8))).otherwise(F.lit("0b000000"))
+    udp = F.concat(_hex("client_port", 4), F.lit("270f"), F.lit("0010" + "0000" + "00" * 8))
+    tcp = F.concat(_hex("client_port", 4), F.lit("01bb"), _hex("event_id", 8), F.lit("00000000" + "5002" + "0400" + "00000000"))
+    name = F.concat(_hex("length(k) + 1", 2), _text(F.concat(F.lit("h"), F.col("k").cast("string"))), F.lit("076578616d706c6503636f6d00"))
+    answer = F.concat(F.lit("c00c" + "001c0001" + "0000012c" + "0010" + "20010db8" + "00" * 8), _hex("user_id % 4294967296", 8))
+    dns = F.concat(_hex("event_id % 65536", 4), F.lit("8180" + "00010001" + "00000000"), name, F.lit("001c0001"), answer)
+    f = f.withColumn("dns", dns)
+    dns = F.concat(F.lit("0035"), _hex("client_port", 4), _hex(F.length("dns") / 2 + 8, 4), F.lit("0000"), F.col("dns"))
+    body = F.when(part <= 2, icmp).when(part == 7, dns).otherwise(udp)
+    f = f.withColumn("body", body)
+    address = lambda tail: F.concat(F.lit("c000"), _hex("user_id % 65536", 4) if tail else F.lit("0201"))
+    head = lambda check: F.concat(
+        F.lit("4500"), _hex(F.length("body") / 2 + 20, 4), _hex("event_id % 65536", 4), F.when(part == 3, F.lit("2000")).when(part == 4, F.lit("0010")).otherwise(F.lit("4000")),
+        F.lit("40"), F.when(part <= 2, F.lit("01")).otherwise(F.lit("11")), check, address(True), address(False))
+    # The sum of the header's words as they stand in `head`, and its complement.
+    total = F.expr("17664 + length(body) div 2 + 20 + event_id % 65536 + 16384 + 16401 + 49152 + user_id % 65536 + 49152 + 513")
+    for _ in range(3):
+        total = total.bitwiseAND(F.lit(0xFFFF)) + F.shiftrightunsigned(total, 16)
+    check = F.when(part == 7, F.when(F.expr("k % 3 = 0"), F.lit("1234")).otherwise(_hex(F.lit(0xFFFF) - total, 4))).otherwise(F.lit("0000"))
+    six = lambda kind, middle, body: F.concat(F.lit("60000000"), _hex((F.length(middle) + F.length(body)) / 2, 4), F.lit(kind), F.lit("40"), F.lit("20010db8" + "00" * 10), _hex("user_id % 65536", 4), F.lit("20010db8" + "00" * 11 + "01"), middle, body)
+    hop, fragment = F.lit("0600" + "00" * 6), F.concat(F.lit("0600" + "0010"), _hex("event_id", 8))
+    packet = F.when(part == 5, F.concat(F.lit("86dd"), six("00", hop, tcp))).when(part == 6, F.concat(F.lit("86dd"), six("2c", fragment, tcp))).otherwise(F.concat(F.lit("0800"), head(check), F.col("body")))
+    f = f.withColumn("whole", F.unhex(F.concat(F.lit("020000000001020000000002"), packet)))
+    return _frames(f, capture, F.when(part >= 8, F.substring("whole", 1, 30)).otherwise(F.col("whole")))

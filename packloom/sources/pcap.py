@@ -1,28 +1,35 @@
-"""pcap and pcapng files as a Spark data source, and a pcap sink.
+"""pcap and pcapng files as DataFrames, and a pcap sink.
+
+read_capture() lists the files; a task for each file walks its record headers, not its packets, and
+cuts it into splits of `split_bytes` with the numbers of their first frame and packet; tasks then read
+the splits on their own. A pcapng file is one split, as its blocks depend on the interfaces before
+them; all its interfaces are checked before any packet is read. Paths are local to, or mounted by,
+all executors; read_small_captures() goes through Spark's file systems instead.
+
+CaptureSource is the same as a data source, with a file for each task:
 
     spark.dataSource.register(CaptureSource)
     spark.read.format("capture").load("/captures/*.pcap")
-
-The driver reads a pcap's record headers, not its packets, to cut it into splits of
-`split_bytes` that tasks read on their own; a pcapng file is one split, as its blocks depend on
-the interfaces before them. Paths are local to, or mounted by, all executors;
-read_small_captures() goes through Spark's file systems instead.
 """
 
 from __future__ import annotations
 
 import glob
 import io
+import os
 import struct
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-SCHEMA = "capture string, frame_no bigint, ts_ns bigint, cap_len int, orig_len bigint, data binary"
+from ..storage import Stored
+
+#: packet_index numbers the frames that have an Ethernet header, and is null for others.
+SCHEMA = "capture string, frame_no bigint, packet_index bigint, ts_ns bigint, cap_len int, orig_len bigint, data binary"
 # Magic numbers by byte order and time unit, and the link type of Ethernet.
 PCAP = {b"\xd4\xc3\xb2\xa1": ("<", 1000), b"\xa1\xb2\xc3\xd4": (">", 1000), b"\x4d\x3c\xb2\xa1": ("<", 1), b"\xa1\xb2\x3c\x4d": (">", 1)}
-PCAPNG, ETHERNET, MOST_INTERFACES = b"\x0a\x0d\x0d\x0a", 1, 65535
+PCAPNG, ETHERNET, MOST_INTERFACES, ETHERNET_HEADER = b"\x0a\x0d\x0d\x0a", 1, 65535, 14
 
 
 class CaptureError(ValueError):
@@ -36,6 +43,7 @@ class Split(InputPartition):
     start: int
     past: int
     first: int
+    first_packet: int
 
 
 def sniff(magic: bytes) -> str:
@@ -57,24 +65,37 @@ def _pcap_head(f, path: str):
     return order, unit
 
 
-def _pcap_splits(f, path: str, split_bytes: int) -> list[Split]:
+def _pcap_splits(f, path: str, split_bytes: int):
     order, _ = _pcap_head(f, path)
-    out, at, start, first, n = [], 24, 24, 0, 0
+    at, start, first, first_packet, n, packets = 24, 24, 0, 0, 0, 0
     while len(head := f.read(16)) == 16:
-        at += 16 + struct.unpack(order + "I", head[8:12])[0]
+        size = struct.unpack(order + "I", head[8:12])[0]
+        at += 16 + size
         f.seek(at)
-        n += 1
+        n, packets = n + 1, packets + (size >= ETHERNET_HEADER)
         if at - start >= split_bytes:
-            out.append(Split(path, "pcap", start, at, first))
-            start, first = at, n
-    out.append(Split(path, "pcap", start, max(at, start) + len(head), first))
-    return out
+            yield Split(path, "pcap", start, at, first, first_packet)
+            start, first, first_packet = at, n, packets
+    yield Split(path, "pcap", start, max(at, start) + len(head), first, first_packet)
+
+
+def _splits(path: str, split_bytes: int, strict: bool):
+    """The splits of one file; a pcapng file with an interface that isn't Ethernet is refused."""
+    with open(path, "rb") as f:
+        kind = sniff(f.read(4))
+        f.seek(0)
+        if kind == "pcap":
+            yield from _pcap_splits(f, path, split_bytes)
+        else:
+            for _ in _pcapng_rows(f, path, strict, only_check=True):
+                pass
+            yield Split(path, kind, 0, 0, 0, 0)
 
 
 def _pcap_rows(f, path: str, s: Split, strict: bool):
     order, unit = _pcap_head(f, path)
     f.seek(s.start)
-    at, n = s.start, s.first
+    at, n, packets = s.start, s.first, s.first_packet
     while at < s.past:
         head = f.read(16)
         seconds, fraction, size, original = struct.unpack(order + "4I", head) if len(head) == 16 else (0, 0, 0, 0)
@@ -83,8 +104,9 @@ def _pcap_rows(f, path: str, s: Split, strict: bool):
             if strict:
                 raise CaptureError(f"{path}: truncated record {n}")
             return
-        yield path, n, seconds * 1_000_000_000 + fraction * unit, size, max(original, size), data
-        at, n = at + 16 + size, n + 1
+        whole = size >= ETHERNET_HEADER
+        yield path, n, packets if whole else None, seconds * 1_000_000_000 + fraction * unit, size, max(original, size), data
+        at, n, packets = at + 16 + size, n + 1, packets + whole
 
 
 def _blocks(f, path: str, strict: bool):
@@ -110,7 +132,7 @@ def _blocks(f, path: str, strict: bool):
 def _pcapng_rows(f, path: str, strict: bool, only_check: bool = False):
     """Rows of a pcapng file. All its interfaces must be Ethernet, even unused ones."""
     interfaces: list[int] = []
-    n = 0
+    n = packets = 0
     for kind, body, order in _blocks(f, path, strict):
         if kind == 0x0A0D0D0A:
             interfaces = []
@@ -133,8 +155,9 @@ def _pcapng_rows(f, path: str, strict: bool, only_check: bool = False):
             else:
                 original = struct.unpack(order + "I", body[:4])[0]
                 ts, data = None, body[4 : 4 + original]
-            yield path, n, ts, len(data), max(original, len(data)), data
-            n += 1
+            whole = len(data) >= ETHERNET_HEADER
+            yield path, n, packets if whole else None, ts, len(data), max(original, len(data)), data
+            n, packets = n + 1, packets + whole
 
 
 def _resolution(options: bytes, order: str) -> int:
@@ -151,36 +174,33 @@ def _resolution(options: bytes, order: str) -> int:
     return 1_000_000
 
 
+def _listed(path: str) -> list[str]:
+    paths = sorted(glob.glob(path))
+    if not paths:
+        raise CaptureError(f"{path}: no such file")
+    return paths
+
+
+def _rows(s: Split, strict: bool):
+    with open(s.path, "rb") as f:
+        yield from (_pcap_rows(f, s.path, s, strict) if s.kind == "pcap" else _pcapng_rows(f, s.path, strict))
+
+
 class CaptureReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.path, self.split_bytes = options["path"], int(options.get("split_bytes", 64 << 20))
+        self.path = options["path"]
         self.strict = options.get("mode", "FAILFAST").upper() == "FAILFAST"
 
     def partitions(self):
-        paths = sorted(glob.glob(self.path))
-        if not paths:
-            raise CaptureError(f"{self.path}: no such file")
-        out: list[Split] = []
-        for path in paths:
-            with open(path, "rb") as f:
-                kind = sniff(f.read(4))
-                f.seek(0)
-                if kind == "pcap":
-                    out += _pcap_splits(f, path, self.split_bytes)
-                else:
-                    for _ in _pcapng_rows(f, path, self.strict, only_check=True):
-                        pass
-                    out.append(Split(path, kind, 0, 0, 0))
-        return out
+        return [Split(path, "file", 0, 0, 0, 0) for path in _listed(self.path)]
 
     def read(self, split: Split):
-        with open(split.path, "rb") as f:
-            yield from (_pcap_rows(f, split.path, split, self.strict) if split.kind == "pcap" else _pcapng_rows(f, split.path, self.strict))
+        for s in _splits(split.path, 1 << 62, self.strict):
+            yield from _rows(s, self.strict)
 
 
 class CaptureSource(DataSource):
-    """Options: path (a file or pattern), mode (FAILFAST, or PERMISSIVE to stop at damage),
-    split_bytes."""
+    """Options: path (a file or pattern), mode (FAILFAST, or PERMISSIVE to stop at damage)."""
 
     @classmethod
     def name(cls):
@@ -193,9 +213,40 @@ class CaptureSource(DataSource):
         return CaptureReader(self.options)
 
 
-def read_capture(spark, path: str, **options) -> DataFrame:
-    spark.dataSource.register(CaptureSource)
-    return spark.read.format("capture").options(**options).load(path)
+#: Splits of this many bytes; frames in one Arrow batch.
+SPLIT_BYTES, BATCH = 64 << 20, 4096
+
+
+def read_capture(spark, path: str, mode: str = "FAILFAST", split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """Frames of the capture files that match the path. mode PERMISSIVE stops a file at damage
+    instead of failing. The list of splits (a row for each `split_bytes`) is stored first."""
+    strict = mode.upper() == "FAILFAST"
+    paths = _listed(path)
+
+    def cut(batches):
+        import pandas as pd
+
+        for b in batches:
+            for p in b["path"]:
+                yield pd.DataFrame([(s.path, s.kind, s.start, s.past, s.first, s.first_packet) for s in _splits(p, split_bytes, strict)], columns=names)
+
+    def read(batches):
+        import itertools
+
+        import pandas as pd
+
+        for b in batches:
+            for row in b.itertuples(index=False):
+                rows = _rows(Split(*row), strict)
+                while some := list(itertools.islice(rows, BATCH)):
+                    frames = pd.DataFrame(some, columns=fields)
+                    yield frames.astype({"packet_index": "Int64", "ts_ns": "Int64"})
+
+    names = ["path", "kind", "start", "past", "first", "first_packet"]
+    fields = [x.split()[0] for x in SCHEMA.split(", ")]
+    files = spark.createDataFrame([(p,) for p in paths], "path string").repartition(len(paths), "path")
+    splits = Stored(spark, "splits").put(files.mapInPandas(cut, "path string, kind string, start bigint, past bigint, first bigint, first_packet bigint"))
+    return splits.repartition(max(1, splits.count()), "path", "start").mapInPandas(read, SCHEMA)
 
 
 def parse_capture(content: bytes, path: str = "", strict: bool = True) -> list[tuple]:
@@ -204,7 +255,7 @@ def parse_capture(content: bytes, path: str = "", strict: bool = True) -> list[t
     kind = sniff(content[:4])
     if kind == "pcapng":
         return list(_pcapng_rows(f, path, strict))
-    split = Split(path, kind, 24, len(content), 0)
+    split = Split(path, kind, 24, len(content), 0, 0)
     return list(_pcap_rows(f, path, split, strict))
 
 
@@ -217,7 +268,7 @@ def read_small_captures(spark, path: str) -> DataFrame:
 
         for b in batches:
             for p, content in zip(b["path"], b["content"], strict=True):
-                yield pd.DataFrame(parse_capture(content, p), columns=["capture", "frame_no", "ts_ns", "cap_len", "orig_len", "data"])
+                yield pd.DataFrame(parse_capture(content, p), columns=[x.split()[0] for x in SCHEMA.split(", ")]).astype({"packet_index": "Int64", "ts_ns": "Int64"})
 
     return files.mapInPandas(rows, SCHEMA)
 
@@ -228,22 +279,30 @@ def pcap_record(ts_ns: int, data: bytes, original: int | None = None) -> bytes:
 
 def write_pcaps(frames: DataFrame, folder: str) -> DataFrame:
     """Writes each partition of `frames` as a nanosecond pcap in a folder that executors share,
-    and returns path and number of packets of each."""
+    and returns path and number of packets of each. A task writes under a name of its own; the
+    files of the attempts that count get theirs, by partition, once all are written."""
 
     def write(batches):
-        import os
         import uuid
 
         import pandas as pd
+        from pyspark import TaskContext
 
-        path, n = f"{folder}/part-{uuid.uuid4().hex}.pcap", 0
-        with open(path + ".part", "wb") as f:
+        part = TaskContext.get().partitionId()
+        path, n = f"{folder}/_part-{part:05d}-{uuid.uuid4().hex}", 0
+        with open(path, "wb") as f:
             f.write(struct.pack("<IHHiIII", 0xA1B23C4D, 2, 4, 0, 0, 262144, ETHERNET))
             for b in batches:
                 for ts, data, original in zip(b["ts_ns"], b["data"], b["orig_len"], strict=True):
                     f.write(pcap_record(0 if pd.isna(ts) else int(ts), data, int(original)))
                     n += 1
-        os.rename(path + ".part", path)
-        yield pd.DataFrame({"path": [path], "packets": [n]})
-
-    return frames.select("ts_ns", "data", "orig_len").mapInPandas(write, "path string, packets bigint")
+        yield pd.DataFrame({"part": [part], "path": [path], "packets": [n]})
+
+    done = []
+    for row in frames.select("ts_ns", "data", "orig_len").mapInPandas(write, "part int, path string, packets bigint").collect():  # a row for each partition
+        path = f"{folder}/part-{row.part:05d}.pcap"
+        os.replace(row.path, path)
+        done.append((path, row.packets))
+    for left in glob.glob(f"{glob.escape(folder)}/_part-*"):
+        os.remove(left)
+    return frames.sparkSession.createDataFrame(done, "path string, packets bigint")

@@ -2,35 +2,18 @@
 
 from __future__ import annotations
 
-import re
-import shutil
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..functions.scalars import with_port
+from ..functions.scalars import ip_text, with_port
+from ..operators.streams import key_end, key_family
 
-# The exported columns in order, the oldest usable version and known places.
+# The exported columns in order.
 COLUMNS = ["frame.number", "frame.time_epoch", "frame.len", "frame.cap_len", "_ws.col.Protocol", "_ws.col.Info", "ip.src", "ip.dst", "ipv6.src", "ipv6.dst", "tcp.srcport", "tcp.dstport", "udp.srcport", "udp.dstport"]
 CERTIFICATE_COLUMNS = ["frame.number", "x509sat.printableString", "x509ce.dNSName"]
-OLDEST = (3, 0, 0)
-PLACES = ["/usr/bin/tshark", "/usr/local/bin/tshark", "/Applications/Wireshark.app/Contents/MacOS/tshark"]
-
-
-def find_exporter() -> str | None:
-    return shutil.which("tshark") or next((p for p in PLACES if shutil.which(p)), None)
-
-
-def parse_version(text: str) -> tuple[int, int, int]:
-    """The version in the program's banner; too old a one is an error."""
-    for word in text.split():
-        if word[:1].isdigit():
-            parts = [int(re.match(r"\d*", p)[0] or 0) for p in word.split(".")[:3]]
-            found = tuple([*parts, 0, 0][:3])
-            if found < OLDEST:
-                raise ValueError(f"version {word} is too old")
-            return found
-    raise ValueError("no version found")
 
 
 def _tsv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
@@ -63,27 +46,76 @@ def read_certificates(spark: SparkSession, path: str) -> DataFrame:
     return t.select(F.greatest(F.expr("try_cast(`0` as bigint)") - 1, F.lit(0)).alias("packet_index"), F.when(F.col("1") != "", F.col("1")).alias("common_name"), names.alias("alternative_names"), F.lit(None).cast("string").alias("organization")).filter("common_name is not null or size(alternative_names) > 0")
 
 
-def parse_followed(text: str) -> list[tuple[str, bytes]]:
-    """(direction, bytes) of the hex lines of a followed stream; an indented line is the server's."""
+@dataclass
+class Followed:
+    """A followed stream: its ends, and (direction, bytes) of its segments in order."""
+
+    client: str
+    server: str
+    segments: list[tuple[str, bytes]]
+
+
+# How lines of a followed stream's head begin.
+_NODES, _HEAD, _RULE = ("Node 0: ", "Node 1: "), ("Follow:", "Filter:"), "==="
+
+
+def parse_followed(text: str, kind: str = "raw") -> Followed:
+    """A followed stream's text. kind "raw" has hex lines, of which blank ones say nothing; "http" has
+    lines of text, whose newlines are put back and whose blank lines count. An indented line is the server's."""
+    lines = text.splitlines()
+    rules = [i for i, line in enumerate(lines) if line.startswith(_RULE)]
+    if not rules or rules == [len(lines) - 1]:
+        raise ValueError("a followed stream has rules of === around it")
+    inner = [line for line in lines[rules[0] + 1 : rules[2] if len(rules) > 2 else rules[1] if len(rules) == 2 else None] if not line.startswith(_RULE)]
+    named = {line[: len(n)]: line[len(n) :].strip() for line in inner for n in _NODES if line.startswith(n)}
+    body = inner[max((i + 1 for i, line in enumerate(inner) if line.startswith((*_NODES, *_HEAD))), default=0) :]
     out = []
-    for line in text.splitlines():
-        body = line.strip()
-        if re.fullmatch(r"(?:[0-9A-Fa-f]{2})+", body):
-            out.append(("server_to_client" if line.startswith("\t") else "client_to_server", bytes.fromhex(body)))
-        elif re.fullmatch(r"[0-9A-Fa-f]+", body):
-            raise ValueError("odd number of hex digits")
-    return out
+    for line in body:
+        if kind == "raw" and not line:
+            continue
+        from_server = line.startswith("\t")
+        said = line[from_server:]
+        if kind == "raw":
+            try:
+                data = bytes.fromhex(said.strip())
+            except ValueError:
+                raise ValueError(f"no hex bytes: {said!r}") from None
+        else:
+            data = said.encode() + b"\n"
+        out.append(("server_to_client" if from_server else "client_to_server", data))
+    return Followed(named.get(_NODES[0], ""), named.get(_NODES[1], ""), out)
+
+
+#: Sequence numbers; a step of more than half of them is a step back. Rows or bytes in one task's stretch.
+_ALL, _STRETCH = 1 << 32, 1 << 20
 
 
 def reassemble(packets: DataFrame) -> DataFrame:
-    """Payload segments of TCP conversations in sequence order, without retransmitted ones: capture,
-    stream_key, direction (which end sent), seq, data. Needs packets with a column `payload`."""
-    from pyspark.sql.window import Window
-
-    sent = packets.filter("tcp is not null and octet_length(payload) > 0").select("capture", "stream_key", (F.col("tcp.src_port") == F.col("stream_key.lo.port")).alias("from_lo"), F.col("tcp.seq").alias("seq"), "payload", "packet_index")
-    one = sent.groupBy("capture", "stream_key", "from_lo", "seq").agg(F.max_by("payload", F.struct(F.octet_length("payload"), -F.col("packet_index"))).alias("payload"))
-    w = Window.partitionBy("capture", "stream_key", "from_lo").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    done = F.coalesce(F.max(F.col("seq") + F.octet_length("payload")).over(w), F.col("seq"))
-    over = F.greatest(done - F.col("seq"), F.lit(0))
-    cut = one.withColumn("over", over).filter("over < octet_length(payload)")
+    """Payload segments of TCP conversations in sequence order, without retransmitted parts: capture,
+    stream_key, direction (which end sent, by address and port), seq, data. Needs packets with
+    src_ip and a column `payload`.
+
+    Sequence numbers count on past 2 ** 32. Of segments that start alike the longest counts.
+    Windows go over stretches of packets or bytes; a stretch hands on only where it ends, so
+    a long conversation isn't one task's."""
+    address, port = key_end("lo")
+    from_lo = (F.col("tcp.src_port") == port) & (F.col("src_ip") == ip_text(key_family(), address))
+    way, first_on = ["capture", "stream_key", "from_lo"], Window.unboundedPreceding
+    sent = packets.filter("tcp is not null and octet_length(payload) > 0").select("capture", "stream_key", from_lo.alias("from_lo"), F.col("tcp.seq").alias("seq"), "payload", "packet_index", F.expr(f"packet_index div {_STRETCH}").alias("_s"))
+
+    # Each packet's number counted on from the first one's, by the steps between packets in order.
+    step = lambda now, before: F.coalesce(F.pmod(now - before + _ALL // 2, F.lit(_ALL)) - _ALL // 2, F.lit(0))
+    here = Window.partitionBy(*way, "_s").orderBy("packet_index")
+    sent = sent.withColumn("_step", step(F.col("seq"), F.lag("seq").over(here))).withColumn("_on", F.sum("_step").over(here.rowsBetween(first_on, 0)))
+    ends = sent.groupBy(*way, "_s").agg(F.min_by("seq", "packet_index").alias("_first"), F.max_by("seq", "packet_index").alias("_last"), F.max_by("_on", "packet_index").alias("_all"))
+    order = Window.partitionBy(*way).orderBy("_s")
+    ends = ends.withColumn("_jump", step(F.col("_first"), F.lag("_last").over(order)))
+    ends = ends.withColumn("_from", F.first("_first").over(order) + F.sum(F.col("_jump") + F.col("_all")).over(order.rowsBetween(first_on, 0)) - F.col("_all"))
+    counted = sent.join(ends.select(*way, "_s", "_from"), [*way, "_s"]).withColumn("seq", F.col("_from") + F.col("_on"))
+
+    one = counted.groupBy(*way, "seq").agg(F.max_by("payload", F.struct(F.octet_length("payload"), -F.col("packet_index"))).alias("payload"))
+    one = one.withColumns({"_s": F.expr(f"seq div {_STRETCH}"), "_end": F.col("seq") + F.octet_length("payload")})
+    reach = one.groupBy(*way, "_s").agg(F.max("_end").alias("_end")).withColumn("_before", F.max("_end").over(order.rowsBetween(first_on, -1))).drop("_end")
+    inside = F.max("_end").over(Window.partitionBy(*way, "_s").orderBy("seq").rowsBetween(first_on, -1))
+    cut = one.join(reach, [*way, "_s"]).withColumn("over", F.greatest(F.coalesce(inside, F.col("seq")), F.coalesce("_before", F.col("seq")), F.col("seq")) - F.col("seq")).filter("over < octet_length(payload)")
     return cut.select("capture", "stream_key", F.when(F.col("from_lo"), "lo_to_hi").otherwise("hi_to_lo").alias("direction"), (F.col("seq") + F.col("over")).alias("seq"), F.expr("substring(payload, cast(over as int) + 1)").alias("data"))

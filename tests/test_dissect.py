@@ -50,7 +50,7 @@ def test_ipv6_extensions(spark):
     hop = bytes((6, 0)) + b"\0" * 6
     atomic, later = bytes((6, 0, 0, 0)) + b"\0" * 4, bytes((6, 0, 0, 8)) + b"\0" * 4
     a, b, c, esp = packets(spark, ipv6(0, hop + tcp(1, 2)), ipv6(44, atomic + tcp(1, 2)), ipv6(44, later + tcp(1, 2)), ipv6(50, tcp(1, 2)))
-    assert a["tcp"] is not None and a["ipv6"]["next_header"] == 0 and a["spans"][1] == {"offset": 14, "len": 48} and a["stream_key"]["proto"] == 0
+    assert a["tcp"] is not None and a["ipv6"]["next_header"] == 0 and a["spans"][1] == {"offset": 14, "len": 48} and a["stream_key"][-1] == 0
     assert b["tcp"] is not None and c["tcp"] is None and esp["tcp"] is None
     assert a["source"] == "[2001:db8::1]:1" and esp["source"] == "[2001:db8::1]"
 

@@ -1,3 +1,4 @@
+import json
 import struct
 
 import duckdb
@@ -79,7 +80,11 @@ def test_pcap_round_trip(spark, tmp_path):
     pcap.write_pcaps(f.coalesce(1), str(tmp_path)).collect()
     whole = pcap.read_capture(spark, f"{tmp_path}/*.pcap", split_bytes=500)
     assert whole.rdd.getNumPartitions() > 3
-    assert [(r.frame_no, r.ts_ns, bytes(r.data)) for r in whole.orderBy("frame_no").collect()] == [(i, (i + 1) * 10**9, d) for i, d in enumerate(data)]
+    assert [(r.frame_no, r.packet_index, r.ts_ns, bytes(r.data)) for r in whole.orderBy("frame_no").collect()] == [(i, i, (i + 1) * 10**9, d) for i, d in enumerate(data)]
+    spark.dataSource.register(pcap.CaptureSource)
+    assert spark.read.format("capture").load(f"{tmp_path}/*.pcap").count() == 50
+    pcap.write_pcaps(f.coalesce(1), str(tmp_path))
+    assert [p.name for p in tmp_path.iterdir()] == ["part-00000.pcap"]
     path = next(tmp_path.glob("*.pcap"))
     assert pcap.read_small_captures(spark, str(path)).count() == 50
     path.write_bytes(path.read_bytes()[:-3])
@@ -96,7 +101,7 @@ def test_pcapng_and_errors():
     packet = block(6, struct.pack("<5I", 0, 0, 2_000_000, len(data), len(data) + 5) + data)
     simple = block(3, struct.pack("<I", len(data)) + data)
     rows = pcap.parse_capture(head + interface(1) + packet + simple)
-    assert [(r[1], r[2], r[3], r[4]) for r in rows] == [(0, 2_000_000_000, 56, 61), (1, None, 56, 56)] and rows[0][5] == data
+    assert [(r[1], r[2], r[3], r[4], r[5]) for r in rows] == [(0, 0, 2_000_000_000, 56, 61), (1, 1, None, 56, 56)] and rows[0][6] == data
     for bad in (head + interface(1) + interface(101) + packet, head + packet, b"abc", b"\xd4\xc3\xb2\xa1" + b"\0" * 5):
         with pytest.raises(pcap.CaptureError):
             pcap.parse_capture(bad)
@@ -107,8 +112,49 @@ def test_imported_tables(spark, tmp_path):
     (tmp_path / "a.tsv").write_text("\n".join(rows))
     got = [tuple(r) for r in tables.read_packet_table(spark, str(tmp_path / "a.tsv")).orderBy("packet_index").collect()]
     assert got[0] == (0, 1_500_000_000, 54, 60, "TCP", "info", "1.2.3.4:80", "5.6.7.8:99") and got[1][6:] == ("[fe80::1]:53", "[fe80::2]:54") and got[1][1] is None and got[2][6:] == ("fe80::1", "")
-    assert tables.parse_version("TShark (Wireshark) 4.0.17 (git)") == (4, 0, 17)
-    assert tables.parse_followed("0a0b\n\t0c\nnote") == [("client_to_server", b"\n\x0b"), ("server_to_client", b"\x0c")]
+
+
+def test_followed_streams():
+    rule, head = "=" * 20, "Follow: tcp,raw\nFilter: tcp.stream eq 0\nNode 0: 1.2.3.4:5\nNode 1: 5.6.7.8:80\n"
+    for text in (f"\n{rule}\n{head}0a0b\n\t0c\n\n{rule}\n", f"{rule}\n{head}{rule}\n0a0b\n\t0c\n{rule}\n"):
+        got = tables.parse_followed(text)
+        assert (got.client, got.server, got.segments) == ("1.2.3.4:5", "5.6.7.8:80", [("client_to_server", b"\n\x0b"), ("server_to_client", b"\x0c")])
+    got = tables.parse_followed(f"{rule}\n{head}GET /\n\n\tHTTP/1.1 200 OK\n{rule}\n", "http")
+    assert [b for _, b in got.segments] == [b"GET /\n", b"\n", b"HTTP/1.1 200 OK\n"]
+    for bad in ("0a0b", f"{rule}\n{head}0a0\n{rule}\n", f"{rule}\n{head}xx\n{rule}\n"):
+        with pytest.raises(ValueError):
+            tables.parse_followed(bad)
+
+
+def test_reassembly(spark):
+    a, b = (192, 0, 2, 10), (198, 51, 100, 20)
+    said = lambda seq, data, **k: ipv4(6, struct.pack(">HHIIBBHHH", 80, 80, seq, 0, 5 << 4, 24, 1024, 0, 0) + data, **k)
+    data = [said(2**32 - 3, b"abc"), said(0, b"def"), said(0, b"def"), said(1, b"efgh"), said(7, b"x", src=b, dst=a), said(2**32 - 3, b"abc")]
+    p = indexed(spark, *data)
+    got = tables.reassemble(p.join(frames(spark, *data).select("frame_no", "data"), "frame_no").selectExpr("*", "substring(data, payload_at + 1, payload_len) as payload"))
+    rows = sorted((r.direction, r.seq, bytes(r.data)) for r in got.collect())
+    base = 2**32
+    assert rows == [("hi_to_lo", 7, b"x"), ("lo_to_hi", base - 3, b"abc"), ("lo_to_hi", base, b"def"), ("lo_to_hi", base + 3, b"gh")]
+
+
+def test_several_captures_are_audited_apart(spark):
+    from pyspark.sql import functions as F
+
+    one = frames(spark, *(ipv4(6, tcp(i, 23)) for i in range(1, 4)), *(ipv4(6, tcp(1, 2), dst=(10, 0, 0, i)) for i in range(6)))
+    two = frames(spark, ipv4(6, tcp(1, 23)), ipv4(6, tcp(1, 23)), b"short").withColumn("capture", F.lit("u"))
+    said = lambda f: {tuple(map(str, r)) for r in audit.audit(dissect(streams.with_packet_index(f))).select("capture", "id", "packet_indexes", "summary").collect()}
+    assert said(one.unionByName(two)) == said(one) | said(two)
+    both = streams.stream_packets(dissect(streams.with_packet_index(one.unionByName(two))), 0)
+    assert [(r.capture, r.packet_index) for r in both.collect()] == [("t", 0), ("u", 0), ("u", 1)]
+
+
+def test_columns_are_pruned(spark):
+    f = frames(spark, ipv4(6, tcp(1, 2)))
+    assert dissect(f, ["capture", "protocol"]).columns == ["capture", "protocol"]
+    with pytest.raises(ValueError, match="nosuch"):
+        dissect(f, ["nosuch"])
+    plan = queries.QUERIES["protocol_counts"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Sort" not in plan and "Window" not in plan
 
 
 def test_sessions(spark):
@@ -135,6 +181,13 @@ def test_command_line(spark, tmp_path, capsys):
         main(argv)
     out = capsys.readouterr().out
     assert "192.0.2.10:5" in out and "0010  " in out and '"protocol": "TCP"' in out and "packet_delta: 0" in out
+    for argv, keys in ((["diff", path, path], {"file_a", "file_b", "new_hosts", "missing_hosts", "new_protocols", "missing_protocols", "new_ports", "missing_ports"}), (["stats", path], {"packet_count", "stream_count", "duration_seconds", "first_timestamp", "last_timestamp", "protocols", "top_endpoints"}), (["summary", path, "-f", "tcp"], {"index", "timestamp", "protocol", "source", "destination", "length", "stream_id"}), (["audit", path, "--profile", "security"], {"id", "severity", "category", "title", "evidence_count", "escalated"})):
+        main([*argv, "--json"])
+        assert set(json.loads(capsys.readouterr().out.splitlines()[0])) == keys
+    main(["detail", path, "1", "--json"])
+    assert [x["type"] for x in json.loads(capsys.readouterr().out)] == ["Ethernet", "IPv4", "TCP"]
+    with pytest.raises(ValueError, match="more than 1"):
+        main(["audit", path, "--max-packets", "1"])
     assert hex_dump(b"AB\0").splitlines()[0].endswith("AB.")
 
 
