@@ -1,10 +1,14 @@
 """Main text of web pages from parser events, text-to-tag ratios and smoothing.
 
 The standard library's parser streams over the page. Each block of text is one line of
-the page; its ratio is its characters over the tags met since the block before. Lines of
-page furniture (menus, headers, footers, sidebars, notices, adverts, forms, comments) have
-ratio 0. A Gaussian smooths the ratios along the page, a threshold clusters them, and the
-clusters select the content region: the innermost element around them. All lines of that
+the page; its ratio is its characters over the tags met since the block before. A Gaussian
+smooths the ratios along the page, and a threshold clusters them into content and the rest.
+
+Elements that are page furniture by what they are (menus, footers, sidebars) never count. Those that
+only have the name of some (a class or id such as "related" or "social", or a form) are furniture
+unless the content says otherwise: not if they hold nearly all of it, and in an article those with
+ambiguous names not if they hold any. What is left is smoothed and clustered again, and the clusters
+select the content region: the innermost element around them. All lines of that
 region but furniture are the main text, so short paragraphs between long ones stay.
 """
 
@@ -12,6 +16,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -22,26 +27,37 @@ from .common import table
 
 # Elements by what they are.
 HIDDEN = {"script", "style", "noscript", "template", "head", "title", "iframe", "object", "svg", "canvas", "select", "option", "textarea", "button"}
-FURNITURE = {"nav", "footer", "aside", "form", "menu", "dialog", "header"}
+FURNITURE = {"nav", "footer", "aside", "menu", "dialog", "header"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "input", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 CLOSES_P = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
 MAIN = {"article", "main"}
 FURNITURE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu", "menubar"}
-FURNITURE_NAMES = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumb\w*|sidebar\w*|side-bar|footer|header|masthead|cookie\w*|consent|notice\w*|newsletter|subscribe|popup|modal|share|sharing|social|related|recommend\w*|widget\w*|comment\w*|disqus\w*|respond|replies|pagination|pager)(?:$|[\s_-])", re.I)
+_PARTS = r"(?:^|[\s_-])(?:{})(?:$|[\s_-])"
+# Words in class and id. The first say something of their own block only, wherever its text is
+# thin; the others wherever they stand. HEADS is no furniture in an article, whose title it may hold.
+AMBIGUOUS = re.compile(_PARTS.format(r"related|recommend\w*|notice\w*|share|sharing|social|widget\w*|promo\w*|banner"), re.I)
+NAMED = re.compile(_PARTS.format(r"ad|ads|advert\w*|adsense|sponsor\w*|nav\w*|menu\w*|breadcrumb\w*|sidebar\w*|side-bar|footer|cookie\w*|consent|newsletter|subscribe|popup|modal|pagination|pager"), re.I)
+HEADS = re.compile(_PARTS.format(r"header|masthead"), re.I)
+COMMENTS = re.compile(_PARTS.format(r"comment\w*|disqus\w*|respond|replies"), re.I)
+PLAIN, BY_SIGHT, BY_NAME, BY_COMMENTS, ALWAYS = range(5)
+#: Share of the content that a named element holds if it is a frame around the page.
+FRAME = 0.9
 
 SIGMA, RADIUS = 1.0, 3
 KERNEL = [math.exp(-(k**2) / (2 * SIGMA**2)) for k in range(-RADIUS, RADIUS + 1)]
 
 
 class _Lines(HTMLParser):
-    """lines: [text, ratio, path], where path holds the numbers of the elements around."""
+    """Elements (parent, name, kind of furniture, whether in an article) and lines [text, tags, element].
+    An element's number is larger than its parent's; 0 is the page."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, bool, bool]] = []  # name, number, hidden, furniture
-        self.names: list[str] = []
-        self.lines: list[tuple[str, float, tuple[int, ...]]] = []
+        self.parent, self.names, self.kinds, self.in_main, self.hidden = [0], [""], [PLAIN], [False], [False]
+        self.stack = [0]
+        self.open: Counter[str] = Counter()
+        self.lines: list[tuple[str, int, int]] = []
         self.text: list[str] = []
         self.tags = 1
 
@@ -49,10 +65,21 @@ class _Lines(HTMLParser):
         text = " ".join("".join(self.text).split())
         self.text = []
         if text:
-            furniture = bool(self.stack) and self.stack[-1][3]
-            self.lines.append((text, 0.0 if furniture else len(text) / self.tags, tuple(x[1] for x in self.stack)))
+            self.lines.append((text, self.tags, self.stack[-1]))
             self.tags = 1
 
+    def _kind(self, tag: str, get, inside: bool) -> int:
+        if tag in MAIN or tag in ("body", "html"):
+            return PLAIN
+        if (tag in FURNITURE and not (tag == "header" and inside)) or (get("role") or "").lower() in FURNITURE_ROLES:
+            return ALWAYS
+        names = f"{get('class') or ''} {get('id') or ''}"
+        if COMMENTS.search(names):
+            return BY_COMMENTS
+        if tag == "form" or NAMED.search(names) or (not inside and HEADS.search(names)):
+            return BY_NAME
+        return BY_SIGHT if AMBIGUOUS.search(names) else PLAIN
+
     def handle_starttag(self, tag, attrs):
         self.tags += 1
         if tag in VOID:
@@ -64,19 +91,18 @@ class _Lines(HTMLParser):
         if tag in INLINE:
             return
         self._flush()
-        if tag in CLOSES_P and any(x[0] == "p" for x in self.stack):
+        if tag in CLOSES_P and self.open["p"]:
             self._pop("p")
-        elif tag in ("li", "tr", "td", "th", "dt", "dd", "option") and self.stack and self.stack[-1][0] == tag:
+        elif tag in ("li", "tr", "td", "th", "dt", "dd", "option") and self.names[self.stack[-1]] == tag:
             self._pop(tag)
-        get = dict(attrs).get
-        hidden, furniture = self.stack[-1][2:] if self.stack else (False, False)
-        hidden = hidden or tag in HIDDEN or "hidden" in dict(attrs)
-        inside = any(x[0] in MAIN for x in self.stack)
-        if tag not in MAIN and tag not in ("body", "html"):
-            names = f"{get('class') or ''} {get('id') or ''}"
-            furniture = furniture or (tag in FURNITURE and not (tag == "header" and inside)) or (get("role") or "").lower() in FURNITURE_ROLES or bool(FURNITURE_NAMES.search(names))
-        self.stack.append((tag, len(self.names), hidden, furniture))
+        up, given = self.stack[-1], dict(attrs)
+        self.parent.append(up)
         self.names.append(tag)
+        self.kinds.append(self._kind(tag, given.get, self.in_main[up]))
+        self.in_main.append(self.in_main[up] or tag in MAIN)
+        self.hidden.append(self.hidden[up] or tag in HIDDEN or "hidden" in given)
+        self.stack.append(len(self.names) - 1)
+        self.open[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -84,34 +110,42 @@ class _Lines(HTMLParser):
             self.handle_endtag(tag)
 
     def _pop(self, tag: str) -> None:
-        while self.stack and self.stack.pop()[0] != tag:
-            pass
+        while len(self.stack) > 1:
+            name = self.names[self.stack.pop()]
+            self.open[name] -= 1
+            if name == tag:
+                return
 
     def handle_endtag(self, tag):
         self.tags += 1
         if tag in INLINE or tag in VOID:
             return
         self._flush()
-        if any(x[0] == tag for x in self.stack):
+        if self.open[tag]:
             self._pop(tag)
 
     def handle_data(self, data):
-        if not (self.stack and self.stack[-1][2]):
+        if not self.hidden[self.stack[-1]]:
             self.text.append(data)
 
     def close(self):
         super().close()
         self._flush()
 
+    def sums(self, values) -> list[int]:
+        """Of each element the sum of (element, value) pairs in it and below."""
+        out = [0] * len(self.names)
+        for element, value in values:
+            out[element] += value
+        for e in range(len(out) - 1, 0, -1):
+            out[self.parent[e]] += out[e]
+        return out
 
-def main_text(html: str | None) -> str:
-    page = _Lines()
-    page.feed(html or "")
-    page.close()
-    lines = page.lines
-    ratios = [r for _, r, _ in lines]
+
+def _content(ratios: list[float]) -> tuple[list[int], float]:
+    """Numbers of the lines whose smoothed ratio is in the upper cluster, and where that begins."""
     if not any(ratios):
-        return ""
+        return [], 0.0
     smooth = []
     for i in range(len(ratios)):
         reach = [(KERNEL[k + RADIUS], ratios[i + k]) for k in range(-RADIUS, RADIUS + 1) if 0 <= i + k < len(ratios)]
@@ -119,21 +153,53 @@ def main_text(html: str | None) -> str:
     mean = sum(smooth) / len(smooth)
     spread = math.sqrt(sum((x - mean) ** 2 for x in smooth) / len(smooth))
     # Low enough that text next to furniture still counts, high enough to leave link lists out.
-    threshold = min(mean, max(mean - spread, 0.1 * max(smooth)))
-    chosen = [i for i, x in enumerate(smooth) if x >= threshold and ratios[i] > 0]
-    weight: dict[int, int] = {}
-    total = 0
-    for i in chosen:
-        total += len(lines[i][0])
-        for element in lines[i][2]:
-            weight[element] = weight.get(element, 0) + len(lines[i][0])
-    main = [e for e in weight if page.names[e] in MAIN and 2 * weight[e] >= total]
-    region = max(main, key=lambda e: (weight[e], -e)) if main else max((e for e in weight if weight[e] == total), default=None)
-    if region is not None:
-        kept = [t for t, r, path in lines if r > 0 and region in path]
-    else:
-        kept = [lines[i][0] for i in range(chosen[0], chosen[-1] + 1) if ratios[i] > 0] if chosen else []
-    return "\n".join(kept)
+    threshold = min(0.75 * mean, max(mean - spread, 0.1 * max(smooth)))
+    return [i for i, x in enumerate(smooth) if x >= threshold * (1 - 1e-9) and ratios[i] > 0], threshold
+
+
+def _furniture(page: _Lines) -> list[bool]:
+    """Which elements are furniture, or in some."""
+    always = [False] * len(page.names)
+    for e in range(1, len(always)):
+        always[e] = always[page.parent[e]] or page.kinds[e] == ALWAYS
+    lines = page.lines
+    ratios = [0.0 if always[e] else len(t) / n for t, n, e in lines]
+    chosen, threshold = _content(ratios)
+    weight = page.sums((lines[i][2], len(lines[i][0])) for i in chosen)
+    main = page.sums((lines[i][2], len(lines[i][0])) for i in chosen if page.in_main[lines[i][2]])
+    thick = page.sums((lines[i][2], 1) for i in chosen if ratios[i] >= threshold)  # by themselves, not for their neighbours
+    out = always
+    for e in range(1, len(out)):
+        kind, frame = page.kinds[e], weight[e] >= FRAME * weight[0] > 0 and main[e] == main[0]
+        if out[page.parent[e]] or kind == ALWAYS:
+            out[e] = True
+        elif kind == BY_COMMENTS:
+            out[e] = weight[e] < weight[0] or not weight[0]
+        elif kind == BY_NAME or (kind == BY_SIGHT and not page.in_main[e]):
+            out[e] = not frame
+        elif kind == BY_SIGHT:
+            out[e] = not thick[e]
+    return out
+
+
+def main_text(html: str | None) -> str:
+    page = _Lines()
+    page.feed(html or "")
+    page.close()
+    furniture, lines = _furniture(page), page.lines
+    ratios = [0.0 if furniture[e] else len(t) / n for t, n, e in lines]
+    chosen = _content(ratios)[0]
+    if not chosen:
+        return ""
+    weight = page.sums((lines[i][2], len(lines[i][0])) for i in chosen)
+    main = [e for e, w in enumerate(weight) if w and page.names[e] in MAIN and 2 * w >= weight[0]]
+    region = max(main, key=lambda e: (weight[e], -e)) if main else max(e for e, w in enumerate(weight) if w == weight[0])
+    inside = [e == region for e in range(len(weight))]
+    for e in range(region + 1, len(inside)):
+        inside[e] = inside[e] or inside[page.parent[e]]
+    # With no element of its own around it, content lies between its first line and its last.
+    part = range(len(lines)) if region else range(chosen[0], chosen[-1] + 1)
+    return "\n".join(lines[i][0] for i in part if ratios[i] > 0 and inside[lines[i][2]])
 
 
 def _extract(batches):

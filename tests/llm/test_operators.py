@@ -449,6 +449,45 @@ def test_main_text_of_other_layouts(spark):
     assert html_extraction.extract_main_text(df).count() == 3 and html_extraction.extract_main_text(df.limit(0)).count() == 0
 
 
+def test_main_text_is_not_lost_to_names():
+    long = "A sentence of the article that goes on for a while, so that it is text. " * 3
+    text = f"<h1>Title</h1><p>{long}</p><p>Short.</p><p>{long}</p>"
+    want = "\n".join(["Title", long.strip(), "Short.", long.strip()])
+    assert html_extraction.main_text(f"<body><form id=aspnetForm><div>{text}</div></form></body>") == want
+    assert html_extraction.main_text(f"<body><nav>a</nav><div class=social>{text}</div><footer>b</footer></body>") == want
+    assert html_extraction.main_text(f"<article><div class='entry-header'><h1>Title</h1></div><p>{long}</p><p>Short.</p><section id=related-work><p>{long}</p></section><div class=related><ul><li><a href=x>a</a><li><a href=y>b</a></ul></div></article>") == want
+    assert html_extraction.main_text(f"<div id=page class=has-sidebar>{text}<div class=sidebar><p>{long}</p></div><div id=comments>{f'<p>{long}</p>' * 20}</div></div>") == want
+
+
+def test_main_text_of_deep_and_very_long_pages():
+    import time
+
+    began = time.time()
+    assert html_extraction.main_text("<div>x" * 20_000).count("\n") == 19_999
+    assert len(html_extraction.main_text(f"<p>{'word ' * 200_000}</p>")) == 999_999
+    assert time.time() - began < 20
+
+
+def brute_page(rng, long):
+    """A page and the text of its article, from layouts that the operator doesn't know."""
+    say = lambda n: " ".join(rng.choice(long) for _ in range(n))
+    blocks = [("h1", say(4))] + [(rng.choice(("p", "p", "blockquote", "li")), say(rng.randint(12, 60))) for _ in range(rng.randint(4, 12))]
+    article = "".join(f"<ul><li>{x}</li></ul>" if tag == "li" else f"<{tag}>{x.replace(' ', ' <b>x</b> ', 1).replace('<b>x</b> ', '')}</{tag}>" for tag, x in blocks)
+    links = "".join(f"<li><a href='/{k}'>{rng.choice(long)}</a></li>" for k in range(6))
+    before = rng.choice((f"<nav><ul>{links}</ul></nav>", f"<header><a>{say(2)}</a></header>", f"<div class='top-menu'><ul>{links}</ul></div>", f"<div class=cookie-notice>{say(20)}</div>"))
+    after = rng.choice((f"<footer>{say(10)}</footer>", f"<aside><p>{say(30)}</p></aside>", f"<div id=comments><p>{say(40)}</p></div>", f"<div class='sponsored ad'><p>{say(25)}</p></div>", f"<form><label>{say(3)}</label><input></form>"))
+    frame = rng.choice(("<article>{}</article>", "<main>{}</main>", "<div id=content>{}</div>", "<div class=post><div class=body>{}</div></div>"))
+    return f"<html><head><title>{say(3)}</title><style>p {{}}</style></head><body>{before}{frame.format(article)}{after}<script>{say(50)}</script></body></html>", "\n".join(x for _, x in blocks)
+
+
+def test_main_text_of_many_layouts():
+    rng = random.Random(8)
+    long = [f"word{k}" * rng.randint(1, 2) for k in range(200)]
+    for _ in range(300):
+        page, want = brute_page(rng, long)
+        assert html_extraction.main_text(page) == want
+
+
 # ---- shared
 
 
