@@ -2,10 +2,12 @@
 
 The chain has a logistic regression for each category, in order; each later model also
 sees the log-odds of the earlier categories, out of fold while it is trained, so that it
-learns from predictions as good as those it will see. Spark counts features per category
-over the training sample and picks those that tell most; only documents' picked features
-reach the driver, where the small models are fitted. The training sample is bounded:
-SAMPLE_ROWS labelled documents, those whose ids hash lowest.
+learns from predictions as good as those it will see. Spark counts features per category and fold
+over the training sample and picks those that tell most: of all folds for the final models, and
+for each out-of-fold model of the others alone, so that no label of a document has a part in its own
+out-of-fold prediction. Only documents' picked features reach the driver, where the small models are
+fitted. The training sample is bounded: SAMPLE_ROWS labelled documents, those whose ids hash
+lowest; a document's fold is a hash of its id too.
 """
 
 from __future__ import annotations
@@ -109,47 +111,69 @@ def _fit(rows, cols, extra, y, k, l2=L2, rounds=80):
 
 def fit_chain(docs: DataFrame, labels: DataFrame, targets: dict[str, str], id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, features: int = FEATURES) -> Chain:
     """Fits the chain. targets: category -> SQL expression over `labels` that is 1 or 0;
-    rows with a null target or id are left out. With no labelled rows every
-    probability is near 0."""
+    rows with a null target or id are left out. Of labels that repeat an id the largest count, and
+    documents that repeat one all take part. With no labelled rows every probability is near 0.
+    Ties between features or sampled ids go by their hashes, so the chain doesn't depend on
+    the order of rows."""
     kept = Stored(docs.sparkSession, "toxicity")
     names = list(targets)
     y = labels.select(F.col(id_col).alias("id"), *[F.expr(e).cast("int").alias(f"y{i}") for i, e in enumerate(targets.values())]).dropna()
     y = y.groupBy("id").agg(*[F.max(f"y{i}").alias(f"y{i}") for i in range(len(names))])
     sample = F.broadcast(y.orderBy(F.xxhash64("id"), "id").limit(sample_rows))  # at most sample_rows short rows
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(sample, "id").select(F.struct(*[f"y{i}" for i in range(len(names))]).alias("labels"), "text")
+    key = F.xxhash64(F.lit("fold"), "id").alias("key")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(sample, "id").select(F.struct(key, *[f"y{i}" for i in range(len(names))]).alias("labels"), "text")
     schema = T.StructType([rows.schema["labels"], T.StructField("features", T.ArrayType(T.LongType()))])
     rows = kept.put(rows.mapInArrow(_feature_lists, schema))
-    totals = rows.agg(F.count(F.lit(1)), *[F.sum(f"labels.y{i}") for i in range(len(names))]).first()
-    n = totals[0]
-    if not n:
+    fold = F.pmod("labels.key", F.lit(FOLDS))
+    of_fold = lambda value, f: F.sum(F.when(fold == f, value).otherwise(0))
+    ys = [F.col(f"labels.y{i}") for i in range(len(names))]
+    sums = lambda: [of_fold(v, f).alias(f"n{f}_{i}") for f in range(FOLDS) for i, v in enumerate([F.lit(1), *ys])]
+    totals = rows.agg(*sums()).first().asDict()
+    if not any(totals.values()):
         return Chain(np.zeros(0, np.uint64), np.zeros((len(names), 0)), np.full(len(names), -20.0), np.zeros((len(names), len(names))))
-    counts = rows.select("labels", F.explode("features").alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"labels.y{i}").alias(f"n{i}") for i in range(len(names))]).filter(F.col("n") >= LEAST_DOCS)
-    picked: set[int] = set()
-    for i in range(len(names)):
-        expected = F.col("n") * F.lit(totals[1 + i] / n)
-        tells = F.pow(F.col(f"n{i}") - expected, 2) / (expected * (1 - F.lit(totals[1 + i] / n)) * (1 - F.col("n") / F.lit(n)) + 1)
-        picked.update(r.f for r in counts.orderBy(tells.desc(), "f").limit(features // len(names)).select("f").collect())
-    keys = np.sort(np.array(sorted(picked), np.int64).view(np.uint64))
+    counts = kept.put(rows.select("labels", F.explode("features").alias("f")).groupBy("f").agg(*sums()))
+
+    def telling(c: int, without: int | None) -> set[int]:
+        """The features that tell most of category c in all folds but one."""
+        folds = [f for f in range(FOLDS) if f != without]
+        n, hit = (sum((F.col(f"n{f}_{i}") for f in folds), F.lit(0)) for i in (0, 1 + c))
+        all_, rate = sum(totals[f"n{f}_0"] or 0 for f in folds), sum(totals[f"n{f}_{1 + c}"] or 0 for f in folds)
+        if not all_:
+            return set()
+        rate /= all_
+        tells = F.pow(hit - n * rate, 2) / (n * rate * (1 - rate) * (1 - n / all_) + 1)
+        return {r.f for r in counts.filter(n >= LEAST_DOCS).orderBy(tells.desc(), "f").limit(features // len(names)).select("f").collect()}
+
+    # The last category's predictions feed no other, so it needs none out of fold.
+    models = [(c, f) for c in range(len(names)) for f in [None, *(range(FOLDS) if c + 1 < len(names) else ())]]
+    picked = {m: telling(*m) for m in models}
+    whole = set().union(*(picked[c, None] for c in range(len(names))))
+    keys = np.sort(np.array(sorted(set().union(*picked.values())), np.int64).view(np.uint64))
     shared = docs.sparkSession.sparkContext.broadcast(keys)
-    few = rows.mapInArrow(_picked(shared), schema).collect()
-    kept.drop(rows)
-    sizes = [len(r.features) for r in few]
-    at_row = np.repeat(np.arange(n), sizes)
+    few = sorted(rows.mapInArrow(_picked(shared), schema).collect())  # at most sample_rows, of picked features
+    shared.destroy()
+    kept.drop(rows, counts)
+    n = len(few)
+    at_row = np.repeat(np.arange(n), [len(r.features) for r in few])
     at_col = np.array([x for r in few for x in r.features], np.int64)
-    truth = np.array([list(r.labels) for r in few], float).T
-    fold_of = (np.arange(n) * 2654435761 >> 7) % FOLDS
+    truth = np.array([list(r.labels)[1:] for r in few], float).T
+    fold_of = np.array([r.labels.key % FOLDS for r in few])
+
+    def only(rows_: np.ndarray, cols: np.ndarray, allowed: set[int]) -> tuple[np.ndarray, np.ndarray]:
+        mine = np.isin(keys, np.array(sorted(allowed), np.int64).view(np.uint64))[cols]
+        return rows_[mine], cols[mine]
+
     k = len(keys)
     weights, bias, prior, seen = np.zeros((len(names), k)), np.zeros(len(names)), np.zeros((len(names), len(names))), np.zeros((0, n))
     for c in range(len(names)):
-        own, own_prior, bias[c] = _fit(at_row, at_col, seen, truth[c], k)
-        weights[c], prior[c, :c] = own, own_prior
+        weights[c], prior[c, :c], bias[c] = _fit(*only(at_row, at_col, whole), seen, truth[c], k)
         if c + 1 < len(names):
             unseen = np.zeros(n)
             for f in range(FOLDS):
                 train = fold_of != f
                 number = np.cumsum(train) - 1
                 mine = train[at_row]
-                w, v, b = _fit(number[at_row[mine]], at_col[mine], seen[:, train], truth[c][train], k)
+                w, v, b = _fit(*only(number[at_row[mine]], at_col[mine], picked[c, f]), seen[:, train], truth[c][train], k)
                 z = np.bincount(at_row, w[at_col], n) + v @ seen + b
                 unseen[~train] = z[~train]
             seen = np.vstack([seen, np.clip(unseen, -10, 10)])
