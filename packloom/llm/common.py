@@ -32,8 +32,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def numbered(rows: DataFrame, by: str, order: list, kept: Stored, name: str = "rank") -> DataFrame:
     """Stores `rows` with 0, 1, 2 ... in `order` within each `by`, by a range sort: one value of
     `by` can have most rows, so no window spans it; only counts by partition are summed up."""
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartitionByRange(parts, by, *order).sortWithinPartitions(by, *order)
+    rows = rows.repartitionByRange(by, *order).sortWithinPartitions(by, *order)  # Spark joins small neighbouring partitions
     rows = kept.put(rows.select("*", F.spark_partition_id().alias("_pid"), F.monotonically_increasing_id().alias("_at")))
     stretch = rows.groupBy(by, "_pid").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
@@ -83,9 +82,7 @@ def give_back() -> None:
     the peak of each."""
     pa.default_memory_pool().release_unused()
     try:
-        libc = ctypes.CDLL("libc.so.6")
-        libc.mallopt(-3, 1 << 18)  # M_MMAP_THRESHOLD: arrays from 256 KB on are mapped, and unmapped when freed
-        libc.malloc_trim(0)
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # another C library
         pass
 
