@@ -4,16 +4,19 @@ The items' words become one automaton over word numbers. Tasks stream the words
 documents through it and track the longest match that ends at each word; wherever it
 reaches the window length, the window's words are hit and the automaton's state tells
 which items hold it. Only stretches of words that all occur in items are streamed, as a
-word that occurs in none ends every match.
+word that occurs in none ends every match; all stretches of a chunk go forward together,
+a word at a time, over the automaton's arrays.
 
-The automaton is broadcast, so its size is bounded: items are dealt into as many shards
-as keep each under SHARD_BYTES of text, and documents pass through shard after shard.
+The automaton is broadcast, so its size is bounded: items longer than PIECE_WORDS are cut into pieces
+that overlap by a window, and pieces are dealt into as many shards as keep each at about SHARD_BYTES
+of text. A shard is built on its own, and only its arrays are kept.
 """
 
 from __future__ import annotations
 
 import re
 from collections import defaultdict
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -21,43 +24,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, chunks_of, fold, same_bytes, table, text_bytes, word_hashes, words_of
+from .common import ALNUM, chunks_of, fold, ragged, same_bytes, table, text_bytes, word_hashes, words_of
 
 WINDOW = 10
-SHARD_BYTES = 4 << 20
+#: Text in a shard (a state of the automaton takes some 30 bytes in arrays, about one state for 6 bytes of
+#: text; while it is built a hundred times that), words in a piece of an item and in a piece of a stretch.
+SHARD_BYTES, PIECE_WORDS, STRETCH_WORDS = 1 << 20, 5000, 256
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 FOLD = {c: c + 32 for c in range(0x41, 0x5B)}
 
 
-class SuffixAutomaton:
-    """All word sequences of the items, each state with the items that hold its words."""
+class _Builder:
+    """The suffix automaton of some sequences of word numbers, while it grows."""
+
+    def __init__(self):
+        self.next, self.link, self.len = [{}], [-1], [0]
 
-    def __init__(self, items: list[tuple[str, list[int]]], window: int):
-        self.window, self.next, self.link, self.len = window, [{}], [-1], [0]
-        held: dict[int, set[str]] = defaultdict(set)
-        short: dict[int, list[tuple[int, str]]] = defaultdict(list)
+    def add(self, words: list[int]) -> None:
         last = 0
-        for k, (_, words) in enumerate(items):
-            for w in words:
-                last = self._extend(last, w)
-            last = self._extend(last, -1 - k)  # no document has this word
-        for name, words in items:
-            state = 0
-            for w in words:
-                state = self.next[state][w]
-                held[state].add(name)
-            if 0 < len(words) < window:
-                short[state].append((len(words), name))
-        for s in sorted(range(1, len(self.len)), key=lambda s: -self.len[s]):
-            if self.link[s] > 0 and s in held:
-                held[self.link[s]] |= held[s]
-        self.held = {s: frozenset(x) for s, x in held.items() if self.len[s] >= window}
-        self.short = dict(short)
-        self.has_short = [False] * len(self.len)
-        for s in sorted(range(len(self.len)), key=self.len.__getitem__):
-            self.has_short[s] = s in short or (s > 0 and self.has_short[self.link[s]])
-        sizes = [len(w) for _, w in items if w]
-        self.least = min([window, *sizes])
+        for w in words:
+            last = self._extend(last, w)
 
     def _extend(self, last: int, word: int) -> int:
         if word in self.next[last]:
@@ -87,110 +73,216 @@ class SuffixAutomaton:
             p = self.link[p]
         return new
 
-    def stream(self, words: list[int], base: int, spans: list[list[int]], names: set[str]) -> None:
-        """Adds what the stretch of document words that starts at `base` hits."""
-        state = length = 0
-        for i, w in enumerate(words):
-            while state and w not in self.next[state]:
-                state = self.link[state]
-                length = self.len[state]
-            state = self.next[state].get(w, 0)
-            length = length + 1 if state else 0
-            if length >= self.window:
-                at = state
-                while self.len[self.link[at]] >= self.window:
-                    at = self.link[at]
-                names |= self.held[at]
-                self._mark(spans, base + i + 1 - self.window, base + i + 1)
-            if self.has_short[state]:
-                at = state
-                while at > 0:
-                    for size, name in self.short.get(at, ()):
-                        if size <= length:
-                            names.add(name)
-                            self._mark(spans, base + i + 1 - size, base + i + 1)
-                    at = self.link[at]
+
+def _lists(of: dict[int, set], n: int, kind) -> tuple[np.ndarray, np.ndarray]:
+    """Sets of tuples of numbers by state, as offsets and one flat array."""
+    sizes = np.zeros(n + 1, np.int64)
+    for k, x in of.items():
+        sizes[k + 1] = len(x)
+    return np.cumsum(sizes), np.array([y for k in sorted(of) for y in sorted(of[k])], kind)
+
+
+@dataclass
+class SuffixAutomaton:
+    """All word sequences of some items in arrays. keys (state * n_words + word) and to: its steps. top: of
+    a state for `window` words or more, the one for their last `window`. held: item numbers by top
+    state; short: (size, item) of whole short items that end in a state."""
+
+    window: int
+    least: int
+    n_words: int
+    keys: np.ndarray
+    to: np.ndarray
+    link: np.ndarray
+    len: np.ndarray
+    top: np.ndarray
+    held: tuple[np.ndarray, np.ndarray]
+    short: tuple[np.ndarray, np.ndarray]
 
     @staticmethod
-    def _mark(spans: list[list[int]], start: int, end: int) -> None:
-        while spans and spans[-1][1] >= start:
-            start = min(start, spans.pop()[0])
-        spans.append([start, end])
+    def of(items: list[tuple[int, list[int]]], n_words: int, window: int) -> SuffixAutomaton:
+        grown = _Builder()
+        for _, words in items:
+            grown.add(words)
+        n, link, length = len(grown.len), np.array(grown.link), np.array(grown.len)
+        top, short, held = np.zeros(n, np.int64), defaultdict(set), defaultdict(set)
+        order = np.argsort(length, kind="stable").tolist()
+        for s in order[1:]:
+            up = grown.link[s]
+            top[s] = 0 if length[s] < window else s if length[up] < window else top[up]
+        for name, words in items:
+            state = 0
+            for w in words:
+                state = grown.next[state][w]
+                if top[state]:
+                    held[int(top[state])].add(name)
+            if 0 < len(words) < window:
+                short[state].add((len(words), name))
+        for s in order[1:]:
+            if short.get(grown.link[s]):
+                short[s] |= short[grown.link[s]]
+        keys = np.array([s * n_words + w for s, step in enumerate(grown.next) for w in step], np.int64)
+        to = np.array([t for step in grown.next for t in step.values()], np.int32)
+        back = np.argsort(keys)
+        least = min([window, *(len(w) for _, w in items if w)])
+        return SuffixAutomaton(window, least, n_words, keys[back], to[back], link.astype(np.int32), length.astype(np.int32), top.astype(np.int32), _lists(held, n, np.int32), _lists(short, n, np.int32))
+
+    def stream(self, code: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The state and matched length at each word of the stretches [begin, end) of document words."""
+        states, lengths = np.zeros(len(code), np.int32), np.zeros(len(code), np.int32)
+        order = np.argsort(begin - end, kind="stable")  # the longest first, so those that go on are the first ones
+        begin, size = begin[order], (end - begin)[order]
+        state, length = np.zeros(len(begin), np.int64), np.zeros(len(begin), np.int64)
+        for step in range(int(size.max()) if len(size) else 0):
+            live = int(np.searchsorted(-size, -step))
+            state, length = state[:live], length[:live]
+            word, todo = code[begin[:live] + step], np.arange(live)
+            while len(todo):
+                key = state[todo] * self.n_words + word[todo]
+                at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                found = self.keys[at] == key
+                state[todo[found]] = self.to[at[found]]
+                length[todo[found]] += 1
+                todo = todo[~found]
+                stuck = todo[state[todo] == 0]
+                length[stuck] = 0
+                todo = todo[state[todo] != 0]
+                state[todo] = self.link[state[todo]]
+                length[todo] = self.len[state[todo]]
+            states[begin[:live] + step], lengths[begin[:live] + step] = state, length
+        return states, lengths
+
+    def hits(self, code: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, end, item number) of the hit spans in the stretches, a span for each item."""
+        # A long stretch is cut into pieces that overlap by a window less a word.
+        pieces = np.maximum(1, -(-(end - begin - self.window + 1) // STRETCH_WORDS))
+        which = np.repeat(np.arange(len(begin)), pieces)
+        place = np.arange(len(which)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        begin = begin[which] + place * STRETCH_WORDS
+        end = np.minimum(end[which], begin + STRETCH_WORDS + self.window - 1)
+        out = [(np.zeros(0, np.int64),) * 3]
+        # Neighbouring pieces share words, so they go in turns.
+        for turn in (0, 1):
+            mine = place % 2 == turn
+            states, lengths = self.stream(code, begin[mine], end[mine])
+            at = np.flatnonzero(lengths >= self.window)
+            row, item = self._of(self.held, self.top[states[at]])
+            out.append((at[row] + 1 - self.window, at[row] + 1, item))
+            at = np.flatnonzero(np.diff(self.short[0])[states] > 0) if len(self.short[1]) else at[:0]
+            row, pair = self._of(self.short, states[at])
+            if len(row):
+                fits = pair[:, 0] <= lengths[at[row]]
+                row, pair = row[fits], pair[fits]
+                out.append((at[row] + 1 - pair[:, 0], at[row] + 1, pair[:, 1]))
+        start, past, item = (np.concatenate(x) for x in zip(*out, strict=True))
+        return start, past, item
+
+    @staticmethod
+    def _of(lists: tuple[np.ndarray, np.ndarray], states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sizes = lists[0][states + 1] - lists[0][states]
+        return np.repeat(np.arange(len(states)), sizes), lists[1][ragged(lists[0][states], sizes)]
+
+
+@dataclass
+class Shard:
+    """An automaton, the names of its items, and their words: sorted fingerprints, numbers, bytes and where those start."""
 
+    machine: SuffixAutomaton
+    names: list[str]
+    known: np.ndarray
+    number: np.ndarray
+    letters: np.ndarray
+    letters_at: np.ndarray
 
-def _automaton(items: list[tuple[str, str]], window: int):
-    """The automaton, and the items' words: sorted fingerprints, numbers, bytes and where those start."""
-    texts = [(name, WORD.findall(text.translate(FOLD))) for name, text in items]
+
+def _shard(items: list[tuple[str, str]], window: int) -> Shard:
     number: dict[str, int] = {}
-    coded = [(name, [number.setdefault(w, len(number)) for w in words]) for name, words in texts]
-    vocabulary = sorted(number, key=number.get)
-    raw = [w.encode("utf-8", "surrogatepass") for w in vocabulary]
+    names = sorted({name for name, _ in items})
+    of = {name: k for k, name in enumerate(names)}
+    coded = [(of[name], [number.setdefault(w, len(number)) for w in WORD.findall(text.translate(FOLD))]) for name, text in items]
+    raw = [w.encode("utf-8", "surrogatepass") for w in number]
     at = np.cumsum([0, *map(len, raw)])
     letters = np.frombuffer(b"".join(raw), np.uint8)
-    names = word_hashes(letters, at[:-1], at[1:])
-    order = np.argsort(names)
-    return SuffixAutomaton(coded, window), names[order], order, letters, at
+    known = word_hashes(letters, at[:-1], at[1:])
+    order = np.argsort(known)
+    return Shard(SuffixAutomaton.of(coded, len(number), window), names, known[order], order, letters, at)
+
+
+def _pieces(items: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
+    """(name, text) of the items, long ones in overlapping pieces."""
+    words = F.regexp_extract_all(F.col(text_col), F.lit("([^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+)"), F.lit(1))
+    named = items.filter(F.col(text_col).isNotNull()).select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("name"), words.alias("w"))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("w") - window, F.lit(0)), F.lit(PIECE_WORDS))
+    return named.filter("size(w) > 0").select("name", "w", F.explode(starts).alias("s")).select("name", F.array_join(F.slice("w", F.col("s") + 1, F.lit(PIECE_WORDS + window - 1)), " ").alias("text"))
 
 
 def _shards(items: DataFrame, id_col: str, text_col: str, window: int, shard_bytes: int):
-    named = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("name"), F.col(text_col).alias("text")).filter("text is not null")
-    total = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    """The shards, each collected and built on its own."""
+    pieces = _pieces(items, id_col, text_col, window)
+    total = pieces.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-total // shard_bytes)
     for k in range(n):
-        part = named if n == 1 else named.filter(F.pmod(F.xxhash64("name", "text"), F.lit(n)) == k)
-        if rows := [tuple(r) for r in part.collect()]:
-            yield _automaton(rows, window)
+        part = pieces if n == 1 else pieces.filter(F.pmod(F.xxhash64("name", "text"), F.lit(n)) == k)
+        if rows := [tuple(r) for r in part.collect()]:  # about shard_bytes
+            yield _shard(rows, window)
 
 
 SPAN = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
 
-def _find(shared):
+def _known(part: np.ndarray, starts: np.ndarray, ends: np.ndarray, shard: Shard) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each word is one of the items', and its number."""
+    key = word_hashes(part, starts, ends)
+    near = np.minimum(np.searchsorted(shard.known, key), len(shard.known) - 1)
+    code, hit = shard.number[near], shard.known[near] == key
+    at = np.flatnonzero(hit)
+    size, begin = (ends - starts)[at], shard.letters_at[code[at]]
+    same = size == shard.letters_at[code[at] + 1] - begin
+    same[same] = same_bytes(part, starts[at[same]], shard.letters, begin[same], size[same])
+    hit[at[~same]] = False
+    return hit, code
+
+
+def _find(shared: list):
+    """All shards' hits; a shard is looked up once for each chunk of texts."""
+
     def run(batches):
-        machine, known, number, letters, letters_at = shared.value
         for b in batches:
             data, offsets = text_bytes(b.column(1))
             n_words, spans, items = [], [], []
-            before, before_items = b.column(3).to_pylist(), b.column(4).to_pylist()
             for first, past in chunks_of(offsets):
                 part = fold(data[offsets[first] : offsets[past]])
                 starts, ends, at = words_of(part, offsets[first : past + 1] - offsets[first], ALNUM)
                 n_words += np.diff(at).tolist()
-                found = [[[s["start"], s["end"]] for s in before[r]] for r in range(first, past)]
-                names = [set(before_items[r]) for r in range(first, past)]
-                if len(starts) and len(known):
-                    key = word_hashes(part, starts, ends)
-                    near = np.minimum(np.searchsorted(known, key), len(known) - 1)
-                    code, hit = number[near], known[near] == key
-                    found_at = np.flatnonzero(hit)
-                    size = (ends - starts)[found_at]
-                    same = size == letters_at[code[found_at] + 1] - letters_at[code[found_at]]
-                    found_at, size = found_at[same], size[same]
-                    same = same_bytes(part, starts[found_at], letters, letters_at[code[found_at]], size)
-                    hit[:] = False
-                    hit[found_at[same]] = True
+                found = [set() for _ in range(first, past)]
+                marks = np.zeros(len(starts) + 1, np.int64)
+                for s in shared if len(starts) else ():
+                    shard = s.value
+                    hit, code = _known(part, starts, ends, shard)
                     edge = np.zeros(len(hit) + 1, bool)
                     edge[at] = True
-                    padded = np.append(hit, False)
-                    prior = np.append(False, hit)
+                    padded, prior = np.append(hit, False), np.append(False, hit)
                     begin = np.flatnonzero(padded & (~prior | edge))
                     end = np.flatnonzero(prior & (~padded | edge))
-                    long = end - begin >= machine.least
-                    for a, z in zip(begin[long].tolist(), end[long].tolist(), strict=True):
-                        r = int(np.searchsorted(at, a, "right")) - 1
-                        got: list[list[int]] = []
-                        machine.stream(code[a:z].tolist(), a - int(at[r]), got, names[r])
-                        found[r] += got
-                for r in range(past - first):
-                    merged: list[list[int]] = []
-                    for s, e in sorted(found[r]):
-                        if merged and s <= merged[-1][1]:
-                            merged[-1][1] = max(e, merged[-1][1])
-                        else:
-                            merged.append([s, e])
-                    spans.append([{"start": s, "end": e} for s, e in merged])
-                    items.append(sorted(names[r]))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(items, pa.list_(pa.string())), b.column(5)], ["doc_id", "text", "n_words", "spans", "items", "row"])
+                    long = end - begin >= shard.machine.least
+                    start, stop, item = shard.machine.hits(code, begin[long], end[long])
+                    np.add.at(marks, start, 1)
+                    np.add.at(marks, stop, -1)
+                    row = np.searchsorted(at, start, "right") - 1
+                    for r, k in {*zip(row.tolist(), item.tolist(), strict=True)}:
+                        found[r].add(shard.names[k])
+                covered = np.cumsum(marks)[:-1] > 0
+                edge = np.zeros(len(covered) + 1, bool)
+                edge[at] = True
+                padded, prior = np.append(covered, False), np.append(False, covered)
+                begin, end = np.flatnonzero(padded & (~prior | edge)), np.flatnonzero(prior & (~padded | edge))
+                row = np.searchsorted(at, begin, "right") - 1
+                of = [[] for _ in range(first, past)]
+                for r, x, y in zip(row.tolist(), (begin - at[row]).tolist(), (end - at[row]).tolist(), strict=True):
+                    of[r].append({"start": x, "end": y})
+                spans += of
+                items += [sorted(x) for x in found]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(items, pa.list_(pa.string())), b.column(2)], ["doc_id", "text", "n_words", "spans", "items", "row"])
 
     return run
 
@@ -204,12 +296,11 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW,
     texts, of documents or items, have no words; items without words hit nothing; an
     item with a null id counts under the empty id, and rows of one id are one item. With
     no items every document is clean."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast(SPAN).alias("spans"), F.array().cast("array<string>").alias("items"), F.struct(*[c for c in docs.columns if c != text_col]).alias("row"))
-    schema = T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema.fields])
-    machines = list(_shards(items, item_col, item_text_col, window, shard_bytes)) or [_automaton([], window)]
-    for machine in machines:
-        rows = rows.mapInArrow(_find(docs.sparkSession.sparkContext.broadcast(machine)), schema)
-    return rows
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.struct(*[c for c in docs.columns if c != text_col]).alias("row"))
+    kind = {f.name: f.dataType for f in rows.schema.fields}
+    schema = T.StructType([T.StructField("doc_id", kind["doc_id"]), T.StructField("text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("spans", SPAN), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("row", kind["row"])])
+    context = docs.sparkSession.sparkContext
+    return rows.mapInArrow(_find([context.broadcast(s) for s in _shards(items, item_col, item_text_col, window, shard_bytes)]), schema)
 
 
 def _cut(batches):

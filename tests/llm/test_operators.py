@@ -304,8 +304,10 @@ def brute_hits(text, items, n=10):
     return len(w), len(hit), sorted(found)
 
 
-@pytest.mark.parametrize("shard_bytes", [1 << 20, 200])
-def test_contamination_against_brute_force(spark, shard_bytes):
+@pytest.mark.parametrize("shard_bytes, piece, stretch", [(1 << 20, 5000, 256), (200, 12, 3)])
+def test_contamination_against_brute_force(spark, monkeypatch, shard_bytes, piece, stretch):
+    monkeypatch.setattr(decontamination, "PIECE_WORDS", piece)
+    monkeypatch.setattr(decontamination, "STRETCH_WORDS", stretch)
     rng = random.Random(6)
     vocabulary = ["a", "b", "c", "É", "x9", "d-e"]
     items = [(k, " ".join(rng.choice(vocabulary) for _ in range(rng.choice((0, 1, 3, 8, 12, 30))))) for k in range(12)] + [(99, None), (3, "b b b b b b b b b b b"), (None, "zz yy")]
