@@ -6,17 +6,19 @@ of the conversation that wrote the same text itself; of the lowest quote level t
 (deeper ones quote its ancestors), the message whose text a reply quotes most is its parent. Conversations are then put in reply order (each message followed by
 the answers to it, in turn order), without the quotes. DataFrame functions only.
 
-No step gathers a conversation in one task: paths to the root come from pointer doubling,
-positions from a range sort, and a long conversation is written in parts.
+No step gathers a conversation in one task, and no row grows with it. A thread's order is the order
+in which a walk around it enters its messages: each message has two ends, where the walk enters and
+where it leaves, each end knows the next one, and pointer doubling counts how many messages are
+entered from there on. A range sort then numbers the messages, and a long conversation is written in
+parts.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import Stored, grown, table
+from .common import Stored, grown, numbered, table
 
 #: Messages in one row of the result; a longer conversation has several parts.
 PART_MESSAGES = 1000
@@ -36,15 +38,18 @@ def _lines(text: Column) -> Column:
 
 def _passages(lines: Column) -> Column:
     """Runs of lines of one level, as (level, lines)."""
-    kind = "array<struct<level:int,lines:array<string>>>"
 
-    def step(got, line):
-        last = F.try_element_at(got, F.lit(-1))
-        joined = F.concat(F.slice(got, 1, F.greatest(F.size(got) - 1, F.lit(0))), F.array(F.struct(line["level"].alias("level"), F.concat(last["lines"], F.array(line["body"])).alias("lines"))))
-        new = F.concat(got, F.array(F.struct(line["level"].alias("level"), F.array(line["body"]).alias("lines"))))
-        return F.when(last["level"] == line["level"], joined).otherwise(new).cast(kind)
+    def cut(starts):
+        def passage(start, k):
+            past = F.coalesce(F.get(starts, k + 1), F.size(lines) + 1)
+            return F.struct(F.element_at(lines, start)["level"].alias("level"), F.transform(F.slice(lines, start, past - start), lambda x: x["body"]).alias("lines"))
 
-    return F.aggregate(lines, F.array().cast(kind), step)
+        return F.transform(starts, passage)
+
+    new = lambda i: (i == 1) | (F.element_at(lines, i)["level"] != F.get(lines, i - 2)["level"])
+    starts = F.filter(F.sequence(F.lit(1), F.size(lines)), new)
+    # A variable of a lambda stands for the starts, which so are found once.
+    return F.get(F.transform(F.array(starts), cut), F.lit(0))
 
 
 def _normal(text: Column) -> Column:
@@ -68,7 +73,8 @@ def _body(lines: Column) -> Column:
 
 def link_quotations(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """One row per row of `messages`: conv_id, turn, role, body (without quotes), parent
-    (the turn it answers, or null), path (turns from the thread's first message to this one).
+    (the turn it answers, or null), root (the first turn of its thread) and place (how many messages
+    of the thread stand before it in reply order).
 
     A parent is always an earlier turn of the same conversation. Of parents quoted at one level equally
     much the later one counts. A null text is an empty message; a null role is "unknown"; a
@@ -90,16 +96,45 @@ def link_quotations(messages: DataFrame, conv_col: str = "conv_id", turn_col: st
     index = kept.put(index.groupBy("conv", "unit").agg(F.min("turn").alias("source")))
     votes = asked.join(grown(index), ["conv", "unit"]).filter("source < turn").groupBy("conv", "turn", "level", "source").agg(F.sum("weight").alias("weight"))
     links = votes.groupBy("conv", "turn").agg(F.max_by("source", F.struct(-F.col("level"), "weight", "source")).alias("parent"))
-    links = kept.put(links.select("conv", "turn", "parent", F.col("parent").alias("up"), F.array("turn").alias("path")))
-
-    # Pointer doubling: a path grows by the path of the message it has reached.
-    while not (open_ := links.filter("up is not null")).isEmpty():
-        above = links.select("conv", F.col("turn").alias("up"), F.col("up").alias("next"), F.col("path").alias("above"))
-        longer = open_.join(grown(above), ["conv", "up"], "left").select("conv", "turn", "parent", F.col("next").alias("up_"), F.concat(F.coalesce("above", F.array("up")), "path").alias("path")).withColumnRenamed("up_", "up")
-        old, links = links, kept.put(links.filter("up is null").unionByName(longer))
+    links = kept.put(links.select("conv", "turn", "parent"))
+    places = _places(links, kept)
+    alone = F.coalesce("turn", F.lit((1 << 63) - 1))
+    return parsed.join(grown(places), ["conv", "turn"], "left").select("conv_id", "conv", "turn", "role", "body", "parent", F.coalesce("root", alone).alias("root"), F.coalesce("place", F.lit(0).cast("long")).alias("place"))
+
+
+def _followed(rows: DataFrame, key: list[str], to: list[str], kept: Stored, step) -> DataFrame:
+    """Pointer doubling: while a row has a next one, `step` makes it point where that one points."""
+    while not rows.filter(f"{to[0]} is not null").isEmpty():
+        ahead = rows.select("conv", *[F.col(k).alias(t) for k, t in zip(key, to, strict=True)], *[F.col(c).alias("_" + c) for c in rows.columns if c != "conv" and c not in key])
+        moved = rows.filter(f"{to[0]} is not null").join(grown(ahead), ["conv", *to])
+        old, rows = rows, kept.put(rows.filter(f"{to[0]} is null").unionByName(step(moved).select(*rows.columns)))
         kept.drop(old)
-    alone = F.array(F.coalesce("turn", F.lit((1 << 63) - 1)))
-    return parsed.join(grown(links.select("conv", "turn", "parent", "path")), ["conv", "turn"], "left").select("conv_id", "conv", "turn", "role", "body", "parent", F.coalesce("path", alone).alias("path"))
+    return rows
+
+
+def _places(links: DataFrame, kept: Stored) -> DataFrame:
+    """(conv, turn, parent, root, place) of the messages of threads, from (conv, turn, parent)."""
+    threads = links.select("conv", "turn", "parent").unionByName(links.select("conv", F.col("parent").alias("turn"), F.lit(None).cast("long").alias("parent")))
+    threads = kept.put(threads.groupBy("conv", "turn").agg(F.max("parent").alias("parent")))
+    if threads.isEmpty():
+        return threads.select("conv", "turn", "parent", F.col("turn").alias("root"), F.lit(0).cast("long").alias("place"))
+    roots = _followed(kept.put(threads.select("conv", "turn", F.col("parent").alias("up"), F.coalesce("parent", "turn").alias("root"))), ["turn"], ["up"], kept, lambda m: m.select("conv", "turn", F.col("_up").alias("up"), F.col("_root").alias("root")))
+
+    # Answers to one message, numbered in turn order, so that each knows the one after it.
+    answers = threads.filter("parent is not null").select("conv", "turn", "parent", F.concat_ws(" ", "conv", F.col("parent").cast("string")).alias("of"))
+    answers = numbered(answers, "of", ["turn"], kept)
+    after = answers.select("of", (F.col("rank") - 1).alias("rank"), F.col("turn").alias("sibling"))
+    answers = kept.put(answers.join(grown(after), ["of", "rank"], "left").select("conv", "turn", "parent", "sibling", "rank"))
+    firsts = answers.filter("rank = 0").select("conv", F.col("parent").alias("turn"), F.col("turn").alias("child"))
+    enter = threads.join(grown(firsts), ["conv", "turn"], "left").select("conv", "turn", F.lit(0).alias("side"), F.coalesce("child", "turn").alias("to"), F.when(F.col("child").isNull(), 1).otherwise(0).alias("to_side"), F.lit(1).cast("long").alias("entered"))
+    leave = threads.join(grown(answers.select("conv", "turn", "sibling")), ["conv", "turn"], "left").select("conv", "turn", F.lit(1).alias("side"), F.coalesce("sibling", "parent").alias("to"), F.when(F.col("sibling").isNull(), 1).otherwise(0).alias("to_side"), F.lit(0).cast("long").alias("entered"))
+    walk = kept.put(enter.unionByName(leave))
+    walk = _followed(walk, ["turn", "side"], ["to", "to_side"], kept, lambda m: m.select("conv", "turn", "side", F.col("_to").alias("to"), F.col("_to_side").alias("to_side"), (F.col("entered") + F.col("_entered")).alias("entered")))
+    entered = walk.filter("side = 0").select("conv", "turn", "entered")
+    mine = roots.select("conv", "turn", "root").join(grown(entered), ["conv", "turn"])
+    whole = mine.filter("turn = root").select("conv", "root", F.col("entered").alias("size"))
+    placed = mine.join(grown(whole), ["conv", "root"]).select("conv", "turn", "root", (F.col("size") - F.col("entered")).alias("place"))
+    return kept.put(threads.join(grown(placed), ["conv", "turn"]).select("conv", "turn", "parent", "root", "place"))
 
 
 def format_chats(messages: DataFrame, part_messages: int = PART_MESSAGES, template: str = "<|{role}|>\n{body}\n<|end|>\n", **columns) -> DataFrame:
@@ -110,13 +145,7 @@ def format_chats(messages: DataFrame, part_messages: int = PART_MESSAGES, templa
     before, _, rest = template.partition("{role}")
     between, _, after = rest.partition("{body}")
     linked = link_quotations(messages, **columns)
-    parts = int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = linked.repartitionByRange(parts, "conv", "path").sortWithinPartitions("conv", "path")
-    ordered = kept.put(ordered.select("*", F.spark_partition_id().alias("pid"), F.monotonically_increasing_id().alias("at")))
-    stretch = ordered.groupBy("conv", "pid").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("conv").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
-    stretch = kept.put(stretch.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0))).drop("n"))  # a row per conversation and partition
-    placed = ordered.join(grown(stretch), ["conv", "pid"]).withColumn("position", F.col("at") - F.col("first") + F.col("before"))
+    placed = numbered(linked, "conv", ["root", "place", "turn"], kept, "position")
     segment = F.concat(F.lit(before), "role", F.lit(between), "body", F.lit(after))
     item = F.struct("position", F.coalesce(F.col("turn").cast("string"), F.lit("-")).alias("turn"), F.coalesce(F.col("parent").cast("string"), F.lit("-")).alias("parent"), segment.alias("segment"))
     rows = placed.select("conv", "conv_id", F.floor(F.col("position") / part_messages).cast("long").alias("part"), item.alias("m"))

@@ -352,6 +352,75 @@ def test_chats_are_linked_by_nested_quotes(spark):
     assert {r.turn: r.parent for r in chat.link_quotations(df).collect()} == {0: None, 1: None, 2: 0, 3: 1, 4: 2, 5: 0}
 
 
+def brute_chats(rows):
+    """Parents and reply order of one conversation's (turn, text) rows."""
+    normal = lambda x: " ".join(x.lower().split())
+    parsed = {}
+    for turn, text in rows:
+        runs = []
+        for line in text.split("\n"):
+            marks = re.match(r"[ \t]*((?:>[ \t]?)+)", line)
+            level, body = (marks[1].count(">"), line[marks.end() :]) if marks else (0, line)
+            if not runs or runs[-1][0] != level:
+                runs.append((level, []))
+            runs[-1][1].append(body)
+        units = {(level, normal(u)) for level, lines in runs for u in [" ".join(lines), *lines]}
+        parsed[turn] = [u for u in units if u[1]]
+    first = {}
+    for turn in sorted(parsed):
+        for level, u in parsed[turn]:
+            if level == 0:
+                first.setdefault(u, turn)
+    parent = {}
+    for turn, units in parsed.items():
+        votes = Counter()
+        for level, u in units:
+            if level and first.get(u, turn) < turn:
+                votes[level, first[u]] += len(u)
+        best = max(votes, key=lambda v: (-v[0], votes[v], v[1]), default=None)
+        parent[turn] = best and best[1]
+    order = []
+
+    def walk(turn):
+        order.append(turn)
+        for t in sorted(t for t, p in parent.items() if p == turn):
+            walk(t)
+
+    for t in sorted(t for t, p in parent.items() if p is None):
+        walk(t)
+    return order, parent
+
+
+def test_chats_against_brute_force(spark):
+    rng = random.Random(12)
+    pool = [f"some words of message {k}" for k in range(40)]
+    rows, want = [], {}
+    for conv in range(8):
+        mine = []
+        for turn in range(rng.randint(1, 30)):
+            lines = []
+            for _ in range(rng.randint(0, 3)):
+                lines.append("> " * rng.randint(1, 3) + rng.choice(pool))
+            lines += [rng.choice(pool) for _ in range(rng.randint(0, 2))]
+            mine.append((turn, "\n".join(lines)))
+        want[conv] = brute_chats(mine)
+        rows += [(conv, t, "user", x) for t, x in mine]
+    # A chain of answers, each to the one before.
+    chain = [(t, f"> message {t - 1} of the chain\nmessage {t} of the chain") for t in range(70)]
+    want[99] = brute_chats(chain)
+    rows += [(99, t, "user", x) for t, x in chain]
+    got = {r.conv_id: r for r in chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    for conv, (order, parent) in want.items():
+        assert got[conv].turns == ",".join(map(str, order)) and got[conv].parents == ",".join("-" if parent[t] is None else str(parent[t]) for t in order)
+
+
+def test_chats_with_a_very_long_text(spark):
+    text = "\n".join(f"{'> ' * (k % 2)}line {k}" for k in range(20_000))
+    rows = [(1, 0, "user", "line 1", "x"), (1, 1, "user", text, "y")]
+    (r,) = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, position string")).collect()
+    assert (r.turns, r.parents) == ("0,1", "-,0") and r.text.count("\n") == 10_000 + 1 + 4
+
+
 def test_chats_without_quotes_keep_their_order(spark):
     rows = read(SF, "conversations")
     got = chat.op7_chat_formatting(spark, SF).collect()
