@@ -1,10 +1,10 @@
 """Exact dedup by distributed radix partitioning from the first byte on.
 
-Each text is written as its length followed by its lower-cased bytes, so that no key
-is a prefix of another and a group always ends as a whole. A round splits every group
-that is still alive by its next digit, a stretch of bytes (the first 64, then 16 times
-as many each round). Groups of one text, and groups whose texts have ended, leave. The
-digits are compared as they are; no digest decides equality. (The SHA-256 in the result
+A round splits every group that is still alive by its next digit, a stretch of bytes (the
+first 64, then 16 times as many each round); texts carry only the bytes that are still to
+come. A digit that is shorter than the others of its round ends its text, so a group always
+ends as a whole. Groups of one text, and groups whose texts have ended, leave. The digits are
+compared as they are; no digest decides equality. (The SHA-256 in the result
 only describes the text.)
 
 A hot group costs no task more than its share: counts are pre-aggregated where rows
@@ -46,22 +46,23 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     kept = Stored(docs.sparkSession, "exact-dedup")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    alive = rows.mapInArrow(_normalised, "doc_id long, n_bytes long, text_sha256 string, body binary")
+    alive = rows.mapInArrow(_normalised, "doc_id long, n_bytes long, text_sha256 string, body binary").withColumn("group", F.lit(0).cast("long"))
     out = ["doc_id", "keep_id", "group_size", "text_sha256", "n_bytes"]
     done, width = [], first_digit
     while True:
-        key = ["n_bytes", "digits"]
-        cut = alive.withColumn("digits", F.substring("body", 1, width))
-        groups = cut.groupBy(*key).agg(F.count(F.lit(1)).alias("group_size"), F.max("doc_id").alias("keep_id"))
-        groups = kept.put(groups.filter("group_size > 1").withColumn("many", F.lit(True)))
-        split = cut.join(grown(groups), key, "left").withColumns(
-            {"keep_id": F.when(F.col("many"), F.col("keep_id")).otherwise(F.col("doc_id")), "group_size": F.coalesce("group_size", F.lit(1).cast("long"))}
-        )
-        open_ = (F.col("group_size") > 1) & (F.col("n_bytes") > width)
-        split = kept.put(split.select(*out, open_.alias("open"), F.when(open_, F.col("body")).alias("body")))
+        cut = alive.withColumn("digit", F.substring("body", 1, width))
+        groups = cut.groupBy("group", "digit").agg(F.count(F.lit(1)).alias("group_size"), F.max("doc_id").alias("keep_id")).filter("group_size > 1")
+        groups = kept.put(groups.withColumn("next", F.monotonically_increasing_id()))
+        split = cut.join(grown(groups), ["group", "digit"], "left")
+        open_ = F.col("next").isNotNull() & (F.octet_length("digit") == width)
+        split = split.select(
+            "doc_id", F.when(F.col("next").isNotNull(), F.col("keep_id")).otherwise(F.col("doc_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), "text_sha256", "n_bytes",
+            open_.alias("open"), F.when(open_, F.expr(f"substring(body, {width + 1})")).alias("body"), F.col("next").alias("group"),
+        )
+        split = kept.put(split)
         kept.drop(groups)
         done.append(split.filter("not open").select(*out))
-        alive = split.filter("open").select("doc_id", "n_bytes", "text_sha256", "body")
+        alive = split.filter("open").select("doc_id", "n_bytes", "text_sha256", "body", "group")
         if alive.isEmpty():
             break
         width *= growth
