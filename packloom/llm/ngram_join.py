@@ -186,7 +186,8 @@ def _component_labels(sets: DataFrame, entries: DataFrame, kept: Stored) -> Data
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, rare: int = RARE, paired: int = PAIRED_TOKENS) -> DataFrame:
-    """One row per row of `docs`: doc_id, n_shingles, component_id.
+    """One row per row of `docs`: doc_id, n_shingles, component_id, body (a hash of the text, which tells
+    rows of one id apart) and group (a number of the component, null without shingles).
 
     Documents link when their sets of `shingle`-word shingles (A-Z lower-cased; words part at
     ASCII white space; a shorter text is one shingle) have a Jaccard similarity of 0.8 or
@@ -209,7 +210,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     hits = tokens.join(grown(shared), "token").groupBy("set").agg(F.count(F.lit(1)).alias("hits"))
     left = classes.join(grown(hits), "set").filter("hits >= copies * (4 * n div 5 div 20 + 1)").select("cid", "set", "doc_id", "body")
     left = kept.put(left)
-    members = kept.put(short.select("doc_id", "n", "set"))
+    members = kept.put(short.select("doc_id", "body", "n", "set"))
     kept.drop(short, shared)
 
     # Only rows that stand for a class are read again; a null id is found as well.
@@ -226,15 +227,35 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     named = classes.join(grown(label.withColumnRenamed("node", "cid")), "cid", "left").select("set", "rep", F.coalesce("label", "cid").alias("label"))
     least = kept.put(named.groupBy("label").agg(F.min("rep").alias("component_id")))
-    named = kept.put(named.join(grown(least), "label").select("set", "component_id"))
+    named = kept.put(named.join(grown(least), "label").select("set", "component_id", F.col("label").alias("group")))
     kept.drop(sets, entries, left, least, classes)
-    out = members.filter("n > 0").join(grown(named), "set").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    alone = members.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    out = members.filter("n > 0").join(grown(named), "set").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "body", "group")
+    alone = members.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "body", F.lit(None).cast("long").alias("group"))
     return out.unionByName(alone)
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of `docs` but near-duplicates: of each component of ngram_components() the text with the
+    least id stays (a null id is the largest; of texts under one id, the one whose hash is least),
+    and of its repeated rows one. Texts without shingles all stay."""
+    kept = Stored(docs.sparkSession, "ngram-dedup")
+    found = ngram_components(docs, id_col, text_col, **options).filter("group is not null")
+    rows = kept.put(found.groupBy("group", F.col("doc_id").alias("_id"), F.col("body").alias("_body")).agg(F.count(F.lit(1)).alias("n")))
+    first = kept.put(rows.groupBy("group").agg(F.min(F.struct(F.col("_id").isNull().alias("x"), F.col("_id").alias("y"), F.col("_body").alias("z"))).alias("first")))
+    stays = F.struct(F.col("_id").isNull().alias("x"), F.col("_id").alias("y"), F.col("_body").alias("z")).eqNullSafe(F.col("first"))
+    marked = rows.join(grown(first), "group").select("_id", "_body", F.when(~stays, "gone").when(F.col("n") > 1, "once").alias("_mark")).filter("_mark is not null")
+    marked = kept.put(marked)
+    kept.drop(rows, first)
+    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("key"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
+    whole = whole.join(grown(marked), (F.col("text") == F.col("_body")) & F.col("key").eqNullSafe(F.col("_id")), "left")
+    out = whole.filter("_mark is null").select("row.*")
+    if marked.filter("_mark = 'once'").isEmpty():
+        return out
+    return out.unionByName(whole.filter("_mark = 'once'").dropDuplicates(["_id", "_body"]).select("row.*"))
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_components(table(spark, sf_dir, "documents"))
+    return ngram_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 QUERIES = {"op3_ngram_join": op3_ngram_join}
