@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
 columns of `docs`. Texts that a stage shortens get a new n_chars.
+
+In every stage a null text counts as empty and stays null, an empty table gives an empty result,
+rows that repeat are rows like any other unless a stage says otherwise, and columns beside doc_id
+and text are passed on unread, whatever their names. Texts are taken whole at any length.
 """
 
 from __future__ import annotations
@@ -9,10 +13,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packloom.llm.common import Stored, grown, table
+from packloom.llm.common import Stored, table
 from packloom.llm.decontamination import decontaminate
 from packloom.llm.line_dedup import line_dedup
-from packloom.llm.ngram_join import ngram_components
+from packloom.llm.ngram_join import one_of_each
 from packloom.llm.sentencepiece_codec import model_file, sentencepiece_codec
 from packloom.llm.toxicity import TARGETS, fit_chain, score_chain
 
@@ -26,31 +30,34 @@ def _as(docs: DataFrame, done: DataFrame) -> DataFrame:
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the chain calls toxic go."""
+    """Documents that the chain calls toxic go. Empty texts and null ids are scored like others; with no
+    labels none go."""
     scored = score_chain(docs, fit_chain(docs, table(spark, sf_dir, "labels"), TARGETS))
     return _as(docs, scored.filter(F.col("p")[1] < MOST_TOXIC))
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines aligned with an earlier document go, and documents of which nothing is left."""
+    """Lines aligned with an earlier document go, and documents of which nothing is left. Repeated rows
+    are one document and lose the same lines; rows without an id lose none; a text that was
+    empty before stays."""
     done = line_dedup(docs)
     return _as(docs, done.filter((F.col("n_removed") == 0) | (F.trim("text") != "")))
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the least id stays."""
-    found = ngram_components(docs)
-    gone = Stored(spark, "pipeline").put(found.filter("doc_id != component_id").select("doc_id").distinct())
-    return docs.join(grown(gone), "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near-duplicates one row stays: of the least id, a null id being the largest, and
+    of texts under one id that whose hash is least. Texts without words all stay."""
+    return one_of_each(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of the benchmark are cut out; documents that are mostly such passages go."""
+    """Passages of the benchmark are cut out; documents that are mostly such passages go. Without
+    benchmark items all stay as they are."""
     return _as(docs, decontaminate(docs, table(spark, sf_dir, "benchmark")))
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids, and the text they decode to."""
+    """Token ids (with an end id, for an empty or null text that alone), and the text they decode to."""
     done = sentencepiece_codec(docs, model_file())
     kept = [F.col(f"row.{c}") for c in docs.columns if c not in ("text", "n_chars")]
     return done.select(*kept, F.col("decoded").alias("text"), "ids", F.size("ids").cast("long").alias("n_tokens"))
