@@ -56,5 +56,19 @@ def test_tokens(stages):
     assert all(after[i].text == r.text and after[i].n_tokens == len(after[i].ids) for i, r in before.items())
 
 
+def test_stages_take_odd_rows(spark):
+    rows = [(1, "One two Three four five six"), (2, "one two three four five six"), (3, None), (4, ""), (None, "one two three four five six"), (5, "x " * 50_000), (6, "alone here"), (6, "alone here"), (6, "another text under one id")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "k", 1, "r") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, key string, body int, row string")
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        kept[name] = sorted((r.doc_id is None, r.doc_id or 0) for r in out.collect())
+        assert stage(spark, docs.limit(0), SF).count() == 0
+        assert out.columns == docs.columns or name.startswith("SentencePiece")
+    everything = sorted((i is None, i or 0) for i, _ in rows)
+    assert kept["n-gram Jaccard join"] == [(False, i) for i in (1, 3, 4, 5, 6, 6)]
+    assert all(x == everything for name, x in kept.items() if name != "n-gram Jaccard join")
+
+
 def test_run_is_all_stages(spark, stages):
     assert corpus_pipeline.run(spark, SF).count() == len(stages[0][5])
