@@ -9,16 +9,15 @@ its occurrences. Of the interior symbols those with locally least names are exch
 each under the name of its surroundings that any window around it contains.
 
 Spark counts these names over the corpus. Only windows around shared ones can repeat; these
-are compared as windows, which verifies the repeats word for word (by fingerprints). Copies
-of a whole document are found first and take part once.
+are compared as windows, by two independent 64-bit fingerprints of all their words. Copies
+of a whole document (by a 128-bit digest of its words) are found first and take part once.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -88,49 +87,50 @@ def anchors(words: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray,
 def _read(part: np.ndarray, offsets: np.ndarray):
     starts, ends, at = words_of(part, offsets, SPACED)
     words = word_hashes(part, starts, ends)
-    body = run_hashes(words, at[:-1], at[1:]).view(np.int64)
+    body = [xxhash.xxh3_128_digest(words[x:y].tobytes()) for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
     return starts, ends, at, words, body
 
 
 def _anchor_lists(window: int):
     def run(batches):
         for b in batches:
-            data, offsets = text_bytes(b.column(1))
+            data, offsets = text_bytes(b.column(2))
             for first, past in chunks_of(offsets):
                 _, _, at, words, body = _read(data[offsets[first] : offsets[past]], offsets[first : past + 1] - offsets[first])
                 spot, name, begin = anchors(words, at, window)
                 local = spot - np.repeat(at[:-1], np.diff(begin))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(first, past - first), pa.array(body, pa.int64()), pa.array(np.diff(at), pa.int64()), packed(name.view(np.int64), begin, pa.int64()), packed(local.astype(np.int32), begin, pa.int32())],
-                    ["doc_id", "body", "n_words", "names", "spots"],
+                    [b.column(0).slice(first, past - first), b.column(1).slice(first, past - first), pa.array(body, pa.binary()), pa.array(np.diff(at), pa.int64()), packed(name.view(np.int64), begin, pa.int64()), packed(local.astype(np.int32), begin, pa.int32())],
+                    ["id", "text_key", "body", "n_words", "names", "spots"],
                 )
 
     return run
 
 
 def _windows(window: int):
-    """The windows around each document's shared symbols, as body, start and fingerprint."""
+    """The windows around each document's shared symbols, as its number, start and two fingerprints."""
 
     def run(batches):
         span = window - 2 * SIGHT - MOST_WORDS + 1
         for b in batches:
             data, offsets = text_bytes(b.column(0))
-            want = b.column(1).to_numpy(zero_copy_only=False)
+            number = b.column(1).to_numpy(zero_copy_only=False)
             spots = b.column(2)
             flat, begin = spots.flatten().to_numpy(zero_copy_only=False).astype(np.int64), spots.offsets.to_numpy() - spots.offsets[0].as_py()
             for first, past in chunks_of(offsets):
-                _, _, at, words, body = _read(data[offsets[first] : offsets[past]], offsets[first : past + 1] - offsets[first])
+                part, part_at = data[offsets[first] : offsets[past]], offsets[first : past + 1] - offsets[first]
+                word_starts, word_ends, at = words_of(part, part_at, SPACED)
+                words = word_hashes(part, word_starts, word_ends)
                 mine = flat[begin[first] : begin[past]]
                 row = np.repeat(np.arange(past - first), np.diff(begin[first : past + 1]))
-                good = (body == want[first:past])[row]
-                mine, row = mine[good], row[good]
                 lo = at[row] + mine - SIGHT - span + 1
                 marks = np.zeros(len(words) + 1, np.int64)
                 np.add.at(marks, np.maximum(lo, at[row]), 1)
                 np.add.at(marks, np.maximum(np.minimum(lo + span, at[row + 1] - window + 1), np.maximum(lo, at[row])), -1)
                 start = np.flatnonzero(np.cumsum(marks)[:-1] > 0)
                 row = np.searchsorted(at, start, "right") - 1
-                yield pa.RecordBatch.from_arrays([pa.array(body[row], pa.int64()), pa.array((start - at[row]).astype(np.int32), pa.int32()), pa.array(run_hashes(words, start, start + window).view(np.int64), pa.int64())], ["body", "start", "print"])
+                prints = [pa.array(run_hashes(w, start, start + window).view(np.int64), pa.int64()) for w in (words, word_hashes(part, word_starts, word_ends, 1))]
+                yield pa.RecordBatch.from_arrays([pa.array(number[first:past][row], pa.int64()), pa.array((start - at[row]).astype(np.int32), pa.int32()), *prints], ["number", "start", "print", "check"])
 
     return run
 
@@ -138,8 +138,8 @@ def _windows(window: int):
 def _with_body(batches):
     for b in batches:
         data, offsets = text_bytes(b.column(1))
-        found = [_read(data[offsets[f] : offsets[p]], offsets[f : p + 1] - offsets[f])[4] for f, p in chunks_of(offsets)]
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(found) if found else [], pa.int64())], [*b.schema.names, "body"])
+        found = [x for f, p in chunks_of(offsets) for x in _read(data[offsets[f] : offsets[p]], offsets[f : p + 1] - offsets[f])[4]]
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.binary())], [*b.schema.names, "body"])
 
 
 def _remove(window: int):
@@ -194,25 +194,27 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     if window < LEAST_WINDOW:
         raise ValueError(f"window must be {LEAST_WINDOW} words at least")
     kept = Stored(docs.sparkSession, "substring-dedup")
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), F.col(text_col).alias("text"))
-    read = kept.put(rows.mapInArrow(_anchor_lists(window), "id long, body long, n_words long, names array<long>, spots array<int>"))
-    # Each distinct word sequence takes part once; with copies, all of its windows repeat.
-    bodies = kept.put(read.groupBy("body").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.max("n_words").alias("n_words")))
-    one = read.join(grown(bodies.filter(f"n_words >= {window}").select("id", "body")), ["id", "body"], "left_semi").dropDuplicates(["body"])
-    one = kept.put(one.select("id", "body", F.explode(F.arrays_zip("names", "spots")).alias("a")).select("id", "body", F.col("a.names").alias("name"), F.col("a.spots").alias("spot")))
+    text = F.col(text_col)
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_key"), text.alias("text"))
+    read = kept.put(rows.mapInArrow(_anchor_lists(window), "id long, text_key long, body binary, n_words long, names array<long>, spots array<int>"))
+    # Each distinct word sequence takes part once, as one of its rows; with copies, all of its windows repeat.
+    bodies = read.filter(f"n_words >= {window}").groupBy("body").agg(F.min(F.struct("id", "text_key")).alias("row"), F.count(F.lit(1)).alias("copies"))
+    bodies = kept.put(bodies.select("body", "row.*", "copies", F.monotonically_increasing_id().alias("number")))
+    one = read.join(grown(bodies.select("body", "id", "text_key", "number")), ["body", "id", "text_key"]).dropDuplicates(["number"])
+    one = kept.put(one.select("id", "text_key", "number", F.explode(F.arrays_zip("names", "spots")).alias("a")).select("id", "text_key", "number", F.col("a.names").alias("name"), F.col("a.spots").alias("spot")))
     kept.drop(read)
     shared = kept.put(one.groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("name"))
-    spots = kept.put(one.join(grown(shared), "name").groupBy("id", "body").agg(F.collect_list("spot").alias("spots")))  # a document's own
+    spots = kept.put(one.join(grown(shared), "name").groupBy("id", "text_key", "number").agg(F.collect_list("spot").alias("spots")))  # a document's own
     kept.drop(one, shared)
-    found = rows.join(grown(spots), "id").select("text", "body", "spots").mapInArrow(_windows(window), "body long, start int, print long")
+    found = rows.join(grown(spots), ["id", "text_key"]).select("text", "number", "spots").mapInArrow(_windows(window), "number long, start int, print long, check long")
     found = kept.put(found)
-    again = kept.put(found.groupBy("print").agg(F.min("body").alias("lo"), F.max("body").alias("hi"), F.min("start").alias("s"), F.max("start").alias("t")).filter("lo < hi or s < t").select("print"))
-    starts = found.join(grown(again), "print").groupBy("body").agg(F.collect_set("start").alias("starts"))
-    plan = bodies.filter(f"n_words >= {window}").join(grown(kept.put(starts)), "body", "left").select("body", "starts", (F.col("copies") > 1).alias("whole")).filter("whole or starts is not null")
+    again = kept.put(found.groupBy("print", "check").agg(F.min("number").alias("lo"), F.max("number").alias("hi"), F.min("start").alias("s"), F.max("start").alias("t")).filter("lo < hi or s < t").select("print", "check"))
+    starts = kept.put(found.join(grown(again), ["print", "check"]).groupBy("number").agg(F.collect_set("start").alias("starts")))
+    plan = bodies.join(grown(starts), "number", "left").select("body", "starts", (F.col("copies") > 1).alias("whole")).filter("whole or starts is not null")
     plan = kept.put(plan.select("body", F.when(~F.col("whole"), F.col("starts")).alias("starts"), "whole"))
-    kept.drop(found, again, spots)
+    kept.drop(found, again, spots, starts, bodies)
     given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.struct(*[c for c in docs.columns if c != text_col]).alias("row"))
-    given = given.mapInArrow(_with_body, T.StructType([*given.schema.fields, T.StructField("body", T.LongType())]))
+    given = given.mapInArrow(_with_body, T.StructType([*given.schema.fields, T.StructField("body", T.BinaryType())]))
     joined = given.join(grown(plan), "body", "left").select("doc_id", "text", "row", "starts", "whole")
     kind = {f.name: f.dataType for f in joined.schema.fields}
     schema = T.StructType([T.StructField("doc_id", kind["doc_id"]), T.StructField("text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("row", kind["row"])])
