@@ -65,14 +65,21 @@ o AS (SELECT *, CASE WHEN part = 7 THEN CASE WHEN k % 3 = 0 THEN 4660 ELSE right
 """
 
 
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table. In fewer files than there are cores, whose row groups Spark can't split, its short rows are
+    spread over all of them before they become frames; in more files they stay where they are read."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return events.repartition(cores, "event_id") if len(events.inputFiles()) < cores else events
+
+
 def packets(spark: SparkSession, sf_dir: str, needs: str | None = None) -> DataFrame:
     """Packets of the derived capture; needs: the columns that are decoded, all if it is None."""
-    frames = frames_from_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
-    return dissect(frames, needs.split() if needs is not None else None)
+    return dissect(frames_from_events(_events(spark, sf_dir)), needs.split() if needs is not None else None)
 
 
 def odd_packets(spark: SparkSession, sf_dir: str, needs: str) -> DataFrame:
-    return dissect(odd_frames_from_events(spark.read.parquet(f"{sf_dir}/events.parquet")), needs.split())
+    return dissect(odd_frames_from_events(_events(spark, sf_dir)), needs.split())
 
 
 def _query(name: str, sql: str | None, needs: str | None = None, source=packets, start: str = PACKETS, twice: bool = False):
