@@ -162,6 +162,12 @@ def audit(packets: DataFrame, profile: str | None = None) -> DataFrame:
     return out
 
 
+def escalated(findings: DataFrame, notes: DataFrame) -> DataFrame:
+    """Findings with the notes on them: notes has a row (id, notes) for each finding that was escalated."""
+    kept = [c for c in findings.columns if c not in ("notes", "escalated")]
+    return findings.select(*kept).join(notes.select("id", "notes"), "id", "left").select(*kept, F.col("notes").isNotNull().alias("escalated"), "notes")
+
+
 def severity_tally(findings: DataFrame) -> DataFrame:
     """Findings per severity; what is neither high nor medium counts as low."""
     high, medium = F.col("severity") == "high", F.col("severity") == "medium"

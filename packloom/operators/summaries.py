@@ -65,14 +65,19 @@ def issue_total(packets: DataFrame) -> DataFrame:
     return packets.agg(F.coalesce(F.sum(F.size("issues").cast("long")), F.lit(0).cast("long")).alias("issues"), F.count_if(F.size("issues") > 0).alias("packets_with_issues"))
 
 
+def description(packets: DataFrame) -> DataFrame:
+    """(what, name, n): packets, issues, each protocol and the ten busiest endpoints."""
+    row = lambda df, what, name, n: df.select(F.lit(what).alias("what"), name.alias("name"), n.cast("long").alias("n"))
+    totals = issue_total(packets).crossJoin(F.broadcast(packets.agg(F.count(F.lit(1)).alias("packets"))))  # a row each
+    out = row(totals, "packets", F.lit(""), F.col("packets")).unionByName(row(totals, "issues", F.lit(""), F.col("issues")))
+    return out.unionByName(row(protocol_counts(packets), "protocol", F.col("protocol"), F.col("packets"))).unionByName(row(top_endpoints(packets), "endpoint", F.col("endpoint"), F.col("packets")))
+
+
 def describe_capture(packets: DataFrame) -> dict:
-    """Packet and issue counts, protocols and the ten busiest endpoints."""
-    total = packets.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("issues")), F.lit(0))).first()
-    return {
-        "packet_count": total[0], "decode_issue_count": total[1],
-        "protocols": [tuple(r) for r in protocol_counts(packets).orderBy(F.desc("packets"), "protocol").collect()],
-        "top_endpoints": [tuple(r) for r in top_endpoints(packets).collect()],
-    }
+    """description() as one object, protocols and endpoints in order of their packets."""
+    rows = sorted(description(packets).collect(), key=lambda r: (-r.n, r.name))
+    of = lambda what: [(r.name, r.n) for r in rows if r.what == what]
+    return {"packet_count": of("packets")[0][1], "decode_issue_count": of("issues")[0][1], "protocols": of("protocol"), "top_endpoints": of("endpoint")}
 
 
 #: Columns of packets that search() reads, beside those of its filter.

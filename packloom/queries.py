@@ -18,6 +18,8 @@ from .operators.dissect import dissect
 from .plans.display_filter import display_filter
 from .plans.display_filter import filter_columns
 from .sources.derived import frames_from_events, odd_frames_from_events
+from .sources.pcap import read_capture, write_pcaps
+from .storage import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -348,3 +350,46 @@ _odd(
     UNION ALL SELECT 'unknown-traffic', 'Unknown traffic dominates the capture', 'A large portion of packets could not be classified beyond the link layer, which reduces audit confidence.', concat('unknown_traffic affected ', CAST(round_even(a / b * 100, 0) AS BIGINT), '% of packets in the capture.') FROM (SELECT count(unknown) AS a, count(*) AS b FROM o) WHERE a / b >= 0.5""",
     "capture packet_index ts_ns cap_len protocol src_ip dst_ip dst_port issues stream_key tcp dns",
 )(lambda p: audit.audit(p, "quality").select(*_SAID))
+
+# ---- more lists, texts and files
+
+_query("search_destination", "SELECT packet_index, protocol, source, destination FROM q WHERE destination LIKE '%198.51.100.1%'", "packet_index protocol source destination")(lambda p: summaries.search(p, destination="198.51.100.1").select(*_SHOWN))
+_query(
+    "describe_capture",
+    f""", {_ENDS} SELECT 'packets' AS what, '' AS name, count(*) AS n FROM q UNION ALL SELECT 'issues', '', count(issue) FROM q UNION ALL SELECT 'protocol', protocol, count(*) FROM q GROUP BY protocol
+    UNION ALL SELECT 'endpoint', endpoint, packets FROM (SELECT endpoint, count(*) AS packets FROM ends GROUP BY endpoint ORDER BY packets DESC, endpoint LIMIT 10)""",
+    "protocol source destination issues",
+    twice=True,
+)(summaries.description)
+_query(
+    "findings_escalated",
+    "SELECT concat('scan-activity-', src_ip) AS id, n >= 9 AS escalated, CASE WHEN n >= 9 THEN concat('reached ', n) END AS notes FROM (SELECT src_ip, count(DISTINCT dst_ip) AS n FROM q WHERE ip GROUP BY src_ip) WHERE n >= 5",
+    "capture packet_index src_ip dst_ip",
+    twice=True,
+)(lambda p: audit.escalated(audit.scan_activity(p), p.filter("src_ip is not null").groupBy("src_ip").agg(F.count_distinct("dst_ip").alias("n")).filter("n >= 9").select(F.concat(F.lit("scan-activity-"), "src_ip").alias("id"), F.concat(F.lit("reached "), F.col("n").cast("string")).alias("notes"))).select("id", "escalated", "notes"))
+_query(
+    "fmt_duration",
+    """SELECT stream_id, CASE WHEN d >= 3600 THEN printf('%dh %02dm %02ds', d // 3600, d % 3600 // 60, d % 60) WHEN d >= 60 THEN printf('%dm %02ds', d // 60, d % 60) ELSE printf('%ds', d) END AS duration FROM (SELECT stream_id, greatest(0, (last_seen_ns - first_seen_ns) // 1000000) // 1000 AS d FROM s)""",
+    " ".join(streams.STREAM_COLUMNS),
+)(lambda p: streams.describe_streams(streams.streams(p)).select("stream_id", scalars.duration_text(F.col("duration_ms") / 1000).alias("duration")))
+_query("fmt_issue", "SELECT packet_index, CASE issue WHEN 'truncated' THEN 'Truncated' ELSE 'Checksum mismatch' END AS text FROM q WHERE issue IS NOT NULL", "capture packet_index issues")(lambda p: summaries.decode_issues(p).select("packet_index", scalars.issue_text(F.col("kind")).alias("text")))
+_query("fmt_imported_endpoint", "SELECT packet_index, CASE WHEN up THEN src_ip WHEN kind = 'v6' THEN concat('[', src_ip, ']:', src_port) ELSE concat(src_ip, ':', src_port) END AS endpoint FROM q WHERE ip", "packet_index src_ip src_port")(
+    lambda p: p.filter("src_ip is not null").select("packet_index", scalars.with_port(F.col("src_ip"), F.when(F.col("src_port") < 49152, F.col("src_port")), bare_brackets=False).alias("endpoint"))
+)
+
+
+def _round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derived frames written as pcap files into the shared folder, read back and dissected."""
+    import os
+    import uuid
+    from urllib.parse import urlparse
+
+    folder = f"{urlparse(shared_dir(spark)).path}/pcap-{uuid.uuid4().hex}"
+    os.makedirs(folder)
+    write_pcaps(frames_from_events(_events(spark, sf_dir)), folder)
+    p = dissect(streams.with_packet_index(read_capture(spark, f"{folder}/*.pcap")), ["ts_ns", "protocol", "cap_len", "orig_len"])
+    return p.groupBy("protocol", "cap_len", "orig_len").agg(F.count(F.lit(1)).alias("packets"), F.min("ts_ns").alias("first_ns"), F.max("ts_ns").alias("last_ns"))
+
+
+QUERIES["pcap_round_trip"] = _round_trip
+ORACLE_SQL["pcap_round_trip"] = PACKETS + "SELECT protocol, cap_len, orig_len, count(*) AS packets, min(ts_ns) AS first_ns, max(ts_ns) AS last_ns FROM q GROUP BY ALL"
