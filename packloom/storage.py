@@ -50,9 +50,10 @@ class Stored:
         Stored._freed = time.monotonic()
 
     def drop(self, *tables: DataFrame) -> None:
+        """Deletes the given tables; frames that no put() returned are passed over."""
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        for t in tables:
-            path = jvm.org.apache.hadoop.fs.Path(t._stored_path)
+        for stored in filter(None, (vars(t).get("_stored_path") for t in tables)):
+            path = jvm.org.apache.hadoop.fs.Path(stored)
             path.getFileSystem(conf).delete(path, True)
 
 
