@@ -471,19 +471,56 @@ def brute_substrings(docs, n=35):
 def test_substrings_against_brute_force(spark, seed):
     rng = random.Random(seed)
     vocabulary = [f"w{k}" for k in range((3, 30, 400)[seed])]
-    passages = [[rng.choice(vocabulary) for _ in range(k)] for k in (33, 34, 35, 36, 50, 90)] + [["a"] * 60, ["a", "b"] * 30, ["a", "a", "b"] * 20, ["a"] * 35]
+    passages = [[rng.choice(vocabulary) for _ in range(k)] for k in (33, 34, 35, 36, 50, 90, 300)] + [["a"] * 60, ["a", "b"] * 30, ["a", "a", "b"] * 20, ["a"] * 35]
     docs = []
     for i in range(70):
         text = []
         for _ in range(rng.randint(0, 3)):
             text += [rng.choice(vocabulary) for _ in range(rng.randint(0, 40))]
-            text += rng.choice(passages) if rng.random() < 0.6 else []
+            passage = rng.choice(passages) if rng.random() < 0.6 else []
+            first = rng.randrange(len(passage)) if len(passage) > 60 and rng.random() < 0.5 else 0
+            text += passage[first : first + rng.choice((40, 100, 400))]
         docs.append((i, " \n".join(text)))
     docs += [(70, docs[3][1]), (71, docs[3][1] + " x"), (72, None), (73, ""), (74, " ".join(["z"] * 34)), (75, " ".join(["z"] * 36))]
     got = {r.doc_id: (r.n_words, r.n_removed, r.text) for r in substring_dedup.substring_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == brute_substrings(docs)
 
 
+def test_equal_substrings_share_interior_symbols(spark):
+    """After each round the symbols of a repeated passage, but a few at its ends, are the same in every
+    document, and a symbol's words are the same wherever it stands."""
+    rng = random.Random(4)
+    say = lambda n: [f"w{rng.randrange(1000)}" for _ in range(n)]
+    passage = say(400) + ["a", "b"] * 30 + say(100)
+    texts = [say(30 + 7 * k) + passage + say(20) for k in range(5)]
+    spots, syms = {}, {}
+    for k, text in enumerate(texts):
+        data, at = text_bytes(pa.array([" ".join(text)]))
+        starts, ends, first = words_of(data, at, SPACED)
+        w = word_hashes(data, starts, ends)
+        spot, name, _ = substring_dedup.anchors(w, first, 35)
+        spots[k], syms[k] = spot.tolist(), [int(x) for x in name.view(np.int64)]
+    shared = {x for x, n in Counter(x for v in syms.values() for x in v).items() if n > 1}
+    code = {x: i for i, x in enumerate(sorted(shared))}
+    rows = [(k, [p for p, x in zip(spots[k], syms[k]) if x in code], [code[x] for x in syms[k] if x in code]) for k in range(5)]
+    seqs = spark.createDataFrame([(k, p, p, x) for k, p, x in rows], "number long, at array<int>, last array<int>, sym array<long>")
+    reach, counts = substring_dedup._reach(35), []
+    for rounds in range(4):
+        kept = substring_dedup.Stored(spark, "test")
+        got = {r.number: r for r in substring_dedup._named_rounds(kept.put(seqs), kept, reach, rounds).collect()}
+        inside, words_of_symbol = [], {}
+        for k, r in got.items():
+            offset = 30 + 7 * k
+            for a, z, x in zip(r["at"], r["last"], r["sym"]):
+                covered = tuple(texts[k][a - 9 : z - 9 + reach])
+                assert words_of_symbol.setdefault(x, covered) == covered
+            inside.append([(a - offset, z - offset, x) for a, z, x in zip(r["at"], r["last"], r["sym"]) if 150 <= a - offset and z - offset <= 380])
+        common = set.intersection(*map(set, inside))
+        assert len(common) >= len(inside[0]) - 2
+        counts.append(len(inside[0]))
+    assert counts[3] < counts[2] < counts[1] < counts[0]
+
+
 def test_every_window_holds_a_symbol():
     rng = random.Random(9)
     for trial in range(60):
