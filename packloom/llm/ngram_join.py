@@ -63,7 +63,7 @@ def _band(n):
 
 
 def _sets(size: int, whole: bool):
-    """doc_id, body, n, set (a 128-bit digest of the set) and tokens: all, or the extended prefix."""
+    """doc_id, body, n, set (a 128-bit digest of the set), tag (64 bits of it) and tokens: all, or the extended prefix."""
 
     def run(batches):
         for b in batches:
@@ -75,14 +75,14 @@ def _sets(size: int, whole: bool):
                 take = n if whole else _band(n)
                 tokens = keys[ragged(at[:-1], take)].view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(first, past - first), b.column(1).slice(first, past - first), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), packed(tokens, np.append(0, np.cumsum(take)), pa.int64())],
-                    ["doc_id", "body", "n", "set", "tokens"],
+                    [b.column(0).slice(first, past - first), b.column(1).slice(first, past - first), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array([int.from_bytes(x[:8], "little", signed=True) for x in digest], pa.int64()), packed(tokens, np.append(0, np.cumsum(take)), pa.int64())],
+                    ["doc_id", "body", "n", "set", "tag", "tokens"],
                 )
 
     return run
 
 
-_SET_SCHEMA = "doc_id long, body long, n long, set binary, tokens array<long>"
+_SET_SCHEMA = "doc_id long, body long, n long, set binary, tag long, tokens array<long>"
 
 
 def _entries(rare: int, paired: int):
@@ -201,14 +201,14 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("body"), F.col(text_col).alias("text"))
     short = kept.put(rows.mapInArrow(_sets(shingle, False), _SET_SCHEMA))
     # A class is one set of shingles; it is numbered, and a row of it stands for it.
-    classes = short.filter("n > 0").groupBy("set").agg(F.min("doc_id").alias("rep"), F.min(F.struct("doc_id", "body")).alias("row"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"))
-    classes = kept.put(classes.select("set", "rep", "row.*", "copies", "n", F.monotonically_increasing_id().alias("cid")))
-
-    # Extended prefixes in the order of hashes: too few shared tokens rule a class out.
-    tokens = short.filter("n > 0").select("set", F.explode("tokens").alias("token"))
-    shared = kept.put(tokens.groupBy("token").agg(F.min("set").alias("lo"), F.max("set").alias("hi")).filter("lo < hi").select("token"))
-    hits = tokens.join(grown(shared), "token").groupBy("set").agg(F.count(F.lit(1)).alias("hits"))
-    left = classes.join(grown(hits), "set").filter("hits >= copies * (4 * n div 5 div 20 + 1)").select("cid", "set", "doc_id", "body")
+    classes = short.filter("n > 0").groupBy("set", "tag").agg(F.min("doc_id").alias("rep"), F.min(F.struct("doc_id", "body")).alias("row"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"))
+    classes = kept.put(classes.select("set", "tag", "rep", "row.*", "copies", "n", F.monotonically_increasing_id().alias("cid")))
+
+    # Extended prefixes in the order of hashes: too few shared tokens rule a class out. Tags are enough for that.
+    tokens = short.filter("n > 0").select("tag", F.explode("tokens").alias("token"))
+    shared = kept.put(tokens.groupBy("token").agg(F.min("tag").alias("lo"), F.max("tag").alias("hi")).filter("lo < hi").select("token"))
+    hits = tokens.join(grown(shared), "token").groupBy("tag").agg(F.count(F.lit(1)).alias("hits"))
+    left = classes.join(grown(hits), "tag").filter("hits >= copies * (4 * n div 5 div 20 + 1)").select("cid", "set", "doc_id", "body")
     left = kept.put(left)
     members = kept.put(short.select("doc_id", "body", "n", "set"))
     kept.drop(short, shared)
