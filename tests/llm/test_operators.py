@@ -91,6 +91,16 @@ def test_secrets_of_one_owner_are_live(spark):
     assert secrets.scan_secrets(df.limit(0), F.col("source"), F.col("source")).count() == 0
 
 
+def test_secrets_of_long_texts_and_clashing_columns(spark):
+    from pyspark.sql import functions as F
+
+    text = " ".join(f"token=abc{k:06d} plain words " for k in range(1500)) + "x" * 300_000
+    df = spark.createDataFrame([(1, text, "a", "v"), (2, None, "a", "v"), (None, "password: hunter22", "b", "v")], "doc_id long, text string, source string, value string")
+    rows = {r.doc_id: r for r in secrets.scan_secrets(df.withColumns({"hit": F.lit(1), "base": F.lit(2), "kind": F.lit(3)}), F.col("source"), F.col("source")).collect()}
+    assert [(m["start"], m["kind"], m["end"]) for m in rows[1].base] == brute_secrets(text) and len(rows[1].base) == 1500
+    assert list(rows[2].base) == [] and len(rows[None].base) == 1
+
+
 # ---- n-gram join
 
 
