@@ -28,6 +28,8 @@ class Stored:
 
     FREE_EVERY = 5.0
     _freed = 0.0
+    #: Tables stored in this process and not dropped yet.
+    made: list[DataFrame] = []
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -37,6 +39,7 @@ class Stored:
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._stored_path = path
+        Stored.made.append(out)
         self.free()
         return out
 
@@ -55,6 +58,11 @@ class Stored:
         for stored in filter(None, (vars(t).get("_stored_path") for t in tables)):
             path = jvm.org.apache.hadoop.fs.Path(stored)
             path.getFileSystem(conf).delete(path, True)
+        Stored.made[:] = [m for m in Stored.made if not any(m is t for t in tables)]
+
+    def drop_since(self, mark: int, *but: DataFrame) -> None:
+        """Drops what was stored since `Stored.made` had `mark` tables, all jobs' tables, but the given ones."""
+        self.drop(*[m for m in Stored.made[mark:] if not any(m is b for b in but)])
 
 
 def grown(df: DataFrame) -> DataFrame:
