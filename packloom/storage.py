@@ -28,8 +28,8 @@ class Stored:
 
     FREE_EVERY = 5.0
     _freed = 0.0
-    #: Tables stored in this process and not dropped yet.
-    made: list[DataFrame] = []
+    #: Paths of the tables stored in this process and not dropped yet.
+    made: list[str] = []
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -39,7 +39,7 @@ class Stored:
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._stored_path = path
-        Stored.made.append(out)
+        Stored.made.append(path)
         self.free()
         return out
 
@@ -54,15 +54,20 @@ class Stored:
 
     def drop(self, *tables: DataFrame) -> None:
         """Deletes the given tables; frames that no put() returned are passed over."""
-        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        for stored in filter(None, (vars(t).get("_stored_path") for t in tables)):
-            path = jvm.org.apache.hadoop.fs.Path(stored)
-            path.getFileSystem(conf).delete(path, True)
-        Stored.made[:] = [m for m in Stored.made if not any(m is t for t in tables)]
+        self._delete(filter(None, (vars(t).get("_stored_path") for t in tables)))
 
     def drop_since(self, mark: int, *but: DataFrame) -> None:
-        """Drops what was stored since `Stored.made` had `mark` tables, all jobs' tables, but the given ones."""
-        self.drop(*[m for m in Stored.made[mark:] if not any(m is b for b in but)])
+        """Drops what was stored since `Stored.made` had `mark` tables, of all jobs, but the given ones."""
+        keep = {vars(b).get("_stored_path") for b in but}
+        self._delete([p for p in Stored.made[mark:] if p not in keep])
+
+    def _delete(self, paths) -> None:
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for p in paths:
+            path = jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(conf).delete(path, True)
+            if p in Stored.made:
+                Stored.made.remove(p)
 
 
 def grown(df: DataFrame) -> DataFrame:
