@@ -295,7 +295,7 @@ def _run(given: list[str], kinds: dict[str, pa.DataType], wanted: list[str]):
 
 def dissect(frames: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
     """Packets of frames (which have a binary column `data`): the frames' other columns, then those
-    of PACKET; or those of `columns` alone, of which the others are neither read nor decoded.
+    of PACKET; or those of `columns` alone (`data` too, if it is one), of which the others are neither read nor decoded.
 
     decode_error is set, with no layer, if even the Ethernet header is cut or missing. Issues
     stand in the order in which a decoder meets them."""
@@ -304,11 +304,11 @@ def dissect(frames: DataFrame, columns: Iterable[str] | None = None) -> DataFram
     asked = None if columns is None else set(columns)
     if asked is not None and (unknown := asked - set(PACKET) - set(frames.columns)):
         raise ValueError(f"no such columns: {', '.join(sorted(unknown))}")
-    given = [c for c in frames.columns if c != "data" and (asked is None or c in asked)]
+    given = [c for c in frames.columns if (c != "data" if asked is None else c in asked)]
     wanted = [k for k in PACKET if asked is None or k in asked]
     types = {k: T._parse_datatype_string(v) for k, v in PACKET.items()}
     schema = T.StructType([*(frames.schema[c] for c in given), *(T.StructField(k, types[k]) for k in wanted)])
-    return frames.select(*given, "data").mapInArrow(_run(given, {k: to_arrow_type(v) for k, v in types.items()}, wanted), schema)
+    return frames.select(*dict.fromkeys([*given, "data"])).mapInArrow(_run(given, {k: to_arrow_type(v) for k, v in types.items()}, wanted), schema)
 
 
 def ipv6_text(address: Column) -> Column:

@@ -19,6 +19,7 @@ from .plans.display_filter import display_filter
 from .plans.display_filter import filter_columns
 from .sources.derived import frames_from_events, odd_frames_from_events
 from .sources.pcap import read_capture, write_pcaps
+from .sources.tables import read_packet_table, reassemble
 from .storage import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -393,3 +394,37 @@ def _round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["pcap_round_trip"] = _round_trip
 ORACLE_SQL["pcap_round_trip"] = PACKETS + "SELECT protocol, cap_len, orig_len, count(*) AS packets, min(ts_ns) AS first_ns, max(ts_ns) AS last_ns FROM q GROUP BY ALL"
+
+
+def _decode_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second capture with some frames cut inside their Ethernet header."""
+    frames = odd_frames_from_events(_events(spark, sf_dir))
+    cut = frames.withColumn("data", F.when(F.col("frame_no") % 16 == 15, F.substring("data", 1, 10)).otherwise(F.col("data")))
+    return dissect(cut, ["frame_no", "decode_error", "protocol", "layer_names"]).select("frame_no", "decode_error", "protocol", F.size("layer_names").alias("layers"))
+
+
+QUERIES["decode_errors"] = _decode_errors
+ORACLE_SQL["decode_errors"] = ODD + """SELECT packet_index AS frame_no, CASE WHEN part = 15 THEN 'truncated Ethernet header' END AS decode_error,
+    CASE WHEN part <= 2 THEN 'ICMP' WHEN part = 3 THEN 'UDP' WHEN part = 4 THEN 'IPv4' WHEN part = 5 THEN 'TCP' WHEN part = 6 THEN 'IPv6' WHEN part = 7 THEN 'DNS' WHEN part < 15 THEN 'Unknown' END AS protocol,
+    CASE WHEN part <= 3 OR part = 5 THEN 3 WHEN part IN (4, 6) THEN 2 WHEN part = 7 THEN 4 WHEN part < 15 THEN 1 ELSE 0 END AS layers FROM o"""
+
+_query("reassembled_segments", "SELECT seq, n, src_port < dst_port AS answer FROM q WHERE ip AND proto = 6 AND n > 0", "capture packet_index src_ip tcp stream_key payload_at payload_len data")(
+    lambda p: reassemble(p.filter("payload_len > 0").withColumn("payload", F.expr("substring(data, payload_at + 1, payload_len)")).drop("data")).select("seq", F.octet_length("data").alias("n"), (F.when(F.col("direction") == "lo_to_hi", streams.key_end("lo")[1]).otherwise(streams.key_end("hi")[1]) < 49152).alias("answer"))
+)
+
+
+def _imported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derived packets written as an exporter's table into the shared folder and read back."""
+    import uuid
+
+    path = f"{shared_dir(spark)}/export-{uuid.uuid4().hex}"
+    p = packets(spark, sf_dir, "packet_index ts_ns cap_len orig_len protocol src_ip dst_ip src_port dst_port ipv4 ipv6 tcp udp")
+    only = lambda layer, c: F.coalesce(F.when(F.col(layer).isNotNull(), F.col(c).cast("string")), F.lit(""))
+    epoch = F.concat(F.expr("ts_ns div 1000000000").cast("string"), F.lit("."), F.lpad((F.col("ts_ns") % 1_000_000_000).cast("string"), 9, "0"))
+    line = [(F.col("packet_index") + 1).cast("string"), epoch, F.col("orig_len").cast("string"), F.col("cap_len").cast("string"), F.col("protocol"), F.lit("info"), only("ipv4", "src_ip"), only("ipv4", "dst_ip"), only("ipv6", "src_ip"), only("ipv6", "dst_ip"), only("tcp", "src_port"), only("tcp", "dst_port"), only("udp", "src_port"), only("udp", "dst_port")]
+    p.select(F.concat_ws("\t", *line)).write.text(path)
+    return read_packet_table(spark, path)
+
+
+QUERIES["imported_table"] = _imported
+ORACLE_SQL["imported_table"] = PACKETS + "SELECT packet_index, ts_ns, cap_len, orig_len, protocol, 'info' AS info, CASE WHEN ip THEN source ELSE '' END AS source, CASE WHEN ip THEN destination ELSE '' END AS destination FROM q"
