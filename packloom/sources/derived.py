@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 
 def _hex(value, width: int) -> Column:
     """`value` as `width` hexadecimal digits."""
-    return F.lpad(F.lower(F.hex(F.expr(value).cast("long") if isinstance(value, str) else value.cast("long"))), width, "0")
+    return F.lpad(F.hex(F.expr(value).cast("long") if isinstance(value, str) else value.cast("long")), width, "0")
 
 
 def _text(value: Column) -> Column:
-    return F.lower(F.hex(F.encode(value, "UTF-8")))
+    return F.hex(value)
 
 
 def event_fields(events: DataFrame) -> DataFrame:
