@@ -76,11 +76,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; each one's result is stored before the next reads it."""
+    """All stages over `documents`; each one's result is stored before the next reads it, and what a
+    stage stored on its way is dropped then."""
     kept = Stored(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
+        mark, before = len(Stored.made), docs
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = kept.put(docs)
+            kept.drop_since(mark, docs)
+            kept.drop(before)
     return docs
