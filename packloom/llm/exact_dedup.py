@@ -1,8 +1,8 @@
 """Exact dedup by distributed radix partitioning from the first byte on.
 
-A round splits every group that is still alive by its next digit, a stretch of bytes (the
-first 64, then 16 times as many each round); texts carry only the bytes that are still to
-come. A digit that is shorter than the others of its round ends its text, so a group always
+Texts of one length are a group at first. A round splits every group that is still alive by its next
+digit, a stretch of bytes (the first 64, then 16 times as many each round); texts carry only the
+bytes that are still to come. A digit that is shorter than the others of its round ends its text, so a group always
 ends as a whole. Groups of one text, and groups whose texts have ended, leave. The digits are
 compared as they are; no digest decides equality. (The SHA-256 in the result
 only describes the text.)
@@ -46,7 +46,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     kept = Stored(docs.sparkSession, "exact-dedup")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    alive = rows.mapInArrow(_normalised, "doc_id long, n_bytes long, text_sha256 string, body binary").withColumn("group", F.lit(0).cast("long"))
+    alive = rows.mapInArrow(_normalised, "doc_id long, n_bytes long, text_sha256 string, body binary").withColumn("group", F.col("n_bytes"))
     out = ["doc_id", "keep_id", "group_size", "text_sha256", "n_bytes"]
     done, width = [], first_digit
     while True:
