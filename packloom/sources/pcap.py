@@ -249,6 +249,32 @@ def read_capture(spark, path: str, mode: str = "FAILFAST", split_bytes: int = SP
     return splits.repartition(max(1, splits.count()), "path", "start").mapInPandas(read, SCHEMA)
 
 
+def damaged_captures(spark, path: str) -> list[str]:
+    """The files that end inside a record or block. A task for each file walks its headers and reads its
+    last split."""
+
+    def look(batches):
+        import pandas as pd
+
+        for b in batches:
+            bad = []
+            for p in b["path"]:
+                try:
+                    last = None
+                    for last in _splits(p, SPLIT_BYTES, True):
+                        pass
+                    for _ in _rows(last, True) if last.kind == "pcap" else ():
+                        pass
+                except CaptureError:
+                    bad.append(p)
+            if bad:
+                yield pd.DataFrame({"path": bad})
+
+    paths = _listed(path)
+    files = spark.createDataFrame([(p,) for p in paths], "path string").repartition(len(paths), "path")
+    return sorted(r.path for r in files.mapInPandas(look, "path string").collect())  # names of files alone
+
+
 def parse_capture(content: bytes, path: str = "", strict: bool = True) -> list[tuple]:
     """Rows of a small capture that is at hand as bytes."""
     f = io.BytesIO(content)

@@ -187,6 +187,10 @@ def test_command_line(spark, tmp_path, capsys):
         assert set(json.loads(capsys.readouterr().out.splitlines()[0])) == keys
     main(["detail", path, "1", "--json"])
     assert [x["type"] for x in json.loads(capsys.readouterr().out)] == ["Ethernet", "IPv4", "TCP"]
+    whole = tmp_path / "part-00000.pcap"
+    (tmp_path / "cut.pcap").write_bytes(whole.read_bytes()[:-3])
+    main(["issues", str(tmp_path / "cut.pcap")])
+    assert "cut.pcap is damaged" in capsys.readouterr().err
     with pytest.raises(ValueError, match="more than 1"):
         main(["audit", path, "--max-packets", "1"])
     assert hex_dump(b"AB\0").splitlines()[0].endswith("AB.")
