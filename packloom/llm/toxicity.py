@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, Stored, chunks_of, fold, mix, packed, table, text_bytes, word_hashes, words_of
+from .common import ALNUM, Stored, chunks_of, fold, mix, packed, ragged, table, text_bytes, word_hashes, words_of
 
 #: Labelled rows that the chain is fitted on at most.
 SAMPLE_ROWS = 20_000
@@ -150,14 +150,17 @@ def fit_chain(docs: DataFrame, labels: DataFrame, targets: dict[str, str], id_co
     whole = set().union(*(picked[c, None] for c in range(len(names))))
     keys = np.sort(np.array(sorted(set().union(*picked.values())), np.int64).view(np.uint64))
     shared = docs.sparkSession.sparkContext.broadcast(keys)
-    few = sorted(rows.mapInArrow(_picked(shared), schema).collect())  # at most sample_rows, of picked features
+    few = rows.mapInArrow(_picked(shared), schema).toArrow()  # at most sample_rows, of picked features
     shared.destroy()
     kept.drop(rows, counts)
-    n = len(few)
-    at_row = np.repeat(np.arange(n), [len(r.features) for r in few])
-    at_col = np.array([x for r in few for x in r.features], np.int64)
-    truth = np.array([list(r.labels)[1:] for r in few], float).T
-    fold_of = np.array([r.labels.key % FOLDS for r in few])
+    labelled, lists = few.column("labels").combine_chunks(), few.column("features").combine_chunks()
+    key = labelled.field("key").to_numpy(zero_copy_only=False)
+    order = np.argsort(key, kind="stable")
+    n, sizes = len(order), lists.value_lengths().to_numpy(zero_copy_only=False)[order]
+    at_row = np.repeat(np.arange(n), sizes)
+    at_col = lists.values.to_numpy(zero_copy_only=False)[ragged(lists.offsets.to_numpy()[:-1][order], sizes)]
+    truth = np.stack([labelled.field(f"y{i}").to_numpy(zero_copy_only=False)[order] for i in range(len(names))]).astype(float)
+    fold_of = key[order] % FOLDS
 
     def only(rows_: np.ndarray, cols: np.ndarray, allowed: set[int]) -> tuple[np.ndarray, np.ndarray]:
         mine = np.isin(keys, np.array(sorted(allowed), np.int64).view(np.uint64))[cols]
