@@ -29,14 +29,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def numbered(rows: DataFrame, by: str, order: list, kept: Stored, name: str = "rank") -> DataFrame:
+def numbered(rows: DataFrame, by: str, order: list, kept: Stored, name: str = "rank", total: str | None = None) -> DataFrame:
     """Stores `rows` with 0, 1, 2 ... in `order` within each `by`, by a range sort: one value of
-    `by` can have most rows, so no window spans it; only counts by partition are summed up."""
+    `by` can have most rows, so no window spans it; only counts by partition are summed up. `total` names a
+    column for the number of rows of each `by`."""
     rows = rows.repartitionByRange(by, *order).sortWithinPartitions(by, *order)  # Spark joins small neighbouring partitions
     rows = kept.put(rows.select("*", F.spark_partition_id().alias("_pid"), F.monotonically_increasing_id().alias("_at")))
     stretch = rows.groupBy(by, "_pid").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    stretch = kept.put(stretch.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n"))  # a row for each value and partition
+    stretch = stretch.select("*", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), *([F.sum("_n").over(Window.partitionBy(by)).alias(total)] if total else []))
+    stretch = kept.put(stretch.drop("_n"))  # a row for each value and partition
     out = kept.put(rows.join(grown(stretch), [by, "_pid"]).withColumn(name, F.col("_at") - F.col("_first") + F.col("_before")).drop("_pid", "_at", "_first", "_before"))
     kept.drop(rows, stretch)
     return out
