@@ -14,7 +14,7 @@ from .operators import audit, streams, summaries
 from .operators.dissect import LAYER_NAMES, dissect
 from .operators.summaries import check_limit
 from .plans.display_filter import display_filter, filter_columns, unknown_fields
-from .sources.pcap import damaged_captures, read_capture
+from .sources.pcap import read_capture, scan_capture
 from .sources.tables import read_certificates
 
 #: Frames that `audit` and `diff` take at most, unless told otherwise.
@@ -28,12 +28,14 @@ SHOWN = {"capture", "frame_no", "packet_index", "ts_ns", "protocol", "source", "
 
 
 def _packets(spark: SparkSession, path: str, columns: set[str], most: int | None = None) -> DataFrame:
-    """Damaged ends of files are left out with a warning; packet numbers count all frames. More than
-    `most` frames are an error."""
-    for name in damaged_captures(spark, path):
-        print(f"warning: {name} is damaged, what follows is left out", file=sys.stderr)
-    frames = check_limit(read_capture(spark, path, mode="PERMISSIVE"), most)
-    return dissect(streams.with_packet_index(frames), columns)
+    """Packets of the captures, whose numbers count all frames. Frames that are damaged or have no whole Ethernet header are left
+    out, each with a warning. With a limit of `most` frames, more of them are an error, and so is a damaged one."""
+    if most is not None:
+        return dissect(streams.with_packet_index(check_limit(read_capture(spark, path), most)), columns)
+    records = scan_capture(spark, path, "PERMISSIVE")
+    for r in records.filter("packet_index is null").select("frame_no", F.coalesce("error", F.lit("truncated Ethernet header")).alias("error")).orderBy("capture", "frame_no").toLocalIterator():
+        print(f"warning: packet {r.frame_no + 1}: {r.error}", file=sys.stderr)
+    return dissect(streams.with_packet_index(records.filter("error is null").drop("error")), columns)
 
 
 def _tracked(packets: DataFrame) -> DataFrame:

@@ -48,6 +48,9 @@ PACKET = {
     "decode_error": "string", "protocol": "string", "source": "string", "destination": "string", "src_ip": "string", "dst_ip": "string", "src_port": "int", "dst_port": "int",
     "payload_at": "int", "payload_len": "int", "layer_names": "array<string>", "spans": "array<struct<offset:int,len:int>>", "issues": "array<struct<kind:string,offset:int>>", "stream_key": "binary", **LAYERS,
 }
+#: Plain values of a frame's headers that a scan can be filtered by: the ether type and IP protocol of the layers that
+#: decode, addresses and ports, and both of each between commas.
+HEADER = {"network": "int", "transport": "int", "src_ip": "string", "dst_ip": "string", "src_port": "int", "dst_port": "int", "hosts": "string", "ports": "string"}
 _DECIMAL, _HEX = pa.array([str(i) for i in range(256)]), pa.array([f"{i:02x}" for i in range(256)])
 _FIRST_BYTES = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
@@ -129,7 +132,8 @@ def _lists(masks: list[np.ndarray], item: pa.DataType, columns: list[list]) -> p
     return pa.ListArray.from_arrays(pa.array(offsets), items)
 
 
-def _decoded(b: pa.RecordBatch, kinds: dict[str, pa.DataType], wanted: list[str]) -> list[pa.Array]:
+def decoded(b: pa.RecordBatch, kinds: dict[str, pa.DataType], wanted: list[str]) -> list[pa.Array]:
+    """Columns of PACKET and HEADER for a batch of frames; kinds: their types, as far as they are structs or lists."""
     f = _Frames(b.column("data"))
     u, rows = f.u, len(f.base)
     eth, size = f.size >= ETH, f.size - ETH
@@ -273,6 +277,8 @@ def _decoded(b: pa.RecordBatch, kinds: dict[str, pa.DataType], wanted: list[str]
     make = {
         "decode_error": lambda: pa.array(["truncated Ethernet header"]).take(pa.array(np.zeros(rows, np.int64), mask=eth)), "protocol": protocol,
         "source": lambda: shown(12, 8, 14, src), "destination": lambda: shown(16, 24, 24, dst), "src_ip": lambda: host(12, 8), "dst_ip": lambda: host(16, 24), "src_port": lambda: number(src), "dst_port": lambda: number(dst),
+        "network": lambda: pa.array(kind, mask=~(ip | arped)), "transport": lambda: pa.array(proto, mask=~(ports | is_icmp)),
+        "hosts": lambda: pc.binary_join_element_wise("", host(12, 8), host(16, 24), "", ","), "ports": lambda: pc.binary_join_element_wise("", number(src).cast(pa.string()), number(dst).cast(pa.string()), "", ","),
         "payload_at": lambda: number(app), "payload_len": lambda: number(n), "layer_names": lambda: _lists(list(present.values()), pa.string(), [[LAYER_NAMES[k] for k in present]]),
         "spans": spans, "issues": issues, "stream_key": stream_key,
         "eth": lambda: _struct(eth, kinds["eth"], [mac(0), mac(6), kind]), "arp": lambda: _struct(arped, kinds["arp"], [u(ETH + 6, 2), dotted(ETH + 14), dotted(ETH + 24)]),
@@ -288,7 +294,7 @@ def _decoded(b: pa.RecordBatch, kinds: dict[str, pa.DataType], wanted: list[str]
 def _run(given: list[str], kinds: dict[str, pa.DataType], wanted: list[str]):
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in given), *(a.cast(kinds[k]) for k, a in zip(wanted, _decoded(b, kinds, wanted), strict=True))], [*given, *wanted])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in given), *(a.cast(kinds[k]) for k, a in zip(wanted, decoded(b, kinds, wanted), strict=True))], [*given, *wanted])
 
     return run
 

@@ -114,16 +114,61 @@ def java_pattern(pattern: str, at: int = 0) -> str:
 # ---- conditions: a condition makes a Column for its plain or its negated form
 
 
-def _leaf(column: Column):
-    return lambda negated: ~F.coalesce(column, F.lit(False)) if negated else column
+@dataclass(frozen=True)
+class Test:
+    """A condition on one header column, as SQL."""
+
+    column: str
+    sql: str
+
+
+class _Condition:
+    """Makes a Column. needs: tests that hold wherever the plain form does."""
+
+    def __init__(self, make, needs=()):
+        self.make, self.needs = make, frozenset(needs)
+
+    def __call__(self, negated: bool) -> Column:
+        return self.make(negated)
+
+
+def _leaf(column: Column, *needs: Test):
+    return _Condition(lambda negated: ~F.coalesce(column, F.lit(False)) if negated else column, needs)
 
 
 def _never():
-    return lambda negated: F.lit(negated)
+    return _Condition(lambda negated: F.lit(negated))
 
 
 def _both(a, b, conjunction: bool):
-    return lambda negated: a(negated) & b(negated) if conjunction != negated else a(negated) | b(negated)
+    needs = a.needs | b.needs if conjunction else a.needs & b.needs
+    return _Condition(lambda negated: a(negated) & b(negated) if conjunction != negated else a(negated) | b(negated), needs)
+
+
+_LAYER = {"ip": "network = 2048", "ipv6": "network = 34525", "arp": "network = 2054", "tcp": "transport = 6", "udp": "transport = 17", "icmp": "transport in (1, 58)", "dns": "transport = 17", "tls": "transport = 6", "http": "transport = 6"}
+
+
+def _of_layer(name: str) -> list[Test]:
+    """The test for the layer that a protocol or field is of or in. Addresses are of either IP."""
+    if name in ("ip.src", "ip.dst"):
+        return [Test("network", "network in (2048, 34525)")]
+    sql = _LAYER.get(name.split(".")[0])
+    return [Test(sql.split()[0], sql)] if sql else []
+
+
+def _of_value(name: str, op: str, value: Token) -> list[Test]:
+    """The test for a field that must have a value."""
+    if op != "==":
+        return []
+    if value.kind == "int" and value.value <= 65535 and name in ("tcp.srcport", "udp.srcport", "tcp.dstport", "udp.dstport"):
+        column = f"{name[4:7]}_port"
+        return [Test(column, f"{column} = {value.value}")]
+    if value.kind == "int" and name in ("tcp.port", "udp.port"):
+        return [Test("ports", f"contains(ports, ',{value.value},')")]
+    if value.kind in ("v4", "v6") and name in ("ip.src", "ip.dst"):
+        column = f"{name[3:]}_ip"
+        return [Test(column, f"{column} = '{value.value}'")]
+    return []
 
 
 _OPS = {"==": lambda a, b: a == b, "!=": lambda a, b: a != b, ">": lambda a, b: a > b, "<": lambda a, b: a < b, ">=": lambda a, b: a >= b, "<=": lambda a, b: a <= b}
@@ -158,23 +203,24 @@ def _compare(name: str, op: str, value: Token):
     if name not in FIELDS:
         return _never()
     kind, expr = FIELDS[name]
+    needs = _of_layer(name) + _of_value(name, op, value)
     present = F.col(expr).isNotNull() if kind == "pair" else F.lit(True)
     if op == "contains":
-        return _leaf(present & F.contains(fold_ascii(_text_of(kind, expr)), fold_ascii(F.lit(value.value))))
+        return _leaf(present & F.contains(fold_ascii(_text_of(kind, expr)), fold_ascii(F.lit(value.value))), *needs)
     if op == "matches":
-        return _leaf(present & _text_of(kind, expr).rlike(value.value))
+        return _leaf(present & _text_of(kind, expr).rlike(value.value), *needs)
     if kind == "int" and value.kind == "int":
         number = F.lit(value.value) if value.value < 1 << 63 else F.lit(str(value.value)).cast("decimal(20,0)")
-        return _leaf(_OPS[op](F.expr(expr), number))
+        return _leaf(_OPS[op](F.expr(expr), number), *needs)
     if kind == "pair" and value.kind == "int":
         a, b = (_OPS[op](F.col(f"{expr}.{s}"), F.lit(value.value)) for s in ("src_port", "dst_port"))
-        return _leaf(a & b if op == "!=" else a | b)
+        return _leaf(a & b if op == "!=" else a | b, *needs)
     if kind == "bool" and value.kind == "word" and op in ("==", "!="):
-        return _leaf(_OPS[op](F.expr(expr), F.lit(value.value == "true")))
+        return _leaf(_OPS[op](F.expr(expr), F.lit(value.value == "true")), *needs)
     if kind == "str" and value.kind == "str" and op in ("==", "!="):
-        return _leaf(_OPS[op](F.expr(expr), F.lit(value.value)))
+        return _leaf(_OPS[op](F.expr(expr), F.lit(value.value)), *needs)
     if kind == "addr" and (test := _address_test(F.expr(expr), op, value)) is not None:
-        return _leaf(test)
+        return _leaf(test, *needs)
     return _never()
 
 
@@ -217,7 +263,7 @@ class _Parser:
             return self.atom()
         self.next()
         inner = self.deeper(self.negation)
-        return lambda negated: inner(not negated)
+        return _Condition(lambda negated: inner(not negated))
 
     def value(self, *kinds: str) -> Token:
         token = self.next()
@@ -235,16 +281,23 @@ class _Parser:
             return inner
         if token.kind == "word" and token.value in PROTOCOLS:
             here = [F.col(c).isNotNull() for c in PROTOCOLS[token.value]]
-            return _leaf(here[0] if len(here) == 1 else here[0] | here[1])
+            return _leaf(here[0] if len(here) == 1 else here[0] | here[1], *_of_layer(token.value))
         if token.kind == "word" and token.value == "port":
             number = self.value("int")
             if number.value > 65535:
                 raise FilterError("port out of range", number.at)
-            return _leaf((F.col("src_port") == number.value) | (F.col("dst_port") == number.value))
+            return _leaf((F.col("src_port") == number.value) | (F.col("dst_port") == number.value), Test("ports", f"contains(ports, ',{number.value},')"))
         if token.kind == "word" and token.value in ("src", "dst", "host"):
             address = self.value("v4", "v6", "cidr")
             tests = [_leaf(_address_test(F.col(c), "==", address)) for c in ("src_ip", "dst_ip") if token.value in ("host", c[:3])]
-            return tests[0] if len(tests) == 1 else _both(tests[0], tests[1], False)
+            if address.kind == "cidr":
+                needs = [Test("network", "network in (2048, 34525)")]
+            elif len(tests) == 2:
+                needs = [Test("hosts", f"contains(hosts, ',{address.value},')")]
+            else:
+                needs = [Test(f"{token.value}_ip", f"{token.value}_ip = '{address.value}'")]
+            found = tests[0] if len(tests) == 1 else _both(tests[0], tests[1], False)
+            return _Condition(found.make, needs)
         if token.kind == "name":
             if token.value not in FIELDS:
                 self.unknown.append(token.value)
@@ -261,7 +314,7 @@ class _Parser:
             if token.value not in FIELDS:
                 return _never()
             kind, expr = FIELDS[token.value]
-            return _leaf(F.expr(expr) if kind == "bool" else F.col(expr).isNotNull() if kind == "pair" else F.expr(expr).isNotNull())
+            return _leaf(F.expr(expr) if kind == "bool" else F.col(expr).isNotNull() if kind == "pair" else F.expr(expr).isNotNull(), *_of_layer(token.value))
         raise FilterError("unexpected end of expression" if token.kind == "end" else f"unexpected token {token.value!r}", token.at)
 
 
@@ -280,6 +333,11 @@ def display_filter(text: str) -> Column:
     return _parsed(text)[0](False)
 
 
+def necessary(text: str) -> list[Test]:
+    """Tests of header columns that every packet passes that the filter finds."""
+    return sorted(_parsed(text)[0].needs, key=lambda t: t.sql)
+
+
 def filter_columns(text: str) -> set[str]:
     """The columns of packets that the filter reads."""
     out: set[str] = set()

@@ -1,291 +1,330 @@
 """pcap and pcapng files as DataFrames, and a pcap sink.
 
-read_capture() lists the files; a task for each file walks its record headers, not its packets, and
-cuts it into splits of `split_bytes` with the numbers of their first frame and packet; tasks then read
-the splits on their own. A pcapng file is one split, as its blocks depend on the interfaces before
-them; all its interfaces are checked before any packet is read. Paths are local to, or mounted by,
-all executors; read_small_captures() goes through Spark's file systems instead.
+The data source "capture" reads files in splits of byte ranges:
 
-CaptureSource is the same as a data source, with a file for each task:
+    read_capture(spark, "/captures/*.pcap")
 
-    spark.dataSource.register(CaptureSource)
-    spark.read.format("capture").load("/captures/*.pcap")
+A task for each range of a large file guesses where its first record starts, and walks the range's record headers.
+A guess holds if it is where the walk over the range before ends; other ranges are walked again from there,
+so the splits are those of a walk from the file's start, whatever the payloads hold. Sums over the
+ranges give the numbers of each one's first frame and packet, and in pcapng files its byte order and interfaces. The
+driver gets a row for each range, of at most MOST_SPLITS: ranges grow with the bytes there are. Then each
+split is a task that reads its own range alone.
+
+Filters on header columns (dissect.HEADER) are pushed into the scan: a batch's headers are decoded,
+and only frames that pass become rows.
+
+Paths are local to, or mounted by, all executors; read_small_captures() goes through Spark's file systems
+instead.
 """
 
 from __future__ import annotations
 
+import base64
 import glob
 import io
 import os
+import pickle
+import shutil
 import struct
-from dataclasses import dataclass
+import uuid
+import zlib
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, Filter, InputPartition, WriterCommitMessage
 
-from ..storage import Stored
+from ..operators.dissect import HEADER, decoded
+from .formats import ETHERNET, ETHERNET_HEADER, CaptureError, Damage, PcapngWalk, PcapWalk, sniff, walk
 
 #: packet_index numbers the frames that have an Ethernet header, and is null for others.
 SCHEMA = "capture string, frame_no bigint, packet_index bigint, ts_ns bigint, cap_len int, orig_len bigint, data binary"
-# Magic numbers by byte order and time unit, and the link type of Ethernet.
-PCAP = {b"\xd4\xc3\xb2\xa1": ("<", 1000), b"\xa1\xb2\xc3\xd4": (">", 1000), b"\x4d\x3c\xb2\xa1": ("<", 1), b"\xa1\xb2\x3c\x4d": (">", 1)}
-PCAPNG, ETHERNET, MOST_INTERFACES, ETHERNET_HEADER = b"\x0a\x0d\x0d\x0a", 1, 65535, 14
-
-
-class CaptureError(ValueError):
-    """A file that is no capture, has a link type other than Ethernet, or is damaged."""
+_ARROW = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}
+_NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
+#: Ranges of this many bytes, or more so that there are at most so many; frames and bytes in one Arrow batch.
+SPLIT_BYTES, MOST_SPLITS, BATCH, BATCH_BYTES = 64 << 20, 100_000, 4096, 16 << 20
 
 
 @dataclass
 class Split(InputPartition):
+    """The records of a file that start in [start, past): numbers of the first frame and packet, and the state of a pcapng
+    file there. A start of None: the next record is searched for from `low` on."""
+
     path: str
-    kind: str
-    start: int
-    past: int
-    first: int
-    first_packet: int
-
-
-def sniff(magic: bytes) -> str:
-    if magic[:4] in PCAP:
-        return "pcap"
-    if magic[:4] == PCAPNG:
-        return "pcapng"
-    raise CaptureError("unsupported capture format")
-
-
-def _pcap_head(f, path: str):
-    head = f.read(24)
-    if len(head) < 24:
-        raise CaptureError(f"{path}: truncated header")
-    order, unit = PCAP[head[:4]]
-    link = struct.unpack(order + "I", head[20:])[0] & 0x0FFFFFFF
-    if link != ETHERNET:
-        raise CaptureError(f"{path}: unsupported link type {link}")
-    return order, unit
-
-
-def _pcap_splits(f, path: str, split_bytes: int):
-    order, _ = _pcap_head(f, path)
-    at, start, first, first_packet, n, packets = 24, 24, 0, 0, 0, 0
-    while len(head := f.read(16)) == 16:
-        size = struct.unpack(order + "I", head[8:12])[0]
-        at += 16 + size
-        f.seek(at)
-        n, packets = n + 1, packets + (size >= ETHERNET_HEADER)
-        if at - start >= split_bytes:
-            yield Split(path, "pcap", start, at, first, first_packet)
-            start, first, first_packet = at, n, packets
-    yield Split(path, "pcap", start, max(at, start) + len(head), first, first_packet)
-
-
-def _splits(path: str, split_bytes: int, strict: bool):
-    """The splits of one file; a pcapng file with an interface that isn't Ethernet is refused."""
-    with open(path, "rb") as f:
-        kind = sniff(f.read(4))
+    start: int | None = 0
+    past: int = 1 << 62
+    low: int = 0
+    first: int = 0
+    first_packet: int = 0
+    order: str = "<"
+    interfaces: list[int] = field(default_factory=list)
+
+    def walk(self, f):
         f.seek(0)
-        if kind == "pcap":
-            yield from _pcap_splits(f, path, split_bytes)
-        else:
-            for _ in _pcapng_rows(f, path, strict, only_check=True):
-                pass
-            yield Split(path, kind, 0, 0, 0, 0)
-
-
-def _pcap_rows(f, path: str, s: Split, strict: bool):
-    order, unit = _pcap_head(f, path)
-    f.seek(s.start)
-    at, n, packets = s.start, s.first, s.first_packet
-    while at < s.past:
-        head = f.read(16)
-        seconds, fraction, size, original = struct.unpack(order + "4I", head) if len(head) == 16 else (0, 0, 0, 0)
-        data = f.read(size)
-        if len(head) < 16 or len(data) < size:
-            if strict:
-                raise CaptureError(f"{path}: truncated record {n}")
-            return
-        whole = size >= ETHERNET_HEADER
-        yield path, n, packets if whole else None, seconds * 1_000_000_000 + fraction * unit, size, max(original, size), data
-        at, n, packets = at + 16 + size, n + 1, packets + whole
-
-
-def _blocks(f, path: str, strict: bool):
-    """(type, body, byte order) of the blocks of a pcapng file."""
-    order = "<"
-    while len(head := f.read(8)) == 8:
-        if head[:4] == PCAPNG:
-            magic = f.read(4)
-            order = "<" if magic == b"\x4d\x3c\x2b\x1a" else ">"
-            size = struct.unpack(order + "I", head[4:])[0]
-            body = magic + f.read(max(0, size - 16))
-        else:
-            size = struct.unpack(order + "I", head[4:])[0]
-            body = f.read(max(0, size - 12))
-        tail = f.read(4)
-        if size < 12 or size % 4 or len(tail) < 4:
-            if strict:
-                raise CaptureError(f"{path}: damaged block")
-            return
-        yield struct.unpack(order + "I", head[:4])[0], body, order
+        kind = sniff(f.read(4))
+        if self.low == 0:
+            found = walk(f, self.path)
+            if kind == "pcapng" and self.past == 1 << 62:  # a file in one split is checked here, before its packets are read
+                for _ in found.run(self.past, data=False):
+                    pass
+                found = walk(f, self.path)
+            return found
+        found = PcapWalk(f, self.path, self.start) if kind == "pcap" else PcapngWalk(f, self.path, self.start, self.order, self.interfaces)
+        if self.start is None:
+            found.at = found.sound(self.low, self.past)
+        return found
 
 
-def _pcapng_rows(f, path: str, strict: bool, only_check: bool = False):
-    """Rows of a pcapng file. All its interfaces must be Ethernet, even unused ones."""
-    interfaces: list[int] = []
-    n = packets = 0
-    for kind, body, order in _blocks(f, path, strict):
-        if kind == 0x0A0D0D0A:
-            interfaces = []
-        elif kind == 1:
-            link = struct.unpack(order + "H", body[:2])[0]
-            if link != ETHERNET:
-                raise CaptureError(f"{path}: unsupported link type {link}")
-            if len(interfaces) >= MOST_INTERFACES:
-                raise CaptureError(f"{path}: too many interfaces")
-            interfaces.append(_resolution(body[8:], order))
-        elif kind in (3, 6):
-            which = struct.unpack(order + "I", body[:4])[0] if kind == 6 else 0
-            if which >= len(interfaces):
-                raise CaptureError(f"{path}: packet of an unknown interface")
-            if only_check:
-                continue
-            if kind == 6:
-                high, low, size, original = struct.unpack(order + "4I", body[4:20])
-                ts, data = (high << 32 | low) * 1_000_000_000 // interfaces[which], body[20 : 20 + size]
+# ---- splits of large files
+
+
+@dataclass
+class Range:
+    """What a walk over the records that start in [low, high) found. A start or end of None is a search that goes on
+    into the next range."""
+
+    path: str
+    low: int
+    high: int
+    searched: bool = True
+    start: int | None = None
+    order: str = "<"
+    end: int | None = None
+    order_at_end: str = "<"
+    frames: int = 0
+    packets: int = 0
+    sections: int = 0
+    interfaces: list[int] = field(default_factory=list)
+    need: int = 0
+
+    def look(self) -> Range:
+        with open(self.path, "rb") as f:
+            kind = sniff(f.read(4))
+            if self.low == 0:
+                found = walk(f, self.path)
             else:
-                original = struct.unpack(order + "I", body[:4])[0]
-                ts, data = None, body[4 : 4 + original]
-            whole = len(data) >= ETHERNET_HEADER
-            yield path, n, packets if whole else None, ts, len(data), max(original, len(data)), data
-            n, packets = n + 1, packets + whole
-
-
-def _resolution(options: bytes, order: str) -> int:
-    """Ticks a second of an interface: a million unless its options say otherwise."""
-    at = 0
-    while at + 4 <= len(options):
-        code, size = struct.unpack(order + "2H", options[at : at + 4])
-        if code == 0:
+                found = PcapWalk(f, self.path, self.start) if kind == "pcap" else PcapngWalk(f, self.path, self.start, self.order)
+                if self.searched:
+                    found.at = found.sound(self.low, self.high)
+            self.start, self.order, self.frames, self.packets = found.at, found.order_now, 0, 0
+            for x in found.run(self.high, data=False):
+                self.frames += 1
+                self.packets += not isinstance(x, Damage) and x.size >= ETHERNET_HEADER
+            self.end, self.order_at_end, self.sections, self.interfaces, self.need = found.at, found.order_now, found.sections, found.interfaces, found.need
+        return self
+
+    def follows(self, before: Range) -> bool:
+        """Whether this is the walk that goes on where the one before it ended."""
+        if before.end is None:
+            return self.searched
+        return self.start == before.end and (before.end >= self.high or self.order == before.order_at_end)
+
+
+def _looked(spark: SparkSession, ranges: list[Range]) -> list[Range]:
+    """The ranges after a task has looked at each."""
+
+    def look(batches):
+        import pandas as pd
+
+        for b in batches:
+            yield pd.DataFrame({"at": b["at"], "range": [pickle.dumps(pickle.loads(r).look()) for r in b["range"]]})
+
+    rows = spark.createDataFrame([(i, pickle.dumps(r)) for i, r in enumerate(ranges)], "at int, range binary").repartitionByRange(min(len(ranges), 4096), "at")
+    return [pickle.loads(r.range) for r in sorted(rows.mapInPandas(look, "at int, range binary").collect())]  # at most MOST_SPLITS
+
+
+def _splits(spark: SparkSession, sizes: list[tuple[str, int]], split_bytes: int) -> list[Split]:
+    split_bytes = max(split_bytes, -(-sum(n for _, n in sizes) // MOST_SPLITS))
+    cut = {p: range(0, n, split_bytes) for p, n in sizes if n > split_bytes}
+    ranges = _looked(spark, [Range(p, low, min(low + split_bytes, n)) for p, n in sizes for low in cut.get(p, ())]) if cut else []
+    while True:
+        wrong = [k for k in range(1, len(ranges)) if ranges[k].low and not ranges[k].follows(ranges[k - 1])]
+        wrong = [k for k in wrong if k - 1 not in set(wrong)] if len(wrong) > 1 else wrong  # the end of one that is wrong says nothing
+        if not wrong:
             break
-        if code == 9 and size >= 1:
-            value = options[at + 4]
-            return 1 << (value & 127) if value & 128 else 10**value
-        at += 4 + (size + 3) // 4 * 4
-    return 1_000_000
+        for k in wrong:
+            before = ranges[k - 1]
+            ranges[k].searched, ranges[k].start, ranges[k].order = before.end is None, before.end, before.order_at_end
+        for k, r in zip(wrong, _looked(spark, [ranges[k] for k in wrong]), strict=True):
+            ranges[k] = r
+    out = [Split(p) for p, _ in sizes if p not in cut]
+    first = packets = 0
+    interfaces: list[int] = []
+    for r in ranges:
+        if r.low == 0:
+            first, packets, interfaces = 0, 0, []
+        if r.need > len(interfaces):
+            raise CaptureError(f"{r.path}: packet of an unknown interface")
+        out.append(Split(r.path, r.start, r.high, r.low, first, packets, r.order, interfaces))
+        first, packets, interfaces = first + r.frames, packets + r.packets, r.interfaces if r.sections or r.low == 0 else interfaces + r.interfaces
+    return out
+
+
+# ---- the data source
+
+
+class _Batches:
+    """Record batches of frames, with header columns, cut down to those that pass the filters."""
+
+    def __init__(self, header: list[str], filters: list[tuple], strict: bool):
+        self.header, self.filters, self.strict = header, filters, strict
+        self.schema = pa.schema([(k, _ARROW[v]) for k, v in (x.split() for x in schema_of(header).split(", "))])
+
+    def of(self, split: Split) -> Iterator[pa.RecordBatch]:
+        with open(split.path, "rb") as f:
+            found, n, packets = split.walk(f), split.first, split.first_packet
+            rows: list[tuple] = []
+            held = 0
+            for x in found.run(split.past):
+                if isinstance(x, Damage):
+                    if self.strict:
+                        raise CaptureError(f"{split.path}: {x.message} {n}")
+                    rows.append((split.path, n, None, None, None, None, None, f"{x.message} at byte {x.offset}"))
+                else:
+                    whole = x.size >= ETHERNET_HEADER
+                    rows.append((split.path, n, packets if whole else None, x.ts_ns, x.size, x.original, x.data, None))
+                    packets, held = packets + whole, held + x.size
+                n += 1
+                if len(rows) >= BATCH or held >= BATCH_BYTES:
+                    yield from self.passed(rows)
+                    rows, held = [], 0
+            yield from self.passed(rows)
+
+    def passed(self, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if not rows:
+            return
+        named = [*_NAMES, "error"]
+        plain = pa.RecordBatch.from_arrays([pa.array(c, self.schema.field(k).type) for k, c in zip(named, zip(*rows, strict=True), strict=True)], named)
+        asked = {column for _, column, _ in self.filters}
+        early = [k for k in self.header if k in asked]
+        made = dict(zip(early, decoded(plain, {}, early), strict=True))
+        of = lambda k: made[k] if k in made else plain.column(k)
+        keep = None
+        for kind, column, value in self.filters:
+            mask = pc.fill_null(_TESTS[kind](of(column), value), False)
+            keep = mask if keep is None else pc.and_(keep, mask)
+        if keep is not None:
+            plain, made = plain.filter(keep), {k: v.filter(keep) for k, v in made.items()}
+        if not len(plain):
+            return
+        late = [k for k in self.header if k not in made]
+        made |= dict(zip(late, decoded(plain, {}, late), strict=True))
+        yield pa.RecordBatch.from_arrays([of(f.name).cast(f.type) for f in self.schema], schema=self.schema)
 
 
-def _listed(path: str) -> list[str]:
-    paths = sorted(glob.glob(path))
-    if not paths:
-        raise CaptureError(f"{path}: no such file")
-    return paths
+def _compared(test):
+    return lambda values, value: test(values, pa.scalar(value, values.type))
 
 
-def _rows(s: Split, strict: bool):
-    with open(s.path, "rb") as f:
-        yield from (_pcap_rows(f, s.path, s, strict) if s.kind == "pcap" else _pcapng_rows(f, s.path, strict))
+_TESTS = {
+    "EqualTo": _compared(pc.equal), "GreaterThan": _compared(pc.greater), "GreaterThanOrEqual": _compared(pc.greater_equal), "LessThan": _compared(pc.less), "LessThanOrEqual": _compared(pc.less_equal),
+    "IsNull": lambda values, _: values.is_null(), "IsNotNull": lambda values, _: values.is_valid(), "StringContains": lambda values, value: pc.match_substring(values, value),
+    "In": lambda values, value: pc.is_in(values, pa.array([v for v in value if v is not None], values.type)),
+}
 
 
 class CaptureReader(DataSourceReader):
+    """Each pushed filter is a test on a plain column, decided before a frame becomes a row."""
+
     def __init__(self, options: dict):
-        self.path = options["path"]
+        self.options, self.filters = options, []
+        self.header = [k for k in options.get("header", "").split(",") if k]
         self.strict = options.get("mode", "FAILFAST").upper() == "FAILFAST"
 
-    def partitions(self):
-        return [Split(path, "file", 0, 0, 0, 0) for path in _listed(self.path)]
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        known = {*_NAMES, "error", *self.header} - {"data"}
+        for f in filters:
+            kind, attribute = type(f).__name__, getattr(f, "attribute", ())
+            if kind in _TESTS and len(attribute) == 1 and attribute[0] in known:
+                self.filters.append((kind, attribute[0], getattr(f, "value", None)))
+            else:
+                yield f
+
+    def partitions(self) -> list[Split]:
+        if "splits" in self.options:
+            return pickle.loads(zlib.decompress(base64.b64decode(self.options["splits"])))
+        return [Split(path) for path in _listed(self.options["path"])]
+
+    def read(self, partition: Split) -> Iterator[pa.RecordBatch]:
+        # Spark copies the classes of a source to its workers; the code that reads is the module's own.
+        from packloom.sources import pcap
 
-    def read(self, split: Split):
-        for s in _splits(split.path, 1 << 62, self.strict):
-            yield from _rows(s, self.strict)
+        return pcap._Batches(self.header, self.filters, self.strict).of(pcap.Split(**vars(partition)))
+
+
+def schema_of(header: list[str]) -> str:
+    return ", ".join([SCHEMA, "error string", *[f"{k} {HEADER[k]}" for k in header]])
 
 
 class CaptureSource(DataSource):
-    """Options: path (a file or pattern), mode (FAILFAST, or PERMISSIVE to stop at damage)."""
+    """Options: path (a file or pattern; a folder to write to), mode (FAILFAST, or PERMISSIVE to go on behind damage, which
+    becomes rows with `error` and no data), header (columns of dissect.HEADER, with commas between them)."""
 
     @classmethod
     def name(cls):
         return "capture"
 
     def schema(self):
-        return SCHEMA
+        return schema_of([k for k in self.options.get("header", "").split(",") if k])
 
     def reader(self, schema):
         return CaptureReader(self.options)
 
-
-#: Splits of this many bytes; frames in one Arrow batch.
-SPLIT_BYTES, BATCH = 64 << 20, 4096
+    def writer(self, schema, overwrite):
+        return CaptureWriter(self.options["path"])
 
 
-def read_capture(spark, path: str, mode: str = "FAILFAST", split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """Frames of the capture files that match the path. mode PERMISSIVE stops a file at damage
-    instead of failing. The list of splits (a row for each `split_bytes`) is stored first."""
-    strict = mode.upper() == "FAILFAST"
-    paths = _listed(path)
-
-    def cut(batches):
-        import pandas as pd
-
-        for b in batches:
-            for p in b["path"]:
-                yield pd.DataFrame([(s.path, s.kind, s.start, s.past, s.first, s.first_packet) for s in _splits(p, split_bytes, strict)], columns=names)
-
-    def read(batches):
-        import itertools
-
-        import pandas as pd
+def _listed(path: str) -> list[str]:
+    paths = sorted(glob.glob(path))
+    if not paths:
+        raise CaptureError(f"{path}: no such file")
+    return paths
 
-        for b in batches:
-            for row in b.itertuples(index=False):
-                rows = _rows(Split(*row), strict)
-                while some := list(itertools.islice(rows, BATCH)):
-                    frames = pd.DataFrame(some, columns=fields)
-                    yield frames.astype({"packet_index": "Int64", "ts_ns": "Int64"})
 
-    names = ["path", "kind", "start", "past", "first", "first_packet"]
-    fields = [x.split()[0] for x in SCHEMA.split(", ")]
-    files = spark.createDataFrame([(p,) for p in paths], "path string").repartition(len(paths), "path")
-    splits = Stored(spark, "splits").put(files.mapInPandas(cut, "path string, kind string, start bigint, past bigint, first bigint, first_packet bigint"))
-    return splits.repartition(max(1, splits.count()), "path", "start").mapInPandas(read, SCHEMA)
+def scan_capture(spark: SparkSession, path: str, mode: str = "FAILFAST", split_bytes: int = SPLIT_BYTES, header: Iterable[str] = ()) -> DataFrame:
+    """All records of the capture files that match the path: the columns of SCHEMA, `error`, and those of `header`. In mode
+    PERMISSIVE damage is a row with its frame number and an error, and the scan goes on at the next sound record; in mode
+    FAILFAST it is an error."""
+    spark.dataSource.register(CaptureSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # off by default; sources without it aren't affected
+    splits = _splits(spark, [(p, os.path.getsize(p)) for p in _listed(path)], split_bytes)
+    packed = base64.b64encode(zlib.compress(pickle.dumps(splits))).decode()
+    return spark.read.format("capture").options(path=path, mode=mode, header=",".join(header), splits=packed).load()
 
 
-def damaged_captures(spark, path: str) -> list[str]:
-    """The files that end inside a record or block. A task for each file walks its headers and reads its
-    last split."""
+def read_capture(spark: SparkSession, path: str, mode: str = "FAILFAST", split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """Frames of the capture files that match the path. mode PERMISSIVE passes over damage (capture_errors() has it)."""
+    return scan_capture(spark, path, mode, split_bytes).filter("error is null").select(*_NAMES)
 
-    def look(batches):
-        import pandas as pd
 
-        for b in batches:
-            bad = []
-            for p in b["path"]:
-                try:
-                    last = None
-                    for last in _splits(p, SPLIT_BYTES, True):
-                        pass
-                    for _ in _rows(last, True) if last.kind == "pcap" else ():
-                        pass
-                except CaptureError:
-                    bad.append(p)
-            if bad:
-                yield pd.DataFrame({"path": bad})
-
-    paths = _listed(path)
-    files = spark.createDataFrame([(p,) for p in paths], "path string").repartition(len(paths), "path")
-    return sorted(r.path for r in files.mapInPandas(look, "path string").collect())  # names of files alone
+def capture_errors(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """The damaged records of the files: capture, frame_no, error."""
+    return scan_capture(spark, path, "PERMISSIVE", split_bytes).filter("error is not null").select("capture", "frame_no", "error")
 
 
 def parse_capture(content: bytes, path: str = "", strict: bool = True) -> list[tuple]:
-    """Rows of a small capture that is at hand as bytes."""
+    """Rows of a small capture that is at hand as bytes, without its damaged records or failing at them."""
     f = io.BytesIO(content)
-    kind = sniff(content[:4])
-    if kind == "pcapng":
-        return list(_pcapng_rows(f, path, strict))
-    split = Split(path, kind, 24, len(content), 0, 0)
-    return list(_pcap_rows(f, path, split, strict))
+    sniff(content[:4])
+    if content[:4] == b"\x0a\x0d\x0d\x0a":
+        for _ in walk(f, path).run(len(content), data=False):  # all interfaces are checked before any packet is read
+            pass
+    out, packets = [], 0
+    for n, x in enumerate(walk(f, path).run(len(content))):
+        if isinstance(x, Damage):
+            if strict:
+                raise CaptureError(f"{path}: {x.message} {n}")
+            continue
+        whole = x.size >= ETHERNET_HEADER
+        out.append((path, n, packets if whole else None, x.ts_ns, x.size, x.original, x.data))
+        packets += whole
+    return out
 
 
-def read_small_captures(spark, path: str) -> DataFrame:
+def read_small_captures(spark: SparkSession, path: str) -> DataFrame:
     """Many small files through Spark's own file source, on any file system: a file a row."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
@@ -294,41 +333,81 @@ def read_small_captures(spark, path: str) -> DataFrame:
 
         for b in batches:
             for p, content in zip(b["path"], b["content"], strict=True):
-                yield pd.DataFrame(parse_capture(content, p), columns=[x.split()[0] for x in SCHEMA.split(", ")]).astype({"packet_index": "Int64", "ts_ns": "Int64"})
+                yield pd.DataFrame(parse_capture(content, p), columns=_NAMES).astype({"packet_index": "Int64", "ts_ns": "Int64"})
 
     return files.mapInPandas(rows, SCHEMA)
 
 
-def pcap_record(ts_ns: int, data: bytes, original: int | None = None) -> bytes:
-    return struct.pack("<4I", ts_ns // 1_000_000_000, ts_ns % 1_000_000_000, len(data), original or len(data)) + data
+# ---- sinks
 
 
-def write_pcaps(frames: DataFrame, folder: str) -> DataFrame:
-    """Writes each partition of `frames` as a nanosecond pcap in a folder that executors share,
-    and returns path and number of packets of each. A task writes under a name of its own; the
-    files of the attempts that count get theirs, by partition, once all are written."""
+@dataclass
+class Written(WriterCommitMessage):
+    part: int
+    path: str
+    packets: int
 
-    def write(batches):
-        import uuid
 
-        import pandas as pd
+class FileWriter(DataSourceArrowWriter):
+    """A file for each task. Tasks write into a folder of the job's own beside the results; commit() moves the files of
+    the attempts that count into place, and abort() leaves nothing behind."""
+
+    suffix = ""
+
+    def __init__(self, folder: str):
+        self.folder, self.job = folder, f"{folder}/_job-{uuid.uuid4().hex}"
+
+    def begin(self, f) -> None:
+        pass
+
+    def put(self, f, batch: pa.RecordBatch) -> None:
+        raise NotImplementedError
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId()
-        path, n = f"{folder}/_part-{part:05d}-{uuid.uuid4().hex}", 0
+        part, n = TaskContext.get().partitionId(), 0
+        os.makedirs(self.job, exist_ok=True)
+        path = f"{self.job}/{part:05d}-{uuid.uuid4().hex}"
         with open(path, "wb") as f:
-            f.write(struct.pack("<IHHiIII", 0xA1B23C4D, 2, 4, 0, 0, 262144, ETHERNET))
-            for b in batches:
-                for ts, data, original in zip(b["ts_ns"], b["data"], b["orig_len"], strict=True):
-                    f.write(pcap_record(0 if pd.isna(ts) else int(ts), data, int(original)))
-                    n += 1
-        yield pd.DataFrame({"part": [part], "path": [path], "packets": [n]})
-
-    done = []
-    for row in frames.select("ts_ns", "data", "orig_len").mapInPandas(write, "part int, path string, packets bigint").collect():  # a row for each partition
-        path = f"{folder}/part-{row.part:05d}.pcap"
-        os.replace(row.path, path)
-        done.append((path, row.packets))
-    for left in glob.glob(f"{glob.escape(folder)}/_part-*"):
-        os.remove(left)
-    return frames.sparkSession.createDataFrame(done, "path string, packets bigint")
+            self.begin(f)
+            for b in iterator:
+                self.put(f, b)
+                n += len(b)
+        return Written(part, path, n)
+
+    def commit(self, messages: list[Written | None]) -> None:
+        for m in messages:
+            os.replace(m.path, f"{self.folder}/part-{m.part:05d}{self.suffix}")
+        shutil.rmtree(self.job, ignore_errors=True)
+
+    def abort(self, messages: list[Written | None]) -> None:
+        shutil.rmtree(self.job, ignore_errors=True)
+
+
+def pcap_record(ts_ns: int, data: bytes, original: int | None = None) -> bytes:
+    return struct.pack("<4I", ts_ns // 1_000_000_000, ts_ns % 1_000_000_000, len(data), original or len(data)) + data
+
+
+class CaptureWriter(FileWriter):
+    """Frames (ts_ns, data, orig_len) as nanosecond pcaps; a frame without a time has 0."""
+
+    suffix = ".pcap"
+
+    def begin(self, f) -> None:
+        f.write(struct.pack("<IHHiIII", 0xA1B23C4D, 2, 4, 0, 0, 262144, ETHERNET))
+
+    def put(self, f, batch: pa.RecordBatch) -> None:
+        for ts, data, original in zip(*(batch.column(c).to_pylist() for c in ("ts_ns", "data", "orig_len")), strict=True):
+            f.write(pcap_record(ts or 0, data, original))
+
+
+def write_pcaps(frames: DataFrame, folder: str) -> DataFrame:
+    """Writes each partition of `frames` as a nanosecond pcap in a folder that executors share, and
+    returns path and number of packets of each file there."""
+    spark = frames.sparkSession
+    spark.dataSource.register(CaptureSource)
+    os.makedirs(folder, exist_ok=True)
+    frames.select("ts_ns", "data", "orig_len").write.format("capture").mode("append").save(folder)
+    written = scan_capture(spark, f"{glob.escape(folder)}/part-*.pcap").groupBy("capture").count()
+    return written.select(written["capture"].alias("path"), written["count"].alias("packets"))
