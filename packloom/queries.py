@@ -68,7 +68,7 @@ o AS (SELECT *, CASE WHEN part = 7 THEN CASE WHEN k % 3 = 0 THEN 4660 ELSE right
 """
 
 
-def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table. In fewer files than there are cores, whose row groups Spark can't split, its short rows are
     spread over all of them before they become frames; in more files they stay where they are read."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
@@ -78,11 +78,11 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def packets(spark: SparkSession, sf_dir: str, needs: str | None = None) -> DataFrame:
     """Packets of the derived capture; needs: the columns that are decoded, all if it is None."""
-    return dissect(frames_from_events(_events(spark, sf_dir)), needs.split() if needs is not None else None)
+    return dissect(frames_from_events(events(spark, sf_dir)), needs.split() if needs is not None else None)
 
 
 def odd_packets(spark: SparkSession, sf_dir: str, needs: str) -> DataFrame:
-    return dissect(odd_frames_from_events(_events(spark, sf_dir)), needs.split())
+    return dissect(odd_frames_from_events(events(spark, sf_dir)), needs.split())
 
 
 def _query(name: str, sql: str | None, needs: str | None = None, source=packets, start: str = PACKETS, twice: bool = False):
@@ -387,7 +387,7 @@ def _round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     folder = f"{urlparse(shared_dir(spark)).path}/pcap-{uuid.uuid4().hex}"
     os.makedirs(folder)
-    write_pcaps(frames_from_events(_events(spark, sf_dir)), folder)
+    write_pcaps(frames_from_events(events(spark, sf_dir)), folder)
     p = dissect(streams.with_packet_index(read_capture(spark, f"{folder}/*.pcap")), ["ts_ns", "protocol", "cap_len", "orig_len"])
     return p.groupBy("protocol", "cap_len", "orig_len").agg(F.count(F.lit(1)).alias("packets"), F.min("ts_ns").alias("first_ns"), F.max("ts_ns").alias("last_ns"))
 
@@ -398,7 +398,7 @@ ORACLE_SQL["pcap_round_trip"] = PACKETS + "SELECT protocol, cap_len, orig_len, c
 
 def _decode_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second capture with some frames cut inside their Ethernet header."""
-    frames = odd_frames_from_events(_events(spark, sf_dir))
+    frames = odd_frames_from_events(events(spark, sf_dir))
     cut = frames.withColumn("data", F.when(F.col("frame_no") % 16 == 15, F.substring("data", 1, 10)).otherwise(F.col("data")))
     return dissect(cut, ["frame_no", "decode_error", "protocol", "layer_names"]).select("frame_no", "decode_error", "protocol", F.size("layer_names").alias("layers"))
 

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .pcap import CaptureSource, CaptureWriter, pcap_record
+
 
 def _hex(value, width: int) -> Column:
     """`value` as `width` hexadecimal digits."""
@@ -131,3 +133,21 @@ def odd_frames_from_events(events: DataFrame, capture: str = "odd") -> DataFrame
     packet = F.when(part == 5, F.concat(F.lit("86dd"), six("00", hop, tcp))).when(part == 6, F.concat(F.lit("86dd"), six("2c", fragment, tcp))).otherwise(F.concat(F.lit("0800"), head(check), F.col("body")))
     f = f.withColumn("whole", F.unhex(F.concat(F.lit("020000000001020000000002"), packet)))
     return _frames(f, capture, F.when(part >= 8, F.substring("whole", 1, 30)).otherwise(F.col("whole")))
+
+
+class DamagedWriter(CaptureWriter):
+    """Pcaps whose frames with `damaged` have record headers of a size that can't be, and noise for data."""
+
+    def put(self, f, batch) -> None:
+        for ts, data, original, damaged in zip(*(batch.column(c).to_pylist() for c in ("ts_ns", "data", "orig_len", "damaged")), strict=True):
+            whole = pcap_record(ts, data, original)
+            f.write(whole[:8] + b"\xff" * (len(whole) - 8) if damaged else whole)
+
+
+class DamagedCaptures(CaptureSource):
+    @classmethod
+    def name(cls):
+        return "damaged-capture"
+
+    def writer(self, schema, overwrite):
+        return DamagedWriter(self.options["path"])

@@ -260,7 +260,7 @@ def schema_of(header: list[str]) -> str:
 
 
 class CaptureSource(DataSource):
-    """Options: path (a file or pattern; a folder to write to), mode (FAILFAST, or PERMISSIVE to go on behind damage, which
+    """Options: path (a file or pattern; a folder to write to), resolutions (to write pcapng, of its interfaces), mode (FAILFAST, or PERMISSIVE to go on behind damage, which
     becomes rows with `error` and no data), header (columns of dissect.HEADER, with commas between them)."""
 
     @classmethod
@@ -274,7 +274,9 @@ class CaptureSource(DataSource):
         return CaptureReader(self.options)
 
     def writer(self, schema, overwrite):
-        return CaptureWriter(self.options["path"])
+        os.makedirs(self.options["path"], exist_ok=True)
+        resolutions = [int(r) for r in self.options.get("resolutions", "").split(",") if r]
+        return PcapngWriter(self.options["path"], resolutions) if resolutions else CaptureWriter(self.options["path"])
 
 
 def _listed(path: str) -> list[str]:
@@ -402,12 +404,44 @@ class CaptureWriter(FileWriter):
             f.write(pcap_record(ts or 0, data, original))
 
 
+#: Frames in a section of a written pcapng file.
+SECTION_FRAMES = 10_000
+
+
+class PcapngWriter(FileWriter):
+    """Frames (ts_ns, data, orig_len, and the number of their `interface`) as pcapng files of sections of SECTION_FRAMES frames.
+    resolutions: each interface's, as a power of ten. A frame without a time is a simple packet, which has no cut length."""
+
+    suffix = ".pcapng"
+
+    def __init__(self, folder: str, resolutions: list[int]):
+        super().__init__(folder)
+        self.resolutions, self.written = resolutions, 0
+
+    def block(self, kind: int, body: bytes) -> bytes:
+        body += b"\0" * (-len(body) % 4)
+        size = struct.pack("<I", len(body) + 12)
+        return struct.pack("<I", kind) + size + body + size
+
+    def put(self, f, batch: pa.RecordBatch) -> None:
+        for ts, data, original, which in zip(*(batch.column(c).to_pylist() for c in ("ts_ns", "data", "orig_len", "interface")), strict=True):
+            if self.written % SECTION_FRAMES == 0:
+                f.write(self.block(0x0A0D0D0A, struct.pack("<IHHq", 0x1A2B3C4D, 1, 0, -1)))
+                for r in self.resolutions:
+                    f.write(self.block(1, struct.pack("<HHIHHB3xHH", ETHERNET, 0, 0, 9, 1, r, 0, 0)))
+            self.written += 1
+            if ts is None:
+                f.write(self.block(3, struct.pack("<I", len(data)) + data))
+            else:
+                ticks = ts * 10 ** self.resolutions[which] // 1_000_000_000
+                f.write(self.block(6, struct.pack("<5I", which, ticks >> 32, ticks & 0xFFFFFFFF, len(data), original) + data))
+
+
 def write_pcaps(frames: DataFrame, folder: str) -> DataFrame:
     """Writes each partition of `frames` as a nanosecond pcap in a folder that executors share, and
     returns path and number of packets of each file there."""
     spark = frames.sparkSession
     spark.dataSource.register(CaptureSource)
-    os.makedirs(folder, exist_ok=True)
     frames.select("ts_ns", "data", "orig_len").write.format("capture").mode("append").save(folder)
     written = scan_capture(spark, f"{glob.escape(folder)}/part-*.pcap").groupBy("capture").count()
     return written.select(written["capture"].alias("path"), written["count"].alias("packets"))
