@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from .operators import streams
 from .operators.dissect import dissect
 from .plans.scan import read_packets
-from .queries import FILTERS, PACKETS, events
+from .queries import FILTERS, PACKETS, events, packets
 from .sources import derived, pcap
+from .streaming.conversations import running_conversations
+from .streaming.growing import stream_frames
 from .storage import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +100,39 @@ def _filters(spark: SparkSession, sf_dir: str) -> DataFrame:
         found = read_packets(spark, f"{to}/*.pcap", FILTERS[n][0], ["protocol", "ts_ns"]).groupBy("protocol").agg(F.count(F.lit(1)).alias("packets"), F.sum(F.col("ts_ns") % 1_000_003).alias("times")).select(F.lit(n).alias("name"), "protocol", "packets", "times")
         out = found if out is None else out.unionByName(found)
     return out
+
+
+def streamed(stream: DataFrame, to: str, mode: str) -> DataFrame:
+    """What a streaming query gives until it has read all there is, with the number of each batch."""
+
+    def put(df: DataFrame, batch: int) -> None:
+        df.withColumn("batch", F.lit(batch)).write.mode("append").parquet(f"{to}/out")
+
+    query = stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{to}/checkpoint").outputMode(mode).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stream.sparkSession.read.parquet(f"{to}/out")
+
+
+@_query("running_conversations", "SELECT first_index, packet_count, byte_count, first_seen_ns, last_seen_ns, tcp_flags_seen, syn_ack_seen, rst_count FROM s")
+def _running(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packets in an order of their own, in several batches: the state of each conversation after the last."""
+    to = folder(spark, "running")
+    p = packets(spark, sf_dir, " ".join(streams.STREAM_COLUMNS))
+    p.repartition(4, F.xxhash64("packet_index")).write.parquet(f"{to}/in")
+    rows = streamed(running_conversations(spark.readStream.schema(p.schema).option("maxFilesPerTrigger", 2).parquet(f"{to}/in")), to, "update")
+    last = rows.groupBy("capture", "stream_key").agg(F.max_by(F.struct("*"), "batch").alias("r"))
+    return last.select(*[f"r.{c}" for c in ("first_index", "packet_count", "byte_count", "first_seen_ns", "last_seen_ns", "tcp_flags_seen", "syn_ack_seen", "rst_count")])
+
+
+@_query("growing_captures", "SELECT protocol, count(*) AS packets, sum(cap_len) AS bytes, min(ts_ns) AS first_ns FROM q GROUP BY protocol")
+def _growing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures that come in two goes, each read by a run of the same streaming query."""
+    to = folder(spark, "growing")
+    all_frames = frames(spark, sf_dir).select("frame_no", "ts_ns", "data", "orig_len")
+    out = None
+    for half in (0, 1):
+        spark.dataSource.register(pcap.CaptureSource)
+        all_frames.filter(F.col("frame_no") % 2 == half).write.format("capture").mode("append").save(f"{to}/in")
+        out = streamed(stream_frames(spark, f"{to}/in/*.pcap", split_bytes=RANGE_BYTES), to, "append")
+    p = dissect(streams.with_packet_index(out.drop("batch")), ["protocol", "cap_len", "ts_ns"])
+    return p.groupBy("protocol").agg(F.count(F.lit(1)).alias("packets"), F.sum("cap_len").alias("bytes"), F.min("ts_ns").alias("first_ns"))

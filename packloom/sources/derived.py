@@ -150,4 +150,4 @@ class DamagedCaptures(CaptureSource):
         return "damaged-capture"
 
     def writer(self, schema, overwrite):
-        return DamagedWriter(self.options["path"])
+        return DamagedWriter(self.options["path"], overwrite)

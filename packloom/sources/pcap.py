@@ -273,10 +273,14 @@ class CaptureSource(DataSource):
     def reader(self, schema):
         return CaptureReader(self.options)
 
+    def streamReader(self, schema):
+        from ..streaming.growing import GrowingReader
+
+        return GrowingReader(self.options)
+
     def writer(self, schema, overwrite):
-        os.makedirs(self.options["path"], exist_ok=True)
         resolutions = [int(r) for r in self.options.get("resolutions", "").split(",") if r]
-        return PcapngWriter(self.options["path"], resolutions) if resolutions else CaptureWriter(self.options["path"])
+        return PcapngWriter(self.options["path"], overwrite, resolutions) if resolutions else CaptureWriter(self.options["path"], overwrite)
 
 
 def _listed(path: str) -> list[str]:
@@ -352,12 +356,14 @@ class Written(WriterCommitMessage):
 
 class FileWriter(DataSourceArrowWriter):
     """A file for each task. Tasks write into a folder of the job's own beside the results; commit() moves the files of
-    the attempts that count into place, and abort() leaves nothing behind."""
+    the attempts that count into place, in place of earlier ones if it overwrites, and abort() leaves nothing behind."""
 
     suffix = ""
 
-    def __init__(self, folder: str):
-        self.folder, self.job = folder, f"{folder}/_job-{uuid.uuid4().hex}"
+    def __init__(self, folder: str, overwrite: bool):
+        self.folder, self.overwrite, self.id = folder, overwrite, uuid.uuid4().hex
+        self.job = f"{folder}/_job-{self.id}"
+        os.makedirs(folder, exist_ok=True)
 
     def begin(self, f) -> None:
         pass
@@ -379,8 +385,10 @@ class FileWriter(DataSourceArrowWriter):
         return Written(part, path, n)
 
     def commit(self, messages: list[Written | None]) -> None:
+        for old in glob.glob(f"{glob.escape(self.folder)}/part-*{self.suffix}") if self.overwrite else ():
+            os.remove(old)
         for m in messages:
-            os.replace(m.path, f"{self.folder}/part-{m.part:05d}{self.suffix}")
+            os.replace(m.path, f"{self.folder}/part-{m.part:05d}-{self.id}{self.suffix}")
         shutil.rmtree(self.job, ignore_errors=True)
 
     def abort(self, messages: list[Written | None]) -> None:
@@ -414,8 +422,8 @@ class PcapngWriter(FileWriter):
 
     suffix = ".pcapng"
 
-    def __init__(self, folder: str, resolutions: list[int]):
-        super().__init__(folder)
+    def __init__(self, folder: str, overwrite: bool, resolutions: list[int]):
+        super().__init__(folder, overwrite)
         self.resolutions, self.written = resolutions, 0
 
     def block(self, kind: int, body: bytes) -> bytes:
@@ -442,6 +450,6 @@ def write_pcaps(frames: DataFrame, folder: str) -> DataFrame:
     returns path and number of packets of each file there."""
     spark = frames.sparkSession
     spark.dataSource.register(CaptureSource)
-    frames.select("ts_ns", "data", "orig_len").write.format("capture").mode("append").save(folder)
+    frames.select("ts_ns", "data", "orig_len").write.format("capture").mode("overwrite").save(folder)
     written = scan_capture(spark, f"{glob.escape(folder)}/part-*.pcap").groupBy("capture").count()
     return written.select(written["capture"].alias("path"), written["count"].alias("packets"))

@@ -84,7 +84,7 @@ def test_pcap_round_trip(spark, tmp_path):
     spark.dataSource.register(pcap.CaptureSource)
     assert spark.read.format("capture").load(f"{tmp_path}/*.pcap").count() == 50
     pcap.write_pcaps(f.coalesce(1), str(tmp_path))
-    assert [p.name for p in tmp_path.iterdir()] == ["part-00000.pcap"]
+    assert [p.name[:10] for p in tmp_path.iterdir()] == ["part-00000"]
     path = next(tmp_path.glob("*.pcap"))
     assert pcap.read_small_captures(spark, str(path)).count() == 50
     path.write_bytes(path.read_bytes()[:-3])
@@ -187,7 +187,7 @@ def test_command_line(spark, tmp_path, capsys):
         assert set(json.loads(capsys.readouterr().out.splitlines()[0])) == keys
     main(["detail", path, "1", "--json"])
     assert [x["type"] for x in json.loads(capsys.readouterr().out)] == ["Ethernet", "IPv4", "TCP"]
-    whole = tmp_path / "part-00000.pcap"
+    whole = next(tmp_path.glob("*.pcap"))
     (tmp_path / "cut.pcap").write_bytes(whole.read_bytes()[:-3])
     main(["issues", str(tmp_path / "cut.pcap")])
     assert "cut.pcap is damaged" in capsys.readouterr().err
