@@ -8,14 +8,16 @@ import uuid
 from collections.abc import Callable
 from urllib.parse import urlparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import streams
+from .operators.http_messages import http_messages
 from .operators.dissect import dissect
 from .plans.scan import read_packets
 from .queries import FILTERS, PACKETS, events, packets
 from .sources import derived, pcap
+from .sources.tables import reassemble
 from .streaming.conversations import running_conversations
 from .streaming.growing import stream_frames
 from .storage import shared_dir
@@ -136,3 +138,44 @@ def _growing(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = streamed(stream_frames(spark, f"{to}/in/*.pcap", split_bytes=RANGE_BYTES), to, "append")
     p = dissect(streams.with_packet_index(out.drop("batch")), ["protocol", "cap_len", "ts_ns"])
     return p.groupBy("protocol").agg(F.count(F.lit(1)).alias("packets"), F.sum("cap_len").alias("bytes"), F.min("ts_ns").alias("first_ns"))
+
+
+#: The third capture (http_frames_from_events): its messages.
+HTTP = """
+WITH e AS (SELECT event_id AS i, user_id AS u, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k FROM events WHERE event_type = 'view'),
+h AS (SELECT *, i % 3 <> 2 AS up, k * 37 % 900 AS size, i % 3 = 2 AND k % 3 = 1 AS chunked FROM e),
+m AS (SELECT *, CASE WHEN up THEN 8 + length(CAST(k AS VARCHAR)) + 18 + length(CAST(u AS VARCHAR)) + 30 + length(CAST(size AS VARCHAR)) + 4 WHEN chunked THEN 17 + 26 + 28 + 2 ELSE 17 + 26 + 16 + length(CAST(size AS VARCHAR)) + 4 END AS head_len,
+    CASE WHEN chunked THEN (k % 40 + 1) * 10 ELSE size END AS body_len, CASE WHEN chunked THEN (k % 40 + 1) * 15 + 5 ELSE size END AS sent FROM h),
+o AS (SELECT *, coalesce(sum(head_len + sent) OVER (PARTITION BY u, up ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM m)
+"""
+
+
+def http_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = dissect(derived.http_frames_from_events(events(spark, sf_dir)), ["capture", "packet_index", "src_ip", "tcp", "stream_key", "payload_at", "payload_len", "data"])
+    return p.filter("payload_len > 0").withColumn("payload", F.expr("substring(data, payload_at + 1, payload_len)")).drop("data")
+
+
+def _client_port() -> Column:
+    return F.greatest(streams.key_end("lo")[1], streams.key_end("hi")[1])
+
+
+@_query("http_messages", None)
+def _http(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages of conversations with overlapping, repeated and reordered segments whose numbers wrap."""
+    got = http_messages(reassemble(http_packets(spark, sf_dir)), stretch=4096)
+    return got.select(_client_port().alias("client_port"), (F.col("seq") - 4294966596).alias("start"), "is_request", "method", "uri", "status_code", "host", "content_type", "chunked", "head_len", "body_len", "complete")
+
+
+ORACLE_SQL["http_messages"] = HTTP + """SELECT 49152 + u % 16384 AS client_port, CAST(start AS BIGINT) AS start, up AS is_request, CASE WHEN up THEN 'POST' END AS method, CASE WHEN up THEN concat('/p/', k) END AS uri, CASE WHEN NOT up THEN 200 END AS status_code,
+    CASE WHEN up THEN concat('u', u, '.example.com') END AS host, CASE WHEN NOT up THEN 'text/plain' END AS content_type, chunked, head_len, body_len, true AS complete FROM o"""
+
+
+@_query("reassembled_overlaps", None)
+def _overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of each direction after repeated and overlapping parts are left out."""
+    got = reassemble(http_packets(spark, sf_dir)).withColumn("answer", (F.when(F.col("direction") == "lo_to_hi", streams.key_end("lo")[1]).otherwise(streams.key_end("hi")[1])) == 80)
+    whole = got.groupBy("stream_key", "answer").agg(F.sum(F.octet_length("data").cast("long")).alias("bytes"), (F.min("seq") - 4294966596).alias("first"), (F.max(F.col("seq") + F.octet_length("data")) - 4294966596).alias("past"))
+    return whole.select(_client_port().alias("client_port"), "answer", "bytes", "first", "past")
+
+
+ORACLE_SQL["reassembled_overlaps"] = HTTP + "SELECT 49152 + u % 16384 AS client_port, NOT up AS answer, CAST(sum(head_len + sent) AS BIGINT) AS bytes, 0 AS first, CAST(sum(head_len + sent) AS BIGINT) AS past FROM o GROUP BY ALL"

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .pcap import CaptureSource, CaptureWriter, pcap_record
 
@@ -135,6 +136,29 @@ def odd_frames_from_events(events: DataFrame, capture: str = "odd") -> DataFrame
     return _frames(f, capture, F.when(part >= 8, F.substring("whole", 1, 30)).otherwise(F.col("whole")))
 
 
+def http_frames_from_events(events: DataFrame, capture: str = "http") -> DataFrame:
+    """A third capture: each user's views as messages of one HTTP conversation in each direction. Messages have bodies of a length or in
+    chunks, and are cut into segments of 160 bytes that repeat the 40 before them. Every fifth segment comes twice,
+    neighbours have changed places, and sequence numbers start 700 before 2 ** 32."""
+    f = event_fields(events).filter("event_type = 'view'").withColumns({"size": F.expr("k * 37 % 900"), "chunks": F.expr("k % 40 + 1")})
+    chunked = F.expr("not up and k % 3 = 1")
+    head = F.when(F.col("up"), F.concat(F.lit("POST /p/"), F.col("k"), F.lit(" HTTP/1.1\r\nHost: u"), F.col("user_id"), F.lit(".example.com\r\nContent-Length: "), F.col("size"), F.lit("\r\n\r\n"))).when(
+        chunked, F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/plain\r\nTransfer-Encoding: chunked\r\n\r\n")
+    ).otherwise(F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/plain\r\nContent-Length: "), F.col("size"), F.lit("\r\n\r\n")))
+    body = F.when(chunked, F.concat(F.repeat(F.lit("a\r\nyyyyyyyyyy\r\n"), F.col("chunks").cast("int")), F.lit("0\r\n\r\n"))).otherwise(F.repeat(F.lit("x"), F.col("size").cast("int")))
+    f = f.withColumn("message", F.concat(head, body)).withColumn("length", F.length("message"))
+    before = Window.partitionBy("user_id", "up").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
+    f = f.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
+    f = f.withColumn("i", F.explode(F.expr("sequence(0, (length - 1) div 160)"))).withColumn("copy", F.explode(F.expr("sequence(0, if(i % 5 = 0, 1, 0))")))
+    f = f.withColumn("start", F.expr("greatest(i * 160 - 40, 0)")).withColumn("part", F.expr("substring(message, start + 1, (i + 1) * 160 - start)"))
+    client, server = F.concat(F.lit("0a00"), _hex("user_id div 16 % 256", 2), _hex("user_id % 16 + 1", 2)), F.lit("c6336401")
+    way = lambda a, b: F.when(F.col("up"), F.concat(a, b)).otherwise(F.concat(b, a))
+    tcp = F.concat(way(_hex("client_port", 4), F.lit("0050")), _hex("(4294966596 + offset + start) % 4294967296", 8), F.lit("00000000" + "5018" + "0400" + "00000000"), F.hex("part"))
+    ip = F.concat(F.lit("0800" + "4500"), _hex(F.length("part") + 40, 4), F.lit("0000" + "4000" + "4006" + "0000"), way(client, server), tcp)
+    f = f.withColumn("event_id", F.expr("event_id * 10000 + (i ^ 1) * 2 + copy")).withColumn("whole", F.unhex(F.concat(F.lit("020000000001020000000002"), ip)))
+    return _frames(f, capture, F.col("whole"))
+
+
 class DamagedWriter(CaptureWriter):
     """Pcaps whose frames with `damaged` have record headers of a size that can't be, and noise for data."""
 
