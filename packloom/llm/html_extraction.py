@@ -4,12 +4,15 @@ The standard library's parser streams over the page. Each block of text is one l
 the page; its ratio is its characters over the tags met since the block before. A Gaussian
 smooths the ratios along the page, and a threshold clusters them into content and the rest.
 
-Elements that are page furniture by what they are (menus, footers, sidebars) never count. Those that
-only have the name of some (a class or id such as "related" or "social", or a form) are furniture
-unless the content says otherwise: not if they hold nearly all of it, and in an article those with
-ambiguous names not if they hold any. What is left is smoothed and clustered again, and the clusters
-select the content region: the innermost element around them. All lines of that
-region but furniture are the main text, so short paragraphs between long ones stay.
+Elements that are page furniture by what they are (menus, footers, sidebars, by tag or role) never count. Forms and those
+whose whole name (a class or id) is that of some are furniture unless they hold nearly all content. A name that
+only has such a word in it is a weak vote that the ratio overrules: they are furniture where most of their text
+is thin. What is left is smoothed and clustered again, and the clusters select the content region: the
+innermost element around them, or the articles around them, if several hold as much. All lines of that region but
+furniture are the main text, so short paragraphs between long ones stay.
+
+The parser gets a page up to the first tag or comment that never ends, which is what such a page has for a browser
+as well; the search for that looks at each byte once.
 """
 
 from __future__ import annotations
@@ -34,15 +37,20 @@ CLOSES_P = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset"
 MAIN = {"article", "main"}
 FURNITURE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu", "menubar"}
 _PARTS = r"(?:^|[\s_-])(?:{})(?:$|[\s_-])"
-# Words in class and id. The first say something of their own block only, wherever its text is
-# thin; the others wherever they stand. HEADS is no furniture in an article, whose title it may hold.
+# Words in class and id. Names that are one of WHOLE, or an advert's, count wherever they stand. Those with one of
+# AMBIGUOUS say something of their own block only, those with one of NAMED too, but strike out thin text outside articles as well.
+WHOLE = {"sidebar", "side-bar", "footer", "site-footer", "page-footer", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "pagination", "pager", "newsletter", "subscribe", "popup", "modal", "consent", "cookie-banner", "cookie-notice", "cookie-consent"}
+ADVERTS = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|sponsor\w*)(?:$|[\s_-])", re.I)
 AMBIGUOUS = re.compile(_PARTS.format(r"related|recommend\w*|notice\w*|share|sharing|social|widget\w*|promo\w*|banner"), re.I)
-NAMED = re.compile(_PARTS.format(r"ad|ads|advert\w*|adsense|sponsor\w*|nav\w*|menu\w*|breadcrumb\w*|sidebar\w*|side-bar|footer|cookie\w*|consent|newsletter|subscribe|popup|modal|pagination|pager"), re.I)
-HEADS = re.compile(_PARTS.format(r"header|masthead"), re.I)
+NAMED = re.compile(_PARTS.format(r"nav\w*|menu\w*|breadcrumb\w*|sidebar\w*|side-bar|footer|cookie\w*|consent|newsletter|subscribe|popup|modal|pagination|pager"), re.I)
+#: Heads of pages, outside articles; not those of what is on the page.
+HEADS, TITLES = re.compile(_PARTS.format(r"header|masthead"), re.I), re.compile(_PARTS.format(r"(?:page|entry|post|article|story|content|section|title)-header"), re.I)
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 COMMENTS = re.compile(_PARTS.format(r"comment\w*|disqus\w*|respond|replies"), re.I)
-PLAIN, BY_SIGHT, BY_NAME, BY_COMMENTS, ALWAYS = range(5)
-#: Share of the content that a named element holds if it is a frame around the page.
-FRAME = 0.9
+PLAIN, BY_SIGHT, BY_VOTE, BY_NAME, BY_COMMENTS, ALWAYS = range(6)
+#: Share of the content that a named element holds if it is a frame around the page; of an element's text that makes it
+#: thick; of the largest article's content that another one has beside it.
+FRAME, THICK, BESIDE = 0.9, 0.5, 0.5
 
 SIGMA, RADIUS = 1.0, 3
 KERNEL = [math.exp(-(k**2) / (2 * SIGMA**2)) for k in range(-RADIUS, RADIUS + 1)]
@@ -76,9 +84,13 @@ class _Lines(HTMLParser):
         names = f"{get('class') or ''} {get('id') or ''}"
         if COMMENTS.search(names):
             return BY_COMMENTS
-        if tag == "form" or NAMED.search(names) or (not inside and HEADS.search(names)):
+        if tag in HEADINGS and not ADVERTS.search(names):
+            return PLAIN
+        if tag == "form" or ADVERTS.search(names) or not WHOLE.isdisjoint(names.lower().split()):
+            return BY_NAME
+        if not inside and HEADS.search(names) and not TITLES.search(names):
             return BY_NAME
-        return BY_SIGHT if AMBIGUOUS.search(names) else PLAIN
+        return BY_VOTE if NAMED.search(names) else BY_SIGHT if AMBIGUOUS.search(names) else PLAIN
 
     def handle_starttag(self, tag, attrs):
         self.tags += 1
@@ -167,7 +179,8 @@ def _furniture(page: _Lines) -> list[bool]:
     chosen, threshold = _content(ratios)
     weight = page.sums((lines[i][2], len(lines[i][0])) for i in chosen)
     main = page.sums((lines[i][2], len(lines[i][0])) for i in chosen if page.in_main[lines[i][2]])
-    thick = page.sums((lines[i][2], 1) for i in chosen if ratios[i] >= threshold)  # by themselves, not for their neighbours
+    size = page.sums((e, len(t)) for t, _, e in lines)
+    thick = page.sums((lines[i][2], len(lines[i][0])) for i in chosen if ratios[i] >= threshold)  # by themselves, not for their neighbours
     out = always
     for e in range(1, len(out)):
         kind, frame = page.kinds[e], weight[e] >= FRAME * weight[0] > 0 and main[e] == main[0]
@@ -175,6 +188,8 @@ def _furniture(page: _Lines) -> list[bool]:
             out[e] = True
         elif kind == BY_COMMENTS:
             out[e] = weight[e] < weight[0] or not weight[0]
+        elif kind == BY_VOTE:
+            out[e] = not frame and thick[e] < THICK * size[e]
         elif kind == BY_NAME or (kind == BY_SIGHT and not page.in_main[e]):
             out[e] = not frame
         elif kind == BY_SIGHT:
@@ -182,9 +197,24 @@ def _furniture(page: _Lines) -> list[bool]:
     return out
 
 
+_OPENS = re.compile(r"<(?:!--|[a-zA-Z/!?])")
+
+
+def _ended(html: str) -> str:
+    """The page up to the first tag or comment that never ends."""
+    last_tag, last_comment = html.rfind(">"), html.rfind("-->")
+    at = 0
+    while (m := _OPENS.search(html, at)) is not None:
+        comment = m[0] == "<!--"
+        if m.start() > (last_comment if comment else last_tag):
+            return html[: m.start()]
+        at = html.find("-->" if comment else ">", m.start()) + 1
+    return html
+
+
 def main_text(html: str | None) -> str:
     page = _Lines()
-    page.feed(html or "")
+    page.feed(_ended(html or ""))
     page.close()
     furniture, lines = _furniture(page), page.lines
     ratios = [0.0 if furniture[e] else len(t) / n for t, n, e in lines]
@@ -194,8 +224,11 @@ def main_text(html: str | None) -> str:
     weight = page.sums((lines[i][2], len(lines[i][0])) for i in chosen)
     main = [e for e, w in enumerate(weight) if w and page.names[e] in MAIN and 2 * w >= weight[0]]
     region = max(main, key=lambda e: (weight[e], -e)) if main else max(e for e, w in enumerate(weight) if w == weight[0])
-    inside = [e == region for e in range(len(weight))]
-    for e in range(region + 1, len(inside)):
+    around = {region}
+    while (up := page.parent[min(around)]) not in around:
+        around.add(up)
+    inside = [e == region or (bool(main) and e not in around and page.names[e] in MAIN and weight[e] >= BESIDE * weight[region]) for e in range(len(weight))]
+    for e in range(1, len(inside)):
         inside[e] = inside[e] or inside[page.parent[e]]
     # With no element of its own around it, content lies between its first line and its last.
     part = range(len(lines)) if region else range(chosen[0], chosen[-1] + 1)

@@ -2,6 +2,7 @@ import hashlib
 import html
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import duckdb
@@ -577,6 +578,28 @@ def test_main_text_is_not_lost_to_names():
     assert html_extraction.main_text(f"<div id=page class=has-sidebar>{text}<div class=sidebar><p>{long}</p></div><div id=comments>{f'<p>{long}</p>' * 20}</div></div>") == want
 
 
+def test_names_are_weak_votes():
+    long = "A paragraph of the article, with several clauses, that goes on for a while so that it counts for something. " * 3
+    p, want = f"<p>{long}</p>", long.strip()
+    for page, blocks in (
+        (f"<article><h1>Title</h1>{p}<div class='cookie-recipe'>{p}{p}</div><p>End.</p></article>", ["Title", want, want, want, "End."]),
+        (f"<article><h1>Title</h1>{p}<section class=menu><h2>Dishes</h2>{p}{p}</section></article>", ["Title", want, "Dishes", want, want]),
+        (f"<body><nav><a>x</a></nav><h1 class='page-header'>Title</h1>{p}{p}</body>", ["Title", want, want]),
+        (f"<body><div class='page-header'><h1>Title</h1></div>{p}{p}</body>", ["Title", want, want]),
+        (f"<body><article>{p}</article><article>{p}</article><article><h2>Short</h2></article></body>", [want, want]),
+        (f"<article>{p}<div class=ad>{p}</div><div class=newsletter><p>{long}</p><form>x</form></div>{p}</article>", [want, want]),
+        (f"<body><div class='main-menu'><ul><li><a>a</a><li><a>b</a></ul></div><div>{p}{p}</div></body>", [want, want]),
+        (f"<article>{p}<p>a &lt; b</p></article><a href='x", [want, "a < b"]),
+    ):
+        assert html_extraction.main_text(page) == "\n".join(blocks), page
+
+
+def test_hostile_pages_take_linear_time():
+    for part, end in (("<a ", ""), ("<!--", ""), ("<a x='", ""), ("</", ""), ("<![", ""), ("<?", ""), ("<a =", ">"), ("<a b", ">"), ("&#", ""), ("<script><!--", ">-->"), ("<textarea>", "")):
+        began = time.time()
+        html_extraction.main_text(part * 100_000 + end)
+        assert time.time() - began < 4, part
+
 def test_main_text_of_deep_and_very_long_pages():
     import time
 
