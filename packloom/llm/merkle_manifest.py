@@ -23,7 +23,10 @@ from .common import Stored, grown, numbered, table
 
 ARITY, LEVELS = 3, 5
 BLOCK = ARITY**LEVELS
-_BLOCKS = Window.partitionBy("group", "block").orderBy("pos")
+
+
+def _block():
+    return Window.partitionBy("group", "block").orderBy("pos")
 
 
 def digest(*columns: Column) -> Column:
@@ -45,7 +48,7 @@ def _level(rows: DataFrame, k: int) -> DataFrame:
     nodes = F.expr(f"(n + {step - 1}L) div {step}L")
     slot = F.pmod(node, F.lit(ARITY))
     run = F.least(F.lit(ARITY), nodes - (node - slot))
-    near = {i: (F.lag(f"d{k}", -i * step) if i < 0 else F.lead(f"d{k}", i * step)).over(_BLOCKS) for i in range(1 - ARITY, ARITY) if i}
+    near = {i: (F.lag(f"d{k}", -i * step) if i < 0 else F.lead(f"d{k}", i * step)).over(_block()) for i in range(1 - ARITY, ARITY) if i}
     rows = rows.select("*", *[c.alias(f"near{i}") for i, c in near.items()])
     sibling = lambda i: F.when((slot + i >= 0) & (slot + i < run), F.col(f"near{i}")).otherwise("")
     before, after = (F.concat(*[sibling(i) for i in part]) for part in (range(1 - ARITY, 0), range(1, ARITY)))
@@ -82,7 +85,7 @@ def _proofs(rounds: list[DataFrame], tops: DataFrame, kept: Stored) -> DataFrame
         for k in range(LEVELS - 1, -1, -1):
             step = ARITY**k
             slot = F.pmod(F.expr(f"pos div {step}L"), F.lit(ARITY))
-            parents = [F.col(f"path{k + 1}"), *[F.lag(f"path{k + 1}", i * step).over(_BLOCKS) for i in range(1, ARITY)]]
+            parents = [F.col(f"path{k + 1}"), *[F.lag(f"path{k + 1}", i * step).over(_block()) for i in range(1, ARITY)]]
             rows = rows.select("*", *[p.alias(f"parent{i}") for i, p in enumerate(parents)])
             parent = F.coalesce(*[F.when(slot == i, F.col(f"parent{i}")) for i in range(ARITY)])
             own = F.array(F.struct(F.col(f"before{k}").alias("before"), F.col(f"after{k}").alias("after")))
