@@ -56,7 +56,7 @@ def test_search_odd_rows(spark, odd):
     items = [(1, "One, two"), (1, "É one-two"), (2, None), (3, ""), (4, "nothing here"), (None, "one"), (5, "x" * 70_000)]
     df = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, term string")
     assert searched(odd, df, 4) == sorted(brute_search(ODD, items, 4))
-    assert searched(odd, df, 4, block_bytes=8) == sorted(brute_search(ODD, items, 4))
+    assert searched(odd, df, 4, block_bytes=30_000) == sorted(brute_search(ODD, items, 4))
     assert searched(odd.limit(0), df) == [] and searched(odd, df.limit(0)) == []
 
 
