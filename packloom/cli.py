@@ -9,13 +9,15 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.scalars import NAMES, duration_text, issue_text, utc_text
+from .functions.scalars import NAMES, duration_text, hex_text, issue_text, utc_text
 from .operators import audit, streams, summaries
 from .operators.dissect import LAYER_NAMES, dissect
+from .operators.http_messages import http_messages
+from .operators.layer_views import layer_views as objects_of
 from .operators.summaries import check_limit
 from .plans.display_filter import display_filter, filter_columns, unknown_fields
 from .sources.pcap import read_capture, scan_capture
-from .sources.tables import read_certificates
+from .sources.tables import read_certificates, reassemble
 
 #: Frames that `audit` and `diff` take at most, unless told otherwise.
 MOST_FRAMES = 100_000
@@ -111,11 +113,6 @@ def layer_views(row: dict):
         yield title, fields
 
 
-def layers_json(row: dict) -> list[dict]:
-    """The layers of one packet as objects with a `type`."""
-    return [{"type": title, **fields} for title, fields in layer_views(row)]
-
-
 def _show(rows: DataFrame, as_json: bool, line, drop: tuple[str, ...] = ()) -> None:
     """A line of text or a JSON object for each row; of the columns in `drop` nulls are left out of objects."""
     for row in rows.toLocalIterator():
@@ -156,6 +153,26 @@ def _diff(a: DataFrame, b: DataFrame, paths: tuple[str, str], as_json: bool) ->
     print(json.dumps(out))
 
 
+def stream_header(d: dict) -> str:
+    """Who talks, how much and how long; addresses stand without brackets."""
+    a, b = (e.replace("[", "").replace("]", "") for e in (d["endpoint_a"], d["endpoint_b"]))
+    known = d["first_seen_ns"] is not None and d["last_seen_ns"] is not None
+    duration = f"{max(0, d['last_seen_ns'] - d['first_seen_ns']) / 1e9:.3f}s" if known else "-"
+    return f"Stream {d['stream_id']}: {d['protocol']} {a} \u2194 {b}\n{d['packet_count']} packets, {d['byte_count']} bytes, duration {duration}\n" + "\u2500" * 38
+
+
+def _followed(packets: DataFrame, args: argparse.Namespace) -> None:
+    """The bytes of a TCP conversation in order, each segment with who sent it, or its HTTP messages."""
+    sent = packets.filter("payload_len > 0").withColumn("payload", F.expr("substring(data, payload_at + 1, payload_len)"))
+    segments = reassemble(sent.drop("data"))
+    if args.http:
+        found = http_messages(segments).orderBy("capture", "direction", "seq").drop("stream_key")
+        _show(found, args.json, lambda d: f"{d['direction']} {d['method']} {d['uri']} ({d['body_len']} bytes)" if d["is_request"] else f"{d['direction']} {d['status_code']} {d['content_type'] or '-'} ({d['body_len']} bytes)")
+        return
+    found = segments.orderBy("capture", "direction", "seq").select("capture", "direction", "seq", "data")
+    _show(found.withColumn("data", hex_text(F.col("data"))) if args.json else found, args.json, lambda d: f"{d['direction']} at {d['seq']}\n{hex_dump(bytes(d['data']))}")
+
+
 def run(args: argparse.Namespace, spark: SparkSession) -> None:
     if args.command == "certificates":
         _show(read_certificates(spark, args.capture), args.json, lambda d: f"{d['packet_index']}  {d['common_name']}  {', '.join(d['alternative_names'])}", ("common_name", "organization"))
@@ -179,7 +196,9 @@ def run(args: argparse.Namespace, spark: SparkSession) -> None:
         if row is None or row.decode_error is not None:
             raise SystemExit(f"no packet {args.packet}")
         if args.json:
-            print(json.dumps(layers_json(row.asDict(recursive=True)), default=str))
+            packet = dissect(frame)
+            views = packet.select(F.transform(objects_of(packet), lambda v: F.to_json(v)).alias("views")).first().views
+            print(f"[{','.join(views)}]")
             return
         spans = [(s.offset, s.len, n) for s, n in zip(row.spans, row.layer_names, strict=True)]
         print(layer_tree(row.asDict(recursive=True)))
@@ -195,8 +214,14 @@ def run(args: argparse.Namespace, spark: SparkSession) -> None:
         objects = found.select("id", "severity", "category", "title", F.size("packet_indexes").alias("evidence_count"), "escalated", "notes")
         _show(objects if args.json else found, args.json, lambda d: f"[{d['severity']}] {d['title']}\n    {d['summary']}", ("notes",))
     elif args.command == "follow":
-        packets = _packets(spark, args.capture, SHOWN | set(streams.STREAM_COLUMNS))
-        rows = streams.stream_packets(streams.narrow(packets, packets.columns), args.stream)
+        packets = _packets(spark, args.capture, SHOWN | set(streams.STREAM_COLUMNS) | ({"src_ip", "payload_at", "payload_len", "data"} if args.payload or args.http else set()))
+        packets = streams.narrow(packets, packets.columns)
+        rows = streams.stream_packets(packets, args.stream)
+        if args.payload or args.http:
+            _followed(rows, args)
+            return
+        if not args.json:
+            _show(streams.describe_streams(streams.streams(packets)).filter(F.col("stream_id") == args.stream), False, stream_header)
         _show(rows.select(*(objects if args.json else shown)), args.json, line)
     elif args.command == "diff":
         _diff(*(_packets(spark, p, set(summaries.COMPARED), args.max_packets) for p in (args.capture, args.other)), (args.capture, args.other), args.json)
@@ -220,6 +245,8 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument("packet", type=int)
         if name == "follow":
             p.add_argument("stream", type=int)
+            p.add_argument("--payload", action="store_true", help="the reassembled bytes")
+            p.add_argument("--http", action="store_true", help="the HTTP messages")
         if name == "audit":
             p.add_argument("--profile", choices=list(audit.PROFILES))
         if name == "diff":

@@ -11,13 +11,17 @@ from urllib.parse import urlparse
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import streams
+from .functions import scalars
+from .operators import audit, streams, summaries
 from .operators.http_messages import http_messages
+from .operators.layer_views import VIEWS, layer_views
 from .operators.dissect import dissect
+from .plans.display_filter import display_filter
+from .plans.filter_table import filters_of, matching, unknown_names
 from .plans.scan import read_packets
-from .queries import FILTERS, PACKETS, events, packets
+from .queries import ALL_FINDINGS, FILTERS, PACKETS, events, packets
 from .sources import derived, pcap
-from .sources.tables import reassemble
+from .sources.tables import CERTIFICATE_COLUMNS, read_certificates, reassemble
 from .streaming.conversations import running_conversations
 from .streaming.growing import stream_frames
 from .storage import shared_dir
@@ -179,3 +183,114 @@ def _overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL["reassembled_overlaps"] = HTTP + "SELECT 49152 + u % 16384 AS client_port, NOT up AS answer, CAST(sum(head_len + sent) AS BIGINT) AS bytes, 0 AS first, CAST(sum(head_len + sent) AS BIGINT) AS past FROM o GROUP BY ALL"
+
+
+# ---- layers as objects
+
+
+def _named_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = packets(spark, sf_dir, " ".join(["packet_index", *VIEWS]))
+    each = p.select("packet_index", F.posexplode(layer_views(p)).alias("place", "layer"))
+    first = lambda kind, *paths: F.coalesce(*[F.try_variant_get("layer", f"$.{path}", kind) for path in paths])
+    return each.select(
+        "packet_index", "place", first("string", "type").alias("type"), first("int", "source_port", "operation", "ether_type", "protocol", "next_header", "transaction_id", "status_code").alias("number"),
+        first("string", "destination", "target_protocol_addr", "query_name", "uri", "sni").alias("text"), first("boolean", "flags.syn", "is_request", "is_response", "more_fragments").alias("flag"),
+        first("string", "cipher_suites[1].name", "cipher_suite.name", "answers[0].data", "key_share_group.name").alias("named"),
+    )
+
+
+QUERIES["layer_views"] = _named_layers
+ORACLE_SQL["layer_views"] = PACKETS + """SELECT packet_index, 0 AS place, 'Ethernet' AS type, CASE kind WHEN 'arp' THEN 2054 WHEN 'other' THEN 34997 WHEN 'v6' THEN 34525 ELSE 2048 END AS number, CASE WHEN up THEN '02:00:00:00:00:01' ELSE '02:00:00:00:00:02' END AS text, NULL::BOOLEAN AS flag, NULL AS named FROM q
+    UNION ALL SELECT packet_index, 1, 'ARP', 1, s4, NULL, NULL FROM q WHERE kind = 'arp'
+    UNION ALL SELECT packet_index, 1, CASE kind WHEN 'v4' THEN 'IPv4' ELSE 'IPv6' END, proto, dst_ip, CASE WHEN kind = 'v4' THEN false END, NULL FROM q WHERE ip
+    UNION ALL SELECT packet_index, 2, CASE proto WHEN 6 THEN 'TCP' ELSE 'UDP' END, src_port, NULL, CASE WHEN proto = 6 THEN flags & 2 = 2 END, NULL FROM q WHERE ip
+    UNION ALL SELECT packet_index, 3, 'DNS', ident, concat(CASE WHEN u % 25 = 0 THEN concat(repeat('x', 60), '.') ELSE '' END, 'k', k, '.u', u, '.example.com'), NOT up, CASE WHEN NOT up AND rcode = 0 THEN concat('203.0.113.', k % 256) END FROM q WHERE ip AND t = 'signup'
+    UNION ALL SELECT packet_index, 3, CASE WHEN up THEN 'TlsClientHello' ELSE 'TlsServerHello' END, NULL, CASE WHEN up THEN concat('s', k, '.example.net') END, NULL, CASE WHEN up THEN 'TLS_ECDHE_RSA_WITH_AES_128_GCM_SHA256' ELSE 'TLS_AES_128_GCM_SHA256' END FROM q WHERE ip AND t = 'click'
+    UNION ALL SELECT packet_index, 3, 'HTTP', CASE WHEN NOT up THEN CASE WHEN k % 7 = 0 THEN 404 ELSE 200 END END, CASE WHEN up THEN concat('/p/', k) END, up, NULL FROM q WHERE ip AND t = 'view'"""
+
+
+# ---- tables of filters
+
+
+def _filter_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hundred filters, of the users' last two digits."""
+    text = F.expr("concat('port ', 49152 + id, ' and frame.len > ', 60 + id, ' or nosuch.f', id, ' == 1 and tcp or ip.src == 10.0.0.', id % 16 + 1, ' and not (udp or other.name)')")
+    return events(spark, sf_dir).select((F.col("user_id") % 100).cast("int").alias("id")).distinct().select("id", text.alias("text"))
+
+
+@_query("filter_table", """, j AS (SELECT DISTINCT u % 100 AS j FROM q) SELECT j AS id, count(*) AS packets, sum(packet_index) AS places FROM q JOIN j ON (coalesce(49152 + j IN (src_port, dst_port), false) AND orig_len > 60 + j)
+    OR (coalesce(src_ip = concat('10.0.0.', j % 16 + 1), false) AND proto <> 17) GROUP BY j""")
+def _many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = matching(derived.frames_from_events(events(spark, sf_dir)), filters_of(_filter_table(spark, sf_dir)), ["packet_index"])
+    return found.select(F.explode("matches").alias("id"), "packet_index").groupBy("id").agg(F.count(F.lit(1)).alias("packets"), F.sum("packet_index").alias("places"))
+
+
+@_query("filter_lint", ", j AS (SELECT DISTINCT u % 100 AS j FROM q) SELECT j AS id, 0 AS place, concat('nosuch.f', j) AS name FROM j UNION ALL SELECT j, 1, 'other.name' FROM j")
+def _lint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unknown_names(_filter_table(spark, sf_dir))
+
+
+@_query("filter_strings", "SELECT packet_index FROM q WHERE ip AND t = 'view' AND up AND k = 7")
+def _strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Escapes other than of quotes and backslashes stay two characters; letters beyond ASCII are bytes."""
+    text = 'http.method == "GE\\T" or http.host contains "\u00c4" or http.uri == "/p/7" and http.host contains "EXAMPLE" and http.method != "\\"GET"'
+    return packets(spark, sf_dir, "packet_index http").filter(display_filter(text)).select("packet_index")
+
+
+# ---- findings, texts and limits
+
+_AUDITED = "capture packet_index ts_ns cap_len protocol src_ip dst_ip dst_port issues stream_key tcp dns"
+
+
+def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = packets(spark, sf_dir, _AUDITED)
+    return audit.audit(streams.narrow(p, p.columns))
+
+
+_query("list_findings", f"SELECT id, severity, category FROM ({ALL_FINDINGS}) WHERE severity = 'medium' AND category = 'connection_anomaly'")(lambda spark, sf_dir: audit.listed(_findings(spark, sf_dir), "MEDIUM", "Connection_Anomaly").select("id", "severity", "category"))
+_query("explain_finding", f"SELECT id, severity, category FROM ({ALL_FINDINGS}) WHERE id = 'suspicious-port-23'")(lambda spark, sf_dir: audit.explained(_findings(spark, sf_dir), "suspicious-port-23").select("id", "severity", "category"))
+
+_SIGNATURES = {1025: "rsa_pkcs1_sha256", 1027: "ecdsa_secp256r1_sha256", 2052: "rsa_pss_rsae_sha256", 9: "Unknown"}
+_query("signature_names", "SELECT packet_index, CASE k % 4 " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(_SIGNATURES.values())) + " END AS name FROM q")(
+    lambda spark, sf_dir: derived.event_fields(events(spark, sf_dir)).select(F.col("event_id").alias("packet_index"), scalars.name_of("signature_algorithm", F.element_at(F.array(*map(F.lit, _SIGNATURES)), (F.col("k") % 4 + 1).cast("int"))).alias("name"))
+)
+
+
+@_query("hex_payload", "SELECT packet_index, lower(hex(concat('GET /p/', k, ' HTTP/1.1', chr(13), chr(10), 'Host: u', u, '.example.com', chr(13), chr(10), chr(13), chr(10)))) AS digits, true AS same FROM q WHERE ip AND t = 'view' AND up")
+def _hex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = packets(spark, sf_dir, "packet_index http payload_at payload_len data").filter("http.is_request").withColumn("payload", F.expr("substring(data, payload_at + 1, payload_len)"))
+    digits = scalars.hex_text(F.col("payload"))
+    return p.select("packet_index", digits.alias("digits"), (scalars.hex_bytes(digits) == F.col("payload")).alias("same"))
+
+
+@_query("packet_cap", "SELECT count(*) AS frames, true AS passed, true AS refused FROM q")
+def _cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A limit that the frames just keep, and one that they exceed."""
+    all_frames = derived.frames_from_events(events(spark, sf_dir))
+    n = all_frames.count()
+    kept = summaries.check_limit(all_frames, n).count() == n
+    try:
+        summaries.check_limit(all_frames, n - 1)
+        refused = False
+    except ValueError:
+        refused = True
+    return all_frames.agg(F.count(F.lit(1)).alias("frames")).select("frames", F.lit(kept).alias("passed"), F.lit(refused).alias("refused"))
+
+
+@_query("imported_certificates", "SELECT packet_index, CASE WHEN k % 3 > 0 THEN concat('cn', u) END AS common_name, CASE WHEN k % 2 = 0 THEN concat('a', k, '.example|b', u, '.example') ELSE '' END AS names FROM q WHERE packet_index % 5 = 0 AND (k % 3 > 0 OR k % 2 = 0)")
+def _certificates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of certificates as an exporter writes it, of every fifth event, read back."""
+    path = f"{shared_dir(spark)}/certificates-{uuid.uuid4().hex}"
+    e = derived.event_fields(events(spark, sf_dir)).filter("event_id % 5 = 0")
+    e.select(F.expr("concat_ws('\t', event_id + 1, if(k % 3 > 0, concat('cn', user_id), ''), if(k % 2 = 0, concat('a', k, '.example, b', user_id, '.example,'), ''))")).write.text(path)
+    return read_certificates(spark, path).select("packet_index", "common_name", F.array_join("alternative_names", "|").alias("names"))
+
+
+@_query("json_lines", """SELECT concat('{"index":', packet_index + 1, ',"protocol":"', protocol, '","source":"', source, '","stream_id":null,"length":', cap_len, CASE WHEN issue IS NOT NULL THEN concat(',"notes":"', issue, '"') ELSE '' END, '}') AS value FROM q""")
+def _json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packets as JSON objects, written as lines and read back."""
+    path = f"{shared_dir(spark)}/lines-{uuid.uuid4().hex}"
+    p = packets(spark, sf_dir, "packet_index protocol source cap_len issues")
+    values = {"index": F.col("packet_index") + 1, "protocol": F.col("protocol"), "source": F.col("source"), "stream_id": F.lit(None).cast("long"), "length": F.col("cap_len"), "notes": F.get("issues", F.lit(0))["kind"]}
+    p.select(scalars.json_line(values, ("notes",))).write.text(path)
+    return spark.read.text(path)

@@ -103,3 +103,20 @@ def answer_text(answer: Column) -> Column:
 def summary_line() -> Column:
     """The one-line text of a packet (columns number, time, protocol, source, destination, cap_len)."""
     return F.format_string("%4d  %-24s  %-5s  %-22s -> %-22s %4d", "number", "time", "protocol", "source", "destination", F.col("cap_len").cast("long"))
+
+
+def hex_text(data: Column) -> Column:
+    """Bytes as lowercase hexadecimal digits."""
+    return F.lower(F.hex(data))
+
+
+def hex_bytes(text: Column) -> Column:
+    """The bytes of hexadecimal digits; an odd number of them, or another character, is an error."""
+    return F.when(text.rlike("^(?:[0-9A-Fa-f]{2})*$"), F.unhex(text)).otherwise(F.when(text.isNotNull(), F.raise_error(F.concat(F.lit("no hex bytes: "), text)).cast("binary")))
+
+
+def json_line(values: dict[str, Column], left_out: tuple[str, ...] = ()) -> Column:
+    """A JSON object with the values in order. Nulls are written, but those of `left_out` are left out."""
+    piece = lambda k, v: F.regexp_extract(F.to_json(F.struct(v.alias(k)), {"ignoreNullFields": "false"}), r"(?s)^\{(.*)\}$", 1)
+    parts = [F.when(v.isNotNull(), piece(k, v)) if k in left_out else piece(k, v) for k, v in values.items()]
+    return F.concat(F.lit("{"), F.array_join(F.array_compact(F.array(*parts)), ","), F.lit("}"))

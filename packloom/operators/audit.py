@@ -172,3 +172,16 @@ def severity_tally(findings: DataFrame) -> DataFrame:
     """Findings per severity; what is neither high nor medium counts as low."""
     high, medium = F.col("severity") == "high", F.col("severity") == "medium"
     return findings.agg(F.count_if(high).alias("high"), F.count_if(medium).alias("medium"), F.count_if(~high & ~medium).alias("low"))
+
+
+def listed(findings: DataFrame, severity: str | None = None, category: str | None = None) -> DataFrame:
+    """Findings of a severity and a category, whatever the case of their letters."""
+    for name, value in (("severity", severity), ("category", category)):
+        if value is not None:
+            findings = findings.filter(F.lower(name) == value.lower())
+    return findings
+
+
+def explained(findings: DataFrame, finding_id: str) -> DataFrame:
+    """The finding of an id, without notes on it."""
+    return findings.filter(F.col("id") == finding_id)

@@ -123,26 +123,26 @@ class Test:
 
 
 class _Condition:
-    """Makes a Column. needs: tests that hold wherever the plain form does."""
+    """Makes a Column from its leaves, each of which goes through `share`. needs: tests that hold wherever the plain form does."""
 
     def __init__(self, make, needs=()):
         self.make, self.needs = make, frozenset(needs)
 
-    def __call__(self, negated: bool) -> Column:
-        return self.make(negated)
+    def __call__(self, negated: bool, share) -> Column:
+        return self.make(negated, share)
 
 
 def _leaf(column: Column, *needs: Test):
-    return _Condition(lambda negated: ~F.coalesce(column, F.lit(False)) if negated else column, needs)
+    return _Condition(lambda negated, share: ~F.coalesce(share(column), F.lit(False)) if negated else share(column), needs)
 
 
 def _never():
-    return _Condition(lambda negated: F.lit(negated))
+    return _Condition(lambda negated, share: F.lit(negated))
 
 
 def _both(a, b, conjunction: bool):
     needs = a.needs | b.needs if conjunction else a.needs & b.needs
-    return _Condition(lambda negated: a(negated) & b(negated) if conjunction != negated else a(negated) | b(negated), needs)
+    return _Condition(lambda negated, share: a(negated, share) & b(negated, share) if conjunction != negated else a(negated, share) | b(negated, share), needs)
 
 
 _LAYER = {"ip": "network = 2048", "ipv6": "network = 34525", "arp": "network = 2054", "tcp": "transport = 6", "udp": "transport = 17", "icmp": "transport in (1, 58)", "dns": "transport = 17", "tls": "transport = 6", "http": "transport = 6"}
@@ -263,7 +263,7 @@ class _Parser:
             return self.atom()
         self.next()
         inner = self.deeper(self.negation)
-        return _Condition(lambda negated: inner(not negated))
+        return _Condition(lambda negated, share: inner(not negated, share))
 
     def value(self, *kinds: str) -> Token:
         token = self.next()
@@ -328,9 +328,10 @@ def _parsed(text: str):
     return condition, parser.unknown
 
 
-def display_filter(text: str) -> Column:
-    """The filter as a Column over packets (with stream_id if it names a stream)."""
-    return _parsed(text)[0](False)
+def display_filter(text: str, share=lambda leaf: leaf) -> Column:
+    """The filter as a Column over packets (with stream_id if it names a stream). share: puts another Column in the place
+    of each of its conditions."""
+    return _parsed(text)[0](False, share)
 
 
 def necessary(text: str) -> list[Test]:

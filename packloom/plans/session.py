@@ -111,16 +111,13 @@ class Sessions:
         return capture.findings
 
     def list_findings(self, session: str, severity: str | None = None, category: str | None = None) -> DataFrame:
-        found, notes = self._findings(session), self.open[session].notes
-        for name, value in (("severity", severity), ("category", category)):
-            if value is not None:
-                found = found.filter(F.lower(name) == value.lower())
+        found, notes = audit.listed(self._findings(session), severity, category), self.open[session].notes
         known = F.from_json(F.lit("{}"), "map<string,string>") if not notes else F.create_map(*[F.lit(x) for kv in notes.items() for x in kv])
         note = F.try_element_at(known, F.col("id"))
         return found.withColumns({"notes": note, "escalated": note.isNotNull()}).orderBy("step", "sort_key")
 
     def explain_finding(self, session: str, finding_id: str) -> DataFrame:
-        found = self._findings(session).filter(F.col("id") == finding_id)
+        found = audit.explained(self._findings(session), finding_id)
         if found.isEmpty():
             raise SessionError(f"no finding {finding_id}")
         return found

@@ -240,6 +240,8 @@ for _name, (_rule, _sql) in _AUDIT.items():
         _query(_name, _sql, "capture packet_index " + _READ[_name], odd_packets if _odd else packets, ODD if _odd else PACKETS, twice=_name != "audit_nxdomain")(lambda p, rule=_rule: rule(p).select(*_FINDING))
 _query("audit_conn_anomaly", _CONN, "capture packet_index ts_ns cap_len stream_key tcp", twice=True)(lambda p: audit.connection_anomalies(p).select("id", "severity", "category"))
 _ALL = "SELECT id, severity, category FROM ({}) UNION ALL ".format(") UNION ALL SELECT id, severity, category FROM (".join(_AUDIT[n][1] for n in ("audit_scan", "audit_suspicious_ports", "audit_cleartext", "audit_dns_tunnel", "audit_nxdomain"))) + _CONN
+#: The findings of all rules: continues PACKETS.
+ALL_FINDINGS = _ALL
 _query("audit_all_findings", _ALL, "capture packet_index ts_ns cap_len protocol src_ip dst_ip dst_port issues stream_key tcp dns")(lambda p: audit.audit(p).select("id", "severity", "category"))
 _query("audit_severity_tally", f"SELECT count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity NOT IN ('high', 'medium')) AS low FROM ({_ALL})", "capture packet_index ts_ns cap_len protocol src_ip dst_ip dst_port issues stream_key tcp dns")(lambda p: audit.severity_tally(audit.audit(p)))
 _query(

@@ -42,7 +42,7 @@ def read_packet_table(spark: SparkSession, path: str) -> DataFrame:
 def read_certificates(spark: SparkSession, path: str) -> DataFrame:
     """packet_index, common_name and alternative names of an export of certificates."""
     t = _tsv(spark, path, CERTIFICATE_COLUMNS)
-    names = F.filter(F.transform(F.split("2", ","), F.trim), lambda x: x != "")
+    names = F.filter(F.transform(F.split("2", ","), lambda x: F.trim(x)), lambda x: x != "")
     return t.select(F.greatest(F.expr("try_cast(`0` as bigint)") - 1, F.lit(0)).alias("packet_index"), F.when(F.col("1") != "", F.col("1")).alias("common_name"), names.alias("alternative_names"), F.lit(None).cast("string").alias("organization")).filter("common_name is not null or size(alternative_names) > 0")
 
 

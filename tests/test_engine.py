@@ -186,7 +186,11 @@ def test_command_line(spark, tmp_path, capsys):
         main([*argv, "--json"])
         assert set(json.loads(capsys.readouterr().out.splitlines()[0])) == keys
     main(["detail", path, "1", "--json"])
-    assert [x["type"] for x in json.loads(capsys.readouterr().out)] == ["Ethernet", "IPv4", "TCP"]
+    layers = json.loads(capsys.readouterr().out)
+    assert [x["type"] for x in layers] == ["Ethernet", "IPv4", "TCP"] and layers[2]["source_port"] == 1 and layers[2]["flags"]["syn"] is True and layers[0]["ether_type"] == 2048
+    main(["follow", path, "0"])
+    header = capsys.readouterr().out.splitlines()
+    assert header[0] == "Stream 0: TCP 192.0.2.10:1 \u2194 198.51.100.20:23" and header[1].startswith("1 packets, 54 bytes, duration 0.000s") and header[2] == "\u2500" * 38 and len(header) == 4
     whole = next(tmp_path.glob("*.pcap"))
     (tmp_path / "cut.pcap").write_bytes(whole.read_bytes()[:-3])
     main(["issues", str(tmp_path / "cut.pcap")])
@@ -205,3 +209,42 @@ def test_streaming_source(spark, tmp_path):
     query = running_streams(stream_packets(spark, str(tmp_path))).writeStream.format("memory").queryName("live").outputMode("complete").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert [r.packet_count for r in spark.table("live").collect()] == [2]
+
+
+def test_follow_payload_and_messages(spark, tmp_path, capsys):
+    said = lambda seq, data: ipv4(6, struct.pack(">HHIIBBHHH", 9, 80, seq, 0, 5 << 4, 24, 1024, 0, 0) + data)
+    pcap.write_pcaps(frames(spark, said(5, b"GET /a HTTP/1.1\r\nHo"), said(24, b": h\r\n\r\n"), said(20, b"\nHost: h\r\n")).coalesce(1), str(tmp_path))
+    path = str(next(tmp_path.glob("*.pcap")))
+    main(["follow", path, "0", "--payload"])
+    out = capsys.readouterr().out
+    assert "lo_to_hi at 5" in out and "GET /a HTTP/1.1." in out
+    main(["follow", path, "0", "--http", "--json"])
+    assert [(m["uri"], m["host"], m["complete"]) for m in map(json.loads, capsys.readouterr().out.splitlines())] == [("/a", "h", True)]
+
+
+def test_hex_and_json_texts(spark):
+    from pyspark.sql import functions as F
+
+    from packloom.functions.scalars import hex_bytes, hex_text, json_line
+
+    df = spark.createDataFrame([(b"\x00\xaf", "0", None), (b"", "x\"y\n", 1)], "b binary, t string, n int")
+    rows = df.select(hex_text(F.col("b")).alias("h"), hex_bytes(hex_text(F.col("b"))).alias("b"), json_line({"t": F.col("t"), "n": F.col("n"), "m": F.col("n")}, ("m",)).alias("j")).collect()
+    assert [(r.h, bytes(r.b), json.loads(r.j)) for r in rows] == [("00af", b"\x00\xaf", {"t": "0", "n": None}), ("", b"", {"t": 'x"y\n', "n": 1, "m": 1})]
+    with pytest.raises(Exception, match="no hex bytes"):
+        spark.range(1).select(hex_bytes(F.lit("abc"))).collect()
+
+
+def test_filter_tables_equal_single_filters(spark):
+    from packloom.plans.display_filter import display_filter
+    from packloom.plans.filter_table import filters_of, matching
+
+    f = frames(spark, *(ipv4(6, tcp(i % 5, 80 + i % 3)) for i in range(30)), *(ipv4(17, udp(i, 53)) for i in range(9)))
+    filters = {f"f{i}": f"(tcp.port == {i % 7} or not port {80 + i % 4}) and frame.len > {50 + i % 9} or not udp" for i in range(100)}
+    table = spark.createDataFrame(list(filters.items()), "id string, text string")
+    assert filters_of(table) == filters
+    rows = matching(f, filters, ["frame_no"]).collect()
+    p = dissect(f)
+    for i in ("f0", "f17", "f99"):
+        assert sorted(r.frame_no for r in rows if i in r.matches) == sorted(r.frame_no for r in p.filter(display_filter(filters[i])).collect())
+    with pytest.raises(ValueError, match="equal ids"):
+        filters_of(table.unionByName(table))
