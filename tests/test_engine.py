@@ -213,7 +213,8 @@ def test_streaming_source(spark, tmp_path):
 
 def test_follow_payload_and_messages(spark, tmp_path, capsys):
     said = lambda seq, data: ipv4(6, struct.pack(">HHIIBBHHH", 9, 80, seq, 0, 5 << 4, 24, 1024, 0, 0) + data)
-    pcap.write_pcaps(frames(spark, said(5, b"GET /a HTTP/1.1\r\nHo"), said(24, b": h\r\n\r\n"), said(20, b"\nHost: h\r\n")).coalesce(1), str(tmp_path))
+    text = b"GET /a HTTP/1.1\r\nHost: h\r\n\r\n"
+    pcap.write_pcaps(frames(spark, said(5, text[:19]), said(24, text[19:]), said(21, text[16:25])).coalesce(1), str(tmp_path))
     path = str(next(tmp_path.glob("*.pcap")))
     main(["follow", path, "0", "--payload"])
     out = capsys.readouterr().out
