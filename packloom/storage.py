@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import gc
 import tempfile
 import time
@@ -24,7 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 class Stored:
     """A job's tables in the shared folder. One is dropped with :meth:`drop` once a later stored
-    table has replaced it; those that a result reads stay as long as the caller keeps it."""
+    table has replaced it; those that a result reads stay until the caller drops them (:meth:`drop_since`)
+    or the driver's process ends."""
 
     FREE_EVERY = 5.0
     _freed = 0.0
@@ -33,6 +36,8 @@ class Stored:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        atexit.unregister(_drop_all)
+        atexit.register(_drop_all, spark.sparkContext._jvm)
 
     def put(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{uuid.uuid4().hex}"
@@ -70,6 +75,15 @@ class Stored:
                 Stored.made.remove(p)
 
 
+def _drop_all(jvm) -> None:
+    """Deletes what is stored still when the driver's process ends."""
+    with contextlib.suppress(Exception):  # the JVM may be gone before
+        conf = jvm.org.apache.hadoop.conf.Configuration()
+        for p in Stored.made:
+            path = jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(conf).delete(path, True)
+
+
 def grown(df: DataFrame) -> DataFrame:
     """A side of a join that grows with the data: sort-merge at every size, which Spark
     spills and splits where it is skewed, rather than a broadcast while it is small."""
