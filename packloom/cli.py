@@ -16,6 +16,7 @@ from .operators.http_messages import http_messages
 from .operators.layer_views import layer_views as objects_of
 from .operators.summaries import check_limit
 from .plans.display_filter import display_filter, filter_columns, unknown_fields
+from .plans.scan import scan_filter
 from .sources.pcap import read_capture, scan_capture
 from .sources.tables import read_certificates, reassemble
 
@@ -29,15 +30,17 @@ COLOURS = {"TCP": 32, "UDP": 34, "ARP": 33, "ICMP": 36, "DNS": 35, "TLS": 95, "H
 SHOWN = {"capture", "frame_no", "packet_index", "ts_ns", "protocol", "source", "destination", "cap_len"}
 
 
-def _packets(spark: SparkSession, path: str, columns: set[str], most: int | None = None) -> DataFrame:
+def _packets(spark: SparkSession, path: str, columns: set[str], most: int | None = None, text: str | None = None) -> DataFrame:
     """Packets of the captures, whose numbers count all frames. Frames that are damaged or have no whole Ethernet header are left
-    out, each with a warning. With a limit of `most` frames, more of them are an error, and so is a damaged one."""
+    out, each with a warning. With a limit of `most` frames, more of them are an error, and so is a damaged one. With the text of
+    a display filter, only packets that may pass it leave the scan."""
     if most is not None:
         return dissect(streams.with_packet_index(check_limit(read_capture(spark, path), most)), columns)
-    records = scan_capture(spark, path, "PERMISSIVE")
+    condition, header = scan_filter(text) if text else (F.lit(True), [])
+    records = scan_capture(spark, path, "PERMISSIVE", header=header)
     for r in records.filter("packet_index is null").select("frame_no", F.coalesce("error", F.lit("truncated Ethernet header")).alias("error")).orderBy("capture", "frame_no").toLocalIterator():
         print(f"warning: packet {r.frame_no + 1}: {r.error}", file=sys.stderr)
-    return dissect(streams.with_packet_index(records.filter("error is null").drop("error")), columns)
+    return dissect(streams.with_packet_index(records.filter(condition & F.col("error").isNull()).drop("error", *header)), columns)
 
 
 def _tracked(packets: DataFrame) -> DataFrame:
@@ -183,8 +186,9 @@ def run(args: argparse.Namespace, spark: SparkSession) -> None:
     line = lambda d: f"{d['number']:>4}  {d['time']:<24}  {d['protocol']:<5}  {d['source']:<22} -> {d['destination']:<22} {d['cap_len']:>4}"
     if args.command in ("summary", "search"):
         reads = SHOWN | (filter_columns(args.filter) - {"stream_id"} if args.filter else set()) | (set(summaries.SEARCHED) if args.command == "search" else set())
-        found = _packets(spark, args.capture, reads | set(streams.STREAM_COLUMNS))
-        if args.json or ".stream" in (args.filter or ""):
+        tracked = args.json or ".stream" in (args.filter or "")  # streams are numbered over all packets
+        found = _packets(spark, args.capture, reads | set(streams.STREAM_COLUMNS), text=None if tracked else args.filter)
+        if tracked:
             found = _tracked(found)
         found = _filtered(found, args.filter)
         if args.command == "search":

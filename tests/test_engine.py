@@ -188,6 +188,9 @@ def test_command_line(spark, tmp_path, capsys):
     main(["detail", path, "1", "--json"])
     layers = json.loads(capsys.readouterr().out)
     assert [x["type"] for x in layers] == ["Ethernet", "IPv4", "TCP"] and layers[2]["source_port"] == 1 and layers[2]["flags"]["syn"] is True and layers[0]["ether_type"] == 2048
+    for text, lines in (("udp", 1), ("tcp and port 23", 1), ("port 6 or tcp", 2), ("host 10.9.9.9", 0), ("udp.stream == 1", 1)):
+        main(["summary", path, "-f", text])
+        assert len(capsys.readouterr().out.splitlines()) == lines, text
     main(["follow", path, "0"])
     header = capsys.readouterr().out.splitlines()
     assert header[0] == "Stream 0: TCP 192.0.2.10:1 \u2194 198.51.100.20:23" and header[1].startswith("1 packets, 54 bytes, duration 0.000s") and header[2] == "\u2500" * 38 and len(header) == 4
