@@ -8,10 +8,15 @@ threshold.
 2. In the order of hashes, prefixes are extended by a twentieth of the set. Classes that
    share too few of their extended prefix with any other class link with nothing. Most
    leave here, and only 8 bytes for each of a quarter of the shingles are shuffled.
-3. The others are ordered by frequency, rarest tokens first. Rare tokens of the prefix are
-   index keys. Of frequent tokens, pairs from the prefix extended by one are (where a
-   document has few), since two documents whose first common token is frequent share a
-   second frequent one. Documents with many frequent tokens are led to by single tokens.
+3. Tokens that the same documents hold (those of a passage, say) are one token class, of as
+   much weight as it has tokens. Classes are ordered by frequency, rarest first. Rare ones of
+   the prefix are index keys. Of frequent ones, combinations of 2, 4 and 8 are: the first k
+   classes that two linked documents share, so a document is indexed under each choice of k whose
+   classes left out before the last weigh no more than a linked document can lack (which extends the
+   prefix with k); where the classes end, fewer than k are a key as well. k grows while a
+   document has at most COMBINATIONS choices; those of its largest k lead to other documents, and
+   its smaller ones are found by documents that have no larger. A document with too many
+   choices of 2 is led by single classes.
 4. A key's documents are not all paired. In each round a key's next leads, those with the
    earliest positions, are paired with its documents of other components; pairs that the
    positions or sizes rule out are skipped, the rest verified on whole sets, and components
@@ -32,9 +37,9 @@ from .components import components
 
 SHINGLE = 5
 #: Tokens of more documents than this are frequent.
-RARE = 64
-#: Documents with more frequent tokens than this in the prefix are indexed by single ones.
-PAIRED_TOKENS = 12
+RARE = 8
+#: Sizes of combinations, and how many of one size a document is indexed under at most.
+SIZES, COMBINATIONS = (2, 4, 8), 64
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -85,41 +90,80 @@ def _sets(size: int, whole: bool):
 _SET_SCHEMA = "doc_id long, body long, n long, set binary, tag long, tokens array<long>"
 
 
-def _entries(rare: int, paired: int):
-    """Index entries of each set: key, cid, n, pos, lead. Tokens come with their df in the
-    order (df, token); those of this set alone come first in that order and aren't listed."""
+def _choices(weight: list[int], lost: int, spare: int, size: int, most: int) -> list[tuple[int, tuple]] | None:
+    """All choices of `size` of the classes (fewer where the classes end) that leave out a weight of at most
+    `spare` before the last one, `lost` of it already: (weight left out, classes). None if over `most`."""
+    live, done = [(lost, ())], []
+    for i, w in enumerate(weight):
+        going = []
+        for out, chosen in live:
+            (done if len(chosen) + 1 == size else going).append((out, (*chosen, i)))
+            if out + w <= spare:
+                going.append((out + w, chosen))
+        live = going
+        if len(live) + len(done) > most:  # each live one ends in a choice of its own
+            return None
+        if not live:
+            break
+    return done + [x for x in live if x[1]]
+
+
+def _entries(rare: int, most: int):
+    """Index entries of each set: key, cid, n, pos (weight of the classes that a partner found by the key
+    lacks), lead. Tokens come as (df, class); those of this set alone come first in the order and aren't listed."""
 
     def run(batches):
         for b in batches:
             key, cid, size, pos, lead = [], [], [], [], []
+            chosen: dict[int, list] = {k: [] for k in SIZES}  # (place of the set's classes, choice, set, n, pos, lead)
             shared = b.column(2)
             dfs = shared.flatten().field(0).to_numpy(zero_copy_only=False)
-            tokens = shared.flatten().field(1).to_numpy(zero_copy_only=False).view(np.uint64)
+            classes = shared.flatten().field(1).to_numpy(zero_copy_only=False).view(np.uint64)
             at = shared.offsets.to_numpy() - shared.offsets[0].as_py()
+            names, base = [], 0
             for r, (c, n) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
-                t, df = tokens[at[r] : at[r + 1]], dfs[at[r] : at[r + 1]]
+                t, df = classes[at[r] : at[r + 1]], dfs[at[r] : at[r + 1]]
                 order = np.lexsort((t, df))
-                place = n - len(t) + np.arange(len(t))
-                p = n - int(_least_overlap(n)) + 1
-                near = place <= p  # the prefix extended by one
-                t, df, place = t[order][near], df[order][near], place[near]
-                often = df > rare
-                few = int(often.sum()) <= paired
-                inside = place < p
-                k, q = t[inside], place[inside]
-                leads = ~often[inside] | (not few)
-                if few and often.sum() > 1:
-                    f, g = t[often], place[often]
-                    i, j = np.triu_indices(len(f), 1)
-                    first = g[i] < p
-                    k = np.concatenate([k, mix(f[i[first]] * np.uint64(0x9E3779B97F4A7C15) + mix(f[j[first]]))])
-                    q = np.concatenate([q, g[i[first]]])
-                    leads = np.concatenate([leads, np.ones(first.sum(), bool)])
-                key.append(k)
-                pos.append(q)
-                lead.append(leads)
-                cid.append(np.full(len(k), c, np.int64))
-                size.append(np.full(len(k), n, np.int64))
+                t, df = t[order], df[order]
+                first = np.flatnonzero(np.append(True, (t[1:] != t[:-1]) | (df[1:] != df[:-1])))
+                weight = np.diff(np.append(first, len(t)))
+                place = n - len(t) + first
+                t, df = t[first], df[first]
+                spare = n - int(_least_overlap(n))
+                often = int(np.searchsorted(df, rare, "right"))
+                found: list[tuple[int, list]] = []
+                if often < len(t) and place[often] <= spare:
+                    heavy = weight[often:].tolist()
+                    for k in SIZES:
+                        choices = _choices(heavy, int(place[often]), spare, k, most)
+                        if choices is None:
+                            break
+                        found.append((k, choices))
+                        if all(len(x) < k for _, x in choices):
+                            break
+                for k, choices in found:
+                    chosen[k] += [(base + often, x, c, n, out, k == found[-1][0]) for out, x in choices]
+                names.append(t)
+                base += len(t)
+                inside = place <= spare
+                key.append(t[inside])
+                pos.append(place[inside])
+                lead.append((df[inside] <= rare) | (not found))
+                cid.append(np.full(len(key[-1]), c, np.int64))
+                size.append(np.full(len(key[-1]), n, np.int64))
+            flat = np.append(np.concatenate([np.zeros(0, np.uint64), *names]), np.uint64(0))
+            for k, rows in chosen.items():
+                if rows:
+                    picked = np.full((len(rows), k), len(flat) - 1)
+                    for i, row in enumerate(rows):
+                        picked[i, : len(row[1])] = np.add(row[1], row[0])
+                    h = np.full(len(rows), k, np.uint64)
+                    for column in picked.T:
+                        h = mix(h * np.uint64(0x9E3779B97F4A7C15) ^ flat[column])
+                    key.append(h)
+                    for to, i in ((cid, 2), (size, 3), (pos, 4)):
+                        to.append(np.array([row[i] for row in rows], np.int64))
+                    lead.append(np.array([row[5] for row in rows], bool))
             flat = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (key, cid, size, pos, lead)]
             yield pa.RecordBatch.from_arrays([pa.array(flat[0].view(np.int64) if len(flat[0]) else flat[0], pa.int64()), pa.array(flat[1], pa.int64()), pa.array(flat[2], pa.int64()), pa.array(flat[3], pa.int64()), pa.array(flat[4].astype(bool))], ["key", "cid", "n", "pos", "lead"])
 
@@ -139,11 +183,17 @@ def _verify(batches):
 
 
 def _possible(x: str, y: str) -> str:
-    """Whether two sets can link if the entries' token is the first that they share."""
+    """Whether two sets can link if the entries' key holds the first classes that they share."""
     common = f"least({x}.n - {x}.pos, {y}.n - {y}.pos)"
     return f"9 * {common} >= 4 * ({x}.n + {y}.n) and 5 * least({x}.n, {y}.n) >= 4 * greatest({x}.n, {y}.n)"
 
 
+def _untested(pairs: DataFrame, tested: DataFrame | None, kept: Stored) -> DataFrame:
+    """The pairs, once each, but those tested before; these are verified on whole sets."""
+    pairs = pairs.distinct()
+    return kept.put(pairs if tested is None else pairs.join(grown(tested), ["a", "b"], "left_anti"))
+
+
 def _component_labels(sets: DataFrame, entries: DataFrame, kept: Stored) -> DataFrame:
     """(node, label) of the classes that link with others, by verified links alone."""
 
@@ -155,7 +205,7 @@ def _component_labels(sets: DataFrame, entries: DataFrame, kept: Stored) -> Data
     ends = [F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")]
     best = kept.put(entries.filter("lead").groupBy("key").agg(F.min_by(F.struct("cid", "n", "pos"), F.struct("pos", "cid")).alias("s")).select("key", "s.*"))
     pairs = entries.alias("x").join(grown(best).alias("y"), F.expr(f"x.key = y.key and x.cid != y.cid and {_possible('x', 'y')}"))
-    tested = kept.put(pairs.select(*ends).distinct())
+    tested = _untested(pairs.select(*ends), None, kept)
     label = components(kept.put(verified(tested)), kept)
     leads, changed = 8, True
     while True:
@@ -174,7 +224,7 @@ def _component_labels(sets: DataFrame, entries: DataFrame, kept: Stored) -> Data
             if size < 2:
                 return label
         pairs = alive.filter(f"lead and rank < {leads}").alias("y").join(grown(alive).alias("x"), F.expr(f"x.key = y.key and x.comp != y.comp and {_possible('x', 'y')}"))
-        fresh = kept.put(pairs.select(*ends).distinct().join(grown(tested), ["a", "b"], "left_anti"))
+        fresh = _untested(pairs.select(*ends), tested, kept)
         found = kept.put(verified(fresh))
         changed = not found.isEmpty()
         if changed:
@@ -185,7 +235,7 @@ def _component_labels(sets: DataFrame, entries: DataFrame, kept: Stored) -> Data
         leads *= 16
 
 
-def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, rare: int = RARE, paired: int = PAIRED_TOKENS) -> DataFrame:
+def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, rare: int = RARE, paired: int = COMBINATIONS) -> DataFrame:
     """One row per row of `docs`: doc_id, n_shingles, component_id, body (a hash of the text, which tells
     rows of one id apart) and group (a number of the component, null without shingles).
 
@@ -194,9 +244,9 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     more. component_id is the least id that links reach. Null, empty and blank texts have
     no shingles and are alone. Repeated rows and ids stay; rows of one id with different
     texts are different documents. A row with a null id links like any other and takes the
-    least id of its component, null if there is none. Documents with more than `paired`
-    frequent tokens (of more than `rare` documents) in the prefix are indexed by single tokens
-    instead of pairs; neither number changes the result."""
+    least id of its component, null if there is none. A document is indexed under at most `paired`
+    combinations of a size of its frequent tokens (of more than `rare` documents), or under single ones
+    where that can't be; neither number changes the result."""
     kept = Stored(docs.sparkSession, "ngram-join")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("body"), F.col(text_col).alias("text"))
     short = kept.put(rows.mapInArrow(_sets(shingle, False), _SET_SCHEMA))
@@ -218,8 +268,9 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     sets = sets.mapInArrow(_sets(shingle, True), _SET_SCHEMA).join(grown(left.select("cid", "set")), "set")
     sets = kept.put(sets.dropDuplicates(["set"]).select("cid", "n", "tokens"))
     tokens = sets.select("cid", F.explode("tokens").alias("token"))
-    df = kept.put(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"))
-    listed = tokens.join(grown(df), "token").groupBy("cid").agg(F.collect_list(F.struct("df", "token")).alias("shared"))  # at most the set's size
+    # Tokens of the same classes of documents have one name; two names differ but for a collision of 64 bits.
+    df = kept.put(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.bit_xor(F.xxhash64("cid")).alias("name")).filter("df > 1"))
+    listed = tokens.join(grown(df), "token").groupBy("cid").agg(F.collect_list(F.struct("df", "name")).alias("shared"))  # at most the set's size
     entries = sets.select("cid", "n").join(grown(listed), "cid").select("cid", "n", "shared").mapInArrow(_entries(rare, paired), "key long, cid long, n long, pos long, lead boolean")
     entries = kept.put(entries)
     kept.drop(df)

@@ -155,6 +155,41 @@ def test_ngram_odd_rows(spark, odd):
     assert ngram_join.ngram_components(odd.limit(0)).count() == 0
 
 
+def passage_corpus(n):
+    """Texts of 8 passages out of 30, of which no two link: each passage's words are frequent."""
+    rng = random.Random(7)
+    passages = [" ".join(f"p{k}w{i}" for i in range(rng.randint(20, 40))) for k in range(30)]
+    return [(i, " ".join(passages[k] for k in rng.sample(range(30), 8))) for i in range(n)]
+
+
+def test_ngram_combinations_spare_pairs_of_frequent_passages(spark, monkeypatch):
+    untested, shares = ngram_join._untested, []
+    for n in (150, 300, 600):
+        tested = []
+        monkeypatch.setattr(ngram_join, "_untested", lambda *a, to=tested: (lambda out: (to.append(out.count()), out)[1])(untested(*a)))
+        docs = passage_corpus(n)
+        docs += [(n, docs[5][1] + " one more"), (n + 1, "zero " + docs[5][1])]
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_components(spark.createDataFrame(docs, "doc_id long, text string"), rare=2).collect()}
+        assert got[n][1] == got[n + 1][1] == 5
+        if n == 150:
+            assert got == brute_components(docs)
+        shares.append(sum(tested) / (n * (n + 1) / 2))
+    assert shares[0] > shares[1] > shares[2] and shares[2] < 0.05, shares
+
+
+def test_ngram_choices_hold_the_first_common_classes():
+    rng = random.Random(3)
+    for _ in range(500):
+        weight = [rng.randint(1, 9) for _ in range(rng.randint(1, 9))]
+        spare, size = rng.randint(0, 12), rng.choice((2, 4))
+        shared = [i for i in range(len(weight)) if rng.random() < 0.8]
+        found = ngram_join._choices(weight, 0, spare, size, 10**9)
+        head = tuple(shared[:size])
+        lacks = sum(w for i, w in enumerate(weight) if i not in shared and (len(head) < size or i < head[-1]))
+        assert not head or ((lacks, head) in found) == (lacks <= spare)
+        assert len({x for _, x in found}) == len(found) and (ngram_join._choices(weight, 0, spare, size, len(found) - 1) is None or not found)
+
+
 # ---- line dedup
 
 
