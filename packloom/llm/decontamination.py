@@ -7,29 +7,37 @@ which items hold it. Only stretches of words that all occur in items are streame
 word that occurs in none ends every match; all stretches of a chunk go forward together,
 a word at a time, over the automaton's arrays.
 
-The automaton is broadcast, so its size is bounded: items longer than PIECE_WORDS are cut into pieces
-that overlap by a window, and pieces are dealt into as many shards as keep each at about SHARD_BYTES
-of text. A shard is built on its own, and only its arrays are kept.
+Items longer than PIECE_WORDS are cut into pieces that overlap by a window, and pieces are dealt into as
+many shards as keep each at about SHARD_BYTES of text. Tasks build the shards' automata and store their
+arrays; the driver reads their sizes and makes blocks of them. A block has at most BLOCK_BYTES (or
+is one shard) and is broadcast to one pass over all documents. A benchmark of several blocks takes a pass for
+each; what a pass finds is stored, and the last one merges it, so memory doesn't grow with the benchmark.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, chunks_of, fold, ragged, same_bytes, table, text_bytes, word_hashes, words_of
+from .common import ALNUM, Stored, chunks_of, fold, grown, ragged, same_bytes, table, text_bytes, word_hashes, words_of
 
 WINDOW = 10
 #: Text in a shard (a state of the automaton takes some 30 bytes in arrays, about one state for 6 bytes of
 #: text; while it is built a hundred times that), words in a piece of an item and in a piece of a stretch.
 SHARD_BYTES, PIECE_WORDS, STRETCH_WORDS = 1 << 20, 5000, 256
+#: Bytes of automata that a pass over the documents broadcasts at most.
+BLOCK_BYTES = 64 << 20
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 FOLD = {c: c + 32 for c in range(0x41, 0x5B)}
 
@@ -216,15 +224,42 @@ def _pieces(items: DataFrame, id_col: str, text_col: str, window: int) -> DataFr
     return named.filter("size(w) > 0").select("name", "w", F.explode(starts).alias("s")).select("name", F.array_join(F.slice("w", F.col("s") + 1, F.lit(PIECE_WORDS + window - 1)), " ").alias("text"))
 
 
-def _shards(items: DataFrame, id_col: str, text_col: str, window: int, shard_bytes: int):
-    """The shards, each collected and built on its own."""
+def _built(window: int):
+    """A shard's automaton from its pieces, about SHARD_BYTES of text, as arrays in one binary value."""
+
+    def run(key, pieces):
+        rows = list(zip(pieces["name"].to_pylist(), pieces["text"].to_pylist(), strict=True))
+        shard = _shard(rows, window)
+        done = pickle.dumps({**vars(shard), "machine": vars(shard.machine)})  # arrays and lists only
+        return pa.table({"k": pa.array([key[0].as_py()], pa.int64()), "size": pa.array([len(done)], pa.int64()), "shard": pa.array([done], pa.binary())})
+
+    return run
+
+
+def _blocks(items: DataFrame, id_col: str, text_col: str, window: int, shard_bytes: int, block_bytes: int, kept: Stored) -> tuple[DataFrame | None, list[tuple[int, int]]]:
+    """The shards as a stored table, and the first and last number of those in each block."""
     pieces = _pieces(items, id_col, text_col, window)
     total = pieces.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-total // shard_bytes)
-    for k in range(n):
-        part = pieces if n == 1 else pieces.filter(F.pmod(F.xxhash64("name", "text"), F.lit(n)) == k)
-        if rows := [tuple(r) for r in part.collect()]:  # about shard_bytes
-            yield _shard(rows, window)
+    if not total:
+        return None, []
+    dealt = pieces.withColumn("k", F.pmod(F.xxhash64("name", "text"), F.lit(-(-total // shard_bytes))))
+    built = kept.put(dealt.groupBy("k").applyInArrow(_built(window), "k long, size long, shard binary"))
+    blocks, held = [], 0
+    for k, size in built.select("k", "size").orderBy("k").collect():  # a row for each MB of the benchmark
+        if blocks and held + size <= block_bytes:
+            blocks[-1], held = (blocks[-1][0], k), held + size
+        else:
+            blocks.append((k, k))
+            held = size
+    return built, blocks
+
+
+def _shared(built: DataFrame, blocks: list[tuple[int, int]]) -> Iterator[Broadcast]:
+    """Each block as a broadcast list of shards."""
+    for first, last in blocks:
+        rows = built.filter(F.col("k").between(first, last)).select("shard").collect()  # BLOCK_BYTES at most, or one shard
+        loaded = [pickle.loads(r.shard) for r in rows]
+        yield built.sparkSession.sparkContext.broadcast([Shard(**{**x, "machine": SuffixAutomaton(**x["machine"])}) for x in loaded])
 
 
 SPAN = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
@@ -243,8 +278,9 @@ def _known(part: np.ndarray, starts: np.ndarray, ends: np.ndarray, shard: Shard)
     return hit, code
 
 
-def _find(shared: list):
-    """All shards' hits; a shard is looked up once for each chunk of texts."""
+def _find(shared: Broadcast | None, merge: bool = False):
+    """The hits of a block's shards, each looked up once for each chunk of texts; with `merge` the
+    spans and items that other passes found (columns 3 and 4) are taken in."""
 
     def run(batches):
         for b in batches:
@@ -254,10 +290,13 @@ def _find(shared: list):
                 part = fold(data[offsets[first] : offsets[past]])
                 starts, ends, at = words_of(part, offsets[first : past + 1] - offsets[first], ALNUM)
                 n_words += np.diff(at).tolist()
-                found = [set() for _ in range(first, past)]
+                found = [set(b.column(4)[k].as_py() or () if merge else ()) for k in range(first, past)]
                 marks = np.zeros(len(starts) + 1, np.int64)
-                for s in shared if len(starts) else ():
-                    shard = s.value
+                for k in range(first, past) if merge else ():
+                    for span in b.column(3)[k].as_py() or ():
+                        marks[at[k - first] + span["start"]] += 1
+                        marks[at[k - first] + span["end"]] -= 1
+                for shard in shared.value if shared and len(starts) else ():
                     hit, code = _known(part, starts, ends, shard)
                     edge = np.zeros(len(hit) + 1, bool)
                     edge[at] = True
@@ -287,7 +326,7 @@ def _find(shared: list):
     return run
 
 
-def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTES, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTES, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row per row of `docs`: doc_id, text, n_words, spans (of word numbers, merged),
     items (sorted ids as strings), and row, a struct of the columns of `docs` but the text.
 
@@ -295,12 +334,35 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW,
     window is `window` consecutive words of an item, or a shorter item as a whole. Null
     texts, of documents or items, have no words; items without words hit nothing; an
     item with a null id counts under the empty id, and rows of one id are one item. With
-    no items every document is clean."""
+    no items every document is clean. Repeated rows each get the same result.
+
+    `shard_bytes` of benchmark text make an automaton; `block_bytes` of automata are broadcast to a pass
+    over `docs`. Neither changes the result."""
+    kept = Stored(docs.sparkSession, "decontamination")
+    built, blocks = _blocks(items, item_col, item_text_col, window, shard_bytes, block_bytes, kept)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.struct(*[c for c in docs.columns if c != text_col]).alias("row"))
     kind = {f.name: f.dataType for f in rows.schema.fields}
     schema = T.StructType([T.StructField("doc_id", kind["doc_id"]), T.StructField("text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("spans", SPAN), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("row", kind["row"])])
-    context = docs.sparkSession.sparkContext
-    return rows.mapInArrow(_find([context.broadcast(s) for s in _shards(items, item_col, item_text_col, window, shard_bytes)]), schema)
+    if len(blocks) < 2:
+        last = next(_shared(built, blocks), None)
+        kept.drop(*filter(None, [built]))
+        return rows.mapInArrow(_find(last), schema)
+
+    body = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    keyed = rows.select("doc_id", "text", body.alias("row"))
+    part_schema = T.StructType([*schema.fields[:-1], T.StructField("row", T.StringType())])
+    parts = []
+    for block in _shared(built, blocks[:-1]):
+        # Repeated rows have equal hits, of which one stays.
+        part = keyed.mapInArrow(_find(block), part_schema).filter("size(spans) > 0").groupBy("doc_id", "row").agg(F.first("spans").alias("spans"), F.first("items").alias("items"))
+        parts.append(kept.put(part))
+        block.destroy()
+    last = next(_shared(built, blocks[-1:]))
+    prior = reduce(DataFrame.unionByName, parts).groupBy(F.col("doc_id").alias("_id"), F.col("row").alias("_body"))  # a row for each pass
+    prior = kept.put(prior.agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items")))
+    kept.drop(built, *parts)
+    joined = rows.withColumn("body", body).join(grown(prior), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("body") == F.col("_body")), "left")
+    return joined.select("doc_id", "text", "row", "spans", "items").mapInArrow(_find(last, True), schema)
 
 
 def _cut(batches):

@@ -366,6 +366,24 @@ def test_contamination_against_brute_force(spark, monkeypatch, shard_bytes, piec
         assert (rows[i].n_words, sum(s.end - s.start for s in rows[i].spans), list(rows[i]["items"])) == brute_hits(t, named), t
 
 
+@pytest.mark.parametrize("block_bytes", [1, 20_000])
+def test_contamination_in_blocks_equals_one_pass(spark, odd, block_bytes):
+    """More automata than one pass may broadcast: a pass for each block, merged by the last."""
+    rng = random.Random(8)
+    vocabulary = ["a", "b", "c", "É", "x9", "d-e"]
+    items = [(k, " ".join(rng.choice(vocabulary) for _ in range(rng.choice((1, 3, 8, 12, 30))))) for k in range(20)] + [(99, None), (None, "one two")]
+    docs = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 60)))) for i in range(40)]
+    docs = [(i, f"{t}, {items[rng.randrange(20)][1]}! {t} {items[rng.randrange(20)][1]}") for i, t in docs]
+    docs += [docs[3], docs[3], (3, "other words " + items[2][1]), (None, items[1][1]), (None, items[1][1]), (None, None), (50, "")]
+    b = spark.createDataFrame(items, "item_id long, text string")
+    for d in (spark.createDataFrame([(*x, "s", "i") for x in docs], "doc_id long, text string, spans string, _id string"), odd, odd.limit(0)):
+        one, many = (sorted(map(str, decontamination.find_contamination(d, b, shard_bytes=100, block_bytes=n).collect())) for n in (1 << 26, block_bytes))
+        assert one == many and len(one) == d.count()
+    named = [("" if k is None else k, t) for k, t in items]
+    rows = decontamination.find_contamination(spark.createDataFrame(docs, "doc_id long, text string"), b, shard_bytes=100, block_bytes=block_bytes).collect()
+    assert all((r.n_words, sum(s.end - s.start for s in r.spans), list(r["items"])) == brute_hits(r.text, named) for r in rows) and len(rows) == len(docs)
+
+
 def test_decontaminate_cuts_spans_and_keeps_clean_texts(spark, odd):
     item = "one two three four five six seven eight nine ten eleven"
     docs = spark.createDataFrame([(1, f"Before, this. {item.upper()}! After that {'word ' * 12}"), (2, item), (3, "Clean  text.\n"), (4, None)], "doc_id long, text string")
