@@ -57,12 +57,13 @@ def _normal(text: Column) -> Column:
 
 
 def _units(passages: Column, quoted: bool) -> Column:
-    """(level, text) of the normalised passages, quoted or own, and of their lines, without empty ones."""
+    """(level, text) of the normalised passages, quoted or own, and of their lines, without empty ones.
+    Repeats stay here: Spark compares structs in an array pair by pair; aggregates take them together."""
     some = F.filter(passages, lambda p: (p["level"] > 0) == F.lit(quoted))
     unit = lambda p, text: F.struct(p["level"].alias("level"), text.alias("text"))
     whole = F.transform(some, lambda p: unit(p, _normal(F.array_join(p["lines"], " "))))
     each = F.flatten(F.transform(some, lambda p: F.transform(p["lines"], lambda line: unit(p, _normal(line)))))
-    return F.filter(F.array_distinct(F.concat(whole, each)), lambda u: u["text"] != "")
+    return F.filter(F.concat(whole, each), lambda u: u["text"] != "")
 
 
 def _body(lines: Column) -> Column:

@@ -416,6 +416,16 @@ def test_chats_are_linked_by_nested_quotes(spark):
     assert {r.turn: r.parent for r in chat.link_quotations(df).collect()} == {0: None, 1: None, 2: 0, 3: 1, 4: 2, 5: 0}
 
 
+def test_chats_are_linear_in_lines(spark):
+    """Messages of many lines, all different, quoted whole; repeated lines count once."""
+    lines = [f"line {k} of it" for k in range(40_000)]
+    rows = [(0, "\n".join(lines)), (1, "\n".join("> " + x for x in lines) + "\nyes"), (2, "short\nshort"), (3, "> short\n> short\n> short\n> line 7 of it\nno")]
+    df = spark.createDataFrame([(1, t, "user", x) for t, x in rows], "conv_id long, turn long, role string, text string")
+    began = time.time()
+    assert {r.turn: r.parent for r in chat.link_quotations(df).select("turn", "parent").collect()} == {0: None, 1: 0, 2: None, 3: 0}
+    assert time.time() - began < 30
+
+
 def brute_chats(rows):
     """Parents and reply order of one conversation's (turn, text) rows."""
     normal = lambda x: " ".join(x.lower().split())
