@@ -410,8 +410,9 @@ ORACLE_SQL["decode_errors"] = ODD + """SELECT packet_index AS frame_no, CASE WHE
     CASE WHEN part <= 2 THEN 'ICMP' WHEN part = 3 THEN 'UDP' WHEN part = 4 THEN 'IPv4' WHEN part = 5 THEN 'TCP' WHEN part = 6 THEN 'IPv6' WHEN part = 7 THEN 'DNS' WHEN part < 15 THEN 'Unknown' END AS protocol,
     CASE WHEN part <= 3 OR part = 5 THEN 3 WHEN part IN (4, 6) THEN 2 WHEN part = 7 THEN 4 WHEN part < 15 THEN 1 ELSE 0 END AS layers FROM o"""
 
+# reassemble() counts on past 2 ** 32; these are the numbers in the frames.
 _query("reassembled_segments", "SELECT seq, n, src_port < dst_port AS answer FROM q WHERE ip AND proto = 6 AND n > 0", "capture packet_index src_ip tcp stream_key payload_at payload_len data")(
-    lambda p: reassemble(p.filter("payload_len > 0").withColumn("payload", F.expr("substring(data, payload_at + 1, payload_len)")).drop("data")).select("seq", F.octet_length("data").alias("n"), (F.when(F.col("direction") == "lo_to_hi", streams.key_end("lo")[1]).otherwise(streams.key_end("hi")[1]) < 49152).alias("answer"))
+    lambda p: reassemble(p.filter("payload_len > 0").withColumn("payload", F.expr("substring(data, payload_at + 1, payload_len)")).drop("data")).select(F.pmod("seq", F.lit(1 << 32)).alias("seq"), F.octet_length("data").alias("n"), (F.when(F.col("direction") == "lo_to_hi", streams.key_end("lo")[1]).otherwise(streams.key_end("hi")[1]) < 49152).alias("answer"))
 )
 
 

@@ -35,3 +35,9 @@ def test_one_wrong_checksum_that_could_be_right(spark, tmp_path):
     event = spark.range(1).selectExpr("2205591L as event_id", "timestamp'2024-01-02 16:33:23' as ts", "33455L as user_id", "'error' as event_type", "1.5D as value", "'{\"k\": 34}' as props")
     for name in ("decode_issues", "fmt_issue", "summary_rows", "json_lines", "describe_capture"):
         assert differences(spark, name, event, tmp_path) == (0, 0)
+
+
+def test_segments_have_the_numbers_of_their_frames(spark, tmp_path):
+    """Sequence numbers wrap after 2,941,758 events; a step of more than half of them counts as one back."""
+    events = made(spark, 4000, "id * 9973", "id % 7").filter("event_type <> 'signup'")
+    assert differences(spark, "reassembled_segments", events, tmp_path) == (0, 0)
