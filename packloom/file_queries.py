@@ -176,10 +176,10 @@ ORACLE_SQL["http_messages"] = HTTP + """SELECT 49152 + u % 16384 AS client_port,
 
 @_query("reassembled_overlaps", None)
 def _overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bytes of each direction after repeated and overlapping parts are left out."""
+    """Bytes of each direction after repeated and overlapping parts are left out; conversations of a client port are added up."""
     got = reassemble(http_packets(spark, sf_dir)).withColumn("answer", (F.when(F.col("direction") == "lo_to_hi", streams.key_end("lo")[1]).otherwise(streams.key_end("hi")[1])) == 80)
     whole = got.groupBy("stream_key", "answer").agg(F.sum(F.octet_length("data").cast("long")).alias("bytes"), (F.min("seq") - 4294966596).alias("first"), (F.max(F.col("seq") + F.octet_length("data")) - 4294966596).alias("past"))
-    return whole.select(_client_port().alias("client_port"), "answer", "bytes", "first", "past")
+    return whole.groupBy(_client_port().alias("client_port"), "answer").agg(*[F.sum(c).alias(c) for c in ("bytes", "first", "past")])
 
 
 ORACLE_SQL["reassembled_overlaps"] = HTTP + "SELECT 49152 + u % 16384 AS client_port, NOT up AS answer, CAST(sum(head_len + sent) AS BIGINT) AS bytes, 0 AS first, CAST(sum(head_len + sent) AS BIGINT) AS past FROM o GROUP BY ALL"

@@ -148,7 +148,8 @@ def odd_frames_from_events(events: DataFrame, capture: str = "odd") -> DataFrame
 
 def http_frames_from_events(events: DataFrame, capture: str = "http") -> DataFrame:
     """A third capture: each user's views as messages of one HTTP conversation in each direction. Messages have bodies of a length or in
-    chunks, and are cut into segments of 160 bytes that repeat the 40 before them. Every fifth segment comes twice,
+    chunks, and are cut into segments of 160 bytes that repeat the 40 before them. Users of the same port have
+    different addresses. Every fifth segment comes twice,
     neighbours have changed places, and sequence numbers start 700 before 2 ** 32."""
     f = event_fields(events).filter("event_type = 'view'").withColumns({"size": F.expr("k * 37 % 900"), "chunks": F.expr("k % 40 + 1")})
     chunked = F.expr("not up and k % 3 = 1")
@@ -161,7 +162,7 @@ def http_frames_from_events(events: DataFrame, capture: str = "http") -> DataFra
     f = f.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
     f = f.withColumn("i", F.explode(F.expr("sequence(0, (length - 1) div 160)"))).withColumn("copy", F.explode(F.expr("sequence(0, if(i % 5 = 0, 1, 0))")))
     f = f.withColumn("start", F.expr("greatest(i * 160 - 40, 0)")).withColumn("part", F.expr("substring(message, start + 1, (i + 1) * 160 - start)"))
-    client, server = F.concat(F.lit("0a00"), _hex("user_id div 16 % 256", 2), _hex("user_id % 16 + 1", 2)), F.lit("c6336401")
+    client, server = F.concat(F.lit("0a"), _hex("user_id div 16384 % 16777215 + 1", 6)), F.lit("c6336401")
     way = lambda a, b: F.when(F.col("up"), F.concat(a, b)).otherwise(F.concat(b, a))
     tcp = F.concat(way(_hex("client_port", 4), F.lit("0050")), _hex("(4294966596 + offset + start) % 4294967296", 8), F.lit("00000000" + "5018" + "0400" + "00000000"), F.hex("part"))
     ip = F.concat(F.lit("0800" + "4500"), _hex(F.length("part") + 40, 4), F.lit("0000" + "4000" + "4006" + "0000"), way(client, server), tcp)

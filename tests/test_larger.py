@@ -41,3 +41,10 @@ def test_segments_have_the_numbers_of_their_frames(spark, tmp_path):
     """Sequence numbers wrap after 2,941,758 events; a step of more than half of them counts as one back."""
     events = made(spark, 4000, "id * 9973", "id % 7").filter("event_type <> 'signup'")
     assert differences(spark, "reassembled_segments", events, tmp_path) == (0, 0)
+
+
+@pytest.mark.parametrize("name", ["http_messages", "reassembled_overlaps"])
+def test_users_of_one_port(spark, tmp_path, name):
+    """Users whose numbers differ by 16384 have the same port, and a conversation each."""
+    events = made(spark, 600, "id", "id % 7 + 16384 * (id % 3)")
+    assert differences(spark, name, events, tmp_path) == (0, 0)
