@@ -1,8 +1,11 @@
 """Conversations over a stream of packets, with state that Spark keeps for each.
 
 What is known of a conversation can be merged in any order: counts and sums add up, and the first and last packets are
-those of the least and largest index so far, so a first packet that arrives late still becomes the first. Each
-Arrow batch is merged by conversation before the shuffle; one that has most packets costs its task a row a batch.
+those of the least and largest index so far, so a first packet that arrives late still becomes the first.
+
+Without an idle time that is an aggregate, whose state Spark reads and writes a conversation at a time without Python. Ends need timers:
+there each Arrow batch is merged by conversation before the shuffle (one that has most packets costs its task a row a
+batch), and a processor is called for each conversation that a batch changes.
 """
 
 from __future__ import annotations
@@ -48,9 +51,9 @@ def _parts(batches):
 
 
 class Conversations(StatefulProcessor):
-    """A value for each conversation, and with an idle time a timer for when it ends."""
+    """A value for each conversation, and a timer for when it ends."""
 
-    def __init__(self, idle_ms: int | None):
+    def __init__(self, idle_ms: int):
         self.idle_ms = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -69,7 +72,7 @@ class Conversations(StatefulProcessor):
                 part = tuple(x if x is None or isinstance(x, bool) else bool(x) if f == "syn_ack" else int(x) for f, x in zip(_FIELDS, row, strict=True))
                 state = part if state is None else merged(state, part)
         self.known.update(state)
-        if self.idle_ms is not None and state[4] is not None:
+        if state[4] is not None:
             for t in list(self.handle.listTimers()):
                 self.handle.deleteTimer(t)
             self.handle.registerTimer(state[4] // 1_000_000 + self.idle_ms)
@@ -84,7 +87,7 @@ class Conversations(StatefulProcessor):
             yield pd.DataFrame([self.row(key, state, True)], columns=_COLUMNS)
 
     def over(self, state: tuple, times) -> bool:
-        return self.idle_ms is not None and state[4] is not None and state[4] // 1_000_000 + self.idle_ms <= times.getCurrentWatermarkInMs()
+        return state[4] is not None and state[4] // 1_000_000 + self.idle_ms <= times.getCurrentWatermarkInMs()
 
     def row(self, key, state: tuple, closed: bool) -> tuple:
         first, _, first_ns, _, last_ns, packets, size, flags, syn_ack, rsts = state
@@ -103,10 +106,14 @@ def running_conversations(packets: DataFrame, idle: str | None = None, lateness:
     and what comes later is another one. Packets without a time count, but end nothing."""
     spark = packets.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    read = packets.filter("stream_key is not null").select("capture", "stream_key", "packet_index", "ts_ns", "cap_len", F.coalesce(F.col("tcp.flag_bits"), F.lit(0)).alias("bits"))
-    parts = read.mapInPandas(_parts, f"capture string, stream_key binary, ts timestamp, {PART}")
-    idle_ms = None
-    if idle is not None:
-        idle_ms = int(spark.range(1).select((F.expr(f"unix_millis(timestamp_seconds(0) + interval {idle})"))).first()[0])
-        parts = parts.withWatermark("ts", lateness)
-    return parts.groupBy("capture", "stream_key").transformWithStateInPandas(Conversations(idle_ms), RESULT, "Update", "EventTime" if idle is not None else "None")
+    bits = F.coalesce(F.col("tcp.flag_bits"), F.lit(0))
+    read = packets.filter("stream_key is not null").select("capture", "stream_key", "packet_index", "ts_ns", "cap_len", bits.alias("bits"))
+    if idle is None:
+        return read.groupBy("capture", "stream_key").agg(
+            F.min("packet_index").alias("first_index"), F.count(F.lit(1)).alias("packet_count"), F.sum(F.col("cap_len").cast("long")).alias("byte_count"),
+            F.min_by("ts_ns", F.when(F.col("ts_ns").isNotNull(), F.col("packet_index"))).alias("first_seen_ns"), F.max_by("ts_ns", "packet_index").alias("last_seen_ns"),
+            F.bit_or("bits").alias("tcp_flags_seen"), F.bool_or(F.col("bits").bitwiseAND(18) == 18).alias("syn_ack_seen"), F.least(F.count_if(F.col("bits").bitwiseAND(4) == 4), F.lit(65535)).cast("int").alias("rst_count"),
+        ).withColumn("closed", F.lit(False))
+    idle_ms = int(spark.range(1).select((F.expr(f"unix_millis(timestamp_seconds(0) + interval {idle})"))).first()[0])
+    parts = read.mapInPandas(_parts, f"capture string, stream_key binary, ts timestamp, {PART}").withWatermark("ts", lateness)
+    return parts.groupBy("capture", "stream_key").transformWithStateInPandas(Conversations(idle_ms), RESULT, "Update", "EventTime")

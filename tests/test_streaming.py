@@ -43,6 +43,15 @@ def test_conversations_in_any_order(spark, tmp_path):
         assert sorted(tuple(r) for r in last.select("first_index", "packet_count", "byte_count", "first_seen_ns", "last_seen_ns", "tcp_flags_seen", "syn_ack_seen", "rst_count").collect()) == want
 
 
+def test_conversations_without_end_call_no_python(spark, tmp_path):
+    """A call for each conversation of a batch takes longer than a batch may."""
+    packets = dissect(streams.with_packet_index(frames(spark, ipv4(6, tcp(9, 80)))), streams.STREAM_COLUMNS)
+    packets.write.parquet(str(tmp_path / "in"))
+    query = running_conversations(spark.readStream.schema(packets.schema).parquet(str(tmp_path / "in")))
+    plan = query._jdf.queryExecution().analyzed().toString()
+    assert "Aggregate" in plan and "Pandas" not in plan and "Python" not in plan and "TransformWithState" not in plan
+
+
 def test_idle_conversations_end(spark, tmp_path):
     data = [ipv4(6, tcp(1, 80)), ipv4(6, tcp(1, 80)), ipv4(6, tcp(2, 80)), ipv4(6, tcp(1, 80))]
     times = [1_000, 1_005, 6_000, 10_000]
