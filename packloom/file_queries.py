@@ -24,7 +24,7 @@ from .sources import derived, pcap
 from .sources.tables import CERTIFICATE_COLUMNS, read_certificates, reassemble
 from .streaming.conversations import running_conversations
 from .streaming.growing import stream_frames
-from .storage import shared_dir
+from .storage import Stored, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -86,10 +86,12 @@ def _errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     spark.dataSource.register(derived.DamagedCaptures)
     frames(spark, sf_dir).select("ts_ns", "data", "orig_len", (F.col("frame_no") % 211 == 210).alias("damaged")).write.format("damaged-capture").mode("append").save(to)
     path = f"{to}/*.pcap"
-    errors = pcap.capture_errors(spark, path, RANGE_BYTES).groupBy(F.split_part("error", F.lit(" at byte"), F.lit(1)).alias("name")).agg(F.count(F.lit(1)).alias("n")).select(F.lit("error").alias("what"), "name", "n")
-    found = pcap.read_capture(spark, path, "PERMISSIVE", RANGE_BYTES)
-    packets = dissect(streams.with_packet_index(found), ["protocol"]).groupBy("protocol").agg(F.count(F.lit(1)).alias("n")).select(F.lit("packet").alias("what"), F.col("protocol").alias("name"), "n")
-    numbered = pcap.scan_capture(spark, path, "PERMISSIVE", RANGE_BYTES).groupBy("capture").agg((F.max("frame_no") + 1).alias("n")).agg(F.sum("n").alias("n")).select(F.lit("frame").alias("what"), F.lit("").alias("name"), "n")
+    records = pcap.scan_capture(spark, path, "PERMISSIVE", RANGE_BYTES)
+    found = dissect(records, ["capture", "frame_no", "error", "packet_index", "protocol"]).withColumn("error", F.split_part("error", F.lit(" at byte"), F.lit(1)))
+    kinds = Stored(spark, "damaged").put(found.groupBy("capture", "error", "protocol").agg(F.max("frame_no").alias("last"), F.count(F.lit(1)).alias("n"), F.count("packet_index").alias("packets")))
+    errors = kinds.filter("error is not null").groupBy("error").agg(F.sum("n").alias("n")).select(F.lit("error").alias("what"), F.col("error").alias("name"), "n")
+    packets = kinds.filter("packets > 0").groupBy("protocol").agg(F.sum("packets").alias("n")).select(F.lit("packet").alias("what"), F.col("protocol").alias("name"), "n")
+    numbered = kinds.groupBy("capture").agg((F.max("last") + 1).alias("n")).agg(F.sum("n").alias("n")).select(F.lit("frame").alias("what"), F.lit("").alias("name"), "n")
     return errors.unionByName(packets).unionByName(numbered)
 
 

@@ -46,6 +46,8 @@ _ARROW = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "binar
 _NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
 #: Ranges of this many bytes, or more so that there are at most so many; frames and bytes in one Arrow batch.
 SPLIT_BYTES, MOST_SPLITS, BATCH, BATCH_BYTES = 64 << 20, 100_000, 4096, 16 << 20
+#: A task reads consecutive splits of up to this many bytes, if there are tasks enough for the cores without them.
+TASK_BYTES = 16 << 20
 
 
 @dataclass
@@ -78,6 +80,27 @@ class Split(InputPartition):
         return found
 
 
+@dataclass
+class Splits(InputPartition):
+    """Splits that one task reads one after the other."""
+
+    splits: list[Split]
+
+
+def grouped(splits: list[Split], cores: int) -> list[Splits]:
+    """The splits in runs of up to TASK_BYTES, or fewer bytes so that there are four tasks for each core."""
+    sizes = [s.past - s.low if s.past < 1 << 62 else os.path.getsize(s.path) for s in splits]
+    most = min(TASK_BYTES, sum(sizes) // max(4 * cores, 1))
+    out, held = [], 0
+    for split, size in zip(splits, sizes, strict=True):
+        if not out or held + size > most:
+            out.append(Splits([]))
+            held = 0
+        out[-1].splits.append(split)
+        held += size
+    return out
+
+
 # ---- splits of large files
 
 
@@ -132,7 +155,7 @@ def _looked(spark: SparkSession, ranges: list[Range]) -> list[Range]:
         for b in batches:
             yield pd.DataFrame({"at": b["at"], "range": [pickle.dumps(pickle.loads(r).look()) for r in b["range"]]})
 
-    rows = spark.createDataFrame([(i, pickle.dumps(r)) for i, r in enumerate(ranges)], "at int, range binary").repartitionByRange(min(len(ranges), 4096), "at")
+    rows = spark.createDataFrame([(i, pickle.dumps(r)) for i, r in enumerate(ranges)], "at int, range binary").repartitionByRange(min(len(ranges), 4 * spark.sparkContext.defaultParallelism), "at")
     return [pickle.loads(r.range) for r in sorted(rows.mapInPandas(look, "at int, range binary").collect())]  # at most MOST_SPLITS
 
 
@@ -243,16 +266,22 @@ class CaptureReader(DataSourceReader):
             else:
                 yield f
 
-    def partitions(self) -> list[Split]:
+    def partitions(self) -> list[Splits]:
         if "splits" in self.options:
             return pickle.loads(zlib.decompress(base64.b64decode(self.options["splits"])))
-        return [Split(path) for path in _listed(self.options["path"])]
+        return [Splits([Split(path)]) for path in _listed(self.options["path"])]
 
-    def read(self, partition: Split) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Splits) -> Iterator[pa.RecordBatch]:
         # Spark copies the classes of a source to its workers; the code that reads is the module's own.
         from packloom.sources import pcap
 
-        return pcap._Batches(self.header, self.filters, self.strict).of(pcap.Split(**vars(partition)))
+        batches = pcap._Batches(self.header, self.filters, self.strict)
+        for split in partition.splits:
+            yield from batches.of(pcap.Split(**vars(split)))
+
+    def __getstate__(self) -> dict:
+        """What each task gets: its own splits come as its partition, not with those of all tasks."""
+        return {**vars(self), "options": {k: v for k, v in self.options.items() if k != "splits"}}
 
 
 def schema_of(header: list[str]) -> str:
@@ -271,7 +300,12 @@ class CaptureSource(DataSource):
         return schema_of([k for k in self.options.get("header", "").split(",") if k])
 
     def reader(self, schema):
-        return CaptureReader(self.options)
+        self.planned = True
+        return CaptureReader(dict(self.options))
+
+    def __getstate__(self) -> dict:
+        """Once there is a reader, only tasks get a copy."""
+        return {**vars(self), "options": {k: v for k, v in self.options.items() if k != "splits"}} if hasattr(self, "planned") else vars(self)
 
     def streamReader(self, schema):
         from ..streaming.growing import GrowingReader
@@ -296,7 +330,7 @@ def scan_capture(spark: SparkSession, path: str, mode: str = "FAILFAST", split_b
     FAILFAST it is an error."""
     spark.dataSource.register(CaptureSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # off by default; sources without it aren't affected
-    splits = _splits(spark, [(p, os.path.getsize(p)) for p in _listed(path)], split_bytes)
+    splits = grouped(_splits(spark, [(p, os.path.getsize(p)) for p in _listed(path)], split_bytes), spark.sparkContext.defaultParallelism)
     packed = base64.b64encode(zlib.compress(pickle.dumps(splits))).decode()
     return spark.read.format("capture").options(path=path, mode=mode, header=",".join(header), splits=packed).load()
 

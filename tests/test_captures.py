@@ -2,6 +2,7 @@
 
 import io
 import random
+import pickle
 import struct
 
 import pytest
@@ -188,3 +189,14 @@ def test_a_failing_write_leaves_nothing(spark, tmp_path):
     with pytest.raises(Exception, match="stop"):
         bad.write.format("capture").mode("append").save(str(tmp_path / "out"))
     assert list((tmp_path / "out").iterdir()) == []
+
+
+def test_tasks_read_runs_of_splits():
+    """Short ranges don't make a task each, and a task doesn't get the splits of all."""
+    splits = [pcap.Split("x", 100 * i, 100 * i + 100, 100 * i) for i in range(10_000)]
+    runs = pcap.grouped(splits, 2)
+    assert [s for r in runs for s in r.splits] == splits and len(runs) == 8
+    source = pcap.CaptureSource({"path": "x", "splits": "y" * 10**6})
+    assert len(pickle.dumps(source)) > 10**6  # on its way to the planner
+    reader = source.reader(None)
+    assert reader.options["splits"] and len(pickle.dumps(reader)) < 1000 and len(pickle.dumps(source)) < 1000
