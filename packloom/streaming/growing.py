@@ -1,7 +1,7 @@
 """Captures that are still being written, as a stream.
 
 An offset has, for each file, how far it is whole: bytes, frames and packets, and a pcapng file's state there. Each trigger
-walks the record headers of what has come since, on the driver, and cuts that into splits that tasks read. A record that is not
+walks the record headers of what has come since, once and on the driver, and cuts that into splits, of which tasks read runs. A record that is not
 all there yet waits, and so does a file without a whole header. Splits follow from two offsets alone, so a
 restart from a checkpoint loses and repeats nothing as long as files only grow.
 """
@@ -15,7 +15,7 @@ from collections.abc import Iterator
 from pyspark.sql.datasource import DataSourceStreamReader
 
 from ..sources.formats import CaptureError, Damage, Frame, PcapngWalk, PcapWalk, sniff
-from ..sources.pcap import SPLIT_BYTES, Split
+from ..sources.pcap import SPLIT_BYTES, Split, Splits
 
 #: Bytes of a file that one trigger takes at most.
 MOST_BYTES = 1 << 32
@@ -58,31 +58,44 @@ class GrowingReader(DataSourceStreamReader):
     def latestOffset(self) -> dict:
         from packloom.streaming import growing
 
-        known = getattr(self, "known", {})
+        known, self.walked = getattr(self, "known", {}), getattr(self, "walked", {})
         for path in sorted(glob.glob(self.options["path"])):
-            marks = growing.advanced(path, known.get(path))
+            before = known.get(path)
+            marks = growing.advanced(path, before, growing.MOST_BYTES, self.each())
             if marks:
                 known[path] = marks[-1]
+                self.walked[path] = (before, marks)
         self.known = known
         return dict(known)
 
-    def partitions(self, start: dict, end: dict) -> list[Split]:
+    def each(self) -> int:
+        return int(self.options.get("splitBytes", SPLIT_BYTES))
+
+    def partitions(self, start: dict, end: dict) -> list[Splits]:
+        from packloom.sources import pcap
         from packloom.streaming import growing
 
-        each = int(self.options.get("splitBytes", growing.SPLIT_BYTES))
         out = []
         for path, mark in sorted(end.items()):
-            marks = growing.advanced(path, start.get(path), growing.MOST_BYTES, each, mark[0])
+            before, marks = getattr(self, "walked", {}).get(path, (None, None))
+            if marks is None or before != start.get(path) or marks[-1] != mark:  # not the step that latestOffset() took, as after a restart
+                marks = growing.advanced(path, start.get(path), growing.MOST_BYTES, self.each(), mark[0])
             if marks[-1][0] != mark[0]:
                 raise CaptureError(f"{path}: it has become shorter")
             out += [Split(path, a[0], b[0], max(a[0], 1), a[1], a[2], a[3], a[4]) for a, b in zip(marks, marks[1:], strict=False)]
         self.known = {**getattr(self, "known", {}), **end}
-        return out
+        return pcap.grouped(out, int(self.options.get("cores", 1)))
 
-    def read(self, partition: Split) -> Iterator:
+    def read(self, partition: Splits) -> Iterator:
         from packloom.sources import pcap
 
-        return pcap._Batches([], [], self.options.get("mode", "FAILFAST").upper() == "FAILFAST").of(pcap.Split(**vars(partition)))
+        batches = pcap._Batches([], [], self.options.get("mode", "FAILFAST").upper() == "FAILFAST")
+        for split in partition.splits:
+            yield from batches.of(pcap.Split(**vars(split)))
+
+    def __getstate__(self) -> dict:
+        """What each task gets: its own splits come as its partition."""
+        return {k: v for k, v in vars(self).items() if k not in ("known", "walked")}
 
     def commit(self, end: dict) -> None:
         pass
@@ -93,4 +106,4 @@ def stream_frames(spark, path: str, mode: str = "FAILFAST", split_bytes: int = S
     from ..sources.pcap import CaptureSource, _NAMES
 
     spark.dataSource.register(CaptureSource)
-    return spark.readStream.format("capture").options(path=path, mode=mode, splitBytes=str(split_bytes)).load().filter("error is null").select(*_NAMES)
+    return spark.readStream.format("capture").options(path=path, mode=mode, splitBytes=str(split_bytes), cores=str(spark.sparkContext.defaultParallelism)).load().filter("error is null").select(*_NAMES)

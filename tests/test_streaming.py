@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from packloom.operators import streams
 from packloom.operators.dissect import dissect
 from packloom.sources import formats, pcap
+from packloom.streaming import growing
 from packloom.streaming.conversations import running_conversations
 from packloom.streaming.growing import advanced, stream_frames
 from test_captures import head, interface, packet, record, section
@@ -104,3 +105,16 @@ def test_half_written_records_wait(tmp_path):
     with pytest.raises(formats.CaptureError):
         path.write_bytes(head(link=101) + content[24:])
         advanced(str(path), None)
+
+
+def test_a_trigger_walks_once(tmp_path, monkeypatch):
+    path = tmp_path / "a.pcap"
+    path.write_bytes(head() + b"".join(record(bytes([i]) * 30) for i in range(100)))
+    walks = []
+    monkeypatch.setattr(growing, "advanced", lambda *a: walks.append(a) or advanced(*a))
+    reader = growing.GrowingReader({"path": str(path), "splitBytes": "460"})
+    end = reader.latestOffset()
+    runs = reader.partitions({}, end)
+    assert len(walks) == 1 and len(runs) <= 5 and sum(len(r.splits) for r in runs) == 10
+    restarted = growing.GrowingReader({"path": str(path), "splitBytes": "460"})
+    assert restarted.partitions({}, end) == runs and len(walks) == 2
