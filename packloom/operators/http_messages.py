@@ -2,11 +2,11 @@
 
 Each direction of a conversation is cut into stretches of bytes, so that no task has a whole conversation. Where a message
 ends depends on what came before (the length in its head, the chunks of its body), so a stretch needs a state to start
-from. At first each one guesses: it looks for the first start of a message. Then the states are carried
-from stretch to stretch, on rows without data, as far as they are known: a body of known length passes over whole
-stretches, and a guess holds if the state before it leads to the start it found. A stretch that this
-leaves open is parsed again from its true state, and so on until all are known. Most conversations are one stretch, and are
-parsed once.
+from. At first each one guesses: it looks for the first start of a message and is parsed from there. Then the
+states are carried from stretch to stretch, on rows that have only the bytes up to that start: if the carried state is the
+guessing one's there, all that the guess found holds. Bodies pass over bytes that aren't at hand. A stretch that this
+leaves open is parsed from its true state, and so are the next ones, up to twice as many each time until all are
+known.
 """
 
 from __future__ import annotations
@@ -15,17 +15,21 @@ import json
 import re
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import wire
 from ..storage import Stored, grown
 
+#: The largest bigint, which stands for lengths beyond it.
+_MOST = (1 << 63) - 1
 #: Bytes of a direction in one stretch; bytes of a head, and of a line between chunks, at most.
 STRETCH, MOST_HEAD, MOST_LINE = 1 << 20, 1 << 16, 4096
 _START = re.compile(rb"HTTP/1\.[01] [0-9]{3}|(?:GET|POST|PUT|HEAD|DELETE|OPTIONS|PATCH|TRACE|CONNECT) [!-~]+ HTTP/1\.[01]\r\n")
-#: More bytes than these can't be the first ones of a start.
-_LONGEST = 4096
+#: More bytes than these can't be the first ones of a start; a stretch's first bytes that are carried, no fewer than those.
+_LONGEST, _FIRST = 4096, 1 << 14
 _CHUNKED = re.compile(rb"(?im)^transfer-encoding:[^\r\n]*\bchunked\b")
 WAY = ["capture", "stream_key", "direction"]
 MESSAGE = "seq bigint, is_request boolean, method string, uri string, status_code int, host string, content_type string, chunked boolean, head_len int, body_len bigint, complete boolean"
@@ -40,10 +44,10 @@ class Parser:
         state = state or {"mode": "head"}
         self.mode, self.next, self.until, self.message = state["mode"], state.get("next"), state.get("until"), state.get("message")
         self.held = state.get("held", "").encode("latin-1")
-        self.found: int | None = None
+        self.found = False
 
     def state(self) -> dict:
-        return {"mode": self.mode, "next": self.next, "until": self.until, "held": self.held.decode("latin-1"), "message": self.message}
+        return {"mode": self.mode, "next": self.next, "until": self.until, "held": self.held.decode("latin-1"), "message": self.message and {**self.message}}
 
     def finish(self, complete: bool = True) -> Iterator[dict]:
         if self.message is not None:
@@ -54,8 +58,11 @@ class Parser:
         """The message that the conversation's end cuts off; a body without a length ends there."""
         yield from self.finish(self.mode == "rest")
 
+    def lost(self, seq: int) -> bool:
+        return self.next is not None and seq != self.next
+
     def feed(self, seq: int, data: bytes) -> Iterator[dict]:
-        if self.next is not None and seq != self.next:  # lost bytes
+        if self.lost(seq):
             yield from self.finish(False)
             self.mode, self.held = "search", b""
         buf, base, at = self.held + data, seq - len(self.held), 0
@@ -69,13 +76,28 @@ class Parser:
             if done:
                 yield from self.finish()
 
+    def passes(self, seq: int, size: int, blank: bool) -> bool:
+        """Whether the state after these bytes follows without them; blank: no message starts in them."""
+        mode = "search" if self.lost(seq) else self.mode
+        return mode == "rest" or (mode in ("body", "chunk") and self.until >= seq + size) or (mode == "search" and blank)
+
+    def skip(self, seq: int, size: int) -> Iterator[dict]:
+        """Goes over bytes that it passes()."""
+        yield from self.feed(seq, b"")
+        self.next, self.held = seq + size, b""
+        if self.mode == "rest":
+            self.message["body_len"] += size
+        elif self.mode == "chunk" and self.until == self.next:
+            self.mode = "line"
+        elif self.mode == "body" and self.until == self.next:
+            yield from self.finish()
+
     def search(self, buf: bytes, base: int, at: int):
         m = _START.search(buf, at)
-        if m is None:
-            keep = max(at, buf.rfind(b"\n", at, len(buf)) + 1 if len(buf) - at > _LONGEST else at, len(buf) - _LONGEST)
-            self.held = buf[keep:]
-            return None if keep == at else (len(buf), False)
-        self.mode = "head"
+        if m is None:  # no start goes on over a newline, so what is held depends on the last bytes alone
+            self.held = buf[max(at, buf.rfind(b"\n", at) + 1, len(buf) - _LONGEST) :]
+            return len(buf), False
+        self.mode, self.found = "head", True
         return m.start(), False
 
     def head(self, buf: bytes, base: int, at: int):
@@ -92,8 +114,6 @@ class Parser:
                 return None
             self.mode = "search"
             return at + 1, False
-        if self.found is None:
-            self.found = base + at
         head = buf[at : end + 2]
         said = wire.http_head(head)
         size, chunked = said["content_length"], bool(_CHUNKED.search(head))
@@ -102,7 +122,7 @@ class Parser:
         if chunked:
             self.mode = "line"
         elif size is not None and not (100 <= status < 200 or status in (204, 304)):
-            self.message["body_len"] = int(size)
+            self.message["body_len"] = min(int(size), _MOST)
             self.mode, self.until = "body", base + end + 4 + int(size)
             return end + 4, size == 0
         elif said["is_request"] or 100 <= status < 200 or status in (204, 304):
@@ -145,68 +165,99 @@ class Parser:
         return len(buf), False
 
 
-_LOOKED = "first bigint, past bigint, whole boolean, entry string, found bigint, exit string"
+_ROW = "capture string, stream_key binary, direction string, stretch bigint"
+_LOOKED = f"{_ROW}, pieces array<struct<seq: bigint, data: binary>>, near array<struct<seq: bigint, size: bigint, data: binary>>, found bigint, there string, past string, messages array<struct<{MESSAGE}>>"
+_CARRIED = f"{_ROW}, entry string, holds boolean, messages array<struct<{MESSAGE}>>"
 
 
-def _look(guess: bool):
-    """What a stretch does to a state: to the given one, or to a search for the first message."""
+def _arrow(schema: str) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
 
-    def run(batches):
-        import pandas as pd
+    return to_arrow_schema(T._parse_datatype_string(schema))
+
+
+def _near(pieces: list[dict], found: int | None) -> list[dict]:
+    """A stretch's pieces, of which those before the found one have their data at the begin and where a search for it needs
+    them; what follows each other without data is one."""
+    last = len(pieces) if found is None else found
+    sizes, out = [len(p["data"]) for p in pieces], []
+    before, behind = 0, sum(sizes[:last])
+    for i, (p, n) in enumerate(zip(pieces, sizes, strict=True)):
+        behind -= n
+        if i == last or (i < last and (before < _FIRST or behind < _LONGEST)):
+            out.append({"seq": p["seq"], "size": n, "data": p["data"]})
+        elif out and out[-1]["data"] is None and out[-1]["seq"] + out[-1]["size"] == p["seq"]:
+            out[-1]["size"] += n
+        else:
+            out.append({"seq": p["seq"], "size": n, "data": None})
+        before += n
+    return out
+
+
+def _look(schema: pa.Schema):
+    """What a stretch has if its first message is the first that a search finds: the piece in which that one's start ends, the
+    parser's states there and at the stretch's end, and the messages that end between."""
 
+    def run(batches):
         for b in batches:
-            rows = []
-            for row in b.itertuples(index=False):
-                parser = Parser({"mode": "search"} if guess else json.loads(row.entry))
-                past, whole = None, True
-                for piece in row.pieces:
-                    whole &= past is None or past == piece["seq"]
-                    for _ in parser.feed(piece["seq"], piece["data"]):
-                        pass
-                    past = piece["seq"] + len(piece["data"])
-                rows.append((row.capture, row.stream_key, row.direction, row.stretch, row.pieces[0]["seq"], past, whole, None if guess else row.entry, parser.found, json.dumps(parser.state())))
-            yield pd.DataFrame(rows, columns=[*WAY, "stretch", *[x.split()[0] for x in _LOOKED.split(", ")]]).astype({"found": "Int64"})
+            new = []
+            for pieces in b.column("pieces").to_pylist():
+                parser, found, there, messages = Parser({"mode": "search"}), None, None, []
+                for i, piece in enumerate(pieces):
+                    got = list(parser.feed(piece["seq"], piece["data"]))
+                    if found is not None:
+                        messages += got
+                    elif parser.found:
+                        found, there = i, json.dumps(parser.state())
+                new.append((_near(pieces, found), None if found is None else pieces[found]["seq"], there, None if found is None else json.dumps(parser.state()), messages))
+            more = [pa.array([r[k] for r in new], f.type) for k, f in enumerate(list(schema)[5:])]
+            yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in list(schema)[:5]), *more], schema=schema)
 
     return run
 
 
-def _carried(rows):
-    """One direction's stretches with the state each starts from, as far as that is known; `open` where the next one isn't."""
-    import pandas as pd
-
-    out, state = [], {"mode": "head"}
-    for r in rows.sort_values("stretch").itertuples(index=False):
-        entry = json.dumps(state)
-        gap = state.get("next") is not None and state["next"] != r.first
-        follows = {"body": state.get("until"), "head": state.get("next")}.get(state["mode"]) if not state.get("held") else None
-        if not gap and r.whole and state["mode"] == "body" and state["until"] >= r.past:
-            after = {**state, "next": r.past}
-            if state["until"] == r.past:
-                after |= {"mode": "head", "until": None, "message": None}
-        elif not gap and follows is not None and not pd.isna(r.found) and follows == r.found and r.entry is None:
-            after = json.loads(r.exit)
-        elif r.entry == entry:
-            after = json.loads(r.exit)
-        else:
-            out.append((*r[:4], entry, True))
-            break
-        out.append((*r[:4], entry, False))
-        state = after
-    return pd.DataFrame(out, columns=[*WAY, "stretch", "entry", "open"])
+def _carry(schema: pa.Schema):
+    """Rows of whole directions in order. Out come the messages that end before a guess holds, and what becomes of each stretch:
+    whether its guess holds, or, with the state that it starts from, that its bytes are needed; then what follows isn't looked at."""
+
+    def run(batches):
+        way, last, parser, out = None, None, None, []
+
+        def end():
+            if parser is not None and (cut := list(parser.end())):
+                out.append((*way, last, None, True, cut))
 
+        def batch():
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], f.type) for k, f in enumerate(schema)], schema=schema)
 
-def _messages(batches):
-    import pandas as pd
+        for b in batches:
+            for row in b.to_pylist():
+                if way != (this := (row["capture"], row["stream_key"], row["direction"])):
+                    end()
+                    way, parser = this, Parser(json.loads(row["entry"]) if row["entry"] else None)
+                if parser is None:
+                    continue
+                last, entry, messages, holds, found = row["stretch"], parser.state(), [], False, row["found"]
+                for p in row["near"]:
+                    if p["data"] is not None:
+                        messages += parser.feed(p["seq"], p["data"])
+                        if p["seq"] == found and parser.state() == json.loads(row["there"]):
+                            holds, parser = True, Parser(json.loads(row["past"]))
+                            break
+                    elif parser.passes(p["seq"], p["size"], found is None or p["seq"] < found):
+                        messages += parser.skip(p["seq"], p["size"])
+                    else:
+                        out.append((*way, last, json.dumps(entry), False, []))
+                        parser = None
+                        break
+                if parser is not None and (messages or not holds):
+                    out.append((*way, last, None, holds, messages))
+            yield batch()
+            out.clear()
+        end()
+        yield batch()
 
-    for b in batches:
-        rows = []
-        for row in b.itertuples(index=False):
-            parser = Parser(json.loads(row.entry) if isinstance(row.entry, str) else None)
-            found = [m for piece in row.pieces for m in parser.feed(piece["seq"], piece["data"])]
-            if row.stretch == row.last:
-                found += parser.end()
-            rows += [(row.capture, row.stream_key, row.direction, *[m[f] for f in _FIELDS]) for m in found]
-        yield pd.DataFrame(rows, columns=[*WAY, *_FIELDS]).astype({"status_code": "Int64"})
+    return run
 
 
 def http_messages(segments: DataFrame, stretch: int = STRETCH) -> DataFrame:
@@ -215,22 +266,22 @@ def http_messages(segments: DataFrame, stretch: int = STRETCH) -> DataFrame:
 
     A message is complete if all its bytes are there; a body without a length goes to the conversation's end. After lost bytes
     the next start is searched for. What is no HTTP is passed over. Without segments there are no messages."""
-    spark = segments.sparkSession
-    kept = Stored(spark, "http-messages")
+    kept = Stored(segments.sparkSession, "http-messages")
     cut = segments.withColumn("stretch", F.expr(f"seq div {stretch}L")).groupBy(*WAY, "stretch").agg(F.array_sort(F.collect_list(F.struct("seq", "data"))).alias("pieces"))
-    cut = kept.put(cut)
-    ends = cut.groupBy(*WAY).agg(F.max("stretch").alias("last"), F.count(F.lit(1)).alias("n"))
-    cut = cut.join(grown(kept.put(ends)), WAY)
-    several, kind = cut.filter("n > 1"), "capture string, stream_key binary, direction string, stretch bigint"
-    looked = kept.put(several.select(*WAY, "stretch", "pieces").mapInPandas(_look(True), f"{kind}, {_LOOKED}"))
+    looked = kept.put(cut.mapInArrow(_look(_arrow(_LOOKED)), _LOOKED))
+    given = [*WAY, "stretch", "entry", "near", "found", "there", "past"]
+    rows, known, run = looked.withColumn("entry", F.lit(None).cast("string")).select(given), [], 1
     while True:
-        states = kept.put(looked.groupBy(*WAY).applyInPandas(_carried, f"{kind}, entry string, open boolean"))
-        unknown = states.filter("open").select(*WAY, "stretch", "entry")
-        if unknown.isEmpty():
+        known.append(kept.put(rows.repartition(*WAY).sortWithinPartitions(*WAY, "stretch").mapInArrow(_carry(_arrow(_CARRIED)), _CARRIED)))
+        left = known[-1].filter("entry is not null").select(*WAY, F.col("stretch").alias("since"), "entry")
+        if left.isEmpty():
             break
-        again = several.join(grown(unknown), [*WAY, "stretch"]).select(*WAY, "stretch", "pieces", "entry").mapInPandas(_look(False), f"{kind}, {_LOOKED}")
-        known = looked.join(grown(unknown.drop("entry")), [*WAY, "stretch"], "left_anti")
-        before, looked = looked, kept.put(known.unionByName(again))
-        kept.drop(before, states)
-    entered = cut.join(grown(states.drop("open")), [*WAY, "stretch"], "left")
-    return entered.select(*WAY, "stretch", "last", "entry", "pieces").mapInPandas(_messages, f"capture string, stream_key binary, direction string, {MESSAGE}")
+        whole = F.expr("transform(pieces, p -> struct(p.seq as seq, cast(octet_length(p.data) as bigint) as size, p.data as data))")
+        rows = looked.join(grown(left), WAY).filter("stretch >= since").withColumn("near", F.when(F.col("stretch") < F.col("since") + run, whole).otherwise(F.col("near"))).select(given)
+        run *= 2
+    states = known[0]
+    for more in known[1:]:
+        states = states.unionByName(more)
+    states = states.filter("entry is null")
+    held = looked.filter("size(messages) > 0").select(*WAY, "stretch", "messages").join(grown(states.filter("not holds").select(*WAY, "stretch")), [*WAY, "stretch"], "left_anti")
+    return held.unionByName(states.select(*held.columns)).select(*WAY, F.explode("messages").alias("m")).select(*WAY, "m.*")

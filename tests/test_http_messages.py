@@ -6,6 +6,7 @@ import pytest
 
 from packloom.operators import http_messages
 from packloom.operators.http_messages import Parser
+from packloom.storage import Stored
 
 
 def message(rng, answer):
@@ -85,3 +86,50 @@ def test_messages_in_stretches(spark):
         got = http_messages.http_messages(segments, stretch).collect()
         assert sorted((bytes(m.stream_key), m.seq, m.body_len) for m in got) == sorted(want) and all(m.complete for m in got)
     assert http_messages.http_messages(segments.limit(0)).count() == 0
+
+
+CHUNKED = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n"
+
+
+@pytest.mark.parametrize(
+    "data, most",
+    [
+        # Most borders of stretches are inside of heads.
+        ((b"GET /" + b"a" * 40 + b" HTTP/1.1\r\nHost: h\r\n\r\n" + b"POST / HTTP/1.1\r\nContent-Length: 9\r\n\r\n123456789") * 150, 2),
+        # Chunks without a start, and with one in each stretch that isn't: a round for each doubling of the stretches parsed.
+        (CHUNKED + b"5\r\nabcde\r\n" * 2500 + b"0\r\n\r\n" + CHUNKED + b"0\r\n\r\n", 2),
+        (CHUNKED + (b"28\r\n" + b"HTTP/1.1 200 OK\r\nContent-Length: 500\r\n\r\n" + b"\r\n") * 500 + b"0\r\n\r\n" + CHUNKED + b"0\r\n\r\n", 8),
+        # No HTTP at all.
+        (b"\x16\x03\x01 \n" * 4000, 2),
+    ],
+    ids=["heads", "chunks", "traps", "none"],
+)
+def test_many_stretches_take_few_rounds(spark, monkeypatch, data, most):
+    put, stored = Stored.put, []
+    monkeypatch.setattr(Stored, "put", lambda self, df: stored.append(put(self, df)) or stored[-1])
+    parser = Parser()
+    cut = list(pieces(random.Random(5), data, 0))
+    want = [m for s, d in cut for m in parser.feed(s, d)] + list(parser.end())
+    segments = spark.createDataFrame([("c", b"k", "lo_to_hi", s, d) for s, d in cut], "capture string, stream_key binary, direction string, seq bigint, data binary")
+    got = http_messages.http_messages(segments, 512)
+    assert len(stored) <= most  # a table for the stretches and one for each round
+    assert sorted((m.seq, m.head_len, m.body_len, m.complete) for m in got.collect()) == [(m["seq"], m["head_len"], m["body_len"], m["complete"]) for m in want]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_stretches_of_anything(spark, seed):
+    """Lost bytes, starts in bodies, bodies far beyond what is carried, and what is no HTTP: as one parser has it that reads all."""
+    rng = random.Random(seed)
+    rows, want = [], []
+    for i in range(4):
+        data = b""
+        for _ in range(12):
+            data += rng.choice((stream(rng, 3, i % 2, 0)[0], rng.randbytes(rng.choice((20, 30000))), b"HTTP/1.1 200 OK\r\nContent-Length: %d\r\n\r\n" % rng.choice((10**19, 70000)) + b"z" * 70000, CHUNKED + b"9000\r\n" + b"y" * 0x9000 + b"\r\n0\r\n\r\n", b"GET /" + b"u" * 4090))
+        cut = [p for p in pieces(rng, data, 5000 * i, 1460) if rng.random() > 0.001]
+        parser = Parser()
+        want += [(bytes([i]), m["seq"], m["body_len"], m["complete"]) for m in [*(m for s, d in cut for m in parser.feed(s, d)), *parser.end()]]
+        rows += [("c", bytes([i]), "lo_to_hi", s, d) for s, d in cut]
+    segments = spark.createDataFrame(rows, "capture string, stream_key binary, direction string, seq bigint, data binary")
+    for stretch in (3000, 60000):
+        got = http_messages.http_messages(segments, stretch).collect()
+        assert sorted((bytes(m.stream_key), m.seq, m.body_len, m.complete) for m in got) == sorted(want)
